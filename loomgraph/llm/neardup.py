@@ -66,7 +66,7 @@ def simhash(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
             part = 1 << 16
             if hi - lo == 1:  # one long text, in parts
                 for p in range(a, ends[lo], part):
-                    bits[0] += np.unpackbits(np.frombuffer(b"".join(digests[p : min(p + part, ends[lo])]), np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+                    bits[0] += np.unpackbits(np.frombuffer(b"".join(digests[p : min(p + part, ends[lo])]), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             else:
                 each = np.unpackbits(np.frombuffer(b"".join(digests[a : ends[hi - 1]]), np.uint8).reshape(-1, 8), axis=1)
                 bits = np.add.reduceat(each, (ends - counts)[full] - a, axis=0, dtype=np.int32)

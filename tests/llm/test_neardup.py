@@ -42,6 +42,12 @@ def test_documents_equal_brute_force(spark, data):
     assert {r.doc_id for r in N.keep_one(docs).collect()} == set(comp.values())
 
 
+def test_texts_longer_than_a_block():
+    rng = random.Random(9)
+    given = [" ".join(str(rng.randrange(50)) for _ in range(n)) for n in (70_000, 3, 140_000, 0, 4, 5)]
+    assert N.simhash(given).tolist() == [plain_print(t) for t in given]
+
+
 def made(rng, n):
     base = [rng.getrandbits(64) for _ in range(n // 8)]
     out = set(base)
