@@ -40,19 +40,28 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, lower-cased and split at ASCII spaces, and the text each belongs to."""
+#: Words as runs without ASCII spaces, and as runs of ASCII letters, digits and bytes beyond ASCII.
+SPACED = ~_SPACE
+LETTERS = np.zeros(256, bool)
+LETTERS[48:58] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def spans_and_sums(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start and end of the words of all texts, put end to end and lower-cased, running sums that give any stretch's hash, inverse powers, and the text of each word."""
     raw = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    within = np.concatenate([[False], inside[raw], [False]])
+    edge = np.flatnonzero(within[1:] != within[:-1])
     start, end = edge[0::2], edge[1::2]
-    if len(start) == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
     power, inverse = _power(len(raw) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
-    hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return hashed, np.searchsorted(bounds, start, side="right")
+    return start, end, total, inverse, np.searchsorted(bounds, start, side="right")
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, lower-cased and split at ASCII spaces, and the text each belongs to."""
+    start, end, total, inverse, owner = spans_and_sums(texts, SPACED)
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), owner
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
