@@ -240,12 +240,12 @@ def document_features(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = _sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-6:
             break
@@ -280,18 +280,49 @@ def _pieces(batch: list[str]) -> tuple[list[bytes], np.ndarray]:
     return raw, np.array(owner, np.int64)
 
 
-def train(given: list[str], label: np.ndarray, seed: int = SEED) -> Model | None:
-    """None if there is but one label."""
+def _sampled_windows(given: list[str], rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of at most SAMPLE_WINDOWS windows of each text, a few texts at a time; each window with its own copy of its words."""
+    ids, sizes, texts_, at = [], [], [], 0
+    while at < len(given):
+        to, total = at, 0
+        while to < len(given) and (to == at or total < PIECE):
+            total += len(given[to])
+            to += 1
+        part, of = word_inputs([t.encode() for t in given[at:to]])
+        begin, size, text = windows_of(np.bincount(of, minlength=to - at))
+        order = np.lexsort((rng.random(len(text)), text))
+        counts = np.bincount(text, minlength=to - at)
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.arange(len(text)) - (np.cumsum(counts) - counts)[text[order]]
+        keep = np.flatnonzero(rank < SAMPLE_WINDOWS)
+        if len(keep):
+            ids.append(_gathered(part, begin[keep], size[keep])[0].astype(np.uint16))
+            sizes.append(size[keep])
+            texts_.append(text[keep] + at)
+        at = to
+    if not ids:
+        return np.empty((0, 1 + len(LEADING) + len(TRAILING)), np.uint16), *(np.empty(0, np.int64) for _ in range(3))
+    size = np.concatenate(sizes)
+    return np.concatenate(ids), np.cumsum(size) - size, size, np.concatenate(texts_)
+
+
+def _all_logits(net: Network, ids, begin, size) -> np.ndarray:
+    """Of windows with their own copies of words, some at a time."""
+    out = np.empty(len(begin), np.float32)
+    for a in range(0, len(begin), 2 * BLOCK):
+        b = min(a + 2 * BLOCK, len(begin))
+        words = ids[begin[a] : begin[b - 1] + size[b - 1]]
+        out[a:b] = net.logits(words, begin[a:b] - begin[a], size[a:b])
+    return out
+
+
+def train(given: list[str], label: np.ndarray, stands_for: np.ndarray | None = None, seed: int = SEED) -> Model | None:
+    """None if there is but one label. stands_for: how many labelled rows each given text is a sample of."""
     label = np.asarray(label, int)
     if len(set(label.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    ids, of = word_inputs([t.encode() for t in given])
-    begin, size, text = windows_of(np.bincount(of, minlength=len(given)))
-    rank = np.argsort(np.lexsort((rng.random(len(text)), text)))
-    counts = np.bincount(text, minlength=len(given))
-    keep = rank - (np.cumsum(counts) - counts)[text] < SAMPLE_WINDOWS
-    begin, size, text = begin[keep], size[keep], text[keep]
+    ids, begin, size, text = _sampled_windows(given, rng)
     fold = rng.permutation(len(given)) % 3  # 0: for the final layer
     own = fold[text] > 0
     y = label[text]
@@ -304,11 +335,13 @@ def train(given: list[str], label: np.ndarray, seed: int = SEED) -> Model | None
         pos = max(1, (y[at] == 1).sum())
         return at, np.where(y[at] == 1, len(at) / (2 * pos), len(at) / (2 * max(1, len(at) - pos)))
 
+    if not (own & (y == 1)).any() or not (own & (y == 0)).any():
+        return None
     at, weight = chosen(np.flatnonzero(own))
     epochs = int(np.clip(60_000 // max(1, len(at)), 2, 20))
     _fit(net, ids, begin[at], size[at], y[at], weight, epochs, 0.01, rng)
     for _ in range(3):  # windows that the network rates highest, and others of clean documents
-        logit = net.logits(ids, begin, size)
+        logit = _all_logits(net, ids, begin, size)
         order = np.lexsort((-logit, text))
         place = np.empty(len(order), int)
         firsts = np.cumsum(np.bincount(text, minlength=len(given))) - np.bincount(text, minlength=len(given))
@@ -318,12 +351,13 @@ def train(given: list[str], label: np.ndarray, seed: int = SEED) -> Model | None
         pos = max(1, (y[at] == 1).sum())
         weight = np.where(y[at] == 1, len(at) / (2 * pos), len(at) / (2 * max(1, len(at) - pos)))
         _fit(net, ids, begin[at], size[at], y[at], weight, int(np.clip(20_000 // max(1, len(at)), 2, 12)), 0.004, rng)
-    logit = net.logits(ids, begin, size)
+    logit = _all_logits(net, ids, begin, size)
     x = document_features(logit, text, len(given))
     part = (fold == 0) & (x[:, 0] > 0)
     if len(set(label[part].tolist())) < 2:
         part = x[:, 0] > 0
-    return Model(net, _logistic(x[part], label[part]))
+    weight = np.ones(len(given)) if stands_for is None else stands_for / stands_for.mean()
+    return Model(net, _logistic(x[part], label[part], weight[part]))
 
 
 # -- on tables ------------------------------------------------------------------------------
@@ -334,14 +368,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most per_label texts of each label, outside the held-out fold; the same ones for the same tables."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most per_label texts of each label, outside the held-out fold, their labels, and how many rows each stands for; the same ones for the same tables."""
     known = labels.select(F.col("doc_id").alias("k"), F.col("toxic").alias("toxic")).where(F.col("k").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out("k")).groupBy("k").agg(F.max("toxic").alias("toxic"))
     taken = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("k"), "k").limit(per_label) for v in (0, 1)]
     few = F.broadcast(taken[0].unionByName(taken[1]))  # 2 x per_label rows at most
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(few, F.col("doc_id") == F.col("k")).where(F.length("text") > 0)
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label).collect()
-    return [r.text for r in rows], np.array([r.toxic for r in rows], int)
+    label = np.array([r.toxic for r in rows], int)
+    there = dict(known.groupBy("toxic").count().collect())
+    stands_for = np.array([there[v] / max(1, (label == v).sum()) for v in label.tolist()])
+    return [r.text for r in rows], label, stands_for
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
