@@ -2,19 +2,23 @@
 
 Distinct fingerprints form a binary trie: a sorted array in which a node is a range. Pairs of
 nodes are traversed together, bit by bit; the differing bits are added up and a pair of nodes
-is pruned once they exceed the budget. Since one of a fingerprint's halves differs in at most
-half the bits allowed, two tries are joined, each with one half leading and a budget of half
-the bits for it, so that the pairs visited grow little faster than the fingerprints.
-
-A trie is spread over tasks by its top nodes. Top node p gets its own fingerprints and a copy
-of those below every larger top node within the leading budget, and joins own with own and own
-with copies. A task keeps only links that join fingerprints not yet connected in it.
+is pruned once they exceed the budget. If two fingerprints differ in at most k bits, there is
+one of m equal blocks from which on, cyclically, the first j blocks differ in at most jk/m bits,
+for every j. So m tries are joined, each led by another block, with those budgets, and the
+pairs visited grow little faster than the fingerprints.
+
+A trie is spread over tasks by its top nodes. A pair of top nodes within the leading budget
+belongs to one of both, by a hash of the pair; a task joins its node's own fingerprints with
+themselves and with the copies that the other nodes of its pairs send. It keeps only links that
+join fingerprints not yet connected in it.
+
+A wide fingerprint carries 64 further bits, of the same hashes mixed anew, that confirm a link
+when the budget is so large that unrelated texts come within it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,11 @@ from pyspark.sql import types as T
 from .arrow import slices, texts
 from .common import long_array, stash
 from .components import components
+from .shingles import mix
 
 BITS, SHINGLE, SEED = 64, 4, 42
 #: Fingerprints aimed at below one top node, and the least and most bits of top nodes.
-NODE_FINGERPRINTS, LEAST_TOP, MOST_TOP = 20_000, 4, 16
+NODE_FINGERPRINTS, LEAST_TOP, MOST_TOP = 100_000, 4, 16
 #: Node pairs expanded at once, and the product of sizes below which a pair is compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 18, 24
 
@@ -36,8 +41,8 @@ FRONTIER, LEAVES = 1 << 18, 24
 # -- fingerprints ---------------------------------------------------------------------------
 
 
-def simhash(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """uint64 per text: a bit is set if it is in over half the shingles' XXH64 values; no words: zero."""
+def shingle_hashes(batch: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of all texts, and how many each text has."""
     from xxhash import xxh64_digest
 
     digests, counts = [], []
@@ -53,38 +58,45 @@ def simhash(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
         starts = (ends - np.diff(ends, prepend=0)).tolist()
         digests.extend([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())])
         counts.append(n - shingle + 1)
-    out = np.zeros(len(batch), np.uint64)
-    counts = np.array(counts, np.int64)
-    ends = np.cumsum(counts)
+    return np.frombuffer(b"".join(digests), ">u8"), np.array(counts, np.int64)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """uint64 per text: the bits set in over half of its hashes (big-endian); zero for a text without any."""
+    out = np.zeros(len(counts), np.uint64)
+    ends, block = np.cumsum(counts), 1 << 16
     lo = 0
-    while lo < len(batch):
+    while lo < len(counts):
         a = ends[lo] - counts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, a + (1 << 16), side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, a + block, side="right")))
         full = np.flatnonzero(counts[lo:hi]) + lo
         if len(full):
-            bits = np.zeros((len(full), BITS), np.int64)
-            part = 1 << 16
-            if hi - lo == 1:  # one long text, in parts
-                for p in range(a, ends[lo], part):
-                    bits[0] += np.unpackbits(np.frombuffer(b"".join(digests[p : min(p + part, ends[lo])]), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            bits = lambda x, y: np.unpackbits(hashes[x:y].view(np.uint8).reshape(-1, 8), axis=1)
+            if hi - lo == 1:  # one text, which may be long, in parts
+                sums = sum(bits(p, min(p + block, ends[lo])).sum(axis=0, dtype=np.int64) for p in range(a, ends[lo], block))[None]
             else:
-                each = np.unpackbits(np.frombuffer(b"".join(digests[a : ends[hi - 1]]), np.uint8).reshape(-1, 8), axis=1)
-                bits = np.add.reduceat(each, (ends - counts)[full] - a, axis=0, dtype=np.int32)
-            on = np.packbits(bits * 2 > counts[full, None], axis=1)
-            out[full] = on.reshape(-1).view(">u8").astype(np.uint64)
+                sums = np.add.reduceat(bits(a, ends[hi - 1]), (ends - counts)[full] - a, axis=0, dtype=np.int32)
+            out[full] = np.packbits(sums * 2 > counts[full, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
         lo = hi
     return out
 
 
-def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
-    """The columns keep of docs, and fp: the fingerprint of its column text as a signed long."""
+def simhash(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """uint64 per text: a bit is set if it is in over half the shingles' XXH64 values; no words: zero."""
+    return majority(*shingle_hashes(batch, shingle))
+
+
+def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """The columns keep of docs, and fp: the fingerprint of its column text as a signed long; more: 64 further bits if wide, else 0."""
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = simhash(texts(batch), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=schema.names)
+            hashes, counts = shingle_hashes(texts(batch), shingle)
+            fp = majority(hashes, counts)
+            more = majority(mix(hashes.astype(np.uint64)).astype(">u8"), counts) if wide else np.zeros_like(fp)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -107,11 +119,13 @@ class Trie:
         return hi - (ones[hi] - ones[lo])
 
 
-def join_tries(a: Trie, b: Trie, same: bool, most: int, lead_bits: int, lead: int, found) -> None:
-    """Call found(i, j) with arrays of positions of keys in a and b that differ in at most most bits, of which at most lead among the first lead_bits.
+def join_tries(a: Trie, b: Trie, same: bool, most: int, blocks: int, found) -> None:
+    """Call found(i, j) with arrays of positions of keys in a and b whose first j blocks differ in at most j * most / blocks bits, for every j.
 
     With same, a is b and each pair is given once, i < j.
     """
+    width = BITS // blocks
+    budgets = [(d // width + 1) * most // blocks for d in range(BITS)]
     if len(a.keys) == 0 or len(b.keys) == 0:
         return
     zero = np.zeros(1, np.int64)
@@ -127,14 +141,13 @@ def join_tries(a: Trie, b: Trie, same: bool, most: int, lead_bits: int, lead: in
         n1, n2 = hi1 - lo1, hi2 - lo2
         small = (n1 * n2 <= LEAVES) | (depth == BITS)
         if small.any():
-            _leaves(a, b, same, most, lead_bits, lead, lo1[small], n1[small], lo2[small], n2[small], found)
+            _leaves(a, b, same, most, blocks, lo1[small], n1[small], lo2[small], n2[small], found)
             big = ~small
             lo1, hi1, lo2, hi2, acc = lo1[big], hi1[big], lo2[big], hi2[big], acc[big]
         if len(lo1) == 0:
             continue
         m1, m2 = a.middle(lo1, hi1, depth), b.middle(lo2, hi2, depth)
-        budget = lead if depth < lead_bits else most
-        more = acc < budget
+        more = acc < budgets[depth]
         twin = (lo1 == lo2) & (hi1 == hi2) if same else np.zeros(len(lo1), bool)
         cross = more & ~twin
         parts = [
@@ -148,7 +161,7 @@ def join_tries(a: Trie, b: Trie, same: bool, most: int, lead_bits: int, lead: in
         stack.append((depth + 1, lo1[live], hi1[live], lo2[live], hi2[live], acc[live]))
 
 
-def _leaves(a, b, same, most, lead_bits, lead, lo1, n1, lo2, n2, found) -> None:
+def _leaves(a, b, same, most, blocks, lo1, n1, lo2, n2, found) -> None:
     size = n1 * n2
     ends = np.cumsum(size)
     lo = 0
@@ -161,7 +174,8 @@ def _leaves(a, b, same, most, lead_bits, lead, lo1, n1, lo2, n2, found) -> None:
         i, j = lo1[pair] + at // n2[pair], lo2[pair] + at % n2[pair]
         diff = a.keys[i] ^ b.keys[j]
         ok = np.bitwise_count(diff) <= most
-        ok &= np.bitwise_count(diff >> np.uint64(BITS - lead_bits)) <= lead
+        for k in range(1, blocks):
+            ok &= np.bitwise_count(diff >> np.uint64(BITS - k * BITS // blocks)) <= k * most // blocks
         if same:
             ok &= i < j
         if ok.any():
@@ -212,63 +226,70 @@ def _top_bits(n: int) -> int:
     return bits
 
 
-def near_links(prints: DataFrame, most: int, n: int | None = None) -> DataFrame:
-    """(a, b) links between the distinct longs of column fp that differ in at most most bits: all that connect, though not all."""
+def near_links(prints: DataFrame, most: int, blocks: int = 2, confirm: int | None = None, n: int | None = None) -> DataFrame:
+    """Links between the distinct rows of columns fp, more: all that connect, though not all.
+
+    Linked are those whose fp differ in at most most bits and, if confirm is given, whose fp
+    and more together differ in at most confirm. The columns are (a, a_more, b, b_more).
+    """
     n = prints.count() if n is None else n
-    top, lead = _top_bits(n), most // 2
+    top, lead, width = min(_top_bits(n), BITS // blocks), most // blocks, BITS // blocks
     masks = [m for m in range(1 << top) if bin(m).count("1") <= lead]
-    assert len(masks) == sum(comb(top, k) for k in range(lead + 1))
-    half = BITS // 2
-    key = F.when(F.col("trie") == 0, F.col("fp")).otherwise(F.shiftleft("fp", half).bitwiseOR(F.shiftrightunsigned("fp", half)))
-    rows = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("trie")).withColumn("key", key)
-    node = F.shiftrightunsigned("key", BITS - top)
-    to = F.filter(F.transform(long_array(masks), lambda m: m.bitwiseXOR(F.col("node"))), lambda p: p <= F.col("node"))
-    rows = rows.withColumn("node", node).select("trie", "key", "node", F.explode(to).alias("p"))
-    rows = rows.select((F.col("p") * 2 + F.col("trie")).alias("task"), (F.col("p") != F.col("node")).alias("copy"), "key")
-    parts = max(1, min(2 << top, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2))
-    rows = rows.repartition(parts, "task").select("task", "copy", "key").sortWithinPartitions("task")
+    turned = [F.col("fp") if k == 0 else F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * width)) for k in range(blocks)]
+    rows = prints.select("more", F.posexplode(F.array(*turned)).alias("trie", "key"))
+    rows = rows.withColumn("node", F.shiftrightunsigned("key", BITS - top))
+    owner = lambda p: F.when(p == F.col("node"), True).otherwise((F.pmod(F.xxhash64(F.least(p, F.col("node")), F.greatest(p, F.col("node"))), F.lit(2)) == 0) == (p < F.col("node")))
+    to = F.filter(F.transform(long_array(masks), lambda m: m.bitwiseXOR(F.col("node"))), owner)
+    rows = rows.select("key", "more", "trie", "node", F.explode(to).alias("p"))
+    rows = rows.select((F.col("p") * blocks + F.col("trie")).alias("task"), (F.col("p") != F.col("node")).alias("copy"), "key", "more")
+    parts = max(1, min(blocks << top, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2))
+    rows = rows.repartition(parts, "task").sortWithinPartitions("task")
+
+    def done(task, held):
+        copy, key, more = (np.concatenate(x) for x in zip(*held))
+        sides = []
+        for at in (np.flatnonzero(~copy), np.flatnonzero(copy)):
+            at = at[np.argsort(key[at], kind="stable")]
+            sides.append((key[at], more[at]))
+        (own, own_more), (other, other_more) = sides
+        both, both_more = np.concatenate([own, other]), np.concatenate([own_more, other_more])
+        forest = Forest(len(both))
+
+        def add(i, j):
+            if confirm is not None:
+                near = np.bitwise_count(both[i] ^ both[j]).astype(np.int16) + np.bitwise_count(both_more[i] ^ both_more[j]) <= confirm
+                i, j = i[near], j[near]
+            forest.add(i, j)
+
+        a, b = Trie(own), Trie(other)
+        join_tries(a, a, True, most, blocks, add)
+        join_tries(a, b, False, most, blocks, lambda i, j: add(i, j + len(own)))
+        i, j = forest.links()
+        back = (task % blocks) * width
+        fp = both if back == 0 else (both >> np.uint64(back)) | (both << np.uint64(BITS - back))
+        columns = [fp[i], both_more[i], fp[j], both_more[j]]
+        for at in range(0, len(i), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in columns], names=["a", "a_more", "b", "b_more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, task = [], None
-
-        def done():
-            own = np.sort(np.concatenate([k[~c] for c, k in held]))
-            other = np.sort(np.concatenate([k[c] for c, k in held]))
-            forest = Forest(len(own) + len(other))
-            a, b = Trie(own), Trie(other)
-            join_tries(a, a, True, most, half, lead, forest.add)
-            join_tries(a, b, False, most, half, lead, lambda i, j: forest.add(i, j + len(own)))
-            i, j = forest.links()
-            keys = np.concatenate([own, other])
-            pair = [keys[i], keys[j]]
-            if task % 2:
-                pair = [(x << np.uint64(half)) | (x >> np.uint64(half)) for x in pair]
-            for at in range(0, len(i), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in pair], names=["a", "b"])
-
         for batch in batches:
             tasks = batch.column("task").to_numpy()
             copy = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool)
-            key = batch.column("key").to_numpy().view(np.uint64)
+            key, more = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "more"))
             cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
                 if task is not None and tasks[x] != task:
-                    yield from done()
+                    yield from done(task, held)
                     held = []
                 task = int(tasks[x])
-                held.append((copy[x:y], key[x:y]))
+                held.append((copy[x:y], key[x:y], more[x:y]))
         if held:
-            yield from done()
-
-    return rows.mapInArrow(run, "a long, b long")
-
+            yield from done(task, held)
 
-def _classes(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (doc_id, fp): the distinct fingerprints with their least doc_id, and (node, root) of the linked ones."""
-    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    return prints, components(near_links(prints, most))
+    return rows.mapInArrow(run, "a long, a_more long, b long, b_more long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> DataFrame:
@@ -280,23 +301,34 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
     component's id (null if it has no other); repeated rows keep their rows; an empty table
     gives none; other columns are not read.
     """
-    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle), "fingerprints")
-    prints, linked = _classes(rows, most)
+    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle).drop("more"), "fingerprints")
+    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("more", F.lit(0).cast("long")), "prints")
+    linked = components(near_links(prints, most))
     rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = stash(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "classes")
     return rows.join(of_print, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id, the least text hash among rows that share it, null ids last; of rows equal in both, one."""
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), order["h"].alias("h")), ["doc_id", "h"], shingle), "fingerprints")
-    _, linked = _classes(rows, most)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h"))
-    best = rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).join(linked, F.col("fp") == F.col("node"), "left")
-    chosen = stash(best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen")
-    at = F.xxhash64("text")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (at == F.col("__h")), "left_semi")
+#: For shingles of five words and a similarity of 0.8: bits in which the 64 that are joined, and all 128, may differ.
+WORDS, JOINED_BITS, ALL_BITS, BLOCKS = 5, 14, 24, 4
+
+
+def keep_one(docs: DataFrame, most: int = JOINED_BITS, confirm: int = ALL_BITS, shingle: int = WORDS) -> DataFrame:
+    """docs with one document of each group of near-duplicates; all columns stay as they are.
+
+    Wide fingerprints of word shingles link documents. Of a group, that of the least doc_id
+    stays, the least text hash among rows that share it, null ids last; of rows equal in
+    both, one. Texts without words are one group.
+    """
+    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle, wide=True), "fingerprints")
+    node = F.xxhash64("fp", "more")
+    prints = stash(rows.select("fp", "more").distinct(), "prints")
+    links = near_links(prints, most, BLOCKS, confirm)
+    linked = components(links.select(F.xxhash64("a", "a_more").alias("a"), F.xxhash64("b", "b_more").alias("b")))
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+    best = rows.groupBy(node.alias("own")).agg(F.min(first).alias("first")).join(linked, F.col("own") == F.col("node"), "left")
+    chosen = stash(best.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
     repeated = rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -39,7 +39,28 @@ def test_documents_equal_brute_force(spark, data):
     fp, comp = plain(docs.select("doc_id", "text").collect())
     got = N.near_duplicates(docs).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{fp[d]:016x}", comp[d]) for d in fp}
-    assert {r.doc_id for r in N.keep_one(docs).collect()} == set(comp.values())
+    kept = {r.doc_id for r in N.keep_one(docs).collect()}
+    first = {}
+    for d, t in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        first.setdefault(t, d)
+    assert kept <= set(first.values()) and len(kept) > 0.7 * len(first)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    given, group = [], []
+    for g in range(60):
+        base = [word() for _ in range(rng.randrange(80, 400))]
+        for _ in range(rng.randrange(1, 6)):
+            w = list(base)
+            for _ in range(len(w) // 100):
+                w[rng.randrange(len(w))] = word()
+            given.append(" ".join(w))
+            group.append(g)
+    kept = {r.doc_id for r in N.keep_one(texts(spark, given)).collect()}
+    first = {g: group.index(g) for g in set(group)}
+    assert set(first.values()) <= kept and len(kept) <= 1.05 * len(first)
 
 
 def test_texts_longer_than_a_block():
@@ -67,24 +88,27 @@ def test_trie_join_finds_every_pair():
         keys = np.array(made(rng, 300), np.uint64)
         want = {(i, j) for i in range(len(keys)) for j in range(i) if int(keys[i] ^ keys[j]).bit_count() <= most}
         got = []
-        N.join_tries(N.Trie(keys), N.Trie(keys), True, most, 32, most, lambda i, j: got.extend(zip(j.tolist(), i.tolist())))
+        N.join_tries(N.Trie(keys), N.Trie(keys), True, most, 1, lambda i, j: got.extend(zip(j.tolist(), i.tolist())))
         assert len(got) == len(set(got)) and set(got) == want
         a, b = keys[::2], keys[1::2]
-        got = []
-        N.join_tries(N.Trie(a), N.Trie(b), False, most, 32, most // 2, lambda i, j: got.extend(zip(i.tolist(), j.tolist())))
-        assert set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if int(a[i] ^ b[j]).bit_count() <= most and (int(a[i] ^ b[j]) >> 32).bit_count() <= most // 2}
+        for blocks in (2, 4):
+            got = []
+            N.join_tries(N.Trie(a), N.Trie(b), False, most, blocks, lambda i, j: got.extend(zip(i.tolist(), j.tolist())))
+            assert set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if all((int(a[i] ^ b[j]) >> (64 - k * 64 // blocks)).bit_count() <= k * most // blocks for k in range(1, blocks + 1))}
 
 
 def test_links_connect_what_is_near_whatever_the_top_nodes(spark, monkeypatch):
     rng = random.Random(2)
     keys = made(rng, 800)
     ids = {k: i for i, k in enumerate(keys)}
-    want = plain_components(range(len(keys)), [(i, j) for j in range(len(keys)) for i in range(j) if (keys[i] ^ keys[j]).bit_count() <= 4])
-    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "fp long")
-    for size in (20_000, 5):
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    df = spark.createDataFrame([(signed(k), signed(k ^ (k << 1) % (1 << 64))) for k in keys], "fp long, more long")
+    for most, blocks, confirm, size in ((4, 2, None, 100_000), (4, 2, None, 5), (9, 4, 11, 40)):
+        near = lambda x, y: (x ^ y).bit_count() <= most and (confirm is None or (x ^ y).bit_count() + (x ^ y ^ ((x ^ y) << 1) % (1 << 64)).bit_count() <= confirm)  # noqa: B023, E731
+        want = plain_components(range(len(keys)), [(i, j) for j in range(len(keys)) for i in range(j) if near(keys[i], keys[j])])
         monkeypatch.setattr(N, "NODE_FINGERPRINTS", size)
-        links = [(ids[a % (1 << 64)], ids[b % (1 << 64)]) for a, b in N.near_links(df, 4).collect()]
-        assert all((keys[a] ^ keys[b]).bit_count() <= 4 for a, b in links)
+        links = [(ids[r.a % (1 << 64)], ids[r.b % (1 << 64)]) for r in N.near_links(df, most, blocks, confirm).collect()]
+        assert all(near(keys[a], keys[b]) for a, b in links)
         assert plain_components(range(len(keys)), links) == want
 
 
@@ -108,6 +132,7 @@ def test_awkward_rows(spark):
     assert N.near_duplicates(frame(spark, [])).collect() == []
     kept = N.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, {*comp.values(), None}))
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and {0, 4, 5, 6} <= set(ids) and not {1, 2, 50} & set(ids)
     assert N.keep_one(frame(spark, [])).collect() == []
     assert [r.doc_id for r in N.keep_one(texts(spark, [None, "", None], 3)).collect()] == [3]
