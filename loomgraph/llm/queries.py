@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, licenses, neardup, pii, sharding, tokens, toxicity
+from . import decontaminate, fingerprint, licenses, linededup, neardup, packing, pii, sharding, tokens, toxicity
 from .common import table
 
 
@@ -36,6 +36,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
