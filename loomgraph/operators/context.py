@@ -20,6 +20,8 @@ from ..session import stash
 from .graph import SEED, capped_neighbors, neighbors_of
 
 PAD, STARTS, STEPS, LENGTH, BETA, THRESHOLD, SAMPLE, CAP = -500, 9, 10, 111, 0.55, 0.02, 10, 256
+#: Digits of sums and blends of rounded cosines: with as few digits as those, halves would be rounded by chance.
+FINE = 10
 #: Numbers in the broadcast graph: vectors' elements and edges. 32 million doubles are 256 MB.
 BROADCAST_NUMBERS = 32_000_000
 
@@ -42,7 +44,7 @@ def coherence(vectors: DataFrame, edges: DataFrame, returns: bool = False, seed:
     some = sampled_with_return(edges, SAMPLE, seed) if returns else capped_neighbors(edges, SAMPLE, seed)
     a, b = vectors.select("id", F.col("e").alias("ea")), vectors.select(F.col("id").alias("neighbor"), F.col("e").alias("eb"))
     each = some.join(a, "id").join(b, "neighbor").select("id", F.greatest(F.lit(0.0), rounded(cosine(F.col("ea"), F.col("eb")))).alias("c"))
-    return each.groupBy("id").agg(rounded(F.sum("c") * F.count(F.lit(1)) / SAMPLE).alias("coh"))
+    return each.groupBy("id").agg(rounded(F.sum("c") * F.count(F.lit(1)) / SAMPLE, FINE).alias("coh"))
 
 
 def start_neighbors(centers: DataFrame, edges: DataFrame, k: int = STARTS, seed: int = SEED) -> DataFrame:
@@ -52,7 +54,7 @@ def start_neighbors(centers: DataFrame, edges: DataFrame, k: int = STARTS, seed:
 
 
 def blend(rel: Column, coh: Column, beta: float) -> Column:
-    return rounded(F.lit(beta) * coh + F.lit(round(1 - beta, 12)) * rel)
+    return rounded(F.lit(beta) * coh + F.lit(round(1 - beta, 12)) * rel, FINE)
 
 
 def softmax(x: Column, over, eps: float = 1e-10) -> Column:
@@ -128,7 +130,7 @@ def walks_by_broadcast(starts: DataFrame, edges: DataFrame, vectors: DataFrame,
                         some = np.sort(some[np.argsort(rank[some])[:cap]])
                     if len(some) == 0:
                         break
-                    x = np.round(beta * coh[some] + gamma * rel[some], 6)
+                    x = np.round(beta * coh[some] + gamma * rel[some], FINE)
                     y = np.exp(x - x.max())
                     eta = np.round(y / (y.sum() + eps), 6)
                     best = int(eta.argmax())
