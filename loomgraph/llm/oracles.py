@@ -1,3 +1,26 @@
-"""SQL for those queries of this folder that SQL can express."""
+"""SQL for those queries of this folder that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others have no such statement: sharding edits a map step by step, token counts and
+fingerprints and SimHash need hashes and merges that SQL lacks, packing and alignment are
+sequential, toxicity is a model, and the expressions of personal data look behind themselves.
+They are tested against plain versions of their rules.
+"""
+
+from .common import LOWER, UPPER, WORD
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+
+OP6 = f"""WITH dw AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+bw AS MATERIALIZED (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT item_id, array_to_string(w[i + 1 : i + 10], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM bw WHERE len(w) > 0)),
+lens AS MATERIALIZED (SELECT DISTINCT n FROM win),
+dwin AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM dw, lens WHERE len(w) >= n)),
+hit AS MATERIALIZED (SELECT d.doc_id, d.i, d.n, w.item_id FROM dwin d JOIN win w ON w.win = d.win AND w.n = d.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+itm AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY 1)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN itm USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6}
