@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that their texts hold about size bytes each; rows keep their order."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -23,6 +23,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch, each, part
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker serves one task after another."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

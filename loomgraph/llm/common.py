@@ -1,38 +1,17 @@
-"""Helpers shared by the corpus operators: scratch tables, row keys, let-binding, word rules."""
+"""Helpers shared by the corpus operators: row keys, let-binding, word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_root, stash
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of letters, digits and everything beyond ASCII; the text has been lower-cased before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share. Only a session without spark.checkpoint.dir, on one machine, gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not hasattr(spark, "_loomgraph_scratch"):
-        spark._loomgraph_scratch = tempfile.mkdtemp(prefix="loomgraph-")
-    return f"file://{spark._loomgraph_scratch}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

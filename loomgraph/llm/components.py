@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not n or (n, print_) == before:
             break
         before = (n, print_)
-        e = stash(_star(_star(e, large=True), large=False), "edges")
+        e = stash(_star(_star(e, large=True), large=False), "edges", at_most=2 * n)  # a step makes two edges of one at most
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -302,11 +302,12 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
     gives none; other columns are not read.
     """
     rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle).drop("more"), "fingerprints")
-    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("more", F.lit(0).cast("long")), "prints")
+    n = rows.count()
+    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("more", F.lit(0).cast("long")), "prints", at_most=n)
     linked = components(near_links(prints, most))
     rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = stash(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "classes")
+    of_print = stash(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "classes", at_most=n)
     return rows.join(of_print, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -323,12 +324,13 @@ def keep_one(docs: DataFrame, most: int = JOINED_BITS, confirm: int = ALL_BITS,
     """
     rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle, wide=True), "fingerprints")
     node = F.xxhash64("fp", "more")
-    prints = stash(rows.select("fp", "more").distinct(), "prints")
+    n = rows.count()
+    prints = stash(rows.select("fp", "more").distinct(), "prints", at_most=n)
     links = near_links(prints, most, BLOCKS, confirm)
     linked = components(links.select(F.xxhash64("a", "a_more").alias("a"), F.xxhash64("b", "b_more").alias("b")))
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
     best = rows.groupBy(node.alias("own")).agg(F.min(first).alias("first")).join(linked, F.col("own") == F.col("node"), "left")
-    chosen = stash(best.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen")
+    chosen = stash(best.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen", at_most=n)
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
     repeated = rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

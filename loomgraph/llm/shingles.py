@@ -23,21 +23,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64, for positions below n."""
+    """Powers of an odd number and of its inverse, modulo 2**64, for n positions or more; those of one size are kept, unless a long text needed it."""
     size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        if len(_powers) > 3:
-            _powers.clear()
-        both = []
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            p = np.empty(size, np.uint64)
-            p[0], done = 1, 1
-            while done < size:
-                p[done : 2 * done] = p[:done] * np.uint64(pow(base, done, 1 << 64))
-                done *= 2
-            both.append(p)
+    kept = max(_powers, default=0)
+    if kept >= size:
+        return _powers[kept]
+    both = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        p = np.empty(size, np.uint64)
+        p[0], done = 1, 1
+        while done < size:
+            p[done : 2 * done] = p[:done] * np.uint64(pow(base, done, 1 << 64))
+            done *= 2
+        both.append(p)
+    if size <= 1 << 22:
+        _powers.clear()
         _powers[size] = (both[0], both[1])
-    return _powers[size]
+    return both[0], both[1]
 
 
 #: Words as runs without ASCII spaces, and as runs of ASCII letters, digits and bytes beyond ASCII.
