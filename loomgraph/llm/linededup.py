@@ -27,7 +27,7 @@ from .common import stash
 from .shingles import SPACED, mix, spans_and_sums
 
 #: Words of a line that is hashed alone, and of a pair of lines; words of a block that is deleted.
-LONG, PAIR, LEAST = 16, 6, 25
+LONG, PAIR, LEAST = 16, 2, 25
 #: A later document with this share of its words in deleted blocks is a copy and goes as a whole.
 COPY = 0.8
 _STOP = np.zeros(256, bool)

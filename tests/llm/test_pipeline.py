@@ -44,19 +44,19 @@ def test_every_stage(spark, tmp_path):
             score = model.scores([before[i].text for i in ids])
             assert {i for i, s in zip(ids, score) if s < 0.5} == set(after) and after == {i: before[i] for i in after}
         elif name == "line dedup":
-            holders = defaultdict(list)
+            holders = set()
             lines = {i: [tuple(x) for x in plain_lines(before[i].text)] for i in ids}
             for i in ids:
-                gone = set()
-                for x, line in enumerate(lines[i]):
-                    for j, y in holders[line]:
-                        n = 0
-                        while x + n < len(lines[i]) and y + n < len(lines[j]) and lines[i][x + n] == lines[j][y + n]:
-                            n += 1
-                        if sum(map(len, lines[i][x : x + n])) >= linededup.LEAST:
-                            gone.update(range(x, x + n))
-                for x, line in enumerate(lines[i]):
-                    holders[line].append((i, x))
+                own = [(k, lines[i][k : k + 2]) for k in range(len(lines[i]) - 1)] + [(k, [x]) for k, x in enumerate(lines[i]) if len(x) >= linededup.LONG]
+                met = {k + d for k, x in own if tuple(x) in holders for d in range(len(x))}
+                holders |= {tuple(x) for _, x in own}
+                gone, run = set(), []
+                for k in range(len(lines[i]) + 1):
+                    if k in met:
+                        run.append(k)
+                    else:
+                        gone |= set(run) if sum(len(lines[i][x]) for x in run) >= linededup.LEAST else set()
+                        run = []
                 cut, all_ = sum(len(lines[i][x]) for x in gone), sum(map(len, lines[i]))
                 if gone and cut >= linededup.COPY * all_:
                     assert i not in after
