@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
 A line is a stretch of words up to a line break or a sentence's end, compared by its words
-(ASCII case and spaces do not count), so that passages inside a paragraph are found too.
+(ASCII case and spaces do not count), so that passages inside a paragraph are found too; one of
+over BROKEN words is broken further after words that their own hash chooses, one in eight, so
+that passages inside very long sentences are found as well.
 Lines of LONG words and more, and all pairs of neighbouring lines, are hashed: rare enough
 that a shared hash speaks for a shared passage. For each hash that several documents hold,
 every later document is linked to the earliest holder, a star and not all pairs. Linked
@@ -30,10 +32,19 @@ from .shingles import SPACED, mix, spans_and_sums
 LONG, PAIR, LEAST = 16, 2, 25
 #: A later document with this share of its words in deleted blocks is a copy and goes as a whole.
 COPY = 0.8
+#: Hashes with their holders that are broadcast at most: 200,000 are some 10 MB.
+BROADCAST_HASHES = 200_000
+#: Words of a line that is broken further, and the share of words it is broken after.
+BROKEN, ONE_IN = 20, 8
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
+def breaks_after(word: np.ndarray) -> np.ndarray:
+    """Whether a long line is broken after a word of this hash."""
+    return (word >> np.uint64(40)) % np.uint64(ONE_IN) == 0
+
+
 class Lines:
     """The lines of some texts: first word and word count of each, its text, its hash."""
 
@@ -50,6 +61,9 @@ class Lines:
         following = np.r_[start[1:], len(buffer)]
         last = _STOP[buffer[end - 1]] | (breaks[following] > breaks[end]) | np.r_[owner[1:] != owner[:-1], True]
         close = np.flatnonzero(last)
+        whole = np.diff(np.r_[-1, close])
+        last |= np.repeat(whole > BROKEN, whole) & breaks_after(word)
+        close = np.flatnonzero(last)
         self.first = np.r_[0, close[:-1] + 1]
         self.words = close + 1 - self.first
         self.owner = owner[self.first]
@@ -118,17 +132,23 @@ def patience(b: list[int], a: list[int], single: list[bool]) -> list[int]:
 
 
 def aligned_lines(b: np.ndarray, a: np.ndarray, span: np.ndarray, single: np.ndarray) -> set[int]:
-    """Lines of the later document in any alignment; what one leaves is aligned again while it helps."""
+    """Lines of the later document in any alignment; what one leaves is aligned again, so that blocks that cross are found.
+
+    Where a line of the earlier document has been aligned, its other occurrences in the later one count as aligned too.
+    """
     order = np.lexsort((a, b))
     rest, out = order.tolist(), set()
     b, a, span, single = b.tolist(), a.tolist(), span.tolist(), single.tolist()
     while rest:
-        took = {rest[k] for k in patience([b[i] for i in rest], [a[i] for i in rest], [single[i] for i in rest])}
-        if not took:
-            took = {rest[k] for k in increasing([b[i] for i in rest], [a[i] for i in rest])}
-        for i in took:
-            out.update(range(b[i], b[i] + span[i]))
-        rest = [i for i in rest if i not in took and not all(x in out for x in range(b[i], b[i] + span[i]))]
+        took = patience([b[i] for i in rest], [a[i] for i in rest], [single[i] for i in rest]) or increasing([b[i] for i in rest], [a[i] for i in rest])
+        done = {(a[rest[k]], span[rest[k]]) for k in took}
+        left = []
+        for i in rest:
+            if (a[i], span[i]) in done:
+                out.update(range(b[i], b[i] + span[i]))
+            else:
+                left.append(i)
+        rest = left
     return out
 
 
@@ -186,13 +206,19 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "h long, ord long, row long, line int, span int, w1 int, w2 int, single boolean")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, a written table, for a broadcast if it is small. If not, both sides of a join with it shuffle, so that adaptive execution can split a hash that very many lines share."""
+    return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
+
+
 def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(row, ord, gone, cut): line numbers to delete from later documents, and their words."""
     anchors = stash(anchor_table(docs), "anchors")
-    shared = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
-    met = stash(anchors.join(shared, F.col("h") == F.col("sh")).drop("sh"), "shared")
+    shared = stash(anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first"), "holders")
+    met = stash(anchors.join(_small(shared), F.col("h") == F.col("sh")).drop("sh"), "shared")
     earliest = met.where("ord = first").groupBy("h").agg(F.min(F.struct("row", "line", "single")).alias("a")).select(F.col("h").alias("eh"), F.col("a.row").alias("a_row"), F.col("a.line").alias("a_line"), F.col("a.single").alias("a_single"))
-    pairs = met.where("ord > first").join(earliest, F.col("h") == F.col("eh")).select("row", "ord", "a_row", "line", "a_line", "span", "w1", "w2", (F.col("single") & F.col("a_single")).alias("single"))
+    earliest = stash(earliest, "earliest")
+    pairs = met.where("ord > first").join(_small(earliest), F.col("h") == F.col("eh")).select("row", "ord", "a_row", "line", "a_line", "span", "w1", "w2", (F.col("single") & F.col("a_single")).alias("single"))
     pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "a_row")
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("gone", T.ArrayType(T.IntegerType())), T.StructField("cut", T.LongType())])
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from loomgraph.llm import linededup as D
+from loomgraph.llm.shingles import SPACED, mix, spans_and_sums
 from tests.llm.helpers import awkward_rows, frame
 
 
@@ -12,16 +13,28 @@ def plain_lines(t):
     out = []
     for stretch in re.split(rb"[\n\r]", t.encode()):
         now = []
-        for w in stretch.lower().split():
-            now.append(w)
-            if w[-1:] in b".!?":
-                out.append(now)
+        for w in [*stretch.lower().split(), None]:
+            if w is not None:
+                now.append(w)
+            if w is None or w[-1:] in b".!?":
+                out += broken(now)
                 now = []
-        if now:
-            out.append(now)
     return out
 
 
+def broken(words):
+    if len(words) <= D.BROKEN:
+        return [words] if words else []
+    start, end, total, inverse, _ = spans_and_sums(words, SPACED)
+    ends = D.breaks_after(mix((total[end] - total[start]) * inverse[start]))
+    out = [[]]
+    for w, e in zip(words, ends):
+        out[-1].append(w)
+        if e:
+            out.append([])
+    return [x for x in out if x]
+
+
 def docs(spark, given):
     return frame(spark, [(i, t, "en", "s", len(t or ""), "x", "y") for i, t in given])
 
@@ -44,6 +57,23 @@ def test_lines_follow_the_plain_rule():
     assert same.hash[0] == same.hash[3] and len(set(same.hash.tolist())) == 4
 
 
+def test_passages_inside_long_sentences_go(spark):
+    rng = random.Random(8)
+    passage = sentence(rng, 80)[:-1]
+    given = {i: sentence(rng, 30)[:-1] + " " + passage + " " + sentence(rng, 25) for i in range(12)}
+    got = {r.doc_id: r.text for r in D.dedup_lines(docs(spark, given.items()), copy=2.0).collect()}
+    assert got[0] == given[0]
+    left = [len(set(passage.split()) & set(got[i].split())) for i in range(1, 12)]
+    assert max(left) < 40 and all(set(given[i].split()) - set(passage.split()) <= set(got[i].split()) | set(given[i].split()[29:31]) for i in got)
+
+
+def test_many_repeats_take_little_time():
+    n = 20_000
+    got = D.aligned_lines(np.arange(n), np.zeros(n, int), np.ones(n, int), np.zeros(n, bool))
+    assert got == set(range(n))
+    assert D.aligned_lines(np.array([0, 1, 5, 6]), np.array([7, 8, 1, 2]), np.ones(4, int), np.ones(4, bool)) == {0, 1, 5, 6}
+
+
 def test_increasing_is_longest():
     rng = random.Random(1)
     for _ in range(300):

@@ -61,7 +61,7 @@ def test_every_stage(spark, tmp_path):
                 if gone and cut >= linededup.COPY * all_:
                     assert i not in after
                 else:
-                    assert [tuple(x) for x in plain_lines(after[i].text)] == [w for x, w in enumerate(lines[i]) if x not in gone]
+                    assert after[i].text.encode().lower().split() == [w for x, line in enumerate(lines[i]) if x not in gone for w in line]
         elif name == "near-dedup":
             fp = {i: wide_print(before[i].text) for i in ids}
             near = lambda a, b: (d := (fp[a][0] ^ fp[b][0]).bit_count()) <= neardup.JOINED_BITS and d + (fp[a][1] ^ fp[b][1]).bit_count() <= neardup.ALL_BITS  # noqa: B023, E731
