@@ -320,8 +320,8 @@ def answers(spark: SparkSession, d: str, gt: F.Column, own: F.Column, other: F.C
     """(question_id, gt, text) a part: its own name in some spelling, the next one's, or both."""
     p = T.read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), F.col("p_type").alias("t"))
     nxt = p.select((F.col("k") - 1).alias("k"), F.col("n").alias("n1"), F.col("t").alias("t1"))
-    first = F.broadcast(p.where("k = 1").select(F.lit(1).alias("one"), F.col("n").alias("fn"), F.col("t").alias("ft")))
-    q = p.join(nxt, "k", "left").withColumn("one", F.lit(1)).join(first, "one", "left").select("k", "n", "t", F.coalesce("n1", "fn").alias("n2"), F.coalesce("t1", "ft").alias("t2"))
+    first = p.where("k = 1").first()
+    q = p.join(nxt, "k", "left").select("k", "n", "t", F.coalesce("n1", F.lit(first.n)).alias("n2"), F.coalesce("t1", F.lit(first.t)).alias("t2"))
     k = F.col("k")
     text = F.when(k % 7 == 0, F.concat(F.lit("It is "), own, F.lit(" or "), other)).when(k % 3 == 0, F.upper(other)).when(k % 5 == 0, whole).when(k % 2 == 0, F.concat(F.lit("It is a "), F.upper(own), F.lit("."))).otherwise(F.replace(own, F.lit(" "), F.lit("_")))
     return q.select(k.alias("question_id"), gt.alias("gt"), text.alias("text"))
@@ -419,8 +419,8 @@ def lp_hits(spark, d):
 def nd_similarity(spark, d):
     v = T.vectors(spark, d)
     nxt = v.select((F.col("id") - 1).alias("id"), F.col("e").alias("n"))
-    first = F.broadcast(v.where("id = 0").select(F.lit(1).alias("one"), F.col("e").alias("f")))
-    pairs = v.withColumn("one", F.lit(1)).join(nxt, "id", "left").join(first, "one", "left").select(F.col("e").alias("truth"), F.coalesce("n", "f").alias("output"))
+    first = F.array(*(F.lit(float(x)) for x in v.where("id = 0").first().e))
+    pairs = v.join(nxt, "id", "left").select(F.col("e").alias("truth"), F.coalesce("n", first).alias("output"))
     return S.description_similarity(pairs, DIM)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(spark, "_loomgraph_scratch"):
         spark._loomgraph_scratch = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, spark._loomgraph_scratch, ignore_errors=True)
     return f"file://{spark._loomgraph_scratch}"
 
 
