@@ -1,8 +1,9 @@
 """Benchmark decontamination with a broadcast set of normalised test n-grams.
 
-Each training text is cut into words once; every window is hashed and tested against a
-bitmap of the benchmark's window hashes, inside the row. The few windows that pass are
-verified by joining their words, as a string, with the benchmark's windows.
+Each training text is cut into words once. Inside the row, the hash of every window's first and
+last word is tested against a bitmap of those of the benchmark's windows, and the hash of the whole
+window, where that passes, against another. The few windows left are verified by joining their
+words, as a string, with the benchmark's windows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from .common import let, long_array, row_key, stash, words_of
 WINDOW = 10
 #: The window set is broadcast up to this many windows and joined by shuffle beyond.
 BROADCAST_WINDOWS = 500_000
-BITMAP_BITS = 1 << 18
+#: A bitmap has 16 bits a window, within these limits: beyond them more windows pass to be verified.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 24
 
 
 def benchmark_windows(bench: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -28,11 +30,10 @@ def benchmark_windows(bench: DataFrame, n: int = WINDOW, id_col: str = "item_id"
     size = F.size("w")
     starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).when(size > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     windows = items.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i"), n).alias("w"))
-    return windows.groupBy(F.array_join("w", " ").alias("window"), F.size("w").alias("len"), window_hash(F.transform("w", lambda x: F.xxhash64(x))).alias("h")).agg(F.collect_set("item").alias("items"))
-
-
-def window_hash(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x))
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    whole = F.aggregate(hashes, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x))
+    ends = F.xxhash64(F.xxhash64(F.element_at("w", 1)), F.xxhash64(F.element_at("w", -1)))
+    return windows.groupBy(F.array_join("w", " ").alias("window"), F.size("w").alias("len"), whole.alias("whole"), ends.alias("ends")).agg(F.collect_set("item").alias("items"))
 
 
 def _hash_at(hashes: Column, i: Column, n: int) -> Column:
@@ -42,21 +43,41 @@ def _hash_at(hashes: Column, i: Column, n: int) -> Column:
     return h
 
 
+class Bitmaps:
+    """Bits of the hashes in one column, for each window length; as arrays of longs in the plan."""
+
+    def __init__(self, windows: DataFrame, column: str, bits: int):
+        self.longs = bits // 64
+        place, bit = F.pmod(F.col(column), F.lit(self.longs)), F.expr(f"shiftleft(1L, cast(pmod(shiftright({column}, 32), 64) as int))")
+        self.set: dict[int, dict[int, int]] = {}
+        for n, at, b in windows.groupBy("len", place.alias("at")).agg(F.bit_or(bit)).collect():  # lengths x longs rows at most
+            self.set.setdefault(n, {})[at] = b
+
+    def holds(self, n: int):
+        own = self.set.get(n, {})
+        bitmap = long_array(own.get(k, 0) for k in range(self.longs))
+
+        def test(h: Column) -> Column:
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
+            return F.get(bitmap, F.pmod(h, F.lit(self.longs)).cast("int")).bitwiseAND(one) != 0
+
+        return lambda h: let(h, test)
+
+
 def candidates(docs: DataFrame, windows: DataFrame, keep: list[Column], every_row: bool) -> DataFrame:
-    """keep columns, n_words and (pos, len, window) of each window that passes the bitmap; one row more a document, pos -1, if every_row."""
-    bits = {(r[0], r[1]): r[2] for r in windows.groupBy("len", F.pmod(F.col("h"), F.lit(BITMAP_BITS // 64)).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(h, 32), 64) as int))"))).collect()}
-    lengths = sorted({n for n, _ in bits})
+    """keep columns, n_words and (pos, len, window) of each window that passes the bitmaps; one row more a document, pos -1, if every_row."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 16 * windows.count():
+        bits *= 2
+    whole, ends = Bitmaps(windows, "whole", bits), Bitmaps(windows, "ends", bits)
+    lengths = sorted(whole.set)
     kind = "array<struct<pos:int,len:int,window:string>>"
 
     def of_length(words: Column, hashes: Column, n: int) -> Column:
-        bitmap = long_array(bits.get((n, k), 0) for k in range(BITMAP_BITS // 64))
-
-        def known(h):
-            word = F.get(bitmap, F.pmod(h, F.lit(BITMAP_BITS // 64)).cast("int"))
-            return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))) != 0
-
+        end_known, all_known = ends.holds(n), whole.holds(n)
         at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        passed = F.filter(at, lambda i: known(_hash_at(hashes, i, n)))
+        near = F.filter(at, lambda i: end_known(F.xxhash64(F.get(hashes, i), F.get(hashes, i + (n - 1)))))
+        passed = F.filter(near, lambda i: all_known(_hash_at(hashes, i, n)))
         return F.transform(passed, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(words, i + 1, n), " ").alias("window"))).cast(kind)
 
     none = F.array(F.struct(F.lit(-1), F.lit(0), F.lit(None).cast("string"))) if every_row else F.array()
