@@ -47,7 +47,7 @@ def test_every_stage(spark, tmp_path):
             holders = set()
             lines = {i: [tuple(x) for x in plain_lines(before[i].text)] for i in ids}
             for i in ids:
-                own = [(k, lines[i][k : k + 2]) for k in range(len(lines[i]) - 1)] + [(k, [x]) for k, x in enumerate(lines[i]) if len(x) >= linededup.LONG]
+                own = [(k, lines[i][k : k + 2]) for k in range(len(lines[i]) - 1) if min(map(len, lines[i][k : k + 2])) < linededup.LONG] + [(k, [x]) for k, x in enumerate(lines[i]) if len(x) >= linededup.LONG]
                 met = {k + d for k, x in own if tuple(x) in holders for d in range(len(x))}
                 holders |= {tuple(x) for _, x in own}
                 gone, run = set(), []
