@@ -25,6 +25,21 @@ FORMATS |= {"llama": FORMATS["vicuna"], "qwen3_moe": FORMATS["qwen3"]}
 FAMILIES = [("qwen3_moe", "qwen3_moe"), ("qwen3-30b", "qwen3_moe"), ("a3b", "qwen3_moe"), ("qwen3", "qwen3"), ("mistral", "mistral"), ("llama-3", "llama3"), ("llama3", "llama3"), ("llama", "vicuna"), ("vicuna", "vicuna")]
 
 
+#: Strings that end an answer in one format or another.
+STOPS = ("<|eot_id|>", "<|im_end|>", "</s>")
+
+
+def stop_ids(vocabulary: dict[str, int], end: str | None = None) -> list[int]:
+    """Ids of the end string and of those stops that the vocabulary has, each once."""
+    return sorted({vocabulary[s] for s in (end, *STOPS) if s in vocabulary})
+
+
+def until_stop(tokens: Column) -> Column:
+    """Tokens before the first stop."""
+    at = F.array_min(F.transform(F.array(*(F.lit(s) for s in STOPS)), lambda s: F.when(F.array_position(tokens, s) > 0, F.array_position(tokens, s))))
+    return F.when(at.isNull(), tokens).otherwise(F.slice(tokens, F.lit(1), (at - 1).cast("int")))
+
+
 def family(model: Column) -> Column:
     """The format's key for a model's name."""
     out = F.lit("vicuna")

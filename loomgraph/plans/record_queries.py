@@ -382,6 +382,18 @@ def nc_products(spark, d):
     return S.tolerant_classes(a, labels_of(a))
 
 
+@query("nd_accuracy", Q.with_(Q.answers("n", "n", "n2", "n")) + f"SELECT count(*) AS n, {Q.r6('avg(contains(text, substr(gt, 1, 5))::INT)')} AS short_acc, {Q.r6('avg(contains(trim(text), trim(gt))::INT)')} AS all_acc FROM an")
+def nd_accuracy(spark, d):
+    return S.description_accuracy(named(spark, d))
+
+
+@query("stop_tokens", Q.with_(Q.TURNS, TOKENS, FLAT) + "SELECT conv_id, md5(array_to_string(t[1:7], ' ')) AS head, least(len(t), 7) AS n FROM fl")
+def stop_tokens(spark, d):
+    cut = F.when(F.size("t") > 7, F.concat(F.slice("t", 1, 7), F.array(F.lit("</s>")), F.slice("t", 8, 5), F.array(F.lit("<|im_end|>")))).otherwise(F.col("t"))
+    t = flat_tokens(spark, d).select("conv_id", H.until_stop(cut).alias("t"))
+    return t.select("conv_id", F.md5(F.array_join("t", " ")).alias("head"), F.size("t").alias("n"))
+
+
 def link_scores(spark: SparkSession, d: str) -> DataFrame:
     """(a, b, gt, score): the graph's edges, and as many hashed pairs as are none."""
     e, v = fixed_edges(spark, d), T.vectors(spark, d)

@@ -90,6 +90,12 @@ def test_chats(spark):
     assert [r.f for r in names.select(H.family(F.col("n")).alias("f")).collect()] == ["qwen3_moe", "llama3", "mistral", "vicuna", "vicuna"]
 
 
+def test_stops(spark):
+    assert H.stop_ids({"</s>": 2, "x": 1, "<|im_end|>": 9}, "</s>") == [2, 9] and H.stop_ids({}) == []
+    df = spark.createDataFrame([(["a", "</s>", "b", "<|eot_id|>"],), (["a"],), (["<|im_end|>"],)], "t array<string>")
+    assert [r.x for r in df.select(H.until_stop(F.col("t")).alias("x")).collect()] == [["a"], ["a"], []]
+
+
 def test_prompt_texts(spark):
     assert "".join(P.pieces("citeseer")).startswith("Given a node-centered citation graph: <graph>,each node represents a paper.The 0th node is the central node, with the following information: Title: , Abstract: {text}.The graph")
     with pytest.raises(ValueError):
