@@ -13,6 +13,17 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch of whole texts; Spark's own default is made for narrow rows.
+BATCH_ROWS, SPARK_BATCH_ROWS = 1000, 10_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark) -> None:
+    """Keep what a task holds of texts outside the heap to a few MB, unless the session sets its own batch size."""
+    if int(spark.conf.get(_ROWS)) == SPARK_BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that their texts hold about size bytes each; rows keep their order."""
     for batch in batches:

@@ -32,9 +32,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the least node it can reach. No row reaches the driver but counts."""
-    e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
+    """(node, root) of every node of edges (a, b): root is the least node it can reach. No row reaches the driver but counts. at_most: how many edges there may be, if known."""
+    e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", at_most)
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = None
     for _ in range(MAX_ROUNDS):

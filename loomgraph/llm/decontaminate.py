@@ -139,7 +139,7 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     rows = candidates(docs, windows, [row_key().alias("key")], every_row=False)
     known = windows.select(F.col("window").alias("known"))
     rows = rows.join(F.broadcast(known) if small else known, F.col("window") == F.col("known"), "left_semi")
-    flagged = stash(rows.select(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).distinct(), "contaminated")
+    flagged = stash(rows.select(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).distinct(), "contaminated", at_most=docs.count())
     few = flagged.count() <= 200_000
     at = row_key()
     return docs.join(F.broadcast(flagged) if few else flagged, (at["a"] == F.col("__a")) & (at["b"] == F.col("__b")), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, texts
+from .arrow import slices, small_batches, texts
 from .common import long_array
 from .shingles import mix, shingles
 
@@ -106,6 +106,7 @@ def hexed(sig: np.ndarray, has: np.ndarray) -> list[str]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row: the general form, without the edited texts."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("fingerprint", T.StringType())])
 
@@ -169,6 +170,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     to another such; equal texts have equal fingerprints; rows that share an id are ordered
     by their texts' hash; a single document is its own next.
     """
+    small_batches(docs.sparkSession)
     ordered = next_in_order(docs)
     n = max(ordered.sparkSession.sparkContext.defaultParallelism, int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_rows = ordered.repartition(n, "part").sortWithinPartitions("part", "last", "no_id", F.col("doc_id").desc(), "tie").select("part", "last", "doc_id", "text")

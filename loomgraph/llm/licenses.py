@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, texts
+from .arrow import slices, small_batches, texts
 from .shingles import LETTERS, mix, spans_and_sums
 
 #: The base phrases and their labels.
@@ -125,6 +125,7 @@ def licenses(docs: DataFrame, index: Index | None = None) -> DataFrame:
     labels. Null and empty texts have no words and empty labels; repeated rows and null ids
     keep their rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     index = index or Index()
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     long, string = T.LongType(), T.StringType()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices
+from .arrow import slices, small_batches
 from .common import stash
 from .shingles import SPACED, mix, spans_and_sums
 
@@ -34,6 +34,8 @@ LONG, LEAST = 16, 25
 COPY = 0.8
 #: Hashes with their holders that are broadcast at most: 200,000 are some 10 MB.
 BROADCAST_HASHES = 200_000
+#: Few hashes are shared: their tables go to as many files as a table of this part of the anchors.
+SPARSE = 16
 #: Words of a line that is broken further, and the share of words it is broken after.
 BROKEN, ONE_IN = 20, 8
 _STOP = np.zeros(256, bool)
@@ -215,6 +217,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
             info = packed(number, lines.words[line], w2, span, single)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), ords, rows, info)], names=["h", "ord", "row", "info"])
 
+    small_batches(docs.sparkSession)
     return _keyed(docs).mapInArrow(run, "h long, ord long, row long, info long")
 
 
@@ -226,11 +229,12 @@ def _small(df: DataFrame) -> DataFrame:
 def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(row, ord, gone): line numbers to delete from later documents."""
     anchors = stash(anchor_table(docs), "anchors")
+    n = anchors.count()
     shared = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
-    shared = stash(shared, "holders")
+    shared = stash(shared, "holders", at_most=n // SPARSE)
     met = stash(anchors.join(_small(shared), F.col("h") == F.col("sh")).drop("sh"), "shared")
     earliest = met.where("ord = first").groupBy("h").agg(F.min(F.struct("row", "info")).alias("a")).select(F.col("h").alias("eh"), F.col("a.row").alias("a_row"), F.col("a.info").alias("a_info"))
-    earliest = stash(earliest, "earliest")
+    earliest = stash(earliest, "earliest", at_most=n // SPARSE)
     pairs = met.where("ord > first").join(_small(earliest), F.col("h") == F.col("eh")).select("row", "ord", "a_row", "info", "a_info")
     pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "a_row")
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("gone", T.ArrayType(T.IntegerType()))])
@@ -279,7 +283,7 @@ def _batch(rows, schema) -> pa.RecordBatch:
 
 
 def _joined(docs: DataFrame, least: int) -> DataFrame:
-    gone = stash(deletions(docs, least), "deletions").select(F.col("row").alias("__row"), F.col("ord").alias("__ord"), F.col("gone").alias("__gone"))
+    gone = deletions(docs, least).select(F.col("row").alias("__row"), F.col("ord").alias("__ord"), F.col("gone").alias("__gone"))
     order, row = _identity()
     return docs.join(gone, (row == F.col("__row")) & (order == F.col("__ord")), "left")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, texts
+from .arrow import slices, small_batches, texts
 from .common import long_array, stash
 from .components import components
 from .shingles import mix
@@ -88,6 +88,7 @@ def simhash(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
 
 def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
     """The columns keep of docs, and fp: the fingerprint of its column text as a signed long; more: 64 further bits if wide, else 0."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType())])
 
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
     rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle).drop("more"), "fingerprints")
     n = rows.count()
     prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("more", F.lit(0).cast("long")), "prints", at_most=n)
-    linked = components(near_links(prints, most))
+    linked = components(near_links(prints, most, n=n), at_most=4 * n)
     rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = stash(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "classes", at_most=n)
@@ -326,8 +327,8 @@ def keep_one(docs: DataFrame, most: int = JOINED_BITS, confirm: int = ALL_BITS,
     node = F.xxhash64("fp", "more")
     n = rows.count()
     prints = stash(rows.select("fp", "more").distinct(), "prints", at_most=n)
-    links = near_links(prints, most, BLOCKS, confirm)
-    linked = components(links.select(F.xxhash64("a", "a_more").alias("a"), F.xxhash64("b", "b_more").alias("b")))
+    links = near_links(prints, most, BLOCKS, confirm, n)
+    linked = components(links.select(F.xxhash64("a", "a_more").alias("a"), F.xxhash64("b", "b_more").alias("b")), at_most=4 * n)
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
     best = rows.groupBy(node.alias("own")).agg(F.min(first).alias("first")).join(linked, F.col("own") == F.col("node"), "left")
     chosen = stash(best.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen", at_most=n)

@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
-
 CAPACITY, GROUP = 1024, 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -121,8 +119,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster_
     text = F.coalesce(F.col("text"), F.lit(""))
     cluster = F.col(cluster_col) if cluster_col else F.translate(F.lower(text), " \t\n\r\x0b\x0c", "")
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n"), F.xxhash64(cluster).alias("cluster"), F.xxhash64("doc_id", "text").alias("row"))
-    rows = stash(rows, "sizes")
-    groups = max(1, -(-rows.count() // group))
+    groups = max(1, -(-docs.count() // group))
     rows = rows.groupBy("doc_id", "source", "n", "cluster", "row").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).withColumn("part", F.pmod(F.xxhash64("row", "copy"), F.lit(groups)))
     n = max(1, min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, texts
+from .arrow import slices, small_batches, texts
 from .shingles import LETTERS, mix, spans_and_sums
 
 WINDOW, STRIDE = 48, 24
@@ -387,6 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns keep of docs, and __score. Without a model, for want of labels, every score is 0."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("__score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.net.p, model.final) if model else None)
