@@ -7,6 +7,7 @@ They are tested against plain versions of their rules.
 """
 
 from .common import LOWER, UPPER, WORD
+from .licenses import BASE, LEAST_SHARE, NOTICES
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
@@ -23,4 +24,29 @@ itm AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS i
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN itm USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6}
+
+def _templates() -> str:
+    rows = [(label, phrase.split(), 0, len(phrase.split()), True) for phrase, label in BASE.items()]
+    for label, text, key in NOTICES:
+        words, k = text.split(), key.split()
+        rows.append((label, words, next(i for i in range(len(words)) if words[i : i + len(k)] == k), len(k), False))
+    return ", ".join(f"({i}, '{label}', {words}, {at}, {n}, {base})" for i, (label, words, at, n, base) in enumerate(rows))
+
+
+OP9 = f"""WITH dw AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+tpl(id, label, words, key_at, key_n, base) AS MATERIALIZED (VALUES {_templates()}),
+keys AS MATERIALIZED (SELECT *, array_to_string(words[key_at + 1 : key_at + key_n], ' ') AS phrase FROM tpl),
+lens AS MATERIALIZED (SELECT DISTINCT key_n AS n FROM tpl),
+win AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM dw, lens WHERE len(w) >= n)),
+hit AS MATERIALIZED (SELECT doc_id, id, label, words, base, i - key_at AS start FROM win JOIN keys ON win = phrase AND n = key_n),
+spot AS (SELECT *, unnest(range(len(words))) AS j FROM hit),
+fit AS MATERIALIZED (SELECT doc_id, id, label, base, start, avg((start + j >= 0 AND start + j < len(w) AND coalesce(w[greatest(start + j, 0) + 1] = words[j + 1], FALSE))::INT) AS share
+  FROM spot JOIN dw USING (doc_id) GROUP BY ALL HAVING share >= {LEAST_SHARE}),
+per AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM fit GROUP BY 1)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM dw LEFT JOIN per USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_licenses": OP9}
