@@ -14,6 +14,9 @@ join fingerprints not yet connected in it.
 
 A wide fingerprint carries 64 further bits, of the same hashes mixed anew, that confirm a link
 when the budget is so large that unrelated texts come within it.
+
+keep_one, the pipeline's stage, links by the similarity of the shingles themselves: bands of
+minima propose pairs, and every pair is held against both texts' shingles.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, small_batches, texts
 from .common import long_array, stash
 from .components import components
-from .shingles import mix
+from .shingles import mix, shingles
 
 BITS, SHINGLE, SEED = 64, 4, 42
 #: Fingerprints aimed at below one top node, and the least and most bits of top nodes.
@@ -313,25 +316,127 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
 
 
 #: For shingles of five words and a similarity of 0.8: bits in which the 64 that are joined, and all 128, may differ.
+#: keep_one no longer links by them; the tests of the bit rule name them.
 WORDS, JOINED_BITS, ALL_BITS, BLOCKS = 5, 14, 24, 4
+#: keep_one's similarity, as a fraction, and its bands of minima: a pair at 0.8 shares none with a probability of 0.00006.
+SIMILAR, BANDS, MINIMA = (4, 5), 32, 6
+
+
+def shingle_sets(batch: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, text by text in rising order, where each text's begin, and how many there are."""
+    term, owner = shingles([t.encode() for t in batch], shingle)
+    order = np.lexsort((term, owner))
+    term, owner = term[order], owner[order]
+    if len(term):
+        new = np.r_[True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])]
+        term, owner = term[new], owner[new]
+    size = np.bincount(owner, minlength=len(batch)).astype(np.int64)
+    return term, np.cumsum(size) - size, size
+
+
+def with_bands(docs: DataFrame, keep: list[str], shingle: int = WORDS) -> DataFrame:
+    """The columns keep of docs, and of its column text: node, a hash of the set of shingles, its size, and bands, each a hash of MINIMA minima; none for a text without words."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    salts, odd = (rng.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            term, first, size = shingle_sets(texts(batch), shingle)
+            full = np.flatnonzero(size)
+            node = np.zeros(len(size), np.uint64)
+            bands = np.zeros((len(full), BANDS), np.uint64)
+            if len(full):
+                node[full] = mix(np.add.reduceat(mix(term), first[full]) + size[full].astype(np.uint64))
+                for k in range(BANDS * MINIMA):
+                    h = (term ^ salts[k]) * odd[k]
+                    h = (h ^ (h >> np.uint64(32))) * odd[k]
+                    bands[:, k // MINIMA] = mix(bands[:, k // MINIMA] + np.minimum.reduceat(h, first[full]) + np.uint64(k))
+            offsets = np.r_[0, np.cumsum((size > 0) * BANDS)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(node.view(np.int64)), pa.array(size), lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
-def keep_one(docs: DataFrame, most: int = JOINED_BITS, confirm: int = ALL_BITS, shingle: int = WORDS) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, terms): the set of shingles of each text."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            term, first, _ = shingle_sets(texts(batch), shingle)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)].astype(np.int32)), pa.array(term.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "terms"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, terms array<long>")
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Whether the Jaccard similarity of two sets of longs is SIMILAR or more, in whole numbers."""
+    over, under = SIMILAR
+    return F.size(F.array_intersect(a, b)) * (over + under) >= (F.size(a) + F.size(b)) * over
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int) -> DataFrame:
+    """(a, b): links between nodes, all of a similarity of SIMILAR or more, that connect whatever shares a band and is as similar.
+
+    Candidates share a band and their sizes allow the similarity. Every candidate is held
+    against the shingles themselves, unless verified links connect it already: first each
+    node and the least node it meets, then each node and the least of each of its bands, at
+    last all pairs that are left.
+    """
+    over, under = SIMILAR
+    rows = stash(prints.select("node", "size", F.explode("bands").alias("band")), "bands")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1").select(F.col("band").alias("shared"), "least")
+    met = stash(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "size", "least"), "met")
+    fits = lambda x, y: (F.least(x, y) * under >= F.greatest(x, y) * over)
+    stars = met.where((F.col("node") != F.col("least.node")) & fits(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
+    reps = prints.select("node", "first.doc_id", "first.h")
+
+    def others() -> DataFrame:
+        placed = met.join(roots, F.col("node") == F.col("of"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("band").alias("mixed"))
+        placed = stash(placed.join(mixed, F.col("band") == F.col("mixed")).drop("mixed"), "mixed")
+        x, y = (placed.select("band", *(F.col(c).alias(p + c) for c in ("node", "size", "root"))) for p in "xy")
+        return x.join(y, "band").where((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & fits(F.col("xsize"), F.col("ysize"))).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+
+    tested = links = roots = None
+    for step in (lambda: stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: stars, others):
+        pairs = step().distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            of = lambda c: roots.select(F.col("of").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+            pairs = pairs.join(of("a"), F.col("a") == F.col("of_a"), "left").join(of("b"), F.col("b") == F.col("of_b"), "left")
+            pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        pairs = stash(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+        sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("node", "text")
+        sets = stash(_sets(sets, shingle).dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("terms").alias("a_terms")), "a").join(sets.select(F.col("node").alias("b"), F.col("terms").alias("b_terms")), "b")
+        found = stash(both.where(similar(F.col("a_terms"), F.col("b_terms"))).select("a", "b"), "links", at_most=n)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links, at_most=4 * n).withColumnRenamed("node", "of")
+    return links
+
+
+def keep_one(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     """docs with one document of each group of near-duplicates; all columns stay as they are.
 
-    Wide fingerprints of word shingles link documents. Of a group, that of the least doc_id
-    stays, the least text hash among rows that share it, null ids last; of rows equal in
-    both, one. Texts without words are one group.
+    Documents whose sets of word shingles have a Jaccard similarity of 0.8 or more are
+    linked. Of a group, that of the least doc_id stays, the least text hash among rows that
+    share it, null ids last; of rows equal in both, one. Texts without words are one group.
     """
-    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle, wide=True), "fingerprints")
-    node = F.xxhash64("fp", "more")
+    rows = stash(with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle), "bands_of")
     n = rows.count()
-    prints = stash(rows.select("fp", "more").distinct(), "prints", at_most=n)
-    links = near_links(prints, most, BLOCKS, confirm, n)
-    linked = components(links.select(F.xxhash64("a", "a_more").alias("a"), F.xxhash64("b", "b_more").alias("b")), at_most=4 * n)
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
-    best = rows.groupBy(node.alias("own")).agg(F.min(first).alias("first")).join(linked, F.col("own") == F.col("node"), "left")
-    chosen = stash(best.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen", at_most=n)
+    prints = stash(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "prints")
+    linked = components(similar_links(docs, prints, n, shingle), at_most=4 * n).withColumnRenamed("node", "of")
+    best = prints.select("node", "first").join(linked, F.col("node") == F.col("of"), "left")
+    chosen = stash(best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen", at_most=n)
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
     repeated = rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -136,3 +136,47 @@ def test_awkward_rows(spark):
     assert len(ids) == len(set(ids)) and {0, 4, 5, 6} <= set(ids) and not {1, 2, 50} & set(ids)
     assert N.keep_one(frame(spark, [])).collect() == []
     assert [r.doc_id for r in N.keep_one(texts(spark, [None, "", None], 3)).collect()] == [3]
+
+
+def five(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_keep_one_goes_by_exact_similarity(spark):
+    """Pairs just above 0.8 are linked, pairs just below are not, and neither is a link's end reached through one that is not similar."""
+    rng = random.Random(12)
+    given, want = [], set()
+    for g in range(240):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(150, 400))]
+        other, aim = list(base), 0.81 if g % 2 else 0.78 if g % 4 else 0.7
+        at = list(range(2, len(base) - 4))
+        rng.shuffle(at)
+        like = lambda x: len(five(" ".join(base)) & five(x)) / len(five(" ".join(base)) | five(x))  # noqa: B023, E731
+        for i in at:
+            kept = other[i]
+            other[i] = f"n{rng.randrange(10**9)}"
+            if like(" ".join(other)) < aim:
+                other[i] = kept
+                break
+        first = len(given)
+        given += [" ".join(base), " ".join(other)]
+        want |= {first} if like(given[-1]) >= 0.8 else {first, first + 1}
+    assert 300 < len(want) < 420
+    assert {r.doc_id for r in N.keep_one(texts(spark, given)).collect()} == want
+
+
+def test_every_candidate_is_checked_unless_connected(spark):
+    """A cluster whose least node is similar to some only: the rest still link among themselves."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(300)]
+    given = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            w[rng.randrange(300)] = f"n{rng.randrange(10**9)}"
+        given.append(" ".join(w))
+    sets = [five(t) for t in given]
+    comp = plain_components(range(60), [(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) * 9 >= 4 * (len(sets[a]) + len(sets[b]))])
+    assert 1 < len(set(comp.values())) < 60
+    assert {r.doc_id for r in N.keep_one(texts(spark, given)).collect()} == set(comp.values())
