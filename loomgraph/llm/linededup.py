@@ -6,7 +6,7 @@ over BROKEN words is broken further after words that their own hash chooses, one
 that passages inside very long sentences are found as well.
 Lines of LONG words and more, and all pairs of neighbouring lines, are hashed: rare enough
 that a shared hash speaks for a shared passage. For each hash that several documents hold,
-every later document is linked to the earliest holder, a star and not all pairs. Linked
+every later document is linked to the earliest holder that stays, a star and not all pairs. Linked
 documents are aligned by patience diff: hashes that are single on both sides give the longest
 increasing chain, the gaps between its members are aligned in the same way with what is left,
 and what crosses is aligned again on its own. Aligned lines that lie together in the later
@@ -226,8 +226,13 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
 
 
-def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, ord, gone): line numbers to delete from later documents."""
+def deletions(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
+    """(row, ord, gone): line numbers to delete from later documents, each held by an earlier document that stays.
+
+    A copy goes as a whole, so it must not be what others are cut for. Which documents are
+    copies depends on who holds what, and the other way round: documents cut for a copy are
+    aligned again with the earliest holders that stay, until the copies are the same.
+    """
     anchors = stash(anchor_table(docs), "anchors")
     n = anchors.count()
     shared = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
@@ -236,6 +241,36 @@ def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
     earliest = met.where("ord = first").groupBy("h").agg(F.min(F.struct("row", "info")).alias("a")).select(F.col("h").alias("eh"), F.col("a.row").alias("a_row"), F.col("a.info").alias("a_info"))
     earliest = stash(earliest, "earliest", at_most=n // SPARSE)
     pairs = met.where("ord > first").join(_small(earliest), F.col("h") == F.col("eh")).select("row", "ord", "a_row", "info", "a_info")
+    base = gone = stash(_aligned(pairs, least), "gone")
+    first_copies = dropped = ever = stash(_copies(docs, gone, copy), "copies")
+    while ever.limit(1).count():
+        touched = stash(met.where("ord = first").join(ever, ["row", "ord"], "left_semi").select("h").distinct(), "touched", at_most=n // SPARSE)
+        again = stash(met.where("ord > first").join(touched, "h", "left_semi").select("row", "ord").distinct(), "again")
+        own = met.join(again, ["row", "ord"], "left_semi")
+        stay = met.join(dropped, ["row", "ord"], "left_anti").groupBy("h").agg(F.min(F.struct("ord", "row", "info")).alias("a")).select(F.col("h").alias("eh"), "a")
+        pairs = own.join(stay, F.col("h") == F.col("eh")).where("ord > a.ord").select("row", "ord", F.col("a.row").alias("a_row"), "info", F.col("a.info").alias("a_info"))
+        new = stash(_aligned(pairs, least), "gone")
+        gone = base.join(again, ["row", "ord"], "left_anti").unionByName(new)
+        copies = stash(first_copies.join(again, ["row", "ord"], "left_anti").unionByName(_copies(docs, new, copy)), "copies")
+        if not dropped.exceptAll(copies).limit(1).count() and not copies.exceptAll(dropped).limit(1).count():
+            break
+        dropped, ever = copies, stash(ever.unionByName(copies).distinct(), "ever")
+    return gone
+
+
+def _copies(docs: DataFrame, gone: DataFrame, copy: float) -> DataFrame:
+    """(row, ord) of the documents that are copies by what is deleted from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cut = [_cut_text(t, g)[1:] for t, g in zip(*(batch.column(c).to_pylist() for c in ("text", "gone")))]
+            yield batch.select(["row", "ord"]).filter(pa.array([c >= copy * n for n, c in cut]))
+
+    return _keyed(docs).join(gone, ["row", "ord"]).select("row", "ord", "text", "gone").mapInArrow(run, "row long, ord long").distinct()
+
+
+def _aligned(pairs: DataFrame, least: int) -> DataFrame:
+    """(row, ord, gone) from the anchors that documents share with their holders."""
     pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "a_row")
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("gone", T.ArrayType(T.IntegerType()))])
 
@@ -282,8 +317,8 @@ def _batch(rows, schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
 
 
-def _joined(docs: DataFrame, least: int) -> DataFrame:
-    gone = deletions(docs, least).select(F.col("row").alias("__row"), F.col("ord").alias("__ord"), F.col("gone").alias("__gone"))
+def _joined(docs: DataFrame, least: int, copy: float) -> DataFrame:
+    gone = deletions(docs, least, copy).select(F.col("row").alias("__row"), F.col("ord").alias("__ord"), F.col("gone").alias("__gone"))
     order, row = _identity()
     return docs.join(gone, (row == F.col("__row")) & (order == F.col("__ord")), "left")
 
@@ -304,7 +339,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> Data
     Documents are ordered by doc_id, null ids last; rows that share an id, or have none,
     count as one document, between which nothing is deleted. Null and empty texts stay.
     """
-    names, joined = list(docs.columns), _joined(docs, least)
+    names, joined = list(docs.columns), _joined(docs, least, copy)
     changed, schema = joined.where("__gone is not null"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +362,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> Data
 
 def line_report(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
     """One row per row of docs: its words, lines and words deleted, whether it is a copy, and the cleaned text's length and hash."""
-    joined = _joined(docs.select("doc_id", "text"), least)
+    joined = _joined(docs.select("doc_id", "text"), least, copy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

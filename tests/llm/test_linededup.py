@@ -153,3 +153,17 @@ def test_awkward_rows(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, frame(spark, rows).collect()))
     assert len(D.line_report(frame(spark, rows)).collect()) == len(rows)
     assert D.dedup_lines(frame(spark, [])).collect() == [] and D.line_report(frame(spark, [])).collect() == []
+
+
+def test_what_a_dropped_copy_brought_stays_with_the_next_holder(spark):
+    """Documents are cut only for documents that stay, through chains of copies too."""
+    rng = random.Random(5)
+    a, b, passage, tail = prose(rng, 120), prose(rng, 30), prose(rng, 7), sentence(rng, 8)
+    given = [(1, a), (2, a + "\n" + passage), (3, b + "\n" + passage), (4, passage + "\n" + tail), (5, a)]
+    got = {r.doc_id: r.text for r in D.dedup_lines(docs(spark, given)).collect()}
+    assert got == {1: a, 3: given[2][1]}
+    chain = [(1, a), (2, a + "\n" + passage), (3, passage + "\n" + tail), (4, b + "\n" + passage)]
+    got = {r.doc_id: r.text for r in D.dedup_lines(docs(spark, chain)).collect()}
+    assert set(got) == {1, 3, 4} and got[3] == chain[2][1] and passage not in got[4] and got[4].startswith(b)
+    report = {r.doc_id: r.is_copy for r in D.line_report(docs(spark, chain)).collect()}
+    assert report == {1: False, 2: True, 3: False, 4: False}
