@@ -4,8 +4,11 @@ A text is a bag of five-word shingles, weighted by how often each occurs. For ev
 SAMPLES draws a term has fixed variates r, c ~ Gamma(2, 1) and beta ~ U(0, 1); with weight w,
 t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r, and the pair (term, t) of least
 a is the sample. Two texts draw the same pair with a probability equal to their generalised
-Jaccard similarity. Variates come from tables that a term's hash indexes anew for each draw;
-terms that meet in an entry are told apart by their hashes.
+Jaccard similarity.
+
+Variates are hashes of term and draw. With weight 1, a is exponential, and so falls with a uniform
+hash, which alone orders the terms. Given that a, the other variates of a repeated term follow: c = a + a'
+with a' exponential, r = -ln(a / c) - ln u, beta = -ln u / r have the distributions above.
 """
 
 from __future__ import annotations
@@ -23,28 +26,27 @@ from .arrow import slices, small_batches, texts
 from .common import long_array
 from .shingles import mix, shingles
 
-SHINGLE, SAMPLES, ENTRY_BITS, SEED = 5, 64, 15, 20240501
+SHINGLE, SAMPLES, SEED = 5, 64, 20240501
 #: Terms handled at once, so that the arrays of a draw stay in the processor's cache.
 BLOCK = 1 << 15
 #: Rows aimed at in a part of neighbouring documents, and the most parts; what a part holds is sorted on disk if need be.
 GROUP_ROWS, MOST_PARTS = 4096, 20_000
 
 
-def _ordered(x: np.ndarray) -> np.ndarray:
-    """float32 as uint32 in the same order."""
-    bits = x.astype(np.float32).view(np.uint32)
-    return np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000))
+#: Low bits of a repeated term's key that tell it and its t apart; those above hold its rank.
+_LOW = np.uint64((1 << 20) - 1)
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Hashes as numbers inside (0, 1), in the same order."""
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 class Sampler:
     def __init__(self, samples: int = SAMPLES, shingle: int = SHINGLE, seed: int = SEED):
-        rng, shape = np.random.Generator(np.random.PCG64(seed)), (samples, 1 << ENTRY_BITS)
+        rng = np.random.Generator(np.random.PCG64(seed))
         self.samples, self.shingle = samples, shingle
-        self.r = rng.gamma(2.0, size=shape).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2.0, size=shape)).astype(np.float32)
-        self.beta = rng.random(shape, dtype=np.float32)
-        self.once = _ordered(self.ln_c + self.r * self.beta - self.r)
-        self.factor = (rng.integers(0, 1 << 63, samples, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.salt, self.odd = (rng.integers(0, 1 << 63, samples, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 
     def __call__(self, batch: list[bytes]) -> np.ndarray:
         """Signatures, one row of uint16 per text; row of a text without words: zeros, see has_terms."""
@@ -76,21 +78,30 @@ class Sampler:
         weight = np.diff(np.r_[at, len(term)])
         term, owner = term[at], owner[at]
         heavy = np.flatnonzero(weight > 1)
-        ln_w = np.log(weight[heavy]).astype(np.float32)
-        low = term & np.uint64(0xFFFFFFFF)
+        ln_w = np.log(weight[heavy])
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        shift, up = np.uint64(64 - ENTRY_BITS), np.uint64(32)
         for k in range(self.samples):
-            entry = ((term * self.factor[k]) >> shift).astype(np.intp)
-            key = (self.once[k][entry].astype(np.uint64) << up) | low
+            key = (term ^ self.salt[k]) * self.odd[k]
+            key ^= key >> np.uint64(32)
+            key *= self.odd[k]
             if len(heavy):
-                e = entry[heavy]
-                r, beta = self.r[k][e], self.beta[k][e]
-                t = np.floor(ln_w / r + beta)
-                a = _ordered(self.ln_c[k][e] - r * (t - beta) - r)
-                key[heavy] = (a.astype(np.uint64) << up) | (low[heavy] ^ ((mix(t.astype(np.uint64)) & np.uint64(0xFFFFFFFF)) * (t > 0).astype(np.uint64)))
+                key[heavy] = self._heavy(key[heavy], ln_w)
             best = np.minimum.reduceat(key, first)
-            out[owner[first], k] = (mix(best & np.uint64(0xFFFFFFFF)) >> np.uint64(48)).astype(np.uint16)
+            out[owner[first], k] = (mix(best) >> np.uint64(48)).astype(np.uint16)
+
+    @staticmethod
+    def _heavy(key: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
+        """The keys of repeated terms, from what they would be with weight 1."""
+        once = -np.log1p(-_uniform(key))
+        c = once - np.log(_uniform(mix(key + np.uint64(1))))
+        rest = -np.log(_uniform(mix(key + np.uint64(2))))
+        r = np.log(c / once) + rest
+        beta = rest / r
+        t = np.floor(ln_w / r + beta)
+        a = c * np.exp(-r * (t - beta) - r)
+        rank = np.minimum(-np.expm1(-a), 1 - 2.0**-52)
+        new = ((rank * 2.0**64).astype(np.uint64) & ~_LOW) | (mix(key + mix(t.astype(np.uint64))) & _LOW)
+        return np.where(t > 0, new, key)
 
 
 def likeness(a: np.ndarray, a_has: np.ndarray, b: np.ndarray, b_has: np.ndarray) -> np.ndarray:

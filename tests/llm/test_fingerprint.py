@@ -42,6 +42,15 @@ def test_share_of_equal_samples_estimates_weighted_jaccard():
     assert np.abs(off).max() < 0.1 and abs(np.mean(off)) < 0.03
 
 
+def test_long_texts_are_estimated_as_well_as_short_ones():
+    """Two long texts that share a passage, which both repeat, and nothing else."""
+    for unique, shared, times in ((100_000, 4000, 6), (15_000, 1000, 10)):
+        passage = " ".join(f"s{i}" for i in range(shared))
+        a, b = (" ".join([*(f"{side}{i}" for i in range(unique)), *[passage] * times]) for side in "ab")
+        sig = S.Sampler(samples=512)([a.encode(), b.encode()])
+        assert abs((sig[0] == sig[1]).mean() - jaccard(a, b)) < 0.06
+
+
 def test_edited_texts_follow_the_contract(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     raw = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r[0])
