@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,11 +39,60 @@ FILE_ROWS = 250_000
 def stash(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    With at_most rows known, a small table goes to few files and not to one a shuffle partition.
+    With at_most rows known, a small table goes to few files: its rows are dealt anew once they
+    are made, so that making them keeps its full width. clear_scratch() deletes it with all others.
     """
+    return _written(df, name, at_most)[1]
+
+
+def _written(df: DataFrame, name: str, at_most: int | None) -> tuple[str, DataFrame]:
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if at_most is not None:
-        df = df.coalesce(max(1, -(-at_most // FILE_ROWS)))
+        df = df.repartition(max(1, -(-at_most // FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that this session has written on its way; results not yet read are lost with them."""
+    _delete(spark, _own_folder(spark))
+
+
+class Steps:
+    """Tables that an operator makes on its way to its result, given back when it is done.
+
+    held() keeps a table's rows on the executors' disks for as long as the block lasts: those of a
+    lost executor are made again from what they came from. written() is a stash() that the
+    block deletes at its end. What a result reads later must be a stash() of its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._held, self._paths = spark, [], []
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def held(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self._held[-1]
+
+    def written(self, df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+        path, out = _written(df, name, at_most)
+        self._paths.append(path)
+        return out
+
+    def __exit__(self, *_) -> None:
+        for df in reversed(self._held):
+            df.unpersist()
+        for path in self._paths:
+            _delete(self.spark, path)
