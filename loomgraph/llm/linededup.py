@@ -1,16 +1,21 @@
 """Line dedup by pairwise alignment.
 
-A line is a stretch of words up to a line break or a sentence's end, compared by its words
-(ASCII case and spaces do not count), so that passages inside a paragraph are found too; one of
-over BROKEN words is broken further after words that their own hash chooses, one in eight, so
-that passages inside very long sentences are found as well.
-Lines of LONG words and more, and all pairs of neighbouring lines, are hashed: rare enough
-that a shared hash speaks for a shared passage. For each hash that several documents hold,
-every later document is linked to the earliest holder that stays, a star and not all pairs. Linked
-documents are aligned by patience diff: hashes that are single on both sides give the longest
-increasing chain, the gaps between its members are aligned in the same way with what is left,
-and what crosses is aligned again on its own. Aligned lines that lie together in the later
-document and hold at least LEAST words are a common block and are deleted from it.
+A line is a stretch of words up to a line break or a sentence's end (ASCII case and spaces do not
+count). One of over WHOLE words is broken further, after the word of the least hash of every
+NEAR neighbouring words, so that what a passage inside it is broken into depends on the passage
+but for its outermost words. From every line on, the fewest following lines that hold LEAST words
+are hashed together, and so are the last lines of a text that do: stretches so long that they are
+rare by nature, and one that is shared is a common block.
+
+For each hash that several documents hold, every later document is linked to the earliest holder,
+a star and not all pairs. Linked documents are aligned by patience diff: hashes that are single
+on both sides give the longest chain that rises in both, the gaps between its members are filled
+in the same way with what is left. Aligned stretches are deleted from the later document, and so
+are those off the chain, blocks that moved.
+
+So a later document loses exactly the stretches of LEAST words that any single earlier document
+holds as they stand. A passage of 51 words is always hit, wherever it stands: of its lines but
+the outermost 13 words at either end are the same, and that leaves 25.
 """
 
 from __future__ import annotations
@@ -25,67 +30,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, small_batches
-from .common import stash
-from .shingles import SPACED, mix, spans_and_sums
-
-#: Words of a line that is hashed alone; words of a block that is deleted.
-LONG, LEAST = 16, 25
-#: A later document with this share of its words in deleted blocks is a copy and goes as a whole.
+from .common import Steps, fresh, stash
+from .shingles import SPACED, mix, powers, spans_and_sums
+
+#: Words of a stretch that is compared and of a block that is deleted, at least.
+LEAST = 25
+#: Words of a line that is not broken, at most, and the neighbours of which one ends a piece of a longer one.
+WHOLE, NEAR = 14, 7
+#: A later document with this share of its words deleted, and nowhere LEAST words left together, is a copy and goes as a whole.
 COPY = 0.8
+#: Bits of an anchor's number of words, and of whether its document holds it once, below those of its first word.
+SIZE_BITS, ONCE_BITS = 8, 1
 #: Hashes with their holders that are broadcast at most: 200,000 are some 10 MB.
 BROADCAST_HASHES = 200_000
-#: Few hashes are shared: their tables go to as many files as a table of this part of the anchors.
-SPARSE = 16
-#: Words of a line that is broken further, and the share of words it is broken after.
-BROKEN, ONE_IN = 20, 8
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
-def breaks_after(word: np.ndarray) -> np.ndarray:
-    """Whether a long line is broken after a word of this hash."""
-    return (word >> np.uint64(40)) % np.uint64(ONE_IN) == 0
-
-
 class Lines:
-    """The lines of some texts: first word and word count of each, its text, its hash."""
+    """The lines of some texts: first word, word after the last, and text of each."""
 
     def __init__(self, raw: list[bytes]):
-        buffer = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-        start, end, total, inverse, owner = spans_and_sums(raw, SPACED)
-        self.texts, self.start, self.raw = len(raw), start, raw
-        if len(start) == 0:
-            self.first = self.words = self.owner = np.empty(0, np.int64)
-            self.hash = np.empty(0, np.uint64)
+        self.start, end, total, inverse, owner = spans_and_sums(raw, SPACED)
+        self.texts, self.raw = len(raw), raw
+        self.count = np.bincount(owner, minlength=len(raw))
+        self.before = np.cumsum(self.count) - self.count  # words of earlier texts
+        if len(self.start) == 0:
+            self.first = self.end = self.owner = np.empty(0, np.int64)
             return
-        word = mix((total[end] - total[start]) * inverse[start])
+        buffer = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        self.word = mix((total[end] - total[self.start]) * inverse[self.start])
         breaks = np.concatenate([[0], np.cumsum((buffer == 10) | (buffer == 13))])
-        following = np.r_[start[1:], len(buffer)]
+        following = np.r_[self.start[1:], len(buffer)]
         last = _STOP[buffer[end - 1]] | (breaks[following] > breaks[end]) | np.r_[owner[1:] != owner[:-1], True]
         close = np.flatnonzero(last)
-        whole = np.diff(np.r_[-1, close])
-        last |= np.repeat(whole > BROKEN, whole) & breaks_after(word)
-        close = np.flatnonzero(last)
-        self.first = np.r_[0, close[:-1] + 1]
-        self.words = close + 1 - self.first
+        size = np.diff(np.r_[-1, close])
+        line = np.repeat(np.arange(len(close)), size)
+        if len(self.word) >= NEAR:
+            near = np.lib.stride_tricks.sliding_window_view(self.word, NEAR)
+            inside = np.flatnonzero((line[: len(near)] == line[NEAR - 1 :]) & (size[line[: len(near)]] > WHOLE))
+            last[inside + near[inside].argmin(axis=1)] = True
+        self.end = np.flatnonzero(last) + 1
+        self.first = np.r_[0, self.end[:-1]]
         self.owner = owner[self.first]
-        rank = (np.arange(len(word)) - np.repeat(self.first, self.words)).astype(np.uint64)
-        self.hash = mix(np.add.reduceat(mix(word + rank * np.uint64(0x1C69B3F74AC4AE35)), self.first) + self.words.astype(np.uint64))
 
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """hash, line, lines covered (1 or 2), of long lines and of pairs of neighbours in one text, unless both are long."""
-        one = np.flatnonzero(self.words >= LONG)
-        two = np.flatnonzero((self.owner[1:] == self.owner[:-1]) & (np.minimum(self.words[1:], self.words[:-1]) < LONG)) if len(self.owner) > 1 else np.empty(0, np.int64)
-        h = np.concatenate([self.hash[one], mix(self.hash[two] * np.uint64(3) + mix(self.hash[two + 1]))])
-        return h, np.concatenate([one, two]), np.r_[np.ones(len(one), np.int64), np.full(len(two), 2)]
-
-    def without(self, text: int, gone: np.ndarray) -> bytes:
-        """A text without some of its lines (numbers within the text) and the spaces after them."""
-        own = np.flatnonzero(self.owner == text)
-        offset = sum(len(r) + 1 for r in self.raw[:text])
-        at = [*(self.start[self.first[own]] - offset).tolist(), len(self.raw[text])]
-        drop = set(gone.tolist())
-        return self.raw[text][: at[0]] + b"".join(self.raw[text][at[i] : at[i + 1]] for i in range(len(own)) if i not in drop)
+    def anchors(self, least: int = LEAST) -> tuple[np.ndarray, ...]:
+        """hash, first word (in all texts), words and text of every stretch that is compared."""
+        if len(self.first) == 0:
+            return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+        at = np.minimum(np.searchsorted(self.end, self.first + least), len(self.end) - 1)
+        fits = (self.end[at] - self.first >= least) & (self.owner[at] == self.owner)
+        begin, end = self.first[fits], self.end[at][fits]
+        full = np.flatnonzero(self.count >= least)  # the last lines of these
+        done = self.before[full] + self.count[full]
+        begin, end = np.r_[begin, self.first[np.searchsorted(self.first, done - least, side="right") - 1]], np.r_[end, done]
+        key = np.unique(begin << SIZE_BITS | (end - begin))  # the two may be the same
+        begin, end = key >> SIZE_BITS, (key >> SIZE_BITS) + (key & ((1 << SIZE_BITS) - 1))
+        power, inverse = powers(len(self.word) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * power[: len(self.word)], dtype=np.uint64)])
+        h = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        return h, begin, end - begin, np.searchsorted(self.before + self.count, begin, side="right")
+
+
+def without(text: bytes, start: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    """A text without some spans of words and the spaces after them; start: where each word begins."""
+    at, out, done = [*start.tolist(), len(text)], [], 0
+    for a, b in spans:
+        out.append(text[done : at[a]])
+        done = at[b]
+    return b"".join([*out, text[done:]])
+
+
+def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that overlap or touch, as one."""
+    order = np.argsort(begin, kind="stable")
+    begin, far = begin[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, begin[1:] > far[:-1]]
+    return begin[new], far[np.r_[np.flatnonzero(new)[1:] - 1, len(far) - 1]]
 
 
 # -- alignment ------------------------------------------------------------------------------
@@ -117,6 +138,8 @@ def increasing(b: list[int], a: list[int]) -> list[int]:
 
 def patience(b: list[int], a: list[int], single: list[bool]) -> list[int]:
     """Indices of matches (b[i], a[i]), given by rising b, that align: single ones first, the rest in the gaps."""
+    if all(single) and all(x < y for x, y in zip(a, a[1:])) and all(x < y for x, y in zip(b, b[1:])):
+        return list(range(len(b)))
     lone = [i for i in range(len(b)) if single[i]]
     chain = [lone[k] for k in increasing([b[i] for i in lone], [a[i] for i in lone])]
     if len(chain) == len(b):
@@ -133,249 +156,190 @@ def patience(b: list[int], a: list[int], single: list[bool]) -> list[int]:
     return out
 
 
-def aligned_lines(b: np.ndarray, a: np.ndarray, span: np.ndarray, single: np.ndarray) -> set[int]:
-    """Lines of the later document in any alignment; what one leaves is aligned again, so that blocks that cross are found.
-
-    Where a line of the earlier document has been aligned, its other occurrences in the later one count as aligned too.
-    """
-    order = np.lexsort((a, b))
-    rest, out = order.tolist(), set()
-    b, a, span, single = b.tolist(), a.tolist(), span.tolist(), single.tolist()
-    while rest:
-        took = patience([b[i] for i in rest], [a[i] for i in rest], [single[i] for i in rest]) or increasing([b[i] for i in rest], [a[i] for i in rest])
-        done = {(a[rest[k]], span[rest[k]]) for k in took}
-        left = []
-        for i in rest:
-            if (a[i], span[i]) in done:
-                out.update(range(b[i], b[i] + span[i]))
-            else:
-                left.append(i)
-        rest = left
-    return out
-
-
-def blocks(lines: set[int], words: dict[int, int], least: int = LEAST) -> list[int]:
-    """Those lines that lie together in runs of at least least words."""
-    out, run = [], []
-    for i in [*sorted(lines), None]:
-        if run and i != run[-1] + 1:
-            if sum(words[x] for x in run) >= least:
-                out += run
-            run = []
-        if i is not None:
-            run.append(i)
-    return out
-
-
 # -- on tables ------------------------------------------------------------------------------
 
 
-def _identity() -> tuple[Column, Column]:
-    """The order of documents, null ids last, and a hash of id and text: what a line number refers to."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64("doc_id", "text")
+def _identity(docs: DataFrame) -> tuple[Column, Column]:
+    """The order of documents, null ids last, and a hash of id and text: the row that a span refers to."""
+    kind = docs.schema["doc_id"].dataType
+    whole = isinstance(kind, T.IntegralType)
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit("\U0010ffff"))
+    return order, F.xxhash64("doc_id", "text")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    order, row = _identity()
+    order, row = _identity(docs)
     return docs.select(order.alias("ord"), row.alias("row"), F.col("text").alias("text"))
 
 
-#: Words of a line are counted up to this in an anchor: enough to tell a block.
-MOST_WORDS = 1023
-
-
-def packed(line, w1, w2, span, single):
-    """A line's number and what an anchor says of it, in one number: narrow rows shuffle and sort faster."""
-    return line << 22 | np.minimum(w1, MOST_WORDS) << 12 | np.minimum(w2, MOST_WORDS) << 2 | (span - 1) << 1 | single
+def packed(begin, size, single):
+    """An anchor's place and what it says of it, in one number: narrow rows shuffle and sort faster."""
+    return begin << (SIZE_BITS + ONCE_BITS) | np.minimum(size, (1 << SIZE_BITS) - 1) << ONCE_BITS | single
 
 
 def unpacked(info):
-    """line, w1, w2, span, single."""
-    return info >> 22, info >> 12 & MOST_WORDS, info >> 2 & MOST_WORDS, (info >> 1 & 1) + 1, (info & 1).astype(bool)
+    """First word, word after the last, whether it is single."""
+    begin = info >> (SIZE_BITS + ONCE_BITS)
+    return begin, begin + (info >> ONCE_BITS & ((1 << SIZE_BITS) - 1)), (info & 1).astype(bool)
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
-    """(h, ord, row, info) of every anchor of every text."""
+def anchor_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(h, ord, row, info) of every anchor of every text; least is below 240, so that a size fits its bits."""
+    if least + WHOLE >= 1 << SIZE_BITS:
+        raise ValueError(f"least must be below {(1 << SIZE_BITS) - WHOLE}")
+    keyed = _keyed(docs)
+    schema = T.StructType([T.StructField("h", T.LongType()), keyed.schema["ord"], T.StructField("row", T.LongType()), T.StructField("info", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            lines = Lines(raw)
-            h, line, span = lines.anchors()
+            lines = Lines([(t or "").encode() for t in batch.column("text").to_pylist()])
+            h, begin, size, owner = lines.anchors(least)
             if len(h) == 0:
                 continue
-            owner = lines.owner[line]
-            count = np.bincount(lines.owner, minlength=len(raw))
-            number = line - (np.cumsum(count) - count)[owner]
             order = np.lexsort((h, owner))
             new = np.r_[True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
-            size = np.diff(np.r_[np.flatnonzero(new), len(h)])
+            times = np.diff(np.r_[np.flatnonzero(new), len(h)])
             single = np.empty(len(h), np.int64)
-            single[order] = np.repeat(size == 1, size)
-            w2 = np.where(span == 2, lines.words[np.minimum(line + 1, len(lines.words) - 1)], 0)
-            ords, rows = (batch.column(c).to_numpy()[owner] for c in ("ord", "row"))
-            info = packed(number, lines.words[line], w2, span, single)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), ords, rows, info)], names=["h", "ord", "row", "info"])
+            single[order] = np.repeat(times == 1, times)
+            info = packed(begin - lines.before[owner], size, single)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("ord").take(pa.array(owner)), batch.column("row").take(pa.array(owner)), pa.array(info)], names=schema.names)
 
     small_batches(docs.sparkSession)
-    return _keyed(docs).mapInArrow(run, "h long, ord long, row long, info long")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, a written table, for a broadcast if it is small. If not, both sides of a join with it shuffle, so that adaptive execution can split a hash that very many lines share."""
-    return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
+    return keyed.mapInArrow(run, schema)
 
 
-def deletions(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
-    """(row, ord, gone): line numbers to delete from later documents, each held by an earlier document that stays.
+def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(row, ord, spans, moved): spans of words to delete from later documents, each held by an earlier one, and how many stretches stand off the chain.
 
-    A copy goes as a whole, so it must not be what others are cut for. Which documents are
-    copies depends on who holds what, and the other way round: documents cut for a copy are
-    aligned again with the earliest holders that stay, until the copies are the same.
+    An earlier document may lose a stretch itself, to one before it, so every word stays with
+    the earliest document that holds its stretch.
     """
-    anchors = stash(anchor_table(docs), "anchors")
-    n = anchors.count()
-    shared = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
-    shared = stash(shared, "holders", at_most=n // SPARSE)
-    met = stash(anchors.join(_small(shared), F.col("h") == F.col("sh")).drop("sh"), "shared")
-    earliest = met.where("ord = first").groupBy("h").agg(F.min(F.struct("row", "info")).alias("a")).select(F.col("h").alias("eh"), F.col("a.row").alias("a_row"), F.col("a.info").alias("a_info"))
-    earliest = stash(earliest, "earliest", at_most=n // SPARSE)
-    pairs = met.where("ord > first").join(_small(earliest), F.col("h") == F.col("eh")).select("row", "ord", "a_row", "info", "a_info")
-    base = gone = stash(_aligned(pairs, least), "gone")
-    first_copies = dropped = ever = stash(_copies(docs, gone, copy), "copies")
-    while ever.limit(1).count():
-        touched = stash(met.where("ord = first").join(ever, ["row", "ord"], "left_semi").select("h").distinct(), "touched", at_most=n // SPARSE)
-        again = stash(met.where("ord > first").join(touched, "h", "left_semi").select("row", "ord").distinct(), "again")
-        own = met.join(again, ["row", "ord"], "left_semi")
-        stay = met.join(dropped, ["row", "ord"], "left_anti").groupBy("h").agg(F.min(F.struct("ord", "row", "info")).alias("a")).select(F.col("h").alias("eh"), "a")
-        pairs = own.join(stay, F.col("h") == F.col("eh")).where("ord > a.ord").select("row", "ord", F.col("a.row").alias("a_row"), "info", F.col("a.info").alias("a_info"))
-        new = stash(_aligned(pairs, least), "gone")
-        gone = base.join(again, ["row", "ord"], "left_anti").unionByName(new)
-        copies = stash(first_copies.join(again, ["row", "ord"], "left_anti").unionByName(_copies(docs, new, copy)), "copies")
-        if not dropped.exceptAll(copies).limit(1).count() and not copies.exceptAll(dropped).limit(1).count():
-            break
-        dropped, ever = copies, stash(ever.unionByName(copies).distinct(), "ever")
-    return gone
-
-
-def _copies(docs: DataFrame, gone: DataFrame, copy: float) -> DataFrame:
-    """(row, ord) of the documents that are copies by what is deleted from them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cut = [_cut_text(t, g)[1:] for t, g in zip(*(batch.column(c).to_pylist() for c in ("text", "gone")))]
-            yield batch.select(["row", "ord"]).filter(pa.array([c >= copy * n for n, c in cut]))
-
-    return _keyed(docs).join(gone, ["row", "ord"]).select("row", "ord", "text", "gone").mapInArrow(run, "row long, ord long").distinct()
-
-
-def _aligned(pairs: DataFrame, least: int) -> DataFrame:
-    """(row, ord, gone) from the anchors that documents share with their holders."""
-    pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "a_row")
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("gone", T.ArrayType(T.IntegerType()))])
+    with Steps(docs.sparkSession) as steps:
+        anchors = steps.held(anchor_table(docs, least))
+        holders = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final"), F.min_by("info", "ord").alias("a_info")).where("first < final")
+        shared = steps.held(holders.select(F.col("h").alias("sh"), "first", "a_info"))
+        few = shared.count() <= BROADCAST_HASHES
+        # beyond, both sides shuffle, so that adaptive execution can split a hash that very many documents share
+        pairs = anchors.join(F.broadcast(shared) if few else shared, F.col("h") == F.col("sh")).where("ord > first").select("row", "ord", "first", "info", "a_info")
+        return stash(_aligned(pairs), "spans")
+
+
+def _aligned(pairs: DataFrame) -> DataFrame:
+    """(row, ord, spans, moved) from the anchors that documents share with their holders."""
+    pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "first")
+    spans = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("row", T.LongType()), pairs.schema["ord"], T.StructField("starts", spans), T.StructField("ends", spans), T.StructField("moved", T.IntegerType())])
 
     def done(row, order, parts):
-        a_row, info, a_info = (np.concatenate(x) for x in zip(*parts))
-        line, w1, w2, span, single = unpacked(info)
-        a_line, *_, a_single = unpacked(a_info)
-        words = dict(zip(line.tolist(), w1.tolist()))
-        words.update((i + 1, w) for i, s, w in zip(line.tolist(), span.tolist(), w2.tolist()) if s == 2)
-        found: set[int] = set()
-        cuts = [0, *(np.flatnonzero(np.diff(a_row)) + 1).tolist(), len(a_row)]
+        first, info, a_info = (np.concatenate(x) for x in zip(*parts))
+        begin, end, single = unpacked(info)
+        a_begin, _, a_single = unpacked(a_info)
+        single &= a_single
+        moved, cuts = 0, [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
         for x, y in zip(cuts, cuts[1:]):
-            found |= aligned_lines(line[x:y], a_line[x:y], span[x:y], (single & a_single)[x:y])
-        gone = blocks(found, words, least)
-        return (row, order, gone) if gone else None
+            at = x + np.argsort(begin[x:y], kind="stable")
+            moved += y - x - len(patience(begin[at].tolist(), a_begin[at].tolist(), single[at].tolist()))
+        starts, ends = united(begin, end)
+        return row, order, starts, ends, moved
+
+    def batch_of(rows) -> pa.RecordBatch:
+        kinds = [pa.int64(), order_kind[0], pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
+
+    order_kind = [pa.int64() if isinstance(pairs.schema["ord"].dataType, T.LongType) else pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, out = None, [], []
         for batch in batches:
-            row, order = batch.column("row").to_numpy(), batch.column("ord").to_numpy()
-            rest = [batch.column(c).to_numpy() for c in ("a_row", "info", "a_info")]
-            cuts = [0, *(np.flatnonzero((np.diff(row) != 0) | (np.diff(order) != 0)) + 1).tolist(), len(row)]
+            row, order, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "ord", "first", "info", "a_info"))
+            cuts = [0, *(np.flatnonzero((row[1:] != row[:-1]) | (order[1:] != order[:-1])) + 1).tolist(), len(row)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
                 if key is not None and key != (row[x], order[x]):
-                    out.append(done(int(key[0]), int(key[1]), parts))
+                    out.append(done(*key, parts))
                     parts = []
                 key = (row[x], order[x])
                 parts.append([c[x:y] for c in rest])
             if len(out) > 5000:
-                yield _batch(out, schema)
+                yield batch_of(out)
                 out = []
         if key is not None:
-            out.append(done(int(key[0]), int(key[1]), parts))
-        yield _batch(out, schema)
+            out.append(done(*key, parts))
+        if out:
+            yield batch_of(out)
 
     return pairs.mapInArrow(run, schema)
 
 
-def _batch(rows, schema) -> pa.RecordBatch:
-    rows = [r for r in rows if r]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
+def _joined(docs: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+    """docs with the spans to delete, and the names of their columns: starts, ends, moved."""
+    row_name, ord_name, *names = fresh(docs, "row", "ord", "starts", "ends", "moved")
+    gone = deletions(docs, least).toDF(row_name, ord_name, *names)
+    order, row = _identity(docs)
+    return docs.join(gone, (row == F.col(row_name)) & (order == F.col(ord_name)), "left").drop(row_name, ord_name), names
 
 
-def _joined(docs: DataFrame, least: int, copy: float) -> DataFrame:
-    gone = deletions(docs, least, copy).select(F.col("row").alias("__row"), F.col("ord").alias("__ord"), F.col("gone").alias("__gone"))
-    order, row = _identity()
-    return docs.join(gone, (row == F.col("__row")) & (order == F.col("__ord")), "left")
+class Cut:
+    """A text without some spans of its words; how many words it had and lost, and whether it is a copy."""
 
-
-def _cut_text(text: str | None, gone: list[int] | None) -> tuple[str, int, int]:
-    """A text without some lines, its words, and those deleted."""
-    raw = (text or "").encode()
-    if not gone:
-        return text or "", len(raw.split()), 0
-    lines, gone = Lines([raw]), np.array(gone, np.int64)
-    return lines.without(0, gone).decode(), int(lines.words.sum()), int(lines.words[gone].sum())
+    def __init__(self, text: str | None, starts: list[int] | None, ends: list[int] | None, least: int = LEAST, copy: float = COPY):
+        raw = (text or "").encode()
+        if not starts:
+            self.text, self.words, self.gone, self.copy = text, len(raw.split()), 0, False
+            return
+        at = spans_and_sums([raw], SPACED)[0]
+        self.text, self.words = without(raw, at, list(zip(starts, ends))).decode(), len(at)
+        self.gone = sum(ends) - sum(starts)
+        left = [b - a for a, b in zip([0, *ends], [*starts, self.words])]
+        self.copy = self.gone >= copy * self.words and max(left) < least
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
-    """docs with common blocks deleted from later documents; documents that are copies, by the share deleted, go.
-
-    Every column stays as it is but text; n_chars, where docs has it, follows the new text.
-    Documents are ordered by doc_id, null ids last; rows that share an id, or have none,
-    count as one document, between which nothing is deleted. Null and empty texts stay.
+    """docs with common blocks deleted from later documents; documents that are nothing but copies go.
+
+    A copy has lost four fifths of its words and has nowhere least words left together: what
+    goes with it are scraps, never a passage. Every column stays as it is but text; n_chars,
+    where docs has it, follows the new text. Documents are ordered by doc_id, as strings if
+    it is one, null ids last; rows that share an id, or have none, count as one document,
+    between which nothing is deleted. Null and empty texts, and those of fewer than least
+    words, stay. Other columns may have any names.
     """
-    names, joined = list(docs.columns), _joined(docs, least, copy)
-    changed, schema = joined.where("__gone is not null"), docs.schema
+    names = list(docs.columns)
+    joined, (starts, ends, _) = _joined(docs, least)
+    changed, schema = joined.where(F.col(starts).isNotNull()), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep, new = [], []
-            for i, (t, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "__gone")))):
-                clean, n, cut = _cut_text(t, gone)
-                if cut < copy * n:
-                    keep.append(i)
-                    new.append(clean)
-            kept = batch.take(pa.array(keep, pa.int64()))
+            cuts = [Cut(*x, least, copy) for x in zip(*(batch.column(c).to_pylist() for c in ("text", starts, ends)))]
+            kept = batch.take(pa.array([i for i, c in enumerate(cuts) if not c.copy], pa.int64()))
+            new = [c.text for c in cuts if not c.copy]
             columns = {c: kept.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) for t in new]).cast(kept.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    untouched = joined.where("__gone is null").select(*names)
+    untouched = joined.where(F.col(starts).isNull()).select(*names)
     return untouched.unionByName(changed.mapInArrow(run, schema))
 
 
 def line_report(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
-    """One row per row of docs: its words, lines and words deleted, whether it is a copy, and the cleaned text's length and hash."""
-    joined = _joined(docs.select("doc_id", "text"), least, copy)
+    """One row per row of docs: its words, blocks and words deleted, stretches that moved, whether it is a copy, and the cleaned text's length and hash."""
+    joined, (starts, ends, moved) = _joined(docs.select("doc_id", "text"), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in slices(batches):
             out = []
-            for d, t, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__gone"))):
-                clean, n, cut = _cut_text(t, gone)
-                out.append((d, n, len(gone or ()), cut, bool(gone) and cut >= copy * n, len(clean), hashlib.sha256(clean.encode()).hexdigest()))
-            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_words", "lines_cut", "words_cut", "is_copy", "clean_chars", "clean_sha256"])
+            for d, t, s, e, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", starts, ends, moved))):
+                cut = Cut(t, s, e, least, copy)
+                clean = cut.text or ""
+                out.append((d, cut.words, len(s or ()), cut.gone, m or 0, cut.copy, len(clean), hashlib.sha256(clean.encode()).hexdigest()))
+            kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=schema.names)
 
     long = T.LongType()
-    kinds = {"n_words": long, "lines_cut": long, "words_cut": long, "is_copy": T.BooleanType(), "clean_chars": long, "clean_sha256": T.StringType()}
+    kinds = {"n_words": long, "blocks_cut": long, "words_cut": long, "stretches_moved": long, "is_copy": T.BooleanType(), "clean_chars": long, "clean_sha256": T.StringType()}
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in kinds.items())])
-    return joined.select("doc_id", "text", "__gone").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", starts, ends, moved).mapInArrow(run, schema)

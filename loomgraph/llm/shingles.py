@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64, for n positions or more; those of one size are kept, unless a long text needed it."""
     size = 1 << max(16, (n - 1).bit_length())
     kept = max(_powers, default=0)
@@ -54,7 +54,7 @@ def spans_and_sums(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray,
     within = np.concatenate([[False], inside[raw], [False]])
     edge = np.flatnonzero(within[1:] != within[:-1])
     start, end = edge[0::2], edge[1::2]
-    power, inverse = _power(len(raw) + 1)
+    power, inverse = powers(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return start, end, total, inverse, np.searchsorted(bounds, start, side="right")

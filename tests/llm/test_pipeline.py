@@ -2,27 +2,23 @@
 
 from collections import defaultdict
 
-import numpy as np
-import xxhash
-
 import corpus_pipeline as C
-from loomgraph.llm import linededup, neardup, packing, toxicity
-from loomgraph.llm.shingles import mix
+from loomgraph.llm import packing, toxicity
 from tests.llm.helpers import awkward_rows, frame
 from tests.llm.test_decontaminate import plain as plain_windows
-from tests.llm.test_linededup import plain_lines
+from tests.llm.test_linededup import plain_dedup
 from tests.llm.test_neardup import plain_components
 
 D = "/root/testdata/sf0.01"
 
 
-def wide_print(t):
+def shingles(t):
     w = (t or "").encode().lower().split()
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else [], np.uint64)
-    out = []
-    for x in (h, mix(h)):
-        out.append(sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(x)))
-    return out
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
 
 
 def test_every_stage(spark, tmp_path):
@@ -44,28 +40,12 @@ def test_every_stage(spark, tmp_path):
             score = model.scores([before[i].text for i in ids])
             assert {i for i, s in zip(ids, score) if s < 0.5} == set(after) and after == {i: before[i] for i in after}
         elif name == "line dedup":
-            holders = set()
-            lines = {i: [tuple(x) for x in plain_lines(before[i].text)] for i in ids}
-            for i in ids:
-                own = [(k, lines[i][k : k + 2]) for k in range(len(lines[i]) - 1) if min(map(len, lines[i][k : k + 2])) < linededup.LONG] + [(k, [x]) for k, x in enumerate(lines[i]) if len(x) >= linededup.LONG]
-                met = {k + d for k, x in own if tuple(x) in holders for d in range(len(x))}
-                holders |= {tuple(x) for _, x in own}
-                gone, run = set(), []
-                for k in range(len(lines[i]) + 1):
-                    if k in met:
-                        run.append(k)
-                    else:
-                        gone |= set(run) if sum(len(lines[i][x]) for x in run) >= linededup.LEAST else set()
-                        run = []
-                cut, all_ = sum(len(lines[i][x]) for x in gone), sum(map(len, lines[i]))
-                if gone and cut >= linededup.COPY * all_:
-                    assert i not in after
-                else:
-                    assert after[i].text.encode().lower().split() == [w for x, line in enumerate(lines[i]) if x not in gone for w in line]
+            want = plain_dedup({i: before[i].text for i in ids})
+            assert set(after) == {i for i in ids if not want[i][3]}
+            assert all(after[i].text.encode().lower().split() == want[i][0] for i in after)
         elif name == "near-dedup":
-            fp = {i: wide_print(before[i].text) for i in ids}
-            near = lambda a, b: (d := (fp[a][0] ^ fp[b][0]).bit_count()) <= neardup.JOINED_BITS and d + (fp[a][1] ^ fp[b][1]).bit_count() <= neardup.ALL_BITS  # noqa: B023, E731
-            comp = plain_components(ids, [(a, b) for a in ids for b in ids if a < b and near(a, b)])
+            sets = {i: shingles(before[i].text) for i in ids}
+            comp = plain_components(ids, [(a, b) for a in ids for b in ids if a < b and alike(sets[a], sets[b])])
             assert set(after) == set(comp.values()) and after == {i: before[i] for i in after}
         else:
             hit = plain_windows([(i, before[i].text) for i in ids], bench)
