@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import Steps, stash
 
 MAX_ROUNDS = 60
 
@@ -34,15 +34,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node it can reach. No row reaches the driver but counts. at_most: how many edges there may be, if known."""
-    e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", at_most)
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = None
-    for _ in range(MAX_ROUNDS):
-        n, print_ = e.agg(F.count(F.lit(1)), mark).first()
-        if not n or (n, print_) == before:
-            break
-        before = (n, print_)
-        e = stash(_star(_star(e, large=True), large=False), "edges", at_most=2 * n)  # a step makes two edges of one at most
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with Steps(edges.sparkSession) as steps:
+        e = steps.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", at_most)
+        for _ in range(MAX_ROUNDS):
+            n, print_ = e.agg(F.count(F.lit(1)), mark).first()
+            if not n or (n, print_) == before:
+                break
+            before = (n, print_)
+            e = steps.written(_star(_star(e, large=True), large=False), "edges", at_most=2 * n)  # a step makes two edges of one at most
+        else:
+            raise RuntimeError("components did not settle")
+        return stash(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots", at_most=2 * (before or (0,))[0])

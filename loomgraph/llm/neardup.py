@@ -3,17 +3,13 @@
 Distinct fingerprints form a binary trie: a sorted array in which a node is a range. Pairs of
 nodes are traversed together, bit by bit; the differing bits are added up and a pair of nodes
 is pruned once they exceed the budget. If two fingerprints differ in at most k bits, there is
-one of m equal blocks from which on, cyclically, the first j blocks differ in at most jk/m bits,
-for every j. So m tries are joined, each led by another block, with those budgets, and the
-pairs visited grow little faster than the fingerprints.
+one of m blocks from which on, cyclically, the first j blocks differ in at most jk/m bits, for
+every j. So m tries are joined, each led by another block, with those budgets. With m above k the
+leading block has no budget at all: a trie is spread over tasks by its top bits, every fingerprint
+goes to m tasks, one a trie, whatever their number, and no task needs another one's.
 
-A trie is spread over tasks by its top nodes. A pair of top nodes within the leading budget
-belongs to one of both, by a hash of the pair; a task joins its node's own fingerprints with
-themselves and with the copies that the other nodes of its pairs send. It keeps only links that
-join fingerprints not yet connected in it.
-
-A wide fingerprint carries 64 further bits, of the same hashes mixed anew, that confirm a link
-when the budget is so large that unrelated texts come within it.
+A task keeps only links that join fingerprints not yet connected in it. Copies of a text share
+their fingerprint, and of fingerprints within r bits of one there are 64 over r at most.
 
 keep_one, the pipeline's stage, links by the similarity of the shingles themselves: bands of
 minima propose pairs, and every pair is held against both texts' shingles.
@@ -30,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, small_batches, texts
-from .common import long_array, stash
+from .common import Steps, fresh, stash
 from .components import components
 from .shingles import mix, shingles
 
 BITS, SHINGLE, SEED = 64, 4, 42
-#: Fingerprints aimed at below one top node, and the least and most bits of top nodes.
-NODE_FINGERPRINTS, LEAST_TOP, MOST_TOP = 100_000, 4, 16
+#: Fingerprints aimed at below one top node, and the fewest bits of top nodes; the leading block's bits are the most.
+NODE_FINGERPRINTS, LEAST_TOP = 100_000, 4
 #: Node pairs expanded at once, and the product of sizes below which a pair is compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 18, 24
 
@@ -89,18 +85,16 @@ def simhash(batch: list[str], shingle: int = SHINGLE) -> np.ndarray:
     return majority(*shingle_hashes(batch, shingle))
 
 
-def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """The columns keep of docs, and fp: the fingerprint of its column text as a signed long; more: 64 further bits if wide, else 0."""
+def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
+    """The columns keep of docs, and fp: the fingerprint of its column text as a signed long."""
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType())])
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes, counts = shingle_hashes(texts(batch), shingle)
-            fp = majority(hashes, counts)
-            more = majority(mix(hashes.astype(np.uint64)).astype(">u8"), counts) if wide else np.zeros_like(fp)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64))], names=schema.names)
+            fp = simhash(texts(batch), shingle)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -123,13 +117,18 @@ class Trie:
         return hi - (ones[hi] - ones[lo])
 
 
-def join_tries(a: Trie, b: Trie, same: bool, most: int, blocks: int, found) -> None:
-    """Call found(i, j) with arrays of positions of keys in a and b whose first j blocks differ in at most j * most / blocks bits, for every j.
+def block_ends(blocks: int, lead: int = 0) -> list[int]:
+    """The bits at which near equal blocks end, in the cyclic order that begins with the block lead."""
+    width = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
+    return np.cumsum(width[lead:] + width[:lead]).tolist()
+
+
+def join_tries(a: Trie, b: Trie, same: bool, most: int, ends: list[int], found) -> None:
+    """Call found(i, j) with arrays of positions of keys in a and b whose first j blocks, which end at ends, differ in at most j * most / blocks bits, for every j.
 
     With same, a is b and each pair is given once, i < j.
     """
-    width = BITS // blocks
-    budgets = [(d // width + 1) * most // blocks for d in range(BITS)]
+    budgets = [(int(np.searchsorted(ends, d, side="right")) + 1) * most // len(ends) for d in range(BITS)]
     if len(a.keys) == 0 or len(b.keys) == 0:
         return
     zero = np.zeros(1, np.int64)
@@ -145,7 +144,7 @@ def join_tries(a: Trie, b: Trie, same: bool, most: int, blocks: int, found) -> N
         n1, n2 = hi1 - lo1, hi2 - lo2
         small = (n1 * n2 <= LEAVES) | (depth == BITS)
         if small.any():
-            _leaves(a, b, same, most, blocks, lo1[small], n1[small], lo2[small], n2[small], found)
+            _leaves(a, b, same, most, ends, lo1[small], n1[small], lo2[small], n2[small], found)
             big = ~small
             lo1, hi1, lo2, hi2, acc = lo1[big], hi1[big], lo2[big], hi2[big], acc[big]
         if len(lo1) == 0:
@@ -165,21 +164,21 @@ def join_tries(a: Trie, b: Trie, same: bool, most: int, blocks: int, found) -> N
         stack.append((depth + 1, lo1[live], hi1[live], lo2[live], hi2[live], acc[live]))
 
 
-def _leaves(a, b, same, most, blocks, lo1, n1, lo2, n2, found) -> None:
+def _leaves(a, b, same, most, ends, lo1, n1, lo2, n2, found) -> None:
     size = n1 * n2
-    ends = np.cumsum(size)
+    upto = np.cumsum(size)
     lo = 0
     while lo < len(size):
-        start = ends[lo] - size[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, start + (1 << 21), side="right")))
+        start = upto[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(upto, start + (1 << 21), side="right")))
         s = size[lo:hi]
         pair = np.repeat(np.arange(lo, hi), s)
         at = np.arange(len(pair)) - np.repeat(np.cumsum(s) - s, s)
         i, j = lo1[pair] + at // n2[pair], lo2[pair] + at % n2[pair]
         diff = a.keys[i] ^ b.keys[j]
         ok = np.bitwise_count(diff) <= most
-        for k in range(1, blocks):
-            ok &= np.bitwise_count(diff >> np.uint64(BITS - k * BITS // blocks)) <= k * most // blocks
+        for k, end in enumerate(ends[:-1], 1):
+            ok &= np.bitwise_count(diff >> np.uint64(BITS - end)) <= k * most // len(ends)
         if same:
             ok &= i < j
         if ok.any():
@@ -223,64 +222,34 @@ class Forest:
 # -- the distributed join -------------------------------------------------------------------
 
 
-def _top_bits(n: int) -> int:
-    bits = LEAST_TOP
-    while bits < MOST_TOP and n >> bits > NODE_FINGERPRINTS:
-        bits += 1
-    return bits
-
-
-def near_links(prints: DataFrame, most: int, blocks: int = 2, confirm: int | None = None, n: int | None = None) -> DataFrame:
-    """Links between the distinct rows of columns fp, more: all that connect, though not all.
-
-    Linked are those whose fp differ in at most most bits and, if confirm is given, whose fp
-    and more together differ in at most confirm. The columns are (a, a_more, b, b_more).
-    """
-    n = prints.count() if n is None else n
-    top, lead, width = min(_top_bits(n), BITS // blocks), most // blocks, BITS // blocks
-    masks = [m for m in range(1 << top) if bin(m).count("1") <= lead]
-    turned = [F.col("fp") if k == 0 else F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * width)) for k in range(blocks)]
-    rows = prints.select("more", F.posexplode(F.array(*turned)).alias("trie", "key"))
-    rows = rows.withColumn("node", F.shiftrightunsigned("key", BITS - top))
-    owner = lambda p: F.when(p == F.col("node"), True).otherwise((F.pmod(F.xxhash64(F.least(p, F.col("node")), F.greatest(p, F.col("node"))), F.lit(2)) == 0) == (p < F.col("node")))
-    to = F.filter(F.transform(long_array(masks), lambda m: m.bitwiseXOR(F.col("node"))), owner)
-    rows = rows.select("key", "more", "trie", "node", F.explode(to).alias("p"))
-    rows = rows.select((F.col("p") * blocks + F.col("trie")).alias("task"), (F.col("p") != F.col("node")).alias("copy"), "key", "more")
+def near_links(prints: DataFrame, most: int, n: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct values of column fp that differ in at most most bits: all that connect, though not all."""
+    n, blocks = prints.count() if n is None else n, most + 1
+    top = LEAST_TOP
+    while top < BITS // blocks and n >> top > NODE_FINGERPRINTS:
+        top += 1
+    top = min(top, BITS // blocks)
+    back = [0, *block_ends(blocks)[:-1]]
+    turned = [F.col("fp") if r == 0 else F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", BITS - r)) for r in back]
+    rows = prints.select(F.posexplode(F.array(*turned)).alias("trie", "key"))
+    rows = rows.select((F.shiftrightunsigned("key", BITS - top) * blocks + F.col("trie")).alias("task"), "key")
     parts = max(1, min(blocks << top, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2))
     rows = rows.repartition(parts, "task").sortWithinPartitions("task")
 
     def done(task, held):
-        copy, key, more = (np.concatenate(x) for x in zip(*held))
-        sides = []
-        for at in (np.flatnonzero(~copy), np.flatnonzero(copy)):
-            at = at[np.argsort(key[at], kind="stable")]
-            sides.append((key[at], more[at]))
-        (own, own_more), (other, other_more) = sides
-        both, both_more = np.concatenate([own, other]), np.concatenate([own_more, other_more])
-        forest = Forest(len(both))
-
-        def add(i, j):
-            if confirm is not None:
-                near = np.bitwise_count(both[i] ^ both[j]).astype(np.int16) + np.bitwise_count(both_more[i] ^ both_more[j]) <= confirm
-                i, j = i[near], j[near]
-            forest.add(i, j)
-
-        a, b = Trie(own), Trie(other)
-        join_tries(a, a, True, most, blocks, add)
-        join_tries(a, b, False, most, blocks, lambda i, j: add(i, j + len(own)))
+        key = np.sort(np.concatenate(held))
+        forest, trie, turn = Forest(len(key)), Trie(key), task % blocks
+        join_tries(trie, trie, True, most, block_ends(blocks, turn), forest.add)
+        r = back[turn]
+        fp = key if r == 0 else (key >> np.uint64(r)) | (key << np.uint64(BITS - r))
         i, j = forest.links()
-        back = (task % blocks) * width
-        fp = both if back == 0 else (both >> np.uint64(back)) | (both << np.uint64(BITS - back))
-        columns = [fp[i], both_more[i], fp[j], both_more[j]]
         for at in range(0, len(i), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in columns], names=["a", "a_more", "b", "b_more"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x[at : at + (1 << 16)]].view(np.int64)) for x in (i, j)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, task = [], None
         for batch in batches:
-            tasks = batch.column("task").to_numpy()
-            copy = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool)
-            key, more = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "more"))
+            tasks, key = batch.column("task").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
             cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
@@ -289,11 +258,11 @@ def near_links(prints: DataFrame, most: int, blocks: int = 2, confirm: int | Non
                     yield from done(task, held)
                     held = []
                 task = int(tasks[x])
-                held.append((copy[x:y], key[x:y], more[x:y]))
+                held.append(key[x:y])
         if held:
             yield from done(task, held)
 
-    return rows.mapInArrow(run, "a long, a_more long, b long, b_more long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> DataFrame:
@@ -305,21 +274,19 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
     component's id (null if it has no other); repeated rows keep their rows; an empty table
     gives none; other columns are not read.
     """
-    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle).drop("more"), "fingerprints")
+    rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle), "fingerprints")
     n = rows.count()
-    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("more", F.lit(0).cast("long")), "prints", at_most=n)
-    linked = components(near_links(prints, most, n=n), at_most=4 * n)
-    rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = stash(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "classes", at_most=n)
+    with Steps(docs.sparkSession) as steps:
+        prints = steps.held(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        linked = components(near_links(prints, most, n=n), at_most=(most + 1) * n)
+        rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        of_print = stash(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "classes", at_most=n)
     return rows.join(of_print, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For shingles of five words and a similarity of 0.8: bits in which the 64 that are joined, and all 128, may differ.
-#: keep_one no longer links by them; the tests of the bit rule name them.
-WORDS, JOINED_BITS, ALL_BITS, BLOCKS = 5, 14, 24, 4
-#: keep_one's similarity, as a fraction, and its bands of minima: a pair at 0.8 shares none with a probability of 0.00006.
-SIMILAR, BANDS, MINIMA = (4, 5), 32, 6
+#: keep_one's shingle and similarity, as a fraction, and its bands of minima: a pair at 0.8 shares none with a probability of 0.00006.
+WORDS, SIMILAR, BANDS, MINIMA = 5, (4, 5), 32, 6
 
 
 def shingle_sets(batch: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,8 +347,8 @@ def similar(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * (over + under) >= (F.size(a) + F.size(b)) * over
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int) -> DataFrame:
-    """(a, b): links between nodes, all of a similarity of SIMILAR or more, that connect whatever shares a band and is as similar.
+def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, steps: Steps) -> DataFrame:
+    """(of, root): the least node that each linked node reaches over pairs of a similarity of SIMILAR or more that share a band.
 
     Candidates share a band and their sizes allow the similarity. Every candidate is held
     against the shingles themselves, unless verified links connect it already: first each
@@ -389,17 +356,18 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int) -> D
     last all pairs that are left.
     """
     over, under = SIMILAR
-    rows = stash(prints.select("node", "size", F.explode("bands").alias("band")), "bands")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1").select(F.col("band").alias("shared"), "least")
-    met = stash(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "size", "least"), "met")
+    rows = prints.select("node", "size", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min_by("size", "node").alias("least_size")).where("n > 1").select(F.col("band").alias("shared"), "least", "least_size")
+    met = steps.held(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "size", "least", "least_size"))
     fits = lambda x, y: (F.least(x, y) * under >= F.greatest(x, y) * over)
-    stars = met.where((F.col("node") != F.col("least.node")) & fits(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    reps = prints.select("node", "first.doc_id", "first.h")
+    stars = met.where((F.col("node") != F.col("least")) & fits(F.col("size"), F.col("least_size"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    id_name, h_name, node_name = fresh(docs, "id", "h", "node")
+    reps = prints.select(F.col("node").alias("rep"), "first.doc_id", "first.h")
 
     def others() -> DataFrame:
         placed = met.join(roots, F.col("node") == F.col("of"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("band").alias("mixed"))
-        placed = stash(placed.join(mixed, F.col("band") == F.col("mixed")).drop("mixed"), "mixed")
+        placed = steps.held(placed.join(mixed, F.col("band") == F.col("mixed")).drop("mixed"))
         x, y = (placed.select("band", *(F.col(c).alias(p + c) for c in ("node", "size", "root"))) for p in "xy")
         return x.join(y, "band").where((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & fits(F.col("xsize"), F.col("ysize"))).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
 
@@ -411,32 +379,38 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int) -> D
             of = lambda c: roots.select(F.col("of").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
             pairs = pairs.join(of("a"), F.col("a") == F.col("of_a"), "left").join(of("b"), F.col("b") == F.col("of_b"), "left")
             pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        pairs = stash(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-        sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("node", "text")
-        sets = stash(_sets(sets, shingle).dropDuplicates(["node"]), "sets")
+        pairs = steps.held(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep").toDF(node_name, id_name, h_name)
+        sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(h_name))).select(F.col(node_name).alias("node"), "text")
+        sets = steps.held(_sets(sets, shingle).dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("terms").alias("a_terms")), "a").join(sets.select(F.col("node").alias("b"), F.col("terms").alias("b_terms")), "b")
-        found = stash(both.where(similar(F.col("a_terms"), F.col("b_terms"))).select("a", "b"), "links", at_most=n)
+        found = steps.written(both.where(similar(F.col("a_terms"), F.col("b_terms"))).select("a", "b"), "links", at_most=n)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots = components(links, at_most=4 * n).withColumnRenamed("node", "of")
-    return links
+    return roots
 
 
 def keep_one(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """docs with one document of each group of near-duplicates; all columns stay as they are.
+    """docs with one document of each group of near-duplicates; all columns stay as they are, whatever their names.
 
     Documents whose sets of word shingles have a Jaccard similarity of 0.8 or more are
     linked. Of a group, that of the least doc_id stays, the least text hash among rows that
-    share it, null ids last; of rows equal in both, one. Texts without words are one group.
+    share it, null ids last; of rows equal in both, the one with the least hash of all its
+    columns. Texts without words are one group.
     """
-    rows = stash(with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle), "bands_of")
-    n = rows.count()
-    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
-    prints = stash(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "prints")
-    linked = components(similar_links(docs, prints, n, shingle), at_most=4 * n).withColumnRenamed("node", "of")
-    best = prints.select("node", "first").join(linked, F.col("node") == F.col("of"), "left")
-    chosen = stash(best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")), "chosen", at_most=n)
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
-    repeated = rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    id_name, h_name = fresh(docs, "id", "h")
+    with Steps(docs.sparkSession) as steps:
+        rows = steps.held(with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle))
+        n = rows.count()
+        first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+        prints = steps.held(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+        linked = similar_links(docs, prints, n, shingle, steps)
+        best = prints.select("node", "first").join(linked, F.col("node") == F.col("of"), "left")
+        chosen = stash(best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.h").alias(h_name)), "chosen", at_most=n)
+        repeated = rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(h_name)), "left_semi")
+    if not repeated:
+        return kept
+    least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return kept.groupBy(F.col("doc_id").alias("k"), F.col("text").alias("t")).agg(least.alias("r")).select("r.*")

@@ -88,13 +88,14 @@ def test_trie_join_finds_every_pair():
         keys = np.array(made(rng, 300), np.uint64)
         want = {(i, j) for i in range(len(keys)) for j in range(i) if int(keys[i] ^ keys[j]).bit_count() <= most}
         got = []
-        N.join_tries(N.Trie(keys), N.Trie(keys), True, most, 1, lambda i, j: got.extend(zip(j.tolist(), i.tolist())))
+        N.join_tries(N.Trie(keys), N.Trie(keys), True, most, [64], lambda i, j: got.extend(zip(j.tolist(), i.tolist())))
         assert len(got) == len(set(got)) and set(got) == want
         a, b = keys[::2], keys[1::2]
-        for blocks in (2, 4):
-            got = []
-            N.join_tries(N.Trie(a), N.Trie(b), False, most, blocks, lambda i, j: got.extend(zip(i.tolist(), j.tolist())))
-            assert set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if all((int(a[i] ^ b[j]) >> (64 - k * 64 // blocks)).bit_count() <= k * most // blocks for k in range(1, blocks + 1))}
+        for blocks, lead in ((2, 0), (4, 1), (5, 0), (5, 4)):
+            got, ends = [], N.block_ends(blocks, lead)
+            assert len(ends) == blocks and ends[-1] == 64
+            N.join_tries(N.Trie(a), N.Trie(b), False, most, ends, lambda i, j: got.extend(zip(i.tolist(), j.tolist())))
+            assert set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if all((int(a[i] ^ b[j]) >> (64 - end)).bit_count() <= k * most // blocks for k, end in enumerate(ends, 1))}
 
 
 def test_links_connect_what_is_near_whatever_the_top_nodes(spark, monkeypatch):
@@ -102,12 +103,12 @@ def test_links_connect_what_is_near_whatever_the_top_nodes(spark, monkeypatch):
     keys = made(rng, 800)
     ids = {k: i for i, k in enumerate(keys)}
     signed = lambda k: k - (1 << 64) if k >> 63 else k
-    df = spark.createDataFrame([(signed(k), signed(k ^ (k << 1) % (1 << 64))) for k in keys], "fp long, more long")
-    for most, blocks, confirm, size in ((4, 2, None, 100_000), (4, 2, None, 5), (9, 4, 11, 40)):
-        near = lambda x, y: (x ^ y).bit_count() <= most and (confirm is None or (x ^ y).bit_count() + (x ^ y ^ ((x ^ y) << 1) % (1 << 64)).bit_count() <= confirm)  # noqa: B023, E731
+    df = spark.createDataFrame([(signed(k),) for k in keys], "fp long")
+    for most, size in ((4, 100_000), (4, 5), (9, 40), (0, 40)):
+        near = lambda x, y: (x ^ y).bit_count() <= most  # noqa: B023, E731
         want = plain_components(range(len(keys)), [(i, j) for j in range(len(keys)) for i in range(j) if near(keys[i], keys[j])])
         monkeypatch.setattr(N, "NODE_FINGERPRINTS", size)
-        links = [(ids[r.a % (1 << 64)], ids[r.b % (1 << 64)]) for r in N.near_links(df, most, blocks, confirm).collect()]
+        links = [(ids[r.a % (1 << 64)], ids[r.b % (1 << 64)]) for r in N.near_links(df, most).collect()]
         assert all(near(keys[a], keys[b]) for a, b in links)
         assert plain_components(range(len(keys)), links) == want
 
@@ -180,3 +181,16 @@ def test_every_candidate_is_checked_unless_connected(spark):
     comp = plain_components(range(60), [(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) * 9 >= 4 * (len(sets[a]) + len(sets[b]))])
     assert 1 < len(set(comp.values())) < 60
     assert {r.doc_id for r in N.keep_one(texts(spark, given)).collect()} == set(comp.values())
+
+
+def test_other_columns_and_repeated_rows(spark):
+    """Columns of any name stay; of rows equal in id and text, the least by a hash of all columns."""
+    t = "one two three four five six seven"
+    rows = [(1, t, "x", 1), (1, t, "y", 2), (2, t, "z", 3), (3, "quite another text", "w", 4), (None, None, "v", 5), (None, "", "v", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, node long")
+    df = df.select("*", *(df["node"].alias(c) for c in ("h", "__id", "__h", "rep", "k", "t", "id_", "of", "a", "first")))
+    out = N.keep_one(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"] and len({r.node for r in got} & {1, 2}) == 1
+    assert sorted(map(str, got)) == sorted(map(str, N.keep_one(df.orderBy(df["node"].desc())).collect()))
