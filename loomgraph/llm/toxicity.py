@@ -6,13 +6,16 @@ pools its states by attention to one logit. A logistic layer turns the logits of
 document's windows (the two highest, the mean, their number) into its score.
 
 Only labelled rows train it: at most SAMPLE of each label, the least by a hash of the id, and of
-each at most SAMPLE_WINDOWS windows. The network is trained on windows that bear their
+each at most SAMPLE_WINDOWS windows, drawn on the executors: SAMPLE * SAMPLE_WINDOWS * 2 windows
+of WINDOW words, 16 bytes each, are what reaches the driver at most, whatever the texts. The network is trained on windows that bear their
 document's label, then on those that it itself rates highest; the logistic layer is fitted on
 sampled documents that the network has not seen.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, small_batches, texts
+from .common import fresh
 from .shingles import LETTERS, mix, spans_and_sums
 
 WINDOW, STRIDE = 48, 24
@@ -31,9 +35,10 @@ BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 14, 8, 8, 8, 8
 #: Lengths in bytes of the leading and trailing pieces of a word.
 LEADING, TRAILING = (3, 4, 5, 6, 7, 8), (4,)
 SEED, FOLDS = 7, 5
-#: Bytes of a text read at once; a longer one is read in parts that overlap by OVERLAP bytes.
-PIECE, OVERLAP = 1 << 20, 1 << 13
+#: Bytes of a text read at once; a longer one is read in parts that end between words, and its windows run on from part to part.
+PIECE = 1 << 20
 BLOCK = 1024
+_BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 # -- inputs ---------------------------------------------------------------------------------
@@ -258,52 +263,56 @@ class Model:
     final: np.ndarray
 
     def scores(self, batch: list[str]) -> np.ndarray:
-        raw, owner = _pieces(batch)
-        ids, of = word_inputs(raw)
-        begin, size, piece = windows_of(np.bincount(of, minlength=len(raw)))
-        logit = self.net.logits(ids, begin, size) if len(begin) else np.empty(0, np.float32)
-        x = document_features(logit, owner[piece], len(batch))
+        raw = [t.encode() for t in batch]
+        x = np.zeros((len(raw), 5))
+        short = [i for i, b in enumerate(raw) if len(b) <= PIECE]
+        ids, of = word_inputs([raw[i] for i in short])
+        begin, size, text = windows_of(np.bincount(of, minlength=len(short)))
+        x[short] = document_features(self.net.logits(ids, begin, size), text, len(short))
+        for i in set(range(len(raw))) - set(short):
+            logit = self._long_logits(raw[i])
+            x[i] = document_features(logit, np.zeros(len(logit), np.int64), 1)[0]
         return np.where(x[:, 0] > 0, _sigmoid(x @ self.final), 0.0)
 
-
-def _pieces(batch: list[str]) -> tuple[list[bytes], np.ndarray]:
-    raw, owner = [], []
-    for i, t in enumerate(batch):
-        b = t.encode()
-        at = 0
-        while True:
-            raw.append(b[at : at + PIECE])
-            owner.append(i)
-            if at + PIECE >= len(b):
-                break
-            at += PIECE - OVERLAP
-    return raw, np.array(owner, np.int64)
-
-
-def _sampled_windows(given: list[str], rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of at most SAMPLE_WINDOWS windows of each text, a few texts at a time; each window with its own copy of its words."""
-    ids, sizes, texts_, at = [], [], [], 0
-    while at < len(given):
-        to, total = at, 0
-        while to < len(given) and (to == at or total < PIECE):
-            total += len(given[to])
-            to += 1
-        part, of = word_inputs([t.encode() for t in given[at:to]])
-        begin, size, text = windows_of(np.bincount(of, minlength=to - at))
-        order = np.lexsort((rng.random(len(text)), text))
-        counts = np.bincount(text, minlength=to - at)
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.arange(len(text)) - (np.cumsum(counts) - counts)[text[order]]
-        keep = np.flatnonzero(rank < SAMPLE_WINDOWS)
-        if len(keep):
-            ids.append(_gathered(part, begin[keep], size[keep])[0].astype(np.uint16))
-            sizes.append(size[keep])
-            texts_.append(text[keep] + at)
-        at = to
-    if not ids:
-        return np.empty((0, 1 + len(LEADING) + len(TRAILING)), np.uint16), *(np.empty(0, np.int64) for _ in range(3))
-    size = np.concatenate(sizes)
-    return np.concatenate(ids), np.cumsum(size) - size, size, np.concatenate(texts_)
+    def _long_logits(self, raw: bytes) -> np.ndarray:
+        """Of the same windows as if the text were read at once."""
+        out, ids, first, begin = [], word_inputs([b""])[0], 0, 0  # first: of the words held; begin: of the next window
+        for part in _parts(raw):
+            ids = np.concatenate([ids, word_inputs([part])[0]])
+            at = np.arange(begin, first + len(ids) - WINDOW + 1, STRIDE)
+            out.append(self.net.logits(ids, at - first, np.full(len(at), WINDOW)))
+            begin += STRIDE * len(at)
+            keep = max(first, min(begin, first + len(ids) - WINDOW))
+            ids, first = ids[keep - first :], keep
+        count = first + len(ids)
+        if count and (not begin or begin - STRIDE + WINDOW < count):  # the last window ends with the text
+            size = min(count, WINDOW)
+            out.append(self.net.logits(ids, np.array([count - size - first]), np.array([size])))
+        return np.concatenate(out)
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of PIECE bytes and the rest of the last word."""
+    at = 0
+    while at + PIECE < len(raw) and (gap := _BETWEEN.search(raw, at + PIECE)):
+        yield raw[at : gap.start()]
+        at = gap.start()
+    yield raw[at:]
+
+
+def sampled_windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of at most SAMPLE_WINDOWS windows of each text, each window with its own copy of them, chosen by the text alone; windows' sizes and texts."""
+    ids, of = word_inputs(raw)
+    begin, size, text = windows_of(np.bincount(of, minlength=len(raw)))
+    counts = np.bincount(text, minlength=len(raw))
+    place = np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+    seed = np.array([zlib.crc32(b) for b in raw], np.uint64)
+    order = np.lexsort((mix(place.astype(np.uint64) + (seed[text] << np.uint64(31))), text))
+    rank = np.empty(len(text), np.int64)
+    rank[order] = place
+    keep = np.flatnonzero(rank < SAMPLE_WINDOWS)
+    words = _gathered(ids, begin[keep], size[keep])[0] if len(keep) else ids[:0]
+    return words.astype(np.uint16), size[keep], text[keep]
 
 
 def _all_logits(net: Network, ids, begin, size) -> np.ndarray:
@@ -318,12 +327,17 @@ def _all_logits(net: Network, ids, begin, size) -> np.ndarray:
 
 def train(given: list[str], label: np.ndarray, stands_for: np.ndarray | None = None, seed: int = SEED) -> Model | None:
     """None if there is but one label. stands_for: how many labelled rows each given text is a sample of."""
-    label = np.asarray(label, int)
+    ids, size, text = sampled_windows([t.encode() for t in given])
+    return train_on_windows(ids, size, text, np.asarray(label, int), stands_for, seed)
+
+
+def train_on_windows(ids: np.ndarray, size: np.ndarray, text: np.ndarray, label: np.ndarray, stands_for: np.ndarray | None = None, seed: int = SEED) -> Model | None:
+    """train() on windows that have their own copies of words, by texts in rising order."""
     if len(set(label.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    ids, begin, size, text = _sampled_windows(given, rng)
-    fold = rng.permutation(len(given)) % 3  # 0: for the final layer
+    begin, n = np.cumsum(size) - size, len(label)
+    fold = rng.permutation(n) % 3  # 0: for the final layer
     own = fold[text] > 0
     y = label[text]
     net = Network(seed)
@@ -344,7 +358,7 @@ def train(given: list[str], label: np.ndarray, stands_for: np.ndarray | None = N
         logit = _all_logits(net, ids, begin, size)
         order = np.lexsort((-logit, text))
         place = np.empty(len(order), int)
-        firsts = np.cumsum(np.bincount(text, minlength=len(given))) - np.bincount(text, minlength=len(given))
+        firsts = np.cumsum(np.bincount(text, minlength=n)) - np.bincount(text, minlength=n)
         place[order] = np.arange(len(order)) - firsts[text[order]]
         take = own & np.where(y == 1, place < 2, (place < 4) | (rng.random(len(y)) < 0.1))
         at = np.flatnonzero(take)
@@ -352,11 +366,11 @@ def train(given: list[str], label: np.ndarray, stands_for: np.ndarray | None = N
         weight = np.where(y[at] == 1, len(at) / (2 * pos), len(at) / (2 * max(1, len(at) - pos)))
         _fit(net, ids, begin[at], size[at], y[at], weight, int(np.clip(20_000 // max(1, len(at)), 2, 12)), 0.004, rng)
     logit = _all_logits(net, ids, begin, size)
-    x = document_features(logit, text, len(given))
+    x = document_features(logit, text, n)
     part = (fold == 0) & (x[:, 0] > 0)
     if len(set(label[part].tolist())) < 2:
         part = x[:, 0] > 0
-    weight = np.ones(len(given)) if stands_for is None else stands_for / stands_for.mean()
+    weight = np.ones(n) if stands_for is None else stands_for / stands_for.mean()
     return Model(net, _logistic(x[part], label[part], weight[part]))
 
 
@@ -368,28 +382,44 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most per_label texts of each label, outside the held-out fold, their labels, and how many rows each stands for; the same ones for the same tables."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What train_on_windows takes, of at most per_label texts of each label outside the held-out fold; the same for the same tables."""
     known = labels.select(F.col("doc_id").alias("k"), F.col("toxic").alias("toxic")).where(F.col("k").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out("k")).groupBy("k").agg(F.max("toxic").alias("toxic"))
     taken = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("k"), "k").limit(per_label) for v in (0, 1)]
     few = F.broadcast(taken[0].unionByName(taken[1]))  # 2 x per_label rows at most
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(few, F.col("doc_id") == F.col("k")).where(F.length("text") > 0)
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label).collect()
-    label = np.array([r.toxic for r in rows], int)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, size, text = sampled_windows([t.encode() for t in texts(batch)])
+            ends = np.searchsorted(text, np.arange(batch.num_rows), side="right")
+            at = np.r_[0, np.cumsum(size)]
+            cuts = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))
+            columns = [pa.array([words[at[x] : at[y]].tobytes() for x, y in cuts], pa.binary()), pa.array([size[x:y].astype(np.uint16).tobytes() for x, y in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "h")), *columns], names=["doc_id", "toxic", "h", "words", "sizes"])
+
+    small_batches(docs.sparkSession)
+    drawn = rows.select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text").mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["toxic"], T.StructField("h", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("words", "sizes"))]))
+    # rows that share an id: one of them
+    drawn = drawn.groupBy("doc_id").agg(F.min("h").alias("h"), F.min_by(F.struct("toxic", "words", "sizes"), "h").alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label)
+    got = drawn.toArrow()
+    label = got.column("toxic").to_numpy().astype(int)
+    sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.column("sizes").to_pylist()]
+    words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in got.column("words")] or [np.empty(0, np.uint16)]).reshape(-1, 1 + len(LEADING) + len(TRAILING))
     there = dict(known.groupBy("toxic").count().collect())
     stands_for = np.array([there[v] / max(1, (label == v).sum()) for v in label.tolist()])
-    return [r.text for r in rows], label, stands_for
+    return words, np.concatenate([*sizes, np.empty(0, np.int64)]), np.repeat(np.arange(len(sizes)), [len(x) for x in sizes]), label, stands_for
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return train(*labelled_sample(docs, labels))
+    return train_on_windows(*labelled_sample(docs, labels))
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, and __score. Without a model, for want of labels, every score is 0."""
+    """The columns keep of docs, and score, with a longer name if one of them has it. Without a model, for want of labels, every score is 0."""
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(fresh(rows, "score")[0], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.net.p, model.final) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,11 +440,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out; repeated rows keep their rows.
     """
     scored = score(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), fit(docs, labels), ["doc_id"])
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
-    """docs without those scored at most or above; every column stays as it is."""
+    """docs without those scored most or above; every column stays as it is, whatever its name. Null and wordless texts stay."""
     names = list(docs.columns)
-    model = fit(docs, labels)
-    return score(docs, model, names).where(F.col("__score") < most).select(*names)
+    scored = score(docs, fit(docs, labels), names)
+    return scored.where(F.col(scored.columns[-1]) < most).select(*names)

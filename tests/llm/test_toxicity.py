@@ -66,10 +66,43 @@ def test_learns_and_scores_unseen_texts():
 def test_long_texts_in_parts_score_like_whole_ones(monkeypatch):
     given, label = corpus(300, 3)
     model = X.train(given, label)
-    long = " ".join(given[:200])
-    whole = model.scores([long])[0]
+    rng = random.Random(4)
+    long = [" ".join(given[:200]), "\u00e9\u4e2d" * 30_000, "x" * 50_000 + " y", *(" ".join(given)[: rng.randrange(20_001, 90_000)] for _ in range(12)), ", ".join(given[:90]) + "." * 30_000, "." * 50_000]
+    whole = [model.net.logits(*_windows(t)) if len(t) else np.empty(0) for t in long]
+    scores = model.scores(long)
     monkeypatch.setattr(X, "PIECE", 20_000)
-    assert model.scores([long])[0] == pytest.approx(whole, abs=0.2)
+    for t, want in zip(long, whole):
+        assert len(t.encode()) > X.PIECE
+        np.testing.assert_allclose(model._long_logits(t.encode()), want, atol=1e-4)
+    np.testing.assert_allclose(model.scores(long), scores, atol=1e-5)
+
+
+def _windows(t):
+    ids, of = X.word_inputs([t.encode()])
+    begin, size, _ = X.windows_of(np.bincount(of, minlength=1))
+    return ids, begin, size
+
+
+def test_a_text_over_a_megabyte_scores_like_an_unsplit_one(monkeypatch):
+    given, label = corpus(300, 5)
+    model = X.train(given, label)
+    long = " ".join(given * 9)[: 3 << 20]
+    split = model.scores([long, "short"])
+    monkeypatch.setattr(X, "PIECE", 1 << 30)
+    assert len(long) > 1 << 20
+    np.testing.assert_allclose(split, model.scores([long, "short"]), atol=1e-6)
+
+
+def test_sampled_windows_depend_on_the_text_alone():
+    given = [t.encode() for t in corpus(30, 6)[0]] + [b"", b" ".join(b"w%d" % i for i in range(5000))]
+    words, size, text = X.sampled_windows(given)
+    assert np.bincount(text, minlength=32).max() == X.SAMPLE_WINDOWS
+    at = np.r_[0, np.cumsum(size)]
+    for i in (3, 30, 31):
+        alone = X.sampled_windows([given[i]])
+        own = np.flatnonzero(text == i)
+        assert alone[1].tolist() == size[own].tolist()
+        assert np.array_equal(alone[0], words[at[own[0]] : at[own[-1] + 1]] if len(own) else words[:0])
 
 
 def test_held_out_rows_of_the_tables(spark):
@@ -100,3 +133,13 @@ def test_awkward_rows(spark):
     assert {r.score for r in none} == {0.0} and len(none) == len(got)
     kept = X.remove_toxic(frame(spark, rows), spark.createDataFrame([], LABELS))
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows)
+
+
+def test_other_columns_may_have_any_names(spark):
+    given, label = corpus(120, 8)
+    docs = spark.createDataFrame([(i, t, 1.5, 2.5) for i, t in enumerate(given)], "doc_id long, text string, score double, __score double").selectExpr("*", "score as SCORE_", "1 as k", "2 as h", "3 as toxic")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(label)], LABELS)
+    kept = X.remove_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert 0 < len(got) < 120 and {tuple(r)[2:] for r in got} == {(1.5, 2.5, 1.5, 1, 2, 3)}
