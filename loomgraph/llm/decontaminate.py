@@ -1,9 +1,10 @@
-"""Benchmark decontamination with a broadcast set of normalised test n-grams.
+"""Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
-Each training text is cut into words once. Inside the row, the hash of every window's first and
-last word is tested against a bitmap of those of the benchmark's windows, and the hash of the whole
-window, where that passes, against another. The few windows left are verified by joining their
-words, as a string, with the benchmark's windows.
+Each training text is cut into words once, and each word hashed. The windows of the text then
+leave the row one by one, as a hash each, and meet the hash set of the benchmark's windows in a
+broadcast join. A window that is found is verified by its words. All of that is one stage of
+compiled code, in which a text's words stay where they are. A benchmark whose set is larger than
+BROADCAST_BYTES is joined by shuffle, and its hits are verified by a second hash of 64 bits.
 """
 
 from __future__ import annotations
@@ -11,17 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, long_array, row_key, stash, words_of
+from .common import fresh, let, row_key, stash, words_of
 
 WINDOW = 10
-#: The window set is broadcast up to this many windows and joined by shuffle beyond.
-BROADCAST_WINDOWS = 500_000
-#: A bitmap has 16 bits a window, within these limits: beyond them more windows pass to be verified.
-LEAST_BITS, MOST_BITS = 1 << 18, 1 << 24
+#: The set of windows is broadcast up to this size: their words, and ENTRY_BYTES for each.
+BROADCAST_BYTES, ENTRY_BYTES = 48 << 20, 150
+#: Flagged documents that are broadcast at most, 16 bytes each.
+BROADCAST_KEYS = 200_000
+
+
+def _hashes(hashes: Column, at: Column, n: int) -> tuple[Column, Column]:
+    """Two hashes of the n words from at on, from those of the words."""
+    own = [F.get(hashes, at + k) for k in range(n)]
+    return F.xxhash64(*own), F.xxhash64(F.lit(n), *own[::-1])
 
 
 def benchmark_windows(bench: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(window, len, items): distinct windows with the ids of their items, as strings.
+    """(window, len, hash, check, items): distinct windows with two hashes and the ids of their items, as strings.
 
     An item of fewer than n words, but not none, is one window; a null text has no words; a
     null id counts as the empty string.
@@ -30,69 +37,49 @@ def benchmark_windows(bench: DataFrame, n: int = WINDOW, id_col: str = "item_id"
     size = F.size("w")
     starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).when(size > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     windows = items.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i"), n).alias("w"))
-    hashes = F.transform("w", lambda x: F.xxhash64(x))
-    whole = F.aggregate(hashes, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x))
-    ends = F.xxhash64(F.xxhash64(F.element_at("w", 1)), F.xxhash64(F.element_at("w", -1)))
-    return windows.groupBy(F.array_join("w", " ").alias("window"), F.size("w").alias("len"), whole.alias("whole"), ends.alias("ends")).agg(F.collect_set("item").alias("items"))
-
-
-def _hash_at(hashes: Column, i: Column, n: int) -> Column:
-    h = F.lit(42).cast("long")
-    for k in range(n):
-        h = F.xxhash64(h, F.get(hashes, i + k))
-    return h
-
-
-class Bitmaps:
-    """Bits of the hashes in one column, for each window length; as arrays of longs in the plan."""
-
-    def __init__(self, windows: DataFrame, column: str, bits: int):
-        self.longs = bits // 64
-        place, bit = F.pmod(F.col(column), F.lit(self.longs)), F.expr(f"shiftleft(1L, cast(pmod(shiftright({column}, 32), 64) as int))")
-        self.set: dict[int, dict[int, int]] = {}
-        for n, at, b in windows.groupBy("len", place.alias("at")).agg(F.bit_or(bit)).collect():  # lengths x longs rows at most
-            self.set.setdefault(n, {})[at] = b
-
-    def holds(self, n: int):
-        own = self.set.get(n, {})
-        bitmap = long_array(own.get(k, 0) for k in range(self.longs))
-
-        def test(h: Column) -> Column:
-            one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
-            return F.get(bitmap, F.pmod(h, F.lit(self.longs)).cast("int")).bitwiseAND(one) != 0
-
-        return lambda h: let(h, test)
-
-
-def candidates(docs: DataFrame, windows: DataFrame, keep: list[Column], every_row: bool) -> DataFrame:
-    """keep columns, n_words and (pos, len, window) of each window that passes the bitmaps; one row more a document, pos -1, if every_row."""
-    bits = LEAST_BITS
-    while bits < MOST_BITS and bits < 16 * windows.count():
-        bits *= 2
-    whole, ends = Bitmaps(windows, "whole", bits), Bitmaps(windows, "ends", bits)
-    lengths = sorted(whole.set)
-    kind = "array<struct<pos:int,len:int,window:string>>"
-
-    def of_length(words: Column, hashes: Column, n: int) -> Column:
-        end_known, all_known = ends.holds(n), whole.holds(n)
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        near = F.filter(at, lambda i: end_known(F.xxhash64(F.get(hashes, i), F.get(hashes, i + (n - 1)))))
-        passed = F.filter(near, lambda i: all_known(_hash_at(hashes, i, n)))
-        return F.transform(passed, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(words, i + 1, n), " ").alias("window"))).cast(kind)
-
-    none = F.array(F.struct(F.lit(-1), F.lit(0), F.lit(None).cast("string"))) if every_row else F.array()
-
-    def passing(words: Column, hashes: Column) -> Column:
-        return F.concat(none.cast(kind), *(of_length(words, hashes, n) for n in lengths))
-
-    scan = let(words_of(F.col("text")), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), passing(w, h).alias("found"))))
-    rows = docs.select(*keep, scan.alias("scan")).select(*[c for c in docs.select(*keep).columns], F.col("scan.n_words").alias("n_words"), F.explode("scan.found").alias("c"))
-    return rows.select("*", "c.pos", "c.len", "c.window").drop("c")
-
-
-def _windows(bench: DataFrame) -> tuple[DataFrame, bool]:
-    windows = stash(benchmark_windows(bench), "windows")
-    return windows, windows.count() <= BROADCAST_WINDOWS
+    windows = windows.groupBy(F.array_join("w", " ").alias("window"), F.size("w").alias("len")).agg(F.collect_set("item").alias("items"))
+    words = windows.withColumn("h", F.transform(F.split("window", " "), lambda x: F.xxhash64(x)))
+    both = {k: _hashes(F.col("h"), F.lit(0), k) for k in range(1, n + 1)}
+    hash_, check = (F.coalesce(*(F.when(F.col("len") == k, both[k][i]) for k in both)) for i in (0, 1))
+    return words.select("window", "len", hash_.alias("hash"), check.alias("check"), "items")
+
+
+class WindowSet:
+    """The benchmark's windows by hash: (known, entries), entries being an array, almost always of one."""
+
+    def __init__(self, bench: DataFrame):
+        windows = stash(benchmark_windows(bench), "windows")
+        self.lengths, size = [], 0
+        for n, count, letters in sorted(windows.groupBy("len").agg(F.count(F.lit(1)), F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", ",")))).collect()):  # WINDOW rows at most
+            self.lengths.append(n)
+            size += letters + ENTRY_BYTES * count
+        self.small = size <= BROADCAST_BYTES
+        self.table = windows.groupBy(F.col("hash").alias("known")).agg(F.collect_list(F.struct("len", "window", "check", "items")).alias("entries"))
+
+    def hits(self, docs: DataFrame, keep: list[Column], every_row: bool) -> DataFrame:
+        """keep, n_words, pos and the entries found there, and first, which one row a document has: of every document if every_row, else of those with hits."""
+        lengths, kept = self.lengths or [WINDOW], docs.select(*keep).columns
+        scan = let(words_of(F.col("text")), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))
+        rows = docs.select(*keep, scan.alias("scan")).select(*kept, F.col("scan.w").alias("w"), F.col("scan.h").alias("h"))
+        # outer: else a filter on the generated array would be pushed down and cut every text twice
+        rows = rows.select(*kept, "w", "h", F.size("h").alias("n"), F.posexplode_outer("h").alias("pos", "one")).drop("one")
+        if len(lengths) > 1:
+            rows = rows.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("len"))
+        else:
+            rows = rows.select("*", F.lit(lengths[0]).alias("len"))
+        of = {k: _hashes(F.col("h"), F.col("pos"), k) for k in lengths}
+        fits = lambda i: F.coalesce(*(F.when((F.col("len") == k) & (F.col("pos") + k <= F.col("n")), of[k][i]) for k in lengths))
+        first = F.coalesce((F.col("pos") == 0) & (F.col("len") == lengths[0]), F.lit(True)).alias("first")
+        rows = rows.select(*kept, "n", "pos", "len", first, fits(0).alias("hash"), *([F.col("w")] if self.small else [fits(1).alias("check")]))
+        joined = rows.join(F.broadcast(self.table) if self.small else self.table, F.col("hash") == F.col("known"), "left" if every_row else "inner")
+        if every_row:
+            joined = joined.where(F.col("first") | F.col("known").isNotNull())
+        if self.small:
+            right = lambda x: x["window"] == F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ")
+        else:
+            right = lambda x: x["check"] == F.col("check")
+        found = F.filter("entries", lambda x: (x["len"] == F.col("len")) & right(x))
+        return joined.select(*kept, F.col("n").cast("long").alias("n_words"), "pos", "len", "first", F.coalesce(found, F.array().cast("array<struct<len:int,window:string,check:bigint,items:array<string>>>")).alias("found"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -100,17 +87,15 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     A word is hit if it lies in any occurrence of a window. Null and empty texts have no
     words and are clean; repeated rows each get their row; overlapping and repeated windows
-    count each word once; with an empty benchmark every document is clean.
+    count each word once; with an empty benchmark every document is clean. Only doc_id and
+    text are read.
     """
-    windows, small = _windows(bench)
-    rows = candidates(docs, windows, [F.col("doc_id").alias("doc_id"), row_key().alias("key")], every_row=True)
-    known = windows.select(F.col("window").alias("known"), "items")
-    joined = rows.join(F.broadcast(known) if small else known, F.col("window") == F.col("known"), "left").where("pos < 0 or known is not null")
-    per = joined.groupBy("doc_id", "key").agg(
+    rows = WindowSet(bench).hits(docs, [F.col("doc_id").alias("doc_id"), row_key().alias("key")], every_row=True)
+    per = rows.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"),
-        F.count_if(F.col("pos") < 0).alias("copies"),
-        F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "len"))).alias("hits"),
-        F.flatten(F.collect_set("items")).alias("items"),
+        F.count_if("first").alias("copies"),
+        F.collect_set(F.when(F.size("found") > 0, F.struct("pos", "len"))).alias("hits"),
+        F.array_distinct(F.flatten(F.flatten(F.collect_set(F.when(F.size("found") > 0, F.col("found.items")))))).alias("items"),
     )
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
@@ -118,7 +103,7 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
         end = x["pos"] + x["len"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["pos"]))).alias("n"))
 
-    per = per.withColumn("n_hit", F.aggregate(F.array_sort("hits"), start, cover, lambda acc: acc["n"])).withColumn("items", F.array_sort(F.array_distinct("items")))
+    per = per.withColumn("n_hit", F.aggregate(F.array_sort("hits"), start, cover, lambda acc: acc["n"])).withColumn("items", F.array_sort("items"))
     return per.select(
         "doc_id",
         "n_words",
@@ -131,15 +116,14 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark window; all columns stay as they are.
+    """docs without the documents that hold a benchmark window; all columns stay as they are, whatever their names.
 
-    The flagged keys are broadcast only while they are few; the join shuffles otherwise.
+    Null and empty texts stay, and with an empty benchmark all. The flagged keys are broadcast
+    only while they are few; the join shuffles otherwise.
     """
-    windows, small = _windows(bench)
-    rows = candidates(docs, windows, [row_key().alias("key")], every_row=False)
-    known = windows.select(F.col("window").alias("known"))
-    rows = rows.join(F.broadcast(known) if small else known, F.col("window") == F.col("known"), "left_semi")
-    flagged = stash(rows.select(F.col("key.a").alias("__a"), F.col("key.b").alias("__b")).distinct(), "contaminated", at_most=docs.count())
-    few = flagged.count() <= 200_000
+    a, b = fresh(docs, "a", "b")
+    rows = WindowSet(bench).hits(docs, [row_key().alias("key")], every_row=False).where(F.size("found") > 0)
+    flagged = stash(rows.select(F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct(), "contaminated", at_most=docs.count())
+    few = flagged.count() <= BROADCAST_KEYS
     at = row_key()
-    return docs.join(F.broadcast(flagged) if few else flagged, (at["a"] == F.col("__a")) & (at["b"] == F.col("__b")), "left_anti")
+    return docs.join(F.broadcast(flagged) if few else flagged, (at["a"] == F.col(a)) & (at["b"] == F.col(b)), "left_anti")

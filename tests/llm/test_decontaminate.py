@@ -1,5 +1,9 @@
 import hashlib
+import random
+import re
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import decontaminate as D
@@ -27,7 +31,9 @@ def plain(docs, items):
     return out
 
 
-def test_equals_plain_rules(spark, data):
+@pytest.mark.parametrize("size", [D.BROADCAST_BYTES, 0])
+def test_equals_plain_rules(spark, data, monkeypatch, size):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", size)
     docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     want = plain(docs.select("doc_id", "text").collect(), bench.select("item_id", "text").collect())
     got = {r[0]: tuple(r)[1:] for r in D.contamination(docs, bench).collect()}
@@ -36,7 +42,9 @@ def test_equals_plain_rules(spark, data):
     assert clean == {i for i, x in want.items() if not x[4]}
 
 
-def test_short_items_overlaps_ties_and_nulls(spark):
+@pytest.mark.parametrize("size", [D.BROADCAST_BYTES, 0])
+def test_short_items_overlaps_ties_and_nulls(spark, monkeypatch, size):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", size)
     seq = " ".join(f"w{i}" for i in range(30))
     items = [(1, "alpha beta"), (2, seq), (2, seq), (3, None), (4, "!!"), (10, "alpha beta"), (5, "x " * 12)]
     bench = spark.createDataFrame(items, BENCH)
@@ -51,3 +59,42 @@ def test_short_items_overlaps_ties_and_nulls(spark):
     assert len(none) == len(given) and not any(r.contaminated for r in none)
     kept = D.remove_contaminated(frame(spark, rows), bench)
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows)
+
+
+def test_windows_meet_the_hash_set_in_one_compiled_stage(spark, data):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = D.WindowSet(bench).hits(docs, [F.col("doc_id")], every_row=True)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    compiled = {k: re.search(r"\*\((\d+)\) " + k, plan) for k in ("BroadcastHashJoin", "Generate", "Filter")}
+    assert all(compiled.values()) and len({m[1] for m in compiled.values()}) == 1, plan
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_benchmark_of_a_million_windows(spark):
+    """Its set is too large to be broadcast; every planted window is found and nothing else."""
+    rng = random.Random(1)
+    items = [(i, " ".join(f"t{rng.randrange(10**6)}" for _ in range(1009))) for i in range(1000)]
+    bench = spark.createDataFrame(items, BENCH)
+    given, want = [], []
+    for i in range(60):
+        own = [f"d{rng.randrange(10**6)}" for _ in range(200)]
+        if i % 2:
+            w = items[i][1].split()
+            own[50:50] = w[i : i + 10]
+        else:
+            own[50:50] = items[i][1].split()[i : i + 9]
+        given.append(" ".join(own))
+        want.append((10, 1) if i % 2 else (0, 0))
+    assert not D.WindowSet(bench).small
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(texts(spark, given), bench).collect()}
+    assert [got[i] for i in range(60)] == want
+
+
+def test_other_columns_may_have_any_names(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], BENCH)
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j"), (2, "x"), (3, None)], "doc_id long, text string")
+    docs = docs.select("*", *(F.lit(9).alias(c) for c in ("a", "b", "A_", "key", "w", "h", "n", "pos", "len", "known", "entries", "__a", "scan", "first")))
+    kept = D.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(tuple(r)[::2] for r in kept.collect()) == [(2, *[9] * 7), (3, *[9] * 7)]
+    assert sorted((r.doc_id, r.contaminated) for r in D.contamination(docs, bench).collect()) == [(1, True), (2, False), (3, False)]
