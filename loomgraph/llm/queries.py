@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, fingerprint, licenses, linededup, neardup, packing, pii, sharding, tokens, toxicity
-from .common import table
+from .common import scratch_root, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    map_path = f"{scratch_root(spark)}/loomgraph/slot_maps/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), map_path=map_path)
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

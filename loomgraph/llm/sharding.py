@@ -7,7 +7,9 @@ and growing edit that map, a few thousand numbers, and move whole slots.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +23,22 @@ N_SLOTS = 4096
 
 @dataclass
 class SlotMap:
-    """versions[v][slot] is the shard of a slot in version v; the last version holds."""
+    """shard[slot] is where a slot lives in this version of the map; editing makes the next version."""
 
     n_shards: int
-    versions: list[np.ndarray] = field(default_factory=list)
+    shard: np.ndarray
+    version: int = 0
 
     @classmethod
     def initial(cls, n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
-        return cls(n_shards, [np.arange(n_slots) % n_shards])
-
-    @property
-    def current(self) -> np.ndarray:
-        return self.versions[-1]
+        return cls(n_shards, np.arange(n_slots) % n_shards)
 
     def rebalance(self, weight: np.ndarray) -> SlotMap:
-        """Append a version in which slots moved, or changed places, until no such edit evens the shards further.
+        """The version in which slots have moved, or changed places, until no such edit evens the shards further; this one if there is none.
 
         Each edit shrinks the gap between the fullest shard and another, so the loop ends.
         """
-        shard, w = self.current.copy(), np.asarray(weight, dtype=np.int64)
+        shard, w = self.shard.copy(), np.asarray(weight, dtype=np.int64)
         load = np.bincount(shard, weights=w, minlength=self.n_shards).astype(np.int64)
         for _ in range(8 * len(w)):
             high, done = int(load.argmax()), True
@@ -69,12 +68,11 @@ class SlotMap:
                 break
             if done:
                 break
-        self.versions.append(shard)
-        return self
+        return self if (shard == self.shard).all() else SlotMap(self.n_shards, shard, self.version + 1)
 
     def grow(self, weight: np.ndarray) -> SlotMap:
-        """One more shard; slots move into it only, from the fullest shards."""
-        shard, w, new = self.current.copy(), np.asarray(weight, dtype=np.int64), self.n_shards
+        """The version with one more shard; slots move into it only, from the fullest shards."""
+        shard, w, new = self.shard.copy(), np.asarray(weight, dtype=np.int64), self.n_shards
         load = np.bincount(shard, weights=w, minlength=new + 1).astype(np.int64)
         goal = w.sum() / (new + 1)
         for slot in np.argsort(-w, kind="stable"):
@@ -82,19 +80,44 @@ class SlotMap:
                 load[shard[slot]] -= w[slot]
                 load[new] += w[slot]
                 shard[slot] = new
-        self.n_shards = new + 1
-        self.versions.append(shard)
-        return self
-
-    def to_table(self, spark: SparkSession) -> DataFrame:
-        """(version, virtual_slot, shard): at most versions x slots rows."""
-        n = len(self.current)
-        flat = long_array(np.concatenate(self.versions).tolist())
-        return spark.range(n * len(self.versions)).select(
-            F.expr(f"cast(id div {n} as int)").alias("version"),
-            F.expr(f"id % {n}").alias("virtual_slot"),
-            F.get(flat, F.col("id").cast("int")).cast("int").alias("shard"),
-        )
+        return SlotMap(new + 1, shard, self.version + 1)
+
+
+def write_map(slots: SlotMap, spark: SparkSession, path: str) -> None:
+    """Store a version beside the others, which stay as they are: one folder a version; that a version is there already is an error."""
+    table = spark.range(len(slots.shard)).select(F.col("id").alias("virtual_slot"), F.get(long_array(slots.shard.tolist()), F.col("id").cast("int")).cast("int").alias("shard"), F.lit(slots.n_shards).alias("n_shards"))
+    table.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={slots.version}")
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A stored version, the last one if none is named; None if there is no map. A version is as many rows as slots."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    there = [int(m[1]) for f in files.listStatus(at) if (m := re.fullmatch(r"version=(\d+)", f.getPath().getName())) and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    if not there:
+        return None
+    version = max(there) if version is None else version
+    rows = sorted(map(tuple, spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard", "n_shards").collect()))
+    return SlotMap(rows[0][2], np.array([r[1] for r in rows]), version)
+
+
+def current_map(spark: SparkSession, path: str, n_shards: int, n_slots: int, weight: np.ndarray) -> SlotMap:
+    """The last stored map, grown to n_shards and rebalanced by weight, with each version on the way stored."""
+    slots = read_map(spark, path)
+    if slots is None:
+        slots = SlotMap.initial(n_shards, n_slots)
+        write_map(slots, spark, path)
+    if len(slots.shard) != n_slots or slots.n_shards > n_shards:
+        raise ValueError(f"the map at {path} has {len(slots.shard)} slots and {slots.n_shards} shards")
+    steps = [lambda m: m.grow(weight)] * (n_shards - slots.n_shards) + [lambda m: m.rebalance(weight)]
+    for step in steps:
+        new = step(slots)
+        if new is not slots:
+            write_map(new, spark, path)
+        slots = new
+    return slots
 
 
 def slot_digest(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,23 +139,23 @@ def slot_loads(digest: DataFrame, n_slots: int = N_SLOTS) -> tuple[np.ndarray, n
     return size, rows
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Place every row of docs in a shard, by the law `bytes`: shards' sizes are near equal.
 
     A row's slot number is its place in its shard, gapless from 0: rows are counted inside
     their virtual slot only, and the slots' row counts give each one its first number.
-    The map with all versions is written beside as table slot_map in the shared folder.
-    Null ids and texts, repeated rows and an empty table are placed like any others; other
-    columns of docs are not read, so their names cannot clash.
+    The map at map_path is read, edited and stored under its next version; the same table
+    leaves it as it is. Without a path, a new map is begun in the shared folder. Null ids and
+    texts, repeated rows and an empty table are placed like any others; other columns of docs
+    are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     digest = stash(slot_digest(docs, n_slots), "slots")
     size, rows = slot_loads(digest, n_slots)
-    slots = SlotMap.initial(n_shards, n_slots).rebalance(size)
-    write_map(slots, spark)
+    slots = current_map(spark, map_path or f"{scratch_root(spark)}/loomgraph/slot_maps/{uuid.uuid4().hex}", n_shards, n_slots, size)
     first = np.zeros(n_slots, np.int64)
     for shard in range(n_shards):
-        own = np.flatnonzero(slots.current == shard)
+        own = np.flatnonzero(slots.shard == shard)
         first[own] = np.cumsum(rows[own]) - rows[own]
     at = F.col("virtual_slot").cast("int")
     place = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
@@ -141,22 +164,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS)
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.get(long_array(slots.current.tolist()), at).cast("int").alias("shard"),
+        F.get(long_array(slots.shard.tolist()), at).cast("int").alias("shard"),
         (F.get(long_array(first.tolist()), at) + F.row_number().over(place) - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
 
-
-def write_map(slots: SlotMap, spark: SparkSession, path: str | None = None) -> str:
-    path = path or f"{scratch_root(spark)}/loomgraph/slot_map"
-    slots.to_table(spark).write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_map(spark: SparkSession, path: str) -> SlotMap:
-    """The inverse of write_map; the table is as small as the map."""
-    rows = sorted(map(tuple, spark.read.parquet(path).collect()))
-    n = max(r[0] for r in rows) + 1
-    versions = [np.array([r[2] for r in rows if r[0] == v]) for v in range(n)]
-    return SlotMap(int(max(v.max() for v in versions)) + 1, versions)

@@ -1,6 +1,10 @@
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
 from loomgraph.llm import sharding as S
 from tests.llm.helpers import awkward_rows, frame
@@ -30,16 +34,53 @@ def test_awkward_rows(spark):
     assert S.shard_documents(frame(spark, [])).collect() == []
 
 
+def plain_slot(doc_id, size, crc, n=S.N_SLOTS):
+    h = 42
+    for x in (doc_id, size, crc):
+        if x is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+    return (h - (1 << 64) if h >> 63 else h) % n
+
+
+def test_every_row_stands_where_the_map_and_its_order_say(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet").unionByName(frame(spark, awkward_rows()).select("doc_id", "text", "lang", "source", "n_chars"))
+    got = S.shard_documents(docs, map_path=str(tmp_path / "m")).collect()
+    slots = S.read_map(spark, str(tmp_path / "m"))
+    by = {}
+    for d, t in docs.select("doc_id", "text").collect():
+        raw = (t or "").encode()
+        key = (d, len(raw) + 1, zlib.crc32(raw))
+        by.setdefault(plain_slot(*key), []).append(key)
+    want, at = [], Counter()
+    for v in range(S.N_SLOTS):
+        for d, size, crc in sorted(by.get(v, ()), key=lambda x: (x[0] is not None, x[0] or 0, x[2], x[1])):
+            shard = int(slots.shard[v])
+            want.append((d, size, crc, v, shard, at[shard]))
+            at[shard] += 1
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot)) for r in got)
+
+
 def test_map_grows_only_into_the_new_shard_and_round_trips(spark, tmp_path):
-    w = np.random.default_rng(1).integers(1, 1000, 512)
-    m = S.SlotMap.initial(8, 512).rebalance(w)
-    load = np.bincount(m.current, weights=w)
-    assert load.max() - load.min() <= 20
-    before = m.current.copy()
-    m.grow(w)
-    moved = before != m.current
-    assert set(m.current[moved]) == {8} and len(m.versions) == 3
-    load = np.bincount(m.current, weights=w, minlength=9)
-    assert load[8] > 0.9 * w.sum() / 9
-    back = S.read_map(spark, S.write_map(m, spark, str(tmp_path / "map")))
-    assert all((a == b).all() for a, b in zip(m.versions, back.versions))
+    path, rng = str(tmp_path / "map"), np.random.default_rng(1)
+    w = rng.integers(1, 1000, 512)
+    assert S.read_map(spark, path) is None
+    m = S.current_map(spark, path, 8, 512, w)
+    load = np.bincount(m.shard, weights=w)
+    assert m.version == 1 and load.max() - load.min() <= 20
+    assert S.current_map(spark, path, 8, 512, w).version == 1  # nothing to edit
+    g = m.grow(w)
+    moved = g.shard != m.shard
+    assert set(g.shard[moved]) == {8} and g.version == 2
+    assert np.bincount(g.shard, weights=w, minlength=9)[8] > 0.9 * w.sum() / 9
+    n = S.current_map(spark, path, 9, 512, w)
+    assert (S.read_map(spark, path, 2).shard == g.shard).all() and n.version in (2, 3)
+    other = S.current_map(spark, path, 9, 512, w + rng.integers(0, 30, 512))
+    assert other.version == n.version + 1 and (other.shard != n.shard).mean() < 0.5
+    for v, want in enumerate([S.SlotMap.initial(8, 512), m, g]):
+        back = S.read_map(spark, path, v)
+        assert back.version == v and back.n_shards == want.n_shards and (back.shard == want.shard).all()
+    assert (S.read_map(spark, path).shard == other.shard).all()
+    with pytest.raises(ValueError):
+        S.current_map(spark, path, 4, 512, w)
+    with pytest.raises(Exception, match="exists"):
+        S.write_map(m, spark, path)
