@@ -9,7 +9,7 @@ BROADCAST_BYTES is joined by shuffle, and its hits are verified by a second hash
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, let, row_key, stash, words_of
@@ -45,7 +45,7 @@ def benchmark_windows(bench: DataFrame, n: int = WINDOW, id_col: str = "item_id"
 
 
 class WindowSet:
-    """The benchmark's windows by hash: (known, entries), entries being an array, almost always of one."""
+    """The benchmark's windows by hash; windows that share one, should there be any, are told apart by rank."""
 
     def __init__(self, bench: DataFrame):
         windows = stash(benchmark_windows(bench), "windows")
@@ -54,10 +54,15 @@ class WindowSet:
             self.lengths.append(n)
             size += letters + ENTRY_BYTES * count
         self.small = size <= BROADCAST_BYTES
-        self.table = windows.groupBy(F.col("hash").alias("known")).agg(F.collect_list(F.struct("len", "window", "check", "items")).alias("entries"))
+        rank = F.row_number().over(Window.partitionBy("hash").orderBy("window"))
+        self.table = windows.select(F.col("hash").alias("known"), F.col("window").alias("k_window"), F.col("check").alias("k_check"), F.col("len").alias("k_len"), "items", rank.alias("rank"))
 
     def hits(self, docs: DataFrame, keep: list[Column], every_row: bool) -> DataFrame:
-        """keep, n_words, pos and the entries found there, and first, which one row a document has: of every document if every_row, else of those with hits."""
+        """keep, n_words, pos, len and the items of each hit, none where there is no hit, and first, which one row a document has: of every document if every_row, else of those with hits.
+
+        What is built from a text's words is small before it leaves the compiled stage: that
+        keeps all rows of a document there at once.
+        """
         lengths, kept = self.lengths or [WINDOW], docs.select(*keep).columns
         scan = let(words_of(F.col("text")), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))
         rows = docs.select(*keep, scan.alias("scan")).select(*kept, F.col("scan.w").alias("w"), F.col("scan.h").alias("h"))
@@ -74,12 +79,9 @@ class WindowSet:
         joined = rows.join(F.broadcast(self.table) if self.small else self.table, F.col("hash") == F.col("known"), "left" if every_row else "inner")
         if every_row:
             joined = joined.where(F.col("first") | F.col("known").isNotNull())
-        if self.small:
-            right = lambda x: x["window"] == F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ")
-        else:
-            right = lambda x: x["check"] == F.col("check")
-        found = F.filter("entries", lambda x: (x["len"] == F.col("len")) & right(x))
-        return joined.select(*kept, F.col("n").cast("long").alias("n_words"), "pos", "len", "first", F.coalesce(found, F.array().cast("array<struct<len:int,window:string,check:bigint,items:array<string>>>")).alias("found"))
+        same = F.col("k_window") == F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ") if self.small else F.col("k_check") == F.col("check")
+        items = F.when((F.col("k_len") == F.col("len")) & same, F.col("items")).alias("items")
+        return joined.select(*kept, F.col("n").cast("long").alias("n_words"), "pos", "len", (F.col("first") & (F.coalesce("rank", F.lit(1)) == 1)).alias("first"), items)
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -94,8 +96,8 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
     per = rows.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"),
         F.count_if("first").alias("copies"),
-        F.collect_set(F.when(F.size("found") > 0, F.struct("pos", "len"))).alias("hits"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_set(F.when(F.size("found") > 0, F.col("found.items")))))).alias("items"),
+        F.collect_set(F.when(F.col("items").isNotNull(), F.struct("pos", "len"))).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
@@ -122,7 +124,7 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     only while they are few; the join shuffles otherwise.
     """
     a, b = fresh(docs, "a", "b")
-    rows = WindowSet(bench).hits(docs, [row_key().alias("key")], every_row=False).where(F.size("found") > 0)
+    rows = WindowSet(bench).hits(docs, [row_key().alias("key")], every_row=False).where(F.col("items").isNotNull())
     flagged = stash(rows.select(F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct(), "contaminated", at_most=docs.count())
     few = flagged.count() <= BROADCAST_KEYS
     at = row_key()
