@@ -215,15 +215,19 @@ def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
     the earliest document that holds its stretch.
     """
     with Steps(docs.sparkSession) as steps:
-        anchors = steps.held(anchor_table(docs, least))
-        holders = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final"), F.min_by("info", "ord").alias("a_info")).where("first < final")
-        shared = steps.held(holders.select(F.col("h").alias("sh"), "first", "a_info"))
-        few = shared.count() <= BROADCAST_HASHES
-        # beyond, both sides shuffle, so that adaptive execution can split a hash that very many documents share
-        pairs = anchors.join(F.broadcast(shared) if few else shared, F.col("h") == F.col("sh")).where("ord > first").select("row", "ord", "first", "info", "a_info")
+        anchors = steps.written(anchor_table(docs, least), "anchors")
+        holders = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
+        met = steps.written(anchors.join(_small(steps.written(holders, "holders")), F.col("h") == F.col("sh")).select("h", "ord", "row", "info", "first"), "met")
+        places = met.where("ord = first").groupBy("h").agg(F.min("info").alias("a_info")).select(F.col("h").alias("sh"), "a_info")
+        pairs = met.where("ord > first").join(_small(steps.written(places, "places")), F.col("h") == F.col("sh")).select("row", "ord", "first", "info", "a_info")
         return stash(_aligned(pairs), "spans")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, a written table, for a broadcast if it is small. If not, both sides of a join with it shuffle, so that adaptive execution can split a hash that very many documents share."""
+    return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
+
+
 def _aligned(pairs: DataFrame) -> DataFrame:
     """(row, ord, spans, moved) from the anchors that documents share with their holders."""
     pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "first")

@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
     rows = stash(with_fingerprints(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], shingle), "fingerprints")
     n = rows.count()
     with Steps(docs.sparkSession) as steps:
-        prints = steps.held(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        prints = steps.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints", at_most=n)
         linked = components(near_links(prints, most, n=n), at_most=(most + 1) * n)
         rooted = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -358,7 +358,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, step
     over, under = SIMILAR
     rows = prints.select("node", "size", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min_by("size", "node").alias("least_size")).where("n > 1").select(F.col("band").alias("shared"), "least", "least_size")
-    met = steps.held(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "size", "least", "least_size"))
+    met = steps.written(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "size", "least", "least_size"), "met", at_most=BANDS * n)
     fits = lambda x, y: (F.least(x, y) * under >= F.greatest(x, y) * over)
     stars = met.where((F.col("node") != F.col("least")) & fits(F.col("size"), F.col("least_size"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
     id_name, h_name, node_name = fresh(docs, "id", "h", "node")
@@ -367,7 +367,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, step
     def others() -> DataFrame:
         placed = met.join(roots, F.col("node") == F.col("of"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("band").alias("mixed"))
-        placed = steps.held(placed.join(mixed, F.col("band") == F.col("mixed")).drop("mixed"))
+        placed = steps.written(placed.join(mixed, F.col("band") == F.col("mixed")).drop("mixed"), "mixed", at_most=BANDS * n)
         x, y = (placed.select("band", *(F.col(c).alias(p + c) for c in ("node", "size", "root"))) for p in "xy")
         return x.join(y, "band").where((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & fits(F.col("xsize"), F.col("ysize"))).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
 
@@ -379,10 +379,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, step
             of = lambda c: roots.select(F.col("of").alias(f"of_{c}"), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
             pairs = pairs.join(of("a"), F.col("a") == F.col("of_a"), "left").join(of("b"), F.col("b") == F.col("of_b"), "left")
             pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        pairs = steps.held(pairs)
+        pairs = steps.written(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep").toDF(node_name, id_name, h_name)
         sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(h_name))).select(F.col(node_name).alias("node"), "text")
-        sets = steps.held(_sets(sets, shingle).dropDuplicates(["node"]))
+        sets = steps.written(_sets(sets, shingle).dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("terms").alias("a_terms")), "a").join(sets.select(F.col("node").alias("b"), F.col("terms").alias("b_terms")), "b")
         found = steps.written(both.where(similar(F.col("a_terms"), F.col("b_terms"))).select("a", "b"), "links", at_most=n)
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -400,15 +400,15 @@ def keep_one(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     columns. Texts without words are one group.
     """
     id_name, h_name = fresh(docs, "id", "h")
+    n = docs.count()
     with Steps(docs.sparkSession) as steps:
-        rows = steps.held(with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle))
-        n = rows.count()
+        rows = with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle)
         first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
-        prints = steps.held(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+        prints = steps.written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "prints", at_most=n)
         linked = similar_links(docs, prints, n, shingle, steps)
         best = prints.select("node", "first").join(linked, F.col("node") == F.col("of"), "left")
         chosen = stash(best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.h").alias(h_name)), "chosen", at_most=n)
-        repeated = rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
+        repeated = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").limit(1).count()
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(h_name)), "left_semi")
     if not repeated:
         return kept
