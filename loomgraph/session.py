@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,30 +68,19 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 class Steps:
-    """Tables that an operator makes on its way to its result, given back when it is done.
-
-    held() keeps a table's rows on the executors' disks for as long as the block lasts: those of a
-    lost executor are made again from what they came from. written() is a stash() that the
-    block deletes at its end. What a result reads later must be a stash() of its own.
-    """
+    """Tables that an operator writes on its way to its result, deleted when it is done. What a result reads later must be a stash() of its own."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._held, self._paths = spark, [], []
+        self.spark, self._paths = spark, []
 
     def __enter__(self) -> Steps:
         return self
 
-    def held(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist(StorageLevel.DISK_ONLY))
-        return self._held[-1]
-
     def written(self, df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
         path, out = _written(df, name, at_most)
         self._paths.append(path)
         return out
 
     def __exit__(self, *_) -> None:
-        for df in reversed(self._held):
-            df.unpersist()
         for path in self._paths:
             _delete(self.spark, path)
