@@ -404,7 +404,7 @@ def keep_one(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     with Steps(docs.sparkSession) as steps:
         rows = with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle)
         first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
-        prints = steps.written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "prints", at_most=n)
+        prints = steps.written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "prints", at_most=n * BANDS // 4)
         linked = similar_links(docs, prints, n, shingle, steps)
         best = prints.select("node", "first").join(linked, F.col("node") == F.col("of"), "left")
         chosen = stash(best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.h").alias(h_name)), "chosen", at_most=n)
