@@ -97,20 +97,19 @@ def walks_by_joins(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh:
 def walks_by_broadcast(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int) -> DataFrame:
     import hashlib
 
-    v = vectors.join(coh, "id", "left").select("id", "e", F.coalesce("coh", F.lit(0.0)).alias("coh")).toPandas().sort_values("id")
-    ids = v.id.to_numpy()
-    e = np.stack(v.e.to_numpy()).astype(float) if len(v) else np.zeros((0, 1))
+    v = vectors.join(coh, "id", "left").select("id", "e", F.coalesce("coh", F.lit(0.0)).alias("coh")).orderBy("id").toArrow()
+    ids, own_coh = (v.column(c).to_numpy() for c in ("id", "coh"))
+    e = v.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float) if len(ids) else np.zeros((0, 1))
     e /= np.maximum(np.sqrt((e * e).sum(axis=1, keepdims=True)), 1e-300)
-    links = edges.select("src", "dst").distinct().toPandas()
-    at = {i: k for k, i in enumerate(ids.tolist())}
-    s, d = (links[c].map(at).to_numpy() for c in ("src", "dst"))
+    links = edges.select("src", "dst").distinct().toArrow()
+    s, d = (np.searchsorted(ids, links.column(c).to_numpy()) for c in ("src", "dst"))
     order = np.lexsort((d, s))
     pointer = np.searchsorted(s[order], np.arange(len(ids) + 1))
     rank = None
     if cap:
         rank = np.empty(len(ids), np.int64)
         rank[sorted(range(len(ids)), key=lambda k: (hashlib.md5(f"{seed}|{ids[k]}".encode()).hexdigest(), ids[k]))] = np.arange(len(ids))
-    shared = starts.sparkSession.sparkContext.broadcast((ids, e, v.coh.to_numpy(), d[order], pointer, rank))
+    shared = starts.sparkSession.sparkContext.broadcast((ids, e, own_coh, d[order], pointer, rank))
     gamma = round(1 - beta, 12)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,18 +118,19 @@ def walks_by_broadcast(starts: DataFrame, edges: DataFrame, vectors: DataFrame,
         for batch in batches:
             out = []
             for center, walk, start in zip(batch.center.tolist(), batch.walk.tolist(), batch.id.tolist()):
-                rel = np.maximum(0.0, np.round(e @ e[place[center]], 6))
-                here, seen, front = place[start], np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+                mid, here, seen, front = e[place[center]], place[start], set(), set()
                 out.append((center, walk, 0, start))
                 for step in range(1, steps):
-                    seen[here] = True
-                    front[flat[pointer[here] : pointer[here + 1]]] = True
-                    some = np.flatnonzero(front & ~seen)
+                    seen.add(here)
+                    front.update(flat[pointer[here] : pointer[here + 1]].tolist())
+                    front -= seen
+                    some = np.array(sorted(front), np.int64)
                     if cap and len(some) > cap:
                         some = np.sort(some[np.argsort(rank[some])[:cap]])
                     if len(some) == 0:
                         break
-                    x = np.round(beta * coh[some] + gamma * rel[some], FINE)
+                    rel = np.maximum(0.0, np.round(e[some] @ mid, 6))  # of the candidates only
+                    x = np.round(beta * coh[some] + gamma * rel, FINE)
                     y = np.exp(x - x.max())
                     eta = np.round(y / (y.sum() + eps), 6)
                     best = int(eta.argmax())

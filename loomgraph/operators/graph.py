@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,34 +20,42 @@ SEED = 42
 # -- building -------------------------------------------------------------------------------
 
 
+def block_pairs(left: DataFrame, right: DataFrame, work: Callable[..., pd.DataFrame], schema: str, block: int = 4096) -> DataFrame:
+    """The rows of work(ids, vectors, ids, vectors) for every pair of blocks of two tables (id, e), e array<double>.
+
+    Ids are hashed into blocks; each pair of blocks is one call in one task, in rising ids on
+    either side: memory is bounded by the block, not by the tables.
+    """
+    n, m = (max(1, -(-x.count() // block)) for x in (left, right))
+
+    def dealt(df: DataFrame, own: int, other: int, first: bool) -> DataFrame:
+        at, all_ = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return df.select("id", "e", F.lit(first).alias("own"), at.alias("x" if first else "y"), all_.alias("y" if first else "x"))
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.own].sort_values("id"), pdf[~pdf.own].sort_values("id")
+        if a.empty or b.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return work(a.id.to_numpy(), np.stack(a.e.to_numpy()), b.id.to_numpy(), np.stack(b.e.to_numpy()))
+
+    return dealt(left, n, m, True).unionByName(dealt(right, m, n, False)).groupBy("x", "y").applyInPandas(both, schema)
+
+
 def nearest(vectors: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
     """(src, dst, sim): the k most similar other vectors of each, by rounded product, ties by id.
 
-    vectors is (id, e) with e array<double>. Ids are hashed into blocks; each pair of blocks
-    is one matrix product in one task, which keeps the k best a row, and the blocks' bests
-    are merged by a second top-k: memory is bounded by the block, not by the table.
+    Each pair of blocks is one matrix product, which keeps the k best a row; the blocks' bests
+    are merged by a second top-k.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select("id", "e", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    left = rows.select("id", "e", F.lit(True).alias("own"), F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
-    right = rows.select("id", "e", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), F.col("b").alias("y"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf.own].sort_values("id")
-        b = pdf[~pdf.own].sort_values("id")
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "sim": np.empty(0)})
-        ids, others = a.id.to_numpy(), b.id.to_numpy()
-        sim = np.round(np.stack(a.e.to_numpy()) @ np.stack(b.e.to_numpy()).T, 6) + 0.0
+
+    def best(ids, a, others, b) -> pd.DataFrame:
+        sim = np.round(a @ b.T, 6) + 0.0
         sim[ids[:, None] == others[None, :]] = -np.inf
         top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
         got = pd.DataFrame({"src": np.repeat(ids, top.shape[1]), "dst": others[top].ravel(), "sim": np.take_along_axis(sim, top, axis=1).ravel()})
         return got[np.isfinite(got.sim)]
 
-    found = left.unionByName(right).groupBy("x", "y").applyInPandas(best, "src long, dst long, sim double")
-    if blocks == 1:
-        return found
+    found = block_pairs(vectors, vectors, best, "src long, dst long, sim double", block)
     w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import lcm
+from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import element_sums
@@ -49,45 +49,71 @@ def attention_pool(x: np.ndarray, queries: np.ndarray, temperature: float = 1.0)
     return (w / w.sum(axis=1, keepdims=True)) @ x
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """The column given to each row of a square matrix at least total cost, by shortest augmenting paths."""
-    n = len(cost)
-    row_price, col_price, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
-    for row in range(1, n + 1):
-        owner[0], col = row, 0
-        slack, back, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+def pooled(vectors: DataFrame, queries: np.ndarray, by: str = "id", temperature: float = 1.0) -> DataFrame:
+    """(by, query, e): each group's vectors, in order of pos, as one weighted mean a query; a group is worked on as a whole."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("pos").e.to_numpy())
+        return pd.DataFrame({by: pdf[by].iloc[0], "query": np.arange(len(queries)), "e": list(attention_pool(x, queries, temperature))})
+
+    return vectors.select(by, "pos", "e").groupBy(by).applyInPandas(one, f"{by} long, query long, e array<double>")
+
+
+def transport(cost: np.ndarray) -> np.ndarray:
+    """The cheapest flow that gives every row the same weight and every column the same, in whole units: of rows by columns over their common divisor.
+
+    Rows with weight left reach the nearest column with room, over columns that give back
+    what they hold; prices keep what remains of the costs from falling below zero.
+    """
+    n, m = cost.shape
+    unit = gcd(n, m)
+    left, room, flow = np.full(n, m // unit), np.full(m, n // unit), np.zeros((n, m), np.int64)
+    row_price, col_price = np.zeros(n), np.zeros(m)
+    while left.any():
+        far_r, far_c = np.where(left > 0, 0.0, np.inf), np.full(m, np.inf)
+        open_r, open_c, from_col, from_row = np.ones(n, bool), np.ones(m, bool), np.full(n, -1), np.full(m, -1)
         while True:
-            used[col] = True
-            free = np.flatnonzero(~used)
-            reduced = cost[owner[col] - 1, free - 1] - row_price[owner[col]] - col_price[free]
-            better = reduced < slack[free]
-            slack[free[better]], back[free[better]] = reduced[better], col
-            nxt = free[slack[free].argmin()]
-            step = slack[nxt]
-            row_price[owner[used]] += step
-            col_price[used] -= step
-            slack[~used] -= step
-            col = nxt
-            if owner[col] == 0:
+            i, j = int(np.where(open_r, far_r, np.inf).argmin()), int(np.where(open_c, far_c, np.inf).argmin())
+            if open_c[j] and far_c[j] <= (far_r[i] if open_r[i] else np.inf):
+                open_c[j] = False
+                if room[j]:
+                    break
+                way = far_c[j] + np.maximum(0.0, col_price[j] - row_price - cost[:, j])
+                better = open_r & (flow[:, j] > 0) & (way < far_r)
+                far_r[better], from_col[better] = way[better], j
+            else:
+                open_r[i] = False
+                way = far_r[i] + np.maximum(0.0, cost[i] + row_price[i] - col_price)
+                better = open_c & (way < far_c)
+                far_c[better], from_row[better] = way[better], i
+        row_price += np.minimum(far_r, far_c[j])
+        col_price += np.minimum(far_c, far_c[j])
+        path, at, most = [], j, room[j]
+        while True:
+            i = from_row[at]
+            path.append((i, at, 1))
+            if from_col[i] < 0:
+                most = min(most, left[i])
                 break
-        while col:
-            owner[col] = owner[back[col]]
-            col = back[col]
-    out = np.empty(n, int)
-    out[owner[1:] - 1] = np.arange(n)
-    return out
+            at = from_col[i]
+            most = min(most, flow[i, at])
+            path.append((i, at, -1))
+        for r, c, sign in path:
+            flow[r, c] += sign * most
+        left[path[-1][0]] -= most
+        room[j] -= most
+    return flow
 
 
 def transport_cost(a: np.ndarray, b: np.ndarray) -> float:
     """The exact least cost of moving uniform weight from points a to points b, at squared distances."""
-    n = lcm(len(a), len(b))
-    a, b = np.repeat(a, n // len(a), axis=0), np.repeat(b, n // len(b), axis=0)
     cost = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-    return float(cost[np.arange(n), assignment(cost)].mean())
+    flow = transport(cost)
+    return float((flow * cost).sum() / flow.sum())
 
 
 def transport_to_groups(new: DataFrame, groups: DataFrame) -> DataFrame:
-    """(name, distance) from the sample new (e) to each group's sample (name, e); samples are bounded by who draws them."""
+    """(name, distance) from the points new (e) to each group's points (name, e). A distance needs all points of both sides in one task, and work of their cube: for more, draw samples."""
     points = np.stack([np.array(r.e) for r in new.collect()])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,6 +122,29 @@ def transport_to_groups(new: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.select(F.col("name").cast("string").alias("name_"), "e").groupBy("name_").applyInPandas(one, "name string, distance double")
 
 
+def closest_by_votes(new: DataFrame, groups: DataFrame, size: int, draws: int, seed: int = 42) -> DataFrame:
+    """(name, votes): how often each group is the closest one over draws of size points from either side, drawn by hash.
+
+    new is (id, e), groups is (name, id, e). Each draw and group is one small task.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+
+    def drawn(df: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy("draw", *by).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "id")), "id")
+        return df.select("*", every).withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
+
+    own = drawn(new.select("id", "e")).groupBy("draw").agg(F.collect_list(F.struct("id", "e")).alias("own"))  # size vectors a draw
+    others = drawn(groups.select(F.col("name").cast("string").alias("name"), "id", "e"), "name").groupBy("draw", "name").agg(F.collect_list("e").alias("theirs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            far = [round(transport_cost(np.stack([p["e"] for p in a]), np.stack(list(b))), 6) for a, b in zip(pdf.own, pdf.theirs)]
+            yield pd.DataFrame({"draw": pdf.draw, "name": pdf.name_, "distance": far})
+
+    found = others.join(own, "draw").select("draw", F.col("name").alias("name_"), "own", "theirs").mapInPandas(run, "draw int, name string, distance double")
+    return found.groupBy("draw").agg(F.min_by("name", F.struct("distance", "name")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("votes"))
+
+
 def closest(distances: DataFrame) -> DataFrame:
     return distances.agg(F.min_by("name", F.struct("distance", "name")).alias("closest"))
 

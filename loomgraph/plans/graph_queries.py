@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +22,16 @@ DIM = 64
 _graphs: dict[tuple[str, str], DataFrame] = {}
 
 
+def _state(spark: SparkSession, d: str) -> str:
+    """The folder, and when its vectors were written last: a graph of older ones is not used again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/embeddings.parquet")
+    file = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    return f"{d}@{file.getModificationTime()}:{file.getLen()}"
+
+
 def knn(spark: SparkSession, d: str) -> DataFrame:
-    """The graph's directed top eight, built once a session and folder, and kept as a table."""
-    key = (spark.sparkContext.applicationId, d)
+    """The graph's directed top eight, built once a session and state of the folder, and kept as a table."""
+    key = (spark.sparkContext.applicationId, _state(spark, d))
     if key not in _graphs:
         _graphs[key] = stash(G.nearest(T.vectors(spark, d), 8), "knn8")
     return _graphs[key]
@@ -33,7 +43,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def fixed_edges(spark: SparkSession, d: str) -> DataFrame:
     """edges as a table: for operators that read them often."""
-    key = (spark.sparkContext.applicationId, d + "#edges")
+    key = (spark.sparkContext.applicationId, _state(spark, d) + "#edges")
     if key not in _graphs:
         _graphs[key] = stash(edges(spark, d), "edges")
     return _graphs[key]
@@ -44,7 +54,8 @@ def ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def centers(spark: SparkSession, d: str) -> DataFrame:
-    return ids(spark, d).where("id % 5 = 4")
+    """Every node: sequences are made for all splits."""
+    return ids(spark, d)
 
 
 def elements(df: DataFrame, *keep: str) -> DataFrame:
@@ -76,11 +87,11 @@ def knn8(spark, d):
     return knn(spark, d)
 
 
-@query("concat_vectors", Q.with_(*Q.GRAPH, Q.LONG, "m1 AS MATERIALIZED (SELECT src AS id, pos, avg(val) AS val FROM ed JOIN vl ON vl.id = dst GROUP BY 1, 2)") + f"SELECT id, pos, {Q.r6('val')} AS val FROM (SELECT * FROM vl UNION ALL SELECT id, pos + 64, val FROM m1) WHERE id % 5 = 4")
+@query("concat_vectors", Q.with_(*Q.GRAPH, Q.LONG, "m1 AS MATERIALIZED (SELECT src AS id, pos, avg(val) AS val FROM ed JOIN vl ON vl.id = dst GROUP BY 1, 2)") + f"SELECT id, pos, {Q.r6('val')} AS val FROM (SELECT * FROM vl UNION ALL SELECT id, pos + 64, val FROM m1)")
 def concat_vectors(spark, d):
-    v, mask = T.vectors(spark, d), centers(spark, d)
+    v = T.vectors(spark, d)
     hop1 = G.neighbor_mean(v, fixed_edges(spark, d), DIM).select("id", F.col("e").alias("e1"))
-    both = v.join(mask, "id", "left_semi").join(hop1, "id").select("id", F.concat("e", "e1").alias("e"))
+    both = v.join(hop1, "id").select("id", F.concat("e", "e1").alias("e"))
     return elements(both, "id")
 
 
@@ -112,12 +123,12 @@ def csr_ptr(spark, d):
     return G.row_pointers(ids(spark, d), fixed_edges(spark, d))
 
 
-@query("neighbors", Q.with_(*Q.GRAPH) + "SELECT src AS id, dst AS neighbor FROM ed WHERE src % 5 = 4")
+@query("neighbors", Q.with_(*Q.GRAPH) + "SELECT src AS id, dst AS neighbor FROM ed")
 def neighbors(spark, d):
     return G.neighbors_of(centers(spark, d), fixed_edges(spark, d))
 
 
-@query("neighbors_or", Q.with_(*Q.GRAPH) + "SELECT DISTINCT v.id, CASE WHEN src = v.id THEN dst ELSE src END AS neighbor FROM v JOIN (SELECT * FROM ed WHERE src < dst) u ON u.src = v.id OR u.dst = v.id WHERE v.id % 5 = 4")
+@query("neighbors_or", Q.with_(*Q.GRAPH) + "SELECT DISTINCT v.id, CASE WHEN src = v.id THEN dst ELSE src END AS neighbor FROM v JOIN (SELECT * FROM ed WHERE src < dst) u ON u.src = v.id OR u.dst = v.id")
 def neighbors_or(spark, d):
     return G.neighbors_in_pairs(centers(spark, d), fixed_edges(spark, d).where("src < dst"))
 
@@ -232,7 +243,7 @@ def random_walk(spark, d):
     return G.random_walks(G.sample_nodes(ids(spark, d), 20), fixed_edges(spark, d), 5)
 
 
-@query("khop_sequence", Q.with_(*Q.GRAPH, Q.NBR, "h1 AS MATERIALIZED (SELECT v.id, r AS slot, coalesce(dst, -500) AS node FROM v CROSS JOIN range(3) t(r) LEFT JOIN nbr ON src = v.id AND rk = r + 1 WHERE v.id % 5 = 4)", "h2 AS (SELECT h1.id, slot * 3 + r AS slot, coalesce(dst, -500) AS node FROM h1 CROSS JOIN range(3) t(r) LEFT JOIN nbr ON src = node AND rk = r + 1)") + "SELECT id, 0 AS pos, id AS node FROM v WHERE id % 5 = 4 UNION ALL SELECT id, 1 + slot, node FROM h1 UNION ALL SELECT id, 4 + slot, node FROM h2")
+@query("khop_sequence", Q.with_(*Q.GRAPH, Q.NBR, "h1 AS MATERIALIZED (SELECT v.id, r AS slot, coalesce(dst, -500) AS node FROM v CROSS JOIN range(3) t(r) LEFT JOIN nbr ON src = v.id AND rk = r + 1)", "h2 AS (SELECT h1.id, slot * 3 + r AS slot, coalesce(dst, -500) AS node FROM h1 CROSS JOIN range(3) t(r) LEFT JOIN nbr ON src = node AND rk = r + 1)") + "SELECT id, 0 AS pos, id AS node FROM v UNION ALL SELECT id, 1 + slot, node FROM h1 UNION ALL SELECT id, 4 + slot, node FROM h2")
 def khop_sequence(spark, d):
     return G.hop_tree(centers(spark, d), fixed_edges(spark, d), 2, 3)
 
@@ -245,10 +256,9 @@ def edge_dropout(spark, d):
 DROPPED = "vd AS MATERIALIZED (SELECT id, pos, CASE WHEN ('0x' || substr(md5('42|' || pos), 1, 8))::BIGINT < 0.3::DOUBLE * 4294967296 THEN 0.0::DOUBLE ELSE val END AS val FROM vl)"
 
 
-@query("feature_dropout", Q.with_(Q.V, Q.LONG, DROPPED) + f"SELECT id, pos, {Q.r6('val')} AS val FROM vd WHERE id % 5 = 4")
+@query("feature_dropout", Q.with_(Q.V, Q.LONG, DROPPED) + f"SELECT id, pos, {Q.r6('val')} AS val FROM vd")
 def feature_dropout(spark, d):
-    v = T.vectors(spark, d).where("id % 5 = 4")
-    return elements(v.select("id", G.feature_dropout(F.col("e"), DIM, 0.3).alias("e")), "id")
+    return elements(T.vectors(spark, d).select("id", G.feature_dropout(F.col("e"), DIM, 0.3).alias("e")), "id")
 
 
 @query("tree_laplacian", "WITH n AS (SELECT i FROM range(13) t(i)) SELECT i AS row, i AS col, 1.0::DOUBLE AS val FROM n UNION ALL SELECT i, (i - 1) // 3, -1.0::DOUBLE FROM n WHERE i > 0")
@@ -274,10 +284,12 @@ def propagate_holdout(spark, d):
     return elements(out.join(G.endpoints(links), "id", "left_semi"), "id")
 
 
-@query("propagate_chunk", Q.with_(*Q.GRAPH, Q.LONG, Q.propagation(1)) + f"SELECT id, pos, {Q.r6('val')} AS val FROM q1 WHERE id % 4 = 0")
+@query("propagate_chunk", Q.with_(*Q.GRAPH, Q.LONG, Q.propagation(1)) + f"SELECT id, pos, {Q.r6('val')} AS val FROM q1")
 def propagate_chunk(spark, d):
-    chunk = ids(spark, d).where("id % 4 = 0")
-    return elements(G.propagate(T.vectors(spark, d), fixed_edges(spark, d), DIM, 1, to=chunk).where("hop = 1"), "id")
+    """Every chunk of targets by itself."""
+    chunks = [ids(spark, d).where(F.col("id") % 4 == k) for k in range(4)]
+    out = [G.propagate(T.vectors(spark, d), fixed_edges(spark, d), DIM, 1, to=c).where("hop = 1") for c in chunks]
+    return elements(reduce(DataFrame.unionByName, out), "id")
 
 
 MEAN = "m1 AS MATERIALIZED (SELECT src AS id, pos, avg(val) AS val FROM ed JOIN vl ON vl.id = dst GROUP BY 1, 2)"
@@ -306,25 +318,24 @@ def adaptive_pool(spark, d):
     return elements(v.select("id", N.adaptive_pool(F.col("e"), DIM, 5).alias("e")), "id")
 
 
-Z = f"z1 AS (SELECT id, e FROM v ORDER BY md5('42|' || id), id LIMIT 60), z2 AS (SELECT vd.id, list(val ORDER BY pos) AS e FROM vd JOIN z1 USING (id) GROUP BY 1), rf AS (SELECT a.id, sum(exp(s / 0.4::DOUBLE)) AS refl, sum(CASE WHEN a.id = a.b THEN exp(s / 0.4::DOUBLE) ELSE 0 END) AS self FROM (SELECT x.id, y.id AS b, {Q.r6('list_cosine_similarity(x.e, y.e)')} AS s FROM z1 x, z1 y) a GROUP BY 1), bt AS (SELECT a.id, sum(exp(s / 0.4::DOUBLE)) AS between_, sum(CASE WHEN a.id = a.b THEN exp(s / 0.4::DOUBLE) ELSE 0 END) AS match FROM (SELECT x.id, y.id AS b, {Q.r6('list_cosine_similarity(x.e, y.e)')} AS s FROM z1 x, z2 y) a GROUP BY 1)"
+Z = f"z1 AS (SELECT id, e FROM v), z2 AS (SELECT vd.id, list(val ORDER BY pos) AS e FROM vd JOIN z1 USING (id) GROUP BY 1), rf AS (SELECT a.id, sum(exp(s / 0.4::DOUBLE)) AS refl, sum(CASE WHEN a.id = a.b THEN exp(s / 0.4::DOUBLE) ELSE 0 END) AS self FROM (SELECT x.id, y.id AS b, {Q.r6('list_cosine_similarity(x.e, y.e)')} AS s FROM z1 x, z1 y) a GROUP BY 1), bt AS (SELECT a.id, sum(exp(s / 0.4::DOUBLE)) AS between_, sum(CASE WHEN a.id = a.b THEN exp(s / 0.4::DOUBLE) ELSE 0 END) AS match FROM (SELECT x.id, y.id AS b, {Q.r6('list_cosine_similarity(x.e, y.e)')} AS s FROM z1 x, z2 y) a GROUP BY 1)"
 
 
 @query("semi_loss", Q.with_(Q.V, Q.LONG, DROPPED, Z) + f"SELECT id, {Q.r6('-ln(match / (refl + between_ - self))')} AS loss FROM rf JOIN bt USING (id)")
 def semi_loss(spark, d):
-    z1 = stash(T.vectors(spark, d).join(F.broadcast(G.sample_nodes(ids(spark, d), 60)), "id", "left_semi"), "sample")
+    z1 = T.vectors(spark, d)
     return S.contrastive_loss(z1, z1.select("id", G.feature_dropout(F.col("e"), DIM, 0.3).alias("e")))
 
 
-@query("pairwise_cosine", Q.with_(Q.V, "s AS (SELECT id, e FROM v ORDER BY md5('42|' || id), id LIMIT 100)") + f"SELECT x.id AS a, y.id AS b, {Q.r6('list_cosine_similarity(x.e, y.e)')} AS sim FROM s x, s y")
+@query("pairwise_cosine", Q.with_(Q.V) + f"SELECT x.id AS a, y.id AS b, {Q.r6('list_cosine_similarity(x.e, y.e)')} AS sim FROM v x, v y")
 def pairwise_cosine(spark, d):
-    some = stash(T.vectors(spark, d).join(F.broadcast(G.sample_nodes(ids(spark, d), 100)), "id", "left_semi"), "sample")
-    return S.pair_cosines(some, some)
+    return S.pair_cosines(T.vectors(spark, d), T.vectors(spark, d))
 
 
 # -- context --------------------------------------------------------------------------------
 
 
-@query("rel_score", Q.with_(*Q.GRAPH, Q.COS) + "SELECT src AS center, dst AS id, c AS rel FROM ed JOIN cs ON a = src AND b = dst WHERE src % 5 = 4")
+@query("rel_score", Q.with_(*Q.GRAPH, Q.COS) + "SELECT src AS center, dst AS id, c AS rel FROM ed JOIN cs ON a = src AND b = dst")
 def rel_score(spark, d):
     return C.relevance(C.neighborhood(centers(spark, d), fixed_edges(spark, d)), T.vectors(spark, d))
 
@@ -339,12 +350,12 @@ def struct_score_repl(spark, d):
     return C.coherence(T.vectors(spark, d), fixed_edges(spark, d), returns=True)
 
 
-@query("start_neighbors", Q.with_(*Q.GRAPH, Q.NBR) + "SELECT src AS center, rk - 1 AS walk, dst AS id FROM nbr WHERE rk <= 9 AND src % 5 = 4")
+@query("start_neighbors", Q.with_(*Q.GRAPH, Q.NBR) + "SELECT src AS center, rk - 1 AS walk, dst AS id FROM nbr WHERE rk <= 9")
 def start_neighbors(spark, d):
     return C.start_neighbors(centers(spark, d), fixed_edges(spark, d))
 
 
-@query("softmax_window", Q.with_(*Q.GRAPH, Q.COS, Q.NBR, Q.COH, f"x AS (SELECT src AS center, dst AS id, {Q.r10('0.55::DOUBLE * coh + 0.45::DOUBLE * c')} AS x FROM ed JOIN cs ON a = src AND b = dst JOIN coh ON coh.id = dst WHERE src % 5 = 4)", "y AS (SELECT *, exp(x - max(x) OVER (PARTITION BY center)) AS y FROM x)") + f"SELECT center, id, {Q.r6('y / (sum(y) OVER (PARTITION BY center) + 1e-10::DOUBLE)')} AS eta FROM y")
+@query("softmax_window", Q.with_(*Q.GRAPH, Q.COS, Q.NBR, Q.COH, f"x AS (SELECT src AS center, dst AS id, {Q.r10('0.55::DOUBLE * coh + 0.45::DOUBLE * c')} AS x FROM ed JOIN cs ON a = src AND b = dst JOIN coh ON coh.id = dst)", "y AS (SELECT *, exp(x - max(x) OVER (PARTITION BY center)) AS y FROM x)") + f"SELECT center, id, {Q.r6('y / (sum(y) OVER (PARTITION BY center) + 1e-10::DOUBLE)')} AS eta FROM y")
 def softmax_window(spark, d):
     e, v = fixed_edges(spark, d), T.vectors(spark, d)
     x = C.relevance(C.neighborhood(centers(spark, d), e), v).join(C.coherence(v, e), "id").withColumn("x", C.blend(F.col("rel"), F.col("coh"), C.BETA))
@@ -380,7 +391,7 @@ def ocs_sequence(spark, d):
     return seq.select("center", joined_ids("graph").alias("graph"), F.size(F.filter("graph", lambda x: x != C.PAD)).cast("long").alias("filled"))
 
 
-@query("seq_gather", Q.with_(*Q.GRAPH, Q.NBR) + f"SELECT src AS center, rk AS pos, dst AS id, {Q.r6('e[1]')} AS first FROM nbr JOIN v ON v.id = dst WHERE rk <= 9 AND src % 5 = 4")
+@query("seq_gather", Q.with_(*Q.GRAPH, Q.NBR) + f"SELECT src AS center, rk AS pos, dst AS id, {Q.r6('e[1]')} AS first FROM nbr JOIN v ON v.id = dst WHERE rk <= 9")
 def seq_gather(spark, d):
     some = C.start_neighbors(centers(spark, d), fixed_edges(spark, d)).select("center", (F.col("walk") + 1).alias("pos"), "id")
     return G.gathered(some, T.vectors(spark, d)).select("center", "pos", "id", rounded(F.col("e")[0]).alias("first"))
@@ -401,22 +412,37 @@ def shuffled_gather(spark, d):
 # -- optimal transport and encoders (no SQL) ------------------------------------------------
 
 
-def _samples(spark, d):
+def _points(spark, d):
+    """The test split's vectors, and the others by class."""
     v = T.vectors(spark, d).join(T.nodes(spark, d).select("id", "y", "split"), "id")
-    w = Window.partitionBy("y").orderBy(G.seeded(G.SEED, F.col("id")))
-    refs = v.where("split <> 'test'").withColumn("r", F.row_number().over(w)).where("r <= 20").select(F.col("y").cast("string").alias("name"), "e")
-    new = v.where("split = 'test' and y = 3").orderBy(G.seeded(G.SEED, F.col("id"))).limit(10).select("e")
-    return new, refs
+    return v.where("split = 'test'").select("id", "e"), v.where("split <> 'test'").select(F.col("y").cast("string").alias("name"), "id", "e")
 
 
 @query("emd")
 def emd(spark, d):
-    return N.transport_to_groups(*_samples(spark, d))
+    return N.transport_to_groups(*_points(spark, d))
 
 
 @query("closest_dataset")
 def closest_dataset(spark, d):
-    return N.closest(N.transport_to_groups(*_samples(spark, d)))
+    return N.closest(N.transport_to_groups(*_points(spark, d)))
+
+
+@query("closest_voted")
+def closest_voted(spark, d):
+    """Twelve points a draw and side are what the operator draws; it draws from all."""
+    return N.closest_by_votes(*_points(spark, d), size=12, draws=9)
+
+
+POOLED = "it AS MATERIALIZED (SELECT src AS center, rk, pos, val - avg(val) OVER (PARTITION BY src, pos) AS val FROM nbr JOIN vl ON vl.id = dst WHERE rk <= 9), w AS (SELECT center, rk, pos AS query, exp(val / 8) / sum(exp(val / 8)) OVER (PARTITION BY center, pos) AS w FROM it WHERE pos < 2)"
+
+
+@query("attention_pool", Q.with_(*Q.GRAPH, Q.LONG, Q.NBR, POOLED) + f"SELECT center, query, it.pos, {Q.r6('sum(w * val)')} AS val FROM it JOIN w USING (center, rk) GROUP BY 1, 2, 3")
+def attention_pool(spark, d):
+    """Each node's neighbours, by rank, as two weighted means."""
+    near = G.gathered(C.start_neighbors(centers(spark, d), fixed_edges(spark, d)).select("center", F.col("walk").alias("pos"), "id"), T.vectors(spark, d))
+    out = N.pooled(near, np.eye(DIM)[:2], "center")
+    return elements(out, "center", "query")
 
 
 @query("encode_texts")

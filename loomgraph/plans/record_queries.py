@@ -28,13 +28,14 @@ def lit(text: str) -> str:
 
 
 def bare_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes with raw text, or none: then title and abstract, or blanks."""
+    """Nodes with raw text, or none: then title and abstract, or blanks. Title and abstract hold the whole text."""
     n = T.nodes(spark, d)
-    first = F.substring(F.coalesce("text", F.lit("")), 1, 20)
-    return n.select("id", "y", F.when(F.col("id") % 3 == 0, F.col("text")).when(F.col("id") % 3 == 1, F.lit("  ")).alias("raw"), F.when(F.col("id") % 2 == 0, first).otherwise("").alias("title"), F.substring(F.coalesce("text", F.lit("")), 21, 60).alias("abstract"))
+    whole = F.coalesce("text", F.lit(""))
+    first, rest = F.substring(whole, 1, 20), F.when(F.col("id") % 2 == 0, F.substring(whole, F.lit(21), F.length(whole))).otherwise(whole)
+    return n.select("id", "y", F.when(F.col("id") % 3 == 0, F.col("text")).when(F.col("id") % 3 == 1, F.lit("  ")).alias("raw"), F.when(F.col("id") % 2 == 0, first).otherwise("").alias("title"), rest.alias("abstract"))
 
 
-BARE = "bare AS MATERIALIZED (SELECT id, y, CASE WHEN id % 3 = 0 THEN text WHEN id % 3 = 1 THEN '  ' END AS raw, CASE WHEN id % 2 = 0 THEN substr(coalesce(text, ''), 1, 20) ELSE '' END AS title, substr(coalesce(text, ''), 21, 60) AS abstract FROM nodes)"
+BARE = "bare AS MATERIALIZED (SELECT id, y, CASE WHEN id % 3 = 0 THEN text WHEN id % 3 = 1 THEN '  ' END AS raw, CASE WHEN id % 2 = 0 THEN substr(coalesce(text, ''), 1, 20) ELSE '' END AS title, CASE WHEN id % 2 = 0 THEN substr(coalesce(text, ''), 21) ELSE coalesce(text, '') END AS abstract FROM nodes)"
 
 
 @query("assemble_text", Q.with_(Q.NODES, BARE, "t AS (SELECT id, coalesce(raw, 'Title: ' || title || chr(9) || 'Abstract: ' || abstract) AS text FROM bare)") + "SELECT id, CASE WHEN trim(text) = '' THEN ' ' ELSE text END AS text FROM t")
@@ -58,13 +59,13 @@ def _rendered_sql() -> str:
     for name in P.WORDING:
         classes = P.LISTED.get(name, P.CLASSES.get(name)) or ["first", "second"]
         parts = [{"{title}": "title", "{abstract}": "abstract", "{text}": "coalesce(raw, '')"}.get(x, lit(x)) for x in P.pieces(name, classes)]
-        out.append(f"SELECT {lit(name)} AS dataset, id, {' || '.join(parts)} AS prompt FROM bare WHERE id % 5 = 4")
+        out.append(f"SELECT {lit(name)} AS dataset, id, {' || '.join(parts)} AS prompt FROM bare")
     return Q.with_(Q.NODES, BARE) + " UNION ALL ".join(out)
 
 
 @query("prompt_render", _rendered_sql())
 def prompt_render(spark, d):
-    nodes = bare_nodes(spark, d).where("id % 5 = 4")
+    nodes = bare_nodes(spark, d)
     columns = {"title": F.col("title"), "abstract": F.col("abstract"), "text": F.col("raw")}
     every = [F.struct(F.lit(n).alias("dataset"), P.render(n, columns, None if n in P.CLASSES else ["first", "second"]).alias("prompt")) for n in P.WORDING]
     return nodes.select("id", F.explode(F.array(*every)).alias("p")).select("p.dataset", "id", "p.prompt")
@@ -109,7 +110,7 @@ def prompt_records(spark: SparkSession, d: str) -> DataFrame:
     return graph.select(P.record(F.col("center"), F.col("graph"), human, F.lit("class é")).alias("r")).select("r.*")
 
 
-PROMPTS = "pr AS MATERIALIZED (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY rk) AS graph, count(*) AS n FROM nbr WHERE rk <= 9 AND src % 5 = 4 GROUP BY 1)"
+PROMPTS = "pr AS MATERIALIZED (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY rk) AS graph, count(*) AS n FROM nbr WHERE rk <= 9 GROUP BY 1)"
 
 
 @query("json_prompts", Q.with_(*Q.GRAPH, Q.NBR, PROMPTS) + "SELECT id, graph, 2 AS turns, 'Look at <graph> around ' || id || ' \"now\".' AS human, 'class é' AS gpt FROM pr")
@@ -133,7 +134,7 @@ def splice_expand(spark, d):
     return p.select("id", F.array_join(full, " ").alias("tokens"), F.size(full).alias("n"))
 
 
-@query("hop_separators", Q.with_(*Q.GRAPH, Q.NBR, "h AS (SELECT v.id, string_agg(coalesce(dst, -500)::VARCHAR, ' ' ORDER BY r) AS s FROM v CROSS JOIN range(3) t(r) LEFT JOIN nbr ON src = v.id AND rk = r + 1 WHERE v.id % 5 = 4 GROUP BY 1)") + "SELECT id, '[hop0] ' || id || ' [hop1] ' || s || ' [hop2]' AS tokens FROM h")
+@query("hop_separators", Q.with_(*Q.GRAPH, Q.NBR, "h AS (SELECT v.id, string_agg(coalesce(dst, -500)::VARCHAR, ' ' ORDER BY r) AS s FROM v CROSS JOIN range(3) t(r) LEFT JOIN nbr ON src = v.id AND rk = r + 1 GROUP BY 1)") + "SELECT id, '[hop0] ' || id || ' [hop1] ' || s || ' [hop2]' AS tokens FROM h")
 def hop_separators(spark, d):
     tree = G.hop_tree(centers(spark, d), fixed_edges(spark, d), 1, 3)
     seq = tree.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("g"))

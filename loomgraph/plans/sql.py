@@ -33,7 +33,7 @@ NODES = "nodes AS MATERIALIZED (SELECT vec_id AS id, text, label AS y, CASE WHEN
 
 def walk(threshold: float, cap: int | None = None, eps: str = "1e-10::DOUBLE", steps: int = 10) -> str:
     """CTEs ending in wk(center, walk, step, node); needs ed, nbr, cs, coh."""
-    out = ["p0 AS MATERIALIZED (SELECT src AS center, rk - 1 AS walk, 0 AS step, dst AS node FROM nbr WHERE rk <= 9 AND src % 5 = 4)", "a0 AS MATERIALIZED (SELECT * FROM p0)"]
+    out = ["p0 AS MATERIALIZED (SELECT src AS center, rk - 1 AS walk, 0 AS step, dst AS node FROM nbr WHERE rk <= 9)", "a0 AS MATERIALIZED (SELECT * FROM p0)"]
     for k in range(1, steps):
         limit = f"SELECT center, walk, id FROM (SELECT *, row_number() OVER (PARTITION BY center, walk ORDER BY md5('42|' || id), id) AS q FROM g{k}) WHERE q <= {cap}" if cap else f"SELECT * FROM g{k}"
         out += [
@@ -48,10 +48,10 @@ def walk(threshold: float, cap: int | None = None, eps: str = "1e-10::DOUBLE", s
     return ",\n".join([*out, f"wk AS MATERIALIZED (SELECT * FROM a{steps - 1})"])
 
 
-SEQUENCE = """slots AS (SELECT id AS center, 0 AS pos, id AS node FROM v WHERE id % 5 = 4
+SEQUENCE = """slots AS (SELECT id AS center, 0 AS pos, id AS node FROM v
  UNION ALL SELECT center, walk + 1, node FROM p0 UNION ALL SELECT center, 11 + walk * 10 + step, node FROM wk)
 SELECT c.id AS center, string_agg(coalesce(s.node, -500)::VARCHAR, ',' ORDER BY r.pos) AS graph, count(s.node) AS filled
-FROM v c CROSS JOIN range(111) r(pos) LEFT JOIN slots s ON s.center = c.id AND s.pos = r.pos WHERE c.id % 5 = 4 GROUP BY 1"""
+FROM v c CROSS JOIN range(111) r(pos) LEFT JOIN slots s ON s.center = c.id AND s.pos = r.pos GROUP BY 1"""
 
 
 def propagation(hops: int, edges: str = "ed") -> str:

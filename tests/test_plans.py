@@ -7,9 +7,8 @@ import pytest
 from loomgraph.plans import QUERIES
 
 D = "/root/testdata/sf0.001"
-#: Queries that may run Python, and those whose point is all pairs of two small samples.
-PYTHON = {"knn8", "ocs_walk", "ocs_walk_large", "ocs_sequence", "emd", "closest_dataset", "encode_texts", "balance_chunks"}
-PAIRS = {"pairwise_cosine", "semi_loss"}
+#: Queries that may run Python.
+PYTHON = {"knn8", "ocs_walk", "ocs_walk_large", "ocs_sequence", "emd", "closest_dataset", "closest_voted", "attention_pool", "pairwise_cosine", "semi_loss", "encode_texts", "balance_chunks"}
 
 
 def plan(df):
@@ -20,7 +19,7 @@ def plan(df):
 def test_no_python_and_no_join_without_keys(spark, name):
     text = plan(QUERIES[name](spark, D))
     assert name in PYTHON or not re.search("Python|Pandas|Arrow", text)
-    assert name in PAIRS or not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -66,6 +66,44 @@ def test_transport_is_optimal():
     assert N.transport_cost(np.zeros((2, 2)), np.array([[1.0, 0], [0, 0], [1, 0]])) == pytest.approx(2 / 3)
 
 
+def test_transport_of_unequal_numbers():
+    rng = np.random.default_rng(1)
+    for n, m in ((2, 3), (3, 2), (2, 4), (6, 4)):
+        cost = rng.random((n, m))
+        flow = N.transport(cost)
+        assert flow.min() >= 0 and len(set(flow.sum(axis=1))) == len(set(flow.sum(axis=0))) == 1
+        if n * m <= 8:
+            k = int(np.lcm(n, m))
+            wide = np.repeat(np.repeat(cost, k // n, axis=0), k // m, axis=1)
+            best = min(sum(wide[i, p[i]] for i in range(k)) for p in itertools.permutations(range(k)))
+            assert (flow * cost).sum() == pytest.approx(best * flow.sum() / k)
+    cost = rng.random((97, 101))
+    flow = N.transport(cost)
+    assert set(flow.sum(axis=1)) == {101} and set(flow.sum(axis=0)) == {97}
+    low = [cost[i, j] for i, j in zip(*np.nonzero(flow))]
+    assert np.count_nonzero(flow) <= 97 + 101 and np.mean(low) < 0.1
+
+
+def test_closest_by_votes(spark):
+    rng = np.random.default_rng(2)
+    new = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(4)]) for i in range(40)], "id long, e array<double>")
+    groups = [(name, k, [float(x) for x in rng.standard_normal(4) + shift]) for name, shift in (("near", 0.1), ("far", 3.0)) for k in range(30 if name == "near" else 7)]
+    got = N.closest_by_votes(new, spark.createDataFrame(groups, "name string, id long, e array<double>"), size=9, draws=5).collect()
+    assert [tuple(r) for r in got] == [("near", 5)]
+
+
+def test_blocks_of_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((23, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<double>")
+    got = {(r.a, r.b): r.sim for r in S.pair_cosines(df, df, block=5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 23 * 23 and all(got[i, j] == pytest.approx(u[i] @ u[j], abs=1e-6) for i, j in got)
+    other = spark.createDataFrame([(i, (v + 0.1).tolist()) for i, v in enumerate(x)], "id long, e array<double>")
+    one, many = ({r.id: r.loss for r in S.contrastive_loss(df, other, block=b).collect()} for b in (1000, 4))
+    assert one == pytest.approx(many, abs=2e-6) and len(one) == 23
+
+
 def test_pooling():
     x = np.arange(12.0).reshape(4, 3)
     out = N.attention_pool(x, np.zeros((2, 3)))
