@@ -103,8 +103,34 @@ def product_description(label: Column, text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(" It can be described as "), text))
 
 
+#: What nodes and edges of a data set stand for in prompts that give the text itself, and its classes there.
+ARXIV_CODES = ["NA", "MM", "LO", "CY", "CR", "DC", "HC", "CE", "NI", "CC", "AI", "MA", "GL", "NE", "SC", "AR", "CV", "GR", "ET", "SY", "CG", "OH", "PL", "SE", "LG", "SD", "SI", "RO", "IT", "PF", "CL", "IR", "MS", "FL", "DS", "OS", "GT", "DB", "DL", "DM"]
+PRODUCTS = ["Home & Kitchen", "Health & Personal Care", "Beauty", "Sports & Outdoors", "Books", "Patio, Lawn & Garden", "Toys & Games", "CDs & Vinyl", "Cell Phones & Accessories", "Grocery & Gourmet Food", "Arts, Crafts & Sewing", "Clothing, Shoes & Jewelry", "Electronics", "Movies & TV", "Software", "Video Games", "Automotive", "Pet Supplies", "Office Products", "Industrial & Scientific", "Musical Instruments", "Tools & Home Improvement", "Magazine Subscriptions", "Baby Products", "label 25", "Appliances", "Kitchen & Dining", "Collectibles & Fine Art", "All Beauty", "Luxury Beauty", "Amazon Fashion", "Computers", "All Electronics", "Purchase Circles", "MP3 Players & Accessories", "Gift Cards", "Office & School Supplies", "Home Improvement", "Camera & Photo", "GPS & Navigation", "Digital Music", "Car Electronics", "Baby", "Kindle Store", "Buy a Kindle", "Furniture & D&#233;cor", "#508510"]
+TEXT_WORDING = {
+    "arxiv": ("papers and edges represent co-citations", [f"cs.{c}({'Computational Complexity' if c == 'CL' else n})" for c, n in zip(ARXIV_CODES, CLASSES["arxiv"])]),
+    "products": ("products sold in Amazon, and edges between products indicate they are purchased together", PRODUCTS),
+    "pubmed": ("papers about Diabetes and edges represent co-citations", LISTED["pubmed"]),
+    "cora": ("papers and edges represent co-citations", [n.replace(" ", "_") for n in CLASSES["cora"]]),
+}
+TEXT_LENGTH = 2000
+
+
+def class_pieces(dataset: str, with_text: bool = True) -> list[str]:
+    """A prompt that asks for the class, around the node's text if it gives that: before it and after it."""
+    about, classes = TEXT_WORDING[dataset]
+    head = f"Given a node-centered graph: <graph>, where nodes represent {about}"
+    ask = f". We need to classify the center node into {len(classes)} classes: {', '.join(classes)}, please tell me which class the center node belongs to?"
+    return [head + ", the node feature of center node is ", ask + " Direct tell me the class name."] if with_text else [head + ask]
+
+
+def class_prompt(dataset: str, text: Column | None = None) -> Column:
+    """The human's turn for a node class, with the first TEXT_LENGTH characters of the text or without any; a null text is empty."""
+    parts = [F.lit(p) for p in class_pieces(dataset, text is not None)]
+    return parts[0] if text is None else F.concat(parts[0], F.substring(F.coalesce(text, F.lit("")), 1, TEXT_LENGTH), parts[1])
+
+
 def task_prompt(task: str, own: Column) -> Column:
-    """The human's turn of a task: a node class keeps its own prompt."""
+    """The human's turn of a task: a node class keeps its own prompt; for text alone there is class_prompt()."""
     return {"nc": own, "lp": F.lit(CONNECT), "nd": F.lit(DESCRIBE), "nda": F.lit(DESCRIBE)}[task]
 
 

@@ -71,6 +71,22 @@ def prompt_render(spark, d):
     return nodes.select("id", F.explode(F.array(*every)).alias("p")).select("p.dataset", "id", "p.prompt")
 
 
+def _class_prompts_sql() -> str:
+    out = []
+    for name in P.TEXT_WORDING:
+        a, b = map(lit, P.class_pieces(name))
+        out.append(f"SELECT {lit(name)} AS dataset, id, 'nctext' AS task, {a} || substr(coalesce(text, ''), 1, {P.TEXT_LENGTH}) || {b} AS prompt FROM nodes")
+    out.append(f"SELECT 'products' AS dataset, id, 'nc' AS task, {lit(P.class_pieces('products', False)[0])} AS prompt FROM nodes")
+    return Q.with_(Q.NODES) + " UNION ALL ".join(out)
+
+
+@query("class_prompts", _class_prompts_sql())
+def class_prompts(spark, d):
+    every = [F.struct(F.lit(n).alias("dataset"), F.lit("nctext").alias("task"), P.class_prompt(n, F.col("text")).alias("prompt")) for n in P.TEXT_WORDING]
+    every.append(F.struct(F.lit("products").alias("dataset"), F.lit("nc").alias("task"), P.class_prompt("products").alias("prompt")))
+    return T.nodes(spark, d).select("id", F.explode(F.array(*every)).alias("p")).select("p.dataset", "id", "p.task", "p.prompt")
+
+
 TASKS = f"""SELECT id, 'nc' AS task, 'Classify ' || id AS human, y::VARCHAR AS gpt FROM bare
 UNION ALL SELECT id, 'lp', {lit(P.CONNECT)}, CASE WHEN y % 2 = 0 THEN 'yes' ELSE 'no' END FROM bare
 UNION ALL SELECT id, 'nd', {lit(P.DESCRIBE)}, 'This is a paper in ' || y || ' domain' || CASE WHEN title = '' THEN '' ELSE ', it''s about ' || title || '.' END FROM bare
