@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 #: In the order in which spans with one start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -147,8 +147,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span's text replaced by its kind in brackets; overlapping spans are cut once."""
-    names = list(docs.columns)
+    """docs with every span's text replaced by its kind in brackets; overlapping spans are cut once. Null texts stay null, and other columns stay, whatever their names."""
+    names, found = list(docs.columns), fresh(docs, "found")[0]
     kinds = F.array(*(F.lit(k) for k in KINDS))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -157,5 +157,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("__found"), start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.withColumn("__found", find_spans(docs, text_col)).withColumn(text_col, F.when(F.size("__found") > 0, done).otherwise(F.col(text_col))).select(*names)
+    done = F.aggregate(F.col(found), start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return docs.withColumn(found, find_spans(docs, text_col)).withColumn(text_col, F.when(F.size(found) > 0, done).otherwise(F.col(text_col))).select(*names)

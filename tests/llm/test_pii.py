@@ -82,3 +82,10 @@ def test_mod97(spark, iban, ok):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(P.mod97(F.lit(iban)).alias("x")).first().x is ok
+
+
+def test_redact_leaves_other_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, found string, __found string")
+    out = P.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "mail [email] now", "x", "y"), (2, None, "x", "y")]
