@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
-from ..functions.vectors import element_sums
+from ..functions.vectors import group_sums
 from ..session import stash
 from .order import with_index, with_running_sum
 
@@ -283,7 +283,7 @@ def feature_dropout(v: Column, size: int, p: float, seed: int = SEED) -> Column:
 def neighbor_mean(vectors: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     """(id, e): the mean of the vectors of each node's neighbours; nodes without any are left out."""
     near = edges.join(vectors.select(F.col("id").alias("dst"), "e"), "dst")
-    return near.groupBy(F.col("src").alias("id")).agg(element_sums(F.col("e"), size, F.avg).alias("e"))
+    return group_sums(near.select(F.col("src").alias("id"), "e"), ["id"], size, F.avg)
 
 
 def propagate(vectors: DataFrame, edges: DataFrame, size: int, hops: int = 4, to: DataFrame | None = None) -> DataFrame:
@@ -297,7 +297,8 @@ def propagate(vectors: DataFrame, edges: DataFrame, size: int, hops: int = 4, to
     zero = F.array_repeat(F.lit(0.0), size)
     for hop in range(1, hops + 1):
         use = weighted if to is None or hop < hops else weighted.join(to.select(F.col("id").alias("dst")), "dst", "left_semi")
-        sums = use.join(here.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(element_sums(F.col("e"), size, F.sum, F.col("w")).alias("n"))
+        near = use.join(here.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "w", "e")
+        sums = group_sums(near, ["id"], size, F.sum, F.col("w"), "n")
         base = vectors.select("id") if to is None or hop < hops else vectors.select("id").join(to.select("id"), "id", "left_semi")
         here = stash(base.join(sums, "id", "left").select("id", F.coalesce("n", zero).alias("e")), "hop")
         out = out.unionByName(here.withColumn("hop", F.lit(hop)))

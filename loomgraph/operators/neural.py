@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import element_sums
+from ..functions.vectors import group_sums
 from .graph import neighbor_mean
 
 
@@ -20,7 +20,7 @@ def fused(parts: list[tuple[DataFrame, float]], size: int) -> DataFrame:
     for df, w in parts:
         one = df.select("id", "e", F.lit(float(w)).alias("w"))
         every = one if every is None else every.unionByName(one)
-    return every.groupBy("id").agg(element_sums(F.col("e"), size, F.sum, F.col("w")).alias("e"))
+    return group_sums(every, ["id"], size, F.sum, F.col("w"))
 
 
 def motif_layer(vectors: DataFrame, motifs: list[tuple[DataFrame, float]], size: int) -> DataFrame:
@@ -29,7 +29,7 @@ def motif_layer(vectors: DataFrame, motifs: list[tuple[DataFrame, float]], size:
 
 
 def mean_vector(vectors: DataFrame, size: int, *by: str) -> DataFrame:
-    return vectors.groupBy(*by).agg(element_sums(F.col("e"), size, F.avg).alias("e"))
+    return group_sums(vectors, list(by), size, F.avg)
 
 
 def adaptive_pool(values: Column, n: int, to: int = 5) -> Column:

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from ..session import stash
 
 
+def looked_up(values: dict[int, int]) -> Column:
+    """values of __part, as one constant array with a place a partition."""
+    dense = [values.get(k, 0) for k in range(max(values, default=-1) + 1)]
+    return F.get(F.array(*map(F.lit, dense)).cast("array<bigint>"), F.col("__part").cast("int"))
+
+
 def with_index(df: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
     """df and a gapless long from 0 by order; ties should be broken by order."""
     spark = df.sparkSession
@@ -22,8 +28,7 @@ def with_index(df: DataFrame, *order: Column | str, name: str = "index") -> Data
     first, total = {}, 0
     for part, n in counts:
         first[part], total = total, total + n
-    starts = F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair]) if first else F.create_map().cast("map<bigint,bigint>")
-    return rows.withColumn(name, starts[F.col("__part")] + F.col("__at") - F.shiftleft("__part", 33)).drop("__at", "__part")
+    return rows.withColumn(name, looked_up(first) + F.col("__at") - F.shiftleft("__part", 33)).drop("__at", "__part")
 
 
 def with_running_sum(df: DataFrame, value: str, *order: Column | str, name: str = "running") -> DataFrame:
@@ -36,6 +41,5 @@ def with_running_sum(df: DataFrame, value: str, *order: Column | str, name: str
     before, total = {}, 0
     for part, s in sums:
         before[part], total = total, total + (s or 0)
-    starts = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]) if before else F.create_map().cast("map<bigint,bigint>")
     within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, starts[F.col("__part")] + F.sum(value).over(within) - F.col(value)).drop("__at", "__part")
+    return rows.withColumn(name, looked_up(before) + F.sum(value).over(within) - F.col(value)).drop("__at", "__part")

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from loomgraph.operators import context as C
 from loomgraph.operators import graph as G
+from loomgraph.operators.neural import mean_vector
 from loomgraph.operators.order import with_index, with_running_sum
 
 
@@ -142,3 +144,18 @@ def test_walks_agree_do_not_return_and_fill_111_slots(spark):
     for r in C.sequences(centers, starts, C.walks(starts, e, v, coh)).collect():
         assert len(r.graph) == 111 and r.graph[0] == r.center and r.graph[10] == -500 and set(r.graph[-10:]) == {-500}
     assert {r.center: r.graph for r in C.sequences(centers.where("id = 40"), starts.limit(0), C.walks(starts.limit(0), e, v, coh)).collect()} == {40: [40] + [-500] * 110}
+
+
+def test_long_vectors_are_summed_in_stretches(spark):
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(40, 4096))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(e)], "id long, e array<double>")
+    ring = [(i, (i + k) % 40) for i in range(40) for k in (1, 2, 39, 38)]
+    near = {r.id: np.array(r.e) for r in G.neighbor_mean(v, table(spark, ring), 4096).collect()}
+    for i in range(40):
+        assert np.allclose(near[i], e[[d for s, d in ring if s == i]].mean(axis=0))
+    hop = {r.id: np.array(r.e) for r in G.propagate(v, table(spark, ring), 4096, 1).where("hop = 1").collect()}
+    assert all(np.allclose(hop[i], e[[d for s, d in ring if s == i]].sum(axis=0) / 4) for i in range(40))
+    odd = spark.createDataFrame([(1, [float(x) for x in range(100)]), (2, [1.0] * 100)], "id long, e array<double>")
+    (mean,) = mean_vector(odd, 100).collect()
+    assert mean.e == [(x + 1) / 2 for x in range(100)]
