@@ -95,6 +95,15 @@ def padded(tokens: Column, length: Column, value) -> Column:
     return F.concat(tokens, F.array_repeat(F.lit(value), F.greatest(F.lit(0), length - F.size(tokens)).cast("int")))
 
 
+def pad_spliced(df: DataFrame, batch: int, order: str = "id", value: str = "<pad>", ignored: str = "-100") -> DataFrame:
+    """(id, batch, tokens, labels, mask) of (id, pieces), pieces an array of (token, label, seen): filled up on the right to the batch's longest."""
+    rows = with_index(df.select("id", "pieces"), order).withColumn("batch", F.floor(F.col("index") / batch))
+    longest = F.max(F.size("pieces")).over(Window.partitionBy("batch"))
+    one = lambda field: F.transform("pieces", lambda p: p[field])
+    full = rows.withColumn("longest", longest)
+    return full.select("id", "batch", padded(one("token"), F.col("longest"), value).alias("tokens"), padded(one("label"), F.col("longest"), ignored).alias("labels"), padded(one("seen"), F.col("longest"), False).alias("mask"))
+
+
 def pad_batches(df: DataFrame, batch: int, most: int, order: str = "id", value: str = "<pad>") -> DataFrame:
     """(id, batch, tokens, mask): cut at most, then filled up to the batch's longest."""
     rows = with_index(df, order).withColumn("batch", F.floor(F.col("index") / batch)).withColumn("tokens", F.slice("tokens", 1, most))

@@ -25,6 +25,30 @@ FORMATS |= {"llama": FORMATS["vicuna"], "qwen3_moe": FORMATS["qwen3"]}
 FAMILIES = [("qwen3_moe", "qwen3_moe"), ("qwen3-30b", "qwen3_moe"), ("a3b", "qwen3_moe"), ("qwen3", "qwen3"), ("mistral", "mistral"), ("llama-3", "llama3"), ("llama3", "llama3"), ("llama", "vicuna"), ("vicuna", "vicuna")]
 
 
+#: What named templates say first.
+HUMAN_SYSTEM = "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."
+TAG_SYSTEM = "A chat between a curious user and an artificial intelligence assistant. The assistant is able to understand the graph content that the user provides, and assist the user with a variety of tasks using natural language.The graph content will be provided with the following format: <Graph>graph content</Graph>."
+SAFE_SYSTEM = """You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.
+
+If a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information."""
+VISION_SYSTEM = "You are a helpful language and vision assistant. You are able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
+GRAPH_SYSTEM = "You are a helpful language and graph assistant. You are able to understand the graph content that the user provides, and assist the user with a variety of tasks using natural language."
+MPT_SYSTEM = "<|im_start|>system\nA conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers."
+#: Named templates' style, system, roles, separator and second separator.
+TEMPLATES = {
+    "v0": ("single", HUMAN_SYSTEM, ("Human", "Assistant"), "###", ""),
+    "v1": ("two", SYSTEM, ("USER", "ASSISTANT"), " ", "</s>"),
+    "llama_2": ("llama2", SAFE_SYSTEM, ("USER", "ASSISTANT"), "<s>", "</s>"),
+    "plain": ("plain", "", ("", ""), "</s>", ""),
+    "llava_v0": ("single", HUMAN_SYSTEM, ("Human", "Assistant"), "###", ""),
+    "v0_mmtag": ("single", TAG_SYSTEM, ("Human", "Assistant"), "###", ""),
+    "llava_v1": ("two", HUMAN_SYSTEM, ("USER", "ASSISTANT"), " ", "</s>"),
+    "v1_mmtag": ("two", TAG_SYSTEM, ("USER", "ASSISTANT"), " ", "</s>"),
+    "llava_llama_2": ("llama2", VISION_SYSTEM, ("USER", "ASSISTANT"), "<s>", "</s>"),
+    "graph_llama_2": ("llama2", GRAPH_SYSTEM, ("USER", "ASSISTANT"), "<s>", "</s>"),
+    "mpt": ("mpt", MPT_SYSTEM, ("<|im_start|>user\n", "<|im_start|>assistant\n"), "<|im_end|>", ""),
+}
+TEMPLATES |= {"default": TEMPLATES["v0"], "vicuna_v1": TEMPLATES["v1"], "v0_plain": TEMPLATES["plain"]}
 #: Strings that end an answer in one format or another.
 STOPS = ("<|eot_id|>", "<|im_end|>", "</s>")
 
@@ -92,6 +116,11 @@ def legacy(messages: Column, style: str, system: str = SYSTEM, roles: tuple[str,
     return F.concat(F.lit(start), F.array_join(F.transform(said, each), ""))
 
 
+def by_template(messages: Column, name: str) -> Column:
+    """The prompt in a named template, without the template's own example turns."""
+    return legacy(messages, *TEMPLATES[name])
+
+
 def tokens_and_labels(messages: Column) -> Column:
     """Array of (token, label): words, with each graph mark in a user's turn as one placeholder; only an assistant's words are labels."""
 
@@ -115,6 +144,24 @@ def expanded(tokens: Column, graph: Column, pad: int = -500) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.when(t == GRAPH_TOKEN, ids).otherwise(F.array(t))))
 
 
+def with_graphs(pairs: Column, graphs: Column, pads_seen: bool = False, pad: int = -500) -> Column:
+    """Array of (token, label, seen) from an array of (token, label): the k-th sentinel gives way to the k-th graph's ids.
+
+    A graph's ids are not labels, its pads stay in place and are seen only if pads_seen; a sentinel
+    beyond the graphs gives way to nothing. Null counts as no graphs.
+    """
+    # one entry a sentinel: the places are looked up among sentinels only
+    places = F.filter(F.transform(pairs, lambda p, i: F.when(p["token"] == GRAPH_TOKEN, i)), lambda i: i.isNotNull())
+    node = lambda x: F.struct(F.concat(F.lit("n"), x.cast("string")).alias("token"), F.lit(IGNORED).alias("label"), (F.lit(pads_seen) | (x != pad)).alias("seen"))
+
+    def of(p, i):
+        graph = F.get(graphs, (F.array_position(places, i) - 1).cast("int"))
+        own = F.array(F.struct(p["token"].alias("token"), p["label"].alias("label"), F.lit(True).alias("seen")))
+        return F.when(p["token"] == GRAPH_TOKEN, F.coalesce(F.transform(graph, node), F.slice(F.transform(F.array(F.lit(pad).cast("long")), node), 1, 0))).otherwise(own)
+
+    return F.flatten(F.transform(pairs, of))
+
+
 def with_separators(graph: Column, hops: int, width: int) -> Column:
     """A tree's ids as strings with marks before, between and after its hops."""
     parts, at = [F.array(F.lit("[hop0]"))], 1

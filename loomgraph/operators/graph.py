@@ -319,12 +319,20 @@ def tree_laplacian(hops: int, width: int) -> np.ndarray:
     return m
 
 
+def tree_encoding(hops: int, width: int) -> np.ndarray:
+    """Eigenvectors of tree_laplacian, one a column. Its only eigenvalue is 1, so columns may be multiples of one another."""
+    return np.real(np.linalg.eig(tree_laplacian(hops, width))[1])
+
+
 def positions(vectors: DataFrame, *keep: str) -> DataFrame:
     """One row an element: keep, pos, val."""
     return vectors.select(*keep, F.posexplode("e").alias("pos", "val"))
 
 
-def gathered(requests: DataFrame, vectors: DataFrame, small: int = 200_000) -> DataFrame:
-    """requests(key, pos, id) with each id's vector; the vectors are broadcast only up to small rows, beyond that both sides shuffle."""
+def gathered(requests: DataFrame, vectors: DataFrame, small: int = 200_000, on: tuple[str, ...] = ("id",)) -> DataFrame:
+    """requests(key, pos, id) with each id's vector; the vectors are broadcast only up to small rows, beyond that both sides shuffle.
+
+    on names what tells a vector, where an id alone does not: ("dataset", "id").
+    """
     few = vectors.limit(small + 1).count() <= small
-    return requests.join(F.broadcast(vectors) if few else vectors, "id", "left")
+    return requests.join(F.broadcast(vectors) if few else vectors, list(on), "left")

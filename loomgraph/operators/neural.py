@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import gcd
+from math import erf, gcd
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import group_sums
+from ..session import stash
 from .graph import neighbor_mean
 
 
@@ -28,6 +29,71 @@ def motif_layer(vectors: DataFrame, motifs: list[tuple[DataFrame, float]], size:
     return fused([(neighbor_mean(vectors, m, size), w) for m, w in motifs], size)
 
 
+def read_weights(table: DataFrame) -> dict[str, np.ndarray]:
+    """Matrices by name from (name, row, e): one row of a matrix each. A model's weights fit the driver and every task."""
+    rows: dict[str, dict[int, list[float]]] = {}
+    for r in table.select("name", "row", "e").collect():
+        rows.setdefault(r["name"], {})[r["row"]] = r["e"]
+    return {name: np.array([own[k] for k in sorted(own)]) for name, own in rows.items()}
+
+
+def gelu(x: np.ndarray) -> np.ndarray:
+    return x * (0.5 + 0.5 * np.frompyfunc(erf, 1, 1)(x / np.sqrt(2)).astype(float))
+
+
+def mapped(vectors: DataFrame, layer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, e) with layer applied to batches of vectors, as matrices."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf.id, "e": list(layer(np.stack(pdf.e.to_numpy())))})
+
+    return vectors.select("id", "e").mapInPandas(run, "id long, e array<double>")
+
+
+def sage_layer(vectors: DataFrame, edges: DataFrame, near: np.ndarray, bias: np.ndarray, own: np.ndarray, after: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
+    """(id, e): near times the mean of a node's neighbours, plus bias, plus own times the node's vector, and after of that. Without neighbours the mean is zero.
+
+    Of near's two sides, the narrower one is what is averaged, so that is what the join carries.
+    """
+    before = near.shape[0] < near.shape[1]
+    width = min(near.shape)
+    sent = mapped(vectors, lambda x: x @ near.T) if before else vectors
+    mean = neighbor_mean(sent, edges, width).withColumnRenamed("e", "mean")
+    both = vectors.select("id", "e").join(mean, "id", "left")
+    whole = both.select("id", F.concat("e", F.coalesce("mean", F.array_repeat(F.lit(0.0), width))).alias("e"))
+    size = own.shape[1]
+
+    def layer(x: np.ndarray) -> np.ndarray:
+        m = x[:, size:]
+        return after((m if before else m @ near.T) + bias + x[:, :size] @ own.T)
+
+    return mapped(whole, layer)
+
+
+def motif_network(vectors: DataFrame, motifs: list[DataFrame], weights: dict[str, np.ndarray], eps: float = 1e-5) -> DataFrame:
+    """(id, e): what a trained network of motifs gives: a shared projection, two layers over each motif's edges, and their weighted sum.
+
+    weights (read_weights) has shared.weight (k, size), shared.bias (1, k), fusion (1, motifs) and, for
+    motif i, first.i.near, first.i.bias, first.i.own, the same of second.i, and norm.i.scale, .shift,
+    .mean and .variance, each of one row. Every node of vectors gets a vector.
+    """
+    w = weights
+    shared = stash(mapped(vectors, lambda x: gelu(x @ w["shared.weight"].T + w["shared.bias"])), "shared")
+    out = []
+    for i, edges in enumerate(motifs):
+
+        def normed(x: np.ndarray, i: int = i) -> np.ndarray:
+            at = (np.maximum(x, 0.0) - w[f"norm.{i}.mean"]) / np.sqrt(w[f"norm.{i}.variance"] + eps)
+            return at * w[f"norm.{i}.scale"] + w[f"norm.{i}.shift"]
+
+        part = [[w[f"{layer}.{i}.{c}"] for c in ("near", "bias", "own")] for layer in ("first", "second")]
+        hidden = stash(sage_layer(shared, edges, *part[0], normed), "hidden")
+        out.append((sage_layer(hidden, edges, *part[1]), float(w["fusion"][0, i])))
+    return fused(out, len(w["second.0.own"]))
+
+
 def mean_vector(vectors: DataFrame, size: int, *by: str) -> DataFrame:
     return group_sums(vectors, list(by), size, F.avg)
 

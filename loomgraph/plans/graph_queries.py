@@ -267,6 +267,12 @@ def tree_laplacian(spark, d):
     return spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i in range(len(m)) for j in range(len(m)) if m[i, j]], "row long, col long, val double")
 
 
+@query("tree_eigenvectors")
+def tree_eigenvectors(spark, d):
+    m = G.tree_encoding(2, 3).round(6) + 0.0
+    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "row long, e array<double>").select("row", F.posexplode("e").alias("col", "val"))
+
+
 # -- propagation and layers -----------------------------------------------------------------
 
 
@@ -306,6 +312,27 @@ def motif_fusion(spark, d):
     return elements(N.motif_layer(T.vectors(spark, d), [(e, 0.7), (G.motif(e, "triangle"), 0.3)], DIM), "id")
 
 
+def example_weights(size: int, shared: int, hidden: int, out: int, motifs: int) -> list[tuple[str, int, list[float]]]:
+    """A network's weights by rule, as rows of a table."""
+    shapes = {"shared.weight": (shared, size), "shared.bias": (1, shared), "fusion": (1, motifs)}
+    for i in range(motifs):
+        shapes |= {f"first.{i}.near": (hidden, shared), f"first.{i}.bias": (1, hidden), f"first.{i}.own": (hidden, shared)}
+        shapes |= {f"second.{i}.near": (out, hidden), f"second.{i}.bias": (1, out), f"second.{i}.own": (out, hidden)}
+        shapes |= {f"norm.{i}.{c}": (1, hidden) for c in ("scale", "shift", "mean", "variance")}
+    rng = np.random.default_rng(G.SEED)
+    values = {name: rng.normal(scale=shape[1] ** -0.5, size=shape) for name, shape in shapes.items()}
+    values |= {name: 1 + v**2 for name, v in values.items() if name.endswith("variance")}
+    return [(name, k, row.tolist()) for name, v in values.items() for k, row in enumerate(v)]
+
+
+@query("motif_network")
+def motif_network(spark, d):
+    e = fixed_edges(spark, d)
+    motifs = [e, *(stash(G.motif(e, m), "motif") for m in ("triangle", "4-cycle", "4-clique"))]
+    table = spark.createDataFrame(example_weights(DIM, 32, 32, 16, len(motifs)), "name string, row long, e array<double>")
+    return elements(N.motif_network(T.vectors(spark, d), motifs, N.read_weights(table)), "id")
+
+
 @query("vector_mean", Q.with_(Q.V, Q.LONG) + f"SELECT y, pos, {Q.r6('avg(val)')} AS val FROM vl JOIN v USING (id) GROUP BY 1, 2")
 def vector_mean(spark, d):
     v = T.vectors(spark, d).join(T.nodes(spark, d).select("id", "y"), "id")
@@ -397,6 +424,15 @@ def seq_gather(spark, d):
     return G.gathered(some, T.vectors(spark, d)).select("center", "pos", "id", rounded(F.col("e")[0]).alias("first"))
 
 
+@query("dataset_gather", Q.with_(*Q.GRAPH) + f"SELECT 'near' AS dataset, src, dst, {Q.r6('e[2]')} AS val FROM ed JOIN v ON v.id = dst UNION ALL SELECT 'far', src, dst, {Q.r6('-e[2]')} FROM ed JOIN v ON v.id = dst")
+def dataset_gather(spark, d):
+    """The same ids in two data sets, each with its own vectors."""
+    v = T.vectors(spark, d)
+    every = v.select(F.lit("near").alias("dataset"), "id", "e").unionByName(v.select(F.lit("far").alias("dataset"), "id", F.transform("e", lambda x: -x).alias("e")))
+    asked = fixed_edges(spark, d).select(F.explode(F.array(F.lit("near"), F.lit("far"))).alias("dataset"), "src", F.col("dst").alias("id"))
+    return G.gathered(asked, every, on=("dataset", "id")).select("dataset", "src", F.col("id").alias("dst"), rounded(F.col("e")[1]).alias("val"))
+
+
 @query("broadcast_gather", Q.with_(*Q.GRAPH) + f"SELECT src, dst, {Q.r6('x.e[1] + y.e[2]')} AS val FROM ed JOIN v x ON x.id = src JOIN v y ON y.id = dst")
 def broadcast_gather(spark, d):
     v = T.vectors(spark, d)

@@ -177,16 +177,16 @@ def chat_template(spark, d):
     return m.select("conv_id", F.explode(F.array(*every)).alias("p")).select("conv_id", "p.*")
 
 
-def _legacy_sql(style: str) -> str:
-    sep, system = "'###'", lit(H.SYSTEM)
-    turn_sep = "CASE WHEN i % 2 = 0 THEN '###' ELSE '</s>' END"
-    who = "CASE role WHEN 'user' THEN 'USER' ELSE 'ASSISTANT' END"
+def _legacy_sql(style: str, says: str = H.SYSTEM, roles: tuple[str, str] = ("USER", "ASSISTANT"), one: str = "###", two: str = "</s>") -> str:
+    sep, system, sep2 = lit(one), lit(says), lit(" " + two)
+    turn_sep = f"CASE WHEN i % 2 = 0 THEN {sep} ELSE {lit(two)} END"
+    who = f"CASE role WHEN 'user' THEN {lit(roles[0])} ELSE {lit(roles[1])} END"
     each, start = {
         "single": (f"{who} || CASE WHEN text <> '' THEN ': ' || text || {sep} ELSE ':' END", f"{system} || {sep}"),
         "two": (f"{who} || CASE WHEN text <> '' THEN ': ' || text || {turn_sep} ELSE ':' END", f"{system} || {sep}"),
         "mpt": (f"{who} || CASE WHEN text <> '' THEN text || {sep} ELSE '' END", f"{system} || {sep}"),
         "plain": (f"CASE WHEN text <> '' THEN text || {turn_sep} ELSE '' END", system),
-        "llama2": (f"CASE WHEN text = '' THEN '' WHEN i % 2 = 0 THEN CASE WHEN i = 0 THEN '' ELSE {sep} END || '[INST] ' || CASE WHEN i = 0 THEN '<<SYS>>' || chr(10) || {system} || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || text || ' [/INST]' ELSE ' ' || text || ' </s>' END", "''"),
+        "llama2": (f"CASE WHEN text = '' THEN '' WHEN i % 2 = 0 THEN CASE WHEN i = 0 THEN '' ELSE {sep} END || '[INST] ' || CASE WHEN i = 0 THEN '<<SYS>>' || chr(10) || {system} || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || text || ' [/INST]' ELSE ' ' || text || {sep2} END", "''"),
     }[style]
     return Q.with_(Q.TURNS, "o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM tn WHERE role IN ('user', 'assistant'))", f"j AS (SELECT conv_id, string_agg({each}, '' ORDER BY i) AS s FROM o GROUP BY 1)") + f"SELECT c.conv_id, {start} || coalesce(s, '') AS prompt FROM (SELECT DISTINCT conv_id FROM tn) c LEFT JOIN j USING (conv_id)"
 
@@ -202,6 +202,13 @@ for _style in ("single", "two", "llama2", "mpt", "plain"):
     query(f"chat_{_style}", _legacy_sql(_style))(_legacy(_style))
 
 
+@query("chat_named", " UNION ALL ".join(f"SELECT conv_id, {lit(name)} AS template, md5(prompt) AS prompt FROM ({_legacy_sql(*t)})" for name, t in H.TEMPLATES.items()))
+def chat_named(spark, d):
+    m = H.ordered(turns(spark, d))
+    every = [F.struct(F.lit(name).alias("template"), F.md5(H.by_template(F.col("messages"), name)).alias("prompt")) for name in H.TEMPLATES]
+    return m.select("conv_id", F.explode(F.array(*every)).alias("p")).select("conv_id", "p.*")
+
+
 @query("role_map", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' ELSE role END AS role, CASE WHEN role = 'user' THEN replace('<graph> ' || text, '<graph>', '-200') ELSE '<graph> ' || text END AS text FROM conversations")
 def role_map(spark, d):
     t = turns(spark, d).select("conv_id", "turn", F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")).alias("said"), F.concat(F.lit("<graph> "), F.col("text")).alias("text"))
@@ -232,6 +239,25 @@ def mask_labels(spark, d):
     return t.select("conv_id", F.size("t").alias("n"), F.size(F.filter("t", lambda x: x["label"] != H.IGNORED)).alias("supervised"), join("token").alias("tokens"), join("label").alias("labels"))
 
 
+SPLICED = """sp AS MATERIALIZED (SELECT conv_id, turn, role, text, k, j, token, CASE WHEN j IS NULL AND role = 'assistant' THEN token ELSE '-100' END AS label, token <> 'n-500' AS seen
+ FROM (SELECT conv_id, turn, role, text, k, NULL AS j, token FROM tk WHERE token <> '-200' UNION ALL SELECT conv_id, turn, role, text, k, j, CASE j WHEN 0 THEN 'n' || conv_id WHEN 1 THEN 'n' || (conv_id + 1) ELSE 'n-500' END FROM tk, range(3) t(j) WHERE token = '-200')),
+ro AS MATERIALIZED (SELECT conv_id, list(token ORDER BY turn, role, text, k, j) AS t, list(label ORDER BY turn, role, text, k, j) AS l, list(CASE WHEN seen THEN '1' ELSE '0' END ORDER BY turn, role, text, k, j) AS s FROM sp GROUP BY 1),
+ba AS (SELECT *, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch FROM ro), mx AS MATERIALIZED (SELECT *, max(len(t)) OVER (PARTITION BY batch) AS n FROM ba)"""
+
+
+def _filled(column: str, value: str) -> str:
+    return f"md5(array_to_string(list_concat({column}, list_transform(range(n - len({column})), lambda x: '{value}')), ' '))"
+
+
+@query("splice_batches", Q.with_(Q.TURNS, TOKENS, SPLICED) + f"SELECT conv_id, batch, n, {_filled('t', '<pad>')} AS tokens, {_filled('l', '-100')} AS labels, {_filled('s', '0')} AS mask FROM mx")
+def splice_batches(spark, d):
+    graph = F.array(F.col("conv_id").cast("long"), F.col("conv_id") + 1, F.lit(-500).cast("long"))
+    t = marked(spark, d).select("conv_id", H.tokens_and_labels(F.col("messages")).alias("t")).where(F.size("t") > 0)
+    b = B.pad_spliced(t.select(F.col("conv_id").alias("id"), H.with_graphs(F.col("t"), F.array(graph)).alias("pieces")), 8)
+    join = lambda c: F.md5(F.array_join(c, " "))
+    return b.select(F.col("id").alias("conv_id"), "batch", F.size("tokens").alias("n"), join("tokens").alias("tokens"), join("labels").alias("labels"), join(F.transform("mask", lambda x: x.cast("int").cast("string"))).alias("mask"))
+
+
 FLAT = "fl AS MATERIALIZED (SELECT conv_id, list(token ORDER BY turn, role, text, k) AS t FROM tk GROUP BY 1)"
 
 

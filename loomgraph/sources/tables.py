@@ -46,6 +46,13 @@ def write_prompts(prompts: DataFrame, path: str, skip_if_there: bool = False) ->
     prompts.write.mode("ignore" if skip_if_there else "overwrite").json(path)
 
 
+def with_answer_ids(answers: DataFrame) -> DataFrame:
+    """answers with an answer_id where it lacks one: 22 characters that follow from the question, its prompt and the answer, so that a repeated task writes the same."""
+    said = F.concat_ws("\x1f", F.col("question_id").cast("string"), *(F.coalesce(c, F.lit("")) for c in ("prompt", "text") if c in answers.columns))
+    made = F.substring(F.sha2(said, 256), 1, 22)
+    return answers.withColumn("answer_id", F.coalesce("answer_id", made) if "answer_id" in answers.columns else made)
+
+
 def append_answers(todo: DataFrame, path: str) -> int:
     """Append the answers whose question is not yet in path; how many were. A run that was cut off goes on from there."""
     spark = todo.sparkSession
@@ -57,7 +64,7 @@ def append_answers(todo: DataFrame, path: str) -> int:
         done = spark.createDataFrame([], "question_id long")
     from ..operators.batching import not_yet_written
 
-    new = not_yet_written(todo, done.distinct())
+    new = with_answer_ids(not_yet_written(todo, done.distinct()))
     before = done.count()
     new.write.mode("append").json(path)
     return read_answers(spark, path).count() - before

@@ -159,3 +159,9 @@ def test_long_vectors_are_summed_in_stretches(spark):
     odd = spark.createDataFrame([(1, [float(x) for x in range(100)]), (2, [1.0] * 100)], "id long, e array<double>")
     (mean,) = mean_vector(odd, 100).collect()
     assert mean.e == [(x + 1) / 2 for x in range(100)]
+
+
+def test_tree_encoding_solves_the_tree():
+    m, v = G.tree_laplacian(2, 3), G.tree_encoding(2, 3)
+    assert np.allclose(m @ v, v, atol=1e-6) and np.allclose(np.linalg.norm(v, axis=0), 1)
+    assert G.tree_encoding(0, 4).tolist() == [[1.0]]

@@ -1,6 +1,7 @@
 """Batches, chats, scores, transport, sinks and streams on small inputs."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from loomgraph.operators import chat as H
 from loomgraph.operators import neural as N
 from loomgraph.operators import prompts as P
 from loomgraph.operators import scoring as S
+from loomgraph.plans.graph_queries import example_weights
 from loomgraph.sources import catalog, tables
 from loomgraph.streaming.answers import append_stream, running_accuracy, stream_answers
 
@@ -170,3 +172,40 @@ def test_encoder_takes_blank_texts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, " ")], "id long, text string")
     got = {r.id: r.e for r in N.encoded(df, N.hashing_encoder(4)).collect()}
     assert len(got) == 3 and got[2] == [0.0] * 4 and abs(sum(x * x for x in got[1]) - 1) < 1e-9
+
+
+def test_motif_network_equals_matrices(spark):
+    n, rng = 9, np.random.default_rng(3)
+    x = rng.normal(size=(n, 6))
+    motifs = [[(a, b) for a in range(n) for b in range(n) if a != b and rng.random() < p] for p in (0.4, 0.15)]
+    rows = example_weights(6, 5, 7, 3, 2)
+    w = N.read_weights(spark.createDataFrame(rows, "name string, row long, e array<double>"))
+    frames = [spark.createDataFrame(m, "src long, dst long") for m in motifs]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, e array<double>")
+    got = {r.id: r.e for r in N.motif_network(v, frames, w).collect()}
+    h = x @ w["shared.weight"].T + w["shared.bias"]
+    h = np.array([[t * 0.5 * (1 + math.erf(t / math.sqrt(2))) for t in r] for r in h])
+    want = np.zeros((n, 3))
+    for i, m in enumerate(motifs):
+        a = np.zeros((n, n))
+        for s, d in m:
+            a[s, d] = 1
+        a /= np.maximum(a.sum(axis=1, keepdims=True), 1)
+        z = np.maximum(a @ h @ w[f"first.{i}.near"].T + w[f"first.{i}.bias"] + h @ w[f"first.{i}.own"].T, 0)
+        z = (z - w[f"norm.{i}.mean"]) / np.sqrt(w[f"norm.{i}.variance"] + 1e-5) * w[f"norm.{i}.scale"] + w[f"norm.{i}.shift"]
+        want += w["fusion"][0, i] * (a @ z @ w[f"second.{i}.near"].T + w[f"second.{i}.bias"] + z @ w[f"second.{i}.own"].T)
+    assert sorted(got) == list(range(n)) and np.allclose([got[i] for i in range(n)], want)
+
+
+def test_splicing_takes_a_graph_for_each_sentinel(spark):
+    pairs = spark.sql("select array(named_struct('token', 'a', 'label', '-100'), named_struct('token', '-200', 'label', '-100'), named_struct('token', '-200', 'label', '-100'), named_struct('token', '-200', 'label', '-100'), named_struct('token', 'b', 'label', 'b')) t, array(array(1L, -500L), array(2L)) g, array(named_struct('token', 'c', 'label', 'c')) u, cast(null as array<array<long>>) n")
+    r = pairs.select(H.with_graphs(F.col("t"), F.col("g")).alias("x"), H.with_graphs(F.col("u"), F.col("g")).alias("y"), H.with_graphs(F.col("t"), F.col("n")).alias("z"), H.with_graphs(F.col("t"), F.col("g"), pads_seen=True).alias("w")).first()
+    assert [tuple(p) for p in r.x] == [("a", "-100", True), ("n1", "-100", True), ("n-500", "-100", False), ("n2", "-100", True), ("b", "b", True)]
+    assert [tuple(p) for p in r.y] == [("c", "c", True)] and [p.token for p in r.z] == ["a", "b"] and all(p.seen for p in r.w)
+
+
+def test_answer_ids_follow_from_the_answer(spark):
+    a = spark.createDataFrame([(1, "p", "x", None), (1, "p", "y", None), (2, None, None, "own")], "question_id long, prompt string, text string, answer_id string")
+    ids = {(r.question_id, r.text): r.answer_id for r in tables.with_answer_ids(a).collect()}
+    assert ids == {(r.question_id, r.text): r.answer_id for r in tables.with_answer_ids(a.repartition(3)).collect()}
+    assert len(set(ids.values())) == 3 and ids[2, None] == "own" and len(ids[1, "x"]) == 22
