@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,18 @@ SEED = 42
 # -- building -------------------------------------------------------------------------------
 
 
+def _both_sides(work: Callable[..., pd.DataFrame], schema: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """work on a group that holds a block of either side, told apart by own."""
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.own].sort_values("id"), pdf[~pdf.own].sort_values("id")
+        if a.empty or b.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return work(a.id.to_numpy(), np.stack(a.e.to_numpy()), b.id.to_numpy(), np.stack(b.e.to_numpy()))
+
+    return both
+
+
 def block_pairs(left: DataFrame, right: DataFrame, work: Callable[..., pd.DataFrame], schema: str, block: int = 4096) -> DataFrame:
     """The rows of work(ids, vectors, ids, vectors) for every pair of blocks of two tables (id, e), e array<double>.
 
@@ -32,13 +44,7 @@ def block_pairs(left: DataFrame, right: DataFrame, work: Callable[..., pd.DataFr
         at, all_ = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
         return df.select("id", "e", F.lit(first).alias("own"), at.alias("x" if first else "y"), all_.alias("y" if first else "x"))
 
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.own].sort_values("id"), pdf[~pdf.own].sort_values("id")
-        if a.empty or b.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return work(a.id.to_numpy(), np.stack(a.e.to_numpy()), b.id.to_numpy(), np.stack(b.e.to_numpy()))
-
-    return dealt(left, n, m, True).unionByName(dealt(right, m, n, False)).groupBy("x", "y").applyInPandas(both, schema)
+    return dealt(left, n, m, True).unionByName(dealt(right, m, n, False)).groupBy("x", "y").applyInPandas(_both_sides(work, schema), schema)
 
 
 def nearest(vectors: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
@@ -48,6 +54,13 @@ def nearest(vectors: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
     are merged by a second top-k.
     """
 
+    found = block_pairs(vectors, vectors, _best(k), "src long, dst long, sim double", block)
+    return _first(found, k)
+
+
+def _best(k: int) -> Callable[..., pd.DataFrame]:
+    """The k most similar of one block for each of another."""
+
     def best(ids, a, others, b) -> pd.DataFrame:
         sim = np.round(a @ b.T, 6) + 0.0
         sim[ids[:, None] == others[None, :]] = -np.inf
@@ -55,11 +68,73 @@ def nearest(vectors: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
         got = pd.DataFrame({"src": np.repeat(ids, top.shape[1]), "dst": others[top].ravel(), "sim": np.take_along_axis(sim, top, axis=1).ravel()})
         return got[np.isfinite(got.sim)]
 
-    found = block_pairs(vectors, vectors, best, "src long, dst long, sim double", block)
+    return best
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
+def fitted_lists(x: np.ndarray, rows: int, k: int, recall: float, turns: int = 8, asked: int = 1024) -> tuple[np.ndarray, int]:
+    """Centers of lists by k-means on the sample x, and how many lists a search must read.
+
+    rows is how many the index will hold: their root is how many lists there are, at most one to
+    sixteen of the sample. Up to asked rows of the sample look for their k nearest among all of it; the
+    fewest lists that hold that share of what they should find are read. The nearest of a sample are
+    farther off than those of the whole table, so the share is rather too low than too high.
+    """
+    unit = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    centers = unit[: max(1, min(int(rows**0.5), len(x) // 16))].copy()
+    for _ in range(turns):
+        own = (unit @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, unit)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centers = np.where(norms > 0, sums / np.maximum(norms, 1e-300), centers)
+    own = (unit @ centers.T).argmax(axis=1)
+    q = x[:asked]
+    sim = q @ x.T
+    sim[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    top = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    rank = np.argsort(np.argsort(-(q @ centers.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(rank, own[top], axis=1).ravel())
+    return centers, int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
+
+
+def nearest_by_index(vectors: DataFrame, k: int = 8, recall: float = 0.95, sample: int = 8192, block: int = 4096, seed: int = SEED) -> DataFrame:
+    """(src, dst, sim): as nearest, by an index that may miss some; what it finds is exact.
+
+    The index is fitted on at most sample rows, drawn by hash, and holds every row: each in the list of its
+    nearest center. Each row is compared with the rows of as many lists as fitted_lists says. A list is
+    cut into blocks on both sides, so that one with a third of all rows is many tasks, none larger.
+    Where vectors have no clusters, most lists must be read: then nearest() does the same work at less cost.
+    """
+    some = vectors.orderBy(seeded(seed, F.col("id")), "id").limit(sample).select("e").toPandas()
+    if len(some) < 2:
+        return nearest(vectors, k, block)
+    centers, probes = fitted_lists(np.stack(some.e.to_numpy()), vectors.count(), k, recall)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                order = np.argsort(-(np.stack(pdf.e.to_numpy()) @ centers.T), axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"id": pdf.id, "e": pdf.e, "lists": list(order)})
+
+    rows = stash(vectors.select("id", "e").mapInPandas(place, "id long, e array<double>, lists array<long>"), "lists")
+    held, asking = rows.select("id", "e", F.col("lists")[0].alias("at")), rows.select("id", "e", F.explode("lists").alias("at"))
+    cut = lambda df, name: df.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    blocks = F.broadcast(cut(held, "m").join(cut(asking, "n"), "at"))  # a row a list
+
+    def dealt(df: DataFrame, own: str, other: str, first: bool) -> DataFrame:
+        at, every = F.pmod(F.xxhash64("id"), F.col(own)).alias("x" if first else "y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("y" if first else "x")
+        return df.join(blocks, "at").select("at", "id", "e", F.lit(first).alias("own"), at, every)
+
+    schema = "src long, dst long, sim double"
+    pairs = dealt(asking, "n", "m", True).unionByName(dealt(held, "m", "n", False))
+    return _first(pairs.groupBy("at", "x", "y").applyInPandas(_both_sides(_best(k), schema), schema), k)
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

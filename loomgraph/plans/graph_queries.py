@@ -87,6 +87,12 @@ def knn8(spark, d):
     return knn(spark, d)
 
 
+@query("knn8_index")
+def knn8_index(spark, d):
+    """The same graph by the index; tests measure its recall."""
+    return G.nearest_by_index(T.vectors(spark, d), 8)
+
+
 @query("concat_vectors", Q.with_(*Q.GRAPH, Q.LONG, "m1 AS MATERIALIZED (SELECT src AS id, pos, avg(val) AS val FROM ed JOIN vl ON vl.id = dst GROUP BY 1, 2)") + f"SELECT id, pos, {Q.r6('val')} AS val FROM (SELECT * FROM vl UNION ALL SELECT id, pos + 64, val FROM m1)")
 def concat_vectors(spark, d):
     v = T.vectors(spark, d)

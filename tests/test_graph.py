@@ -10,6 +10,7 @@ from loomgraph.operators import context as C
 from loomgraph.operators import graph as G
 from loomgraph.operators.neural import mean_vector
 from loomgraph.operators.order import with_index, with_running_sum
+from loomgraph.sources import tables
 
 
 def both(pairs):
@@ -100,6 +101,27 @@ def test_nearest_is_the_same_in_any_blocks(spark):
         assert {(r.src, r.dst) for r in G.nearest(v, 4, block).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["clusters", "copies", "given"])
+def test_index_finds_nine_in_ten(spark, data, kind):
+    rng = np.random.default_rng(4)
+    if kind == "given":
+        v = tables.vectors(spark, data)
+    else:
+        x = rng.normal(size=(30, 16))[rng.integers(0, 30, 900)] + 0.3 * rng.normal(size=(900, 16))
+        if kind == "copies":  # a third of all rows in one list
+            x[:300] = x[0]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, e array<double>")
+    found = G.nearest_by_index(v, 8, sample=400, block=100).collect()
+    worst = {}
+    for r in G.nearest(v, 8).collect():
+        worst.setdefault(r.src, []).append(r.sim)
+    n = v.count()
+    assert len({(r.src, r.dst) for r in found}) == len(found) and all(r.src != r.dst for r in found)
+    assert sum(r.sim >= min(worst[r.src]) for r in found) >= 0.9 * 8 * n and {r.src for r in found} == set(worst)
+    assert G.nearest_by_index(v.limit(1), 8).collect() == [] == G.nearest_by_index(v.limit(0), 8).collect()
+
+
 def test_hop_tree_pads_and_avoids(spark):
     nodes = spark.createDataFrame([(0,), (3,), (99,)], "id long")
     got = {}
