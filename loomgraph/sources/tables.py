@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stash
+
 PROMPT = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -64,10 +66,9 @@ def append_answers(todo: DataFrame, path: str) -> int:
         done = spark.createDataFrame([], "question_id long")
     from ..operators.batching import not_yet_written
 
-    new = with_answer_ids(not_yet_written(todo, done.distinct()))
-    before = done.count()
+    new = stash(with_answer_ids(not_yet_written(todo, done.distinct())), "answers")  # path is read once
     new.write.mode("append").json(path)
-    return read_answers(spark, path).count() - before
+    return new.count()
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
