@@ -71,16 +71,22 @@ class Steps:
     """Tables that an operator writes on its way to its result, deleted when it is done. What a result reads later must be a stash() of its own."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._paths = spark, []
+        self.spark, self._tables = spark, []
 
     def __enter__(self) -> Steps:
         return self
 
     def written(self, df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
         path, out = _written(df, name, at_most)
-        self._paths.append(path)
+        self._tables.append((path, out))
         return out
 
+    def drop(self, table: DataFrame) -> None:
+        """Delete one of them now: nothing reads it any more."""
+        for path, own in self._tables:
+            if own is table:
+                _delete(self.spark, path)
+
     def __exit__(self, *_) -> None:
-        for path in self._paths:
+        for path, _ in self._tables:
             _delete(self.spark, path)
