@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, licenses, linededup, neardup, packing, pii, sharding, tokens, toxicity
+from . import codebooks, decontaminate, fingerprint, licenses, linededup, mixing, neardup, packing, pii, resampling, sharding, tokens, toxicity
 from .common import scratch_root, table
 
 
@@ -54,6 +54,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_tokens": op2_tokens,
@@ -65,4 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_mixing": op11_mixing,
+    "op12_codebooks": op12_codebooks,
+    "op13_resampling": op13_resampling,
 }
