@@ -1,13 +1,15 @@
 """Context subgraphs: relevance, coherence, the greedy walk, and the fixed-length sequence.
 
 Two plans give the same walks. While vectors and edges together stay below a checked size they
-are broadcast, and each center's walks run in one Arrow batch; beyond it, each step is a set of
-joins and windows over (center, walk), written after every step.
+are broadcast, and each center's walks run in one Arrow batch; beyond it, walks go on in supersteps
+over (center, walk), written after every step, and vectors stay where they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import seeded
 from ..functions.vectors import cosine, rounded
-from ..session import stash
+from ..session import Steps, own_folder, stash
 from .graph import SEED, capped_neighbors, neighbors_of
 
 PAD, STARTS, STEPS, LENGTH, BETA, THRESHOLD, SAMPLE, CAP = -500, 9, 10, 111, 0.55, 0.02, 10, 256
@@ -24,6 +26,7 @@ PAD, STARTS, STEPS, LENGTH, BETA, THRESHOLD, SAMPLE, CAP = -500, 9, 10, 111, 0.5
 FINE = 10
 #: Numbers in the broadcast graph: vectors' elements and edges. 32 million doubles are 256 MB.
 BROADCAST_NUMBERS = 32_000_000
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def relevance(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -70,28 +73,94 @@ def walks(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFram
     return walks_by_broadcast(starts, edges, vectors, coh, beta=beta, threshold=threshold, steps=steps, cap=cap, eps=eps, seed=seed)
 
 
-def walks_by_joins(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int) -> DataFrame:
-    key = ["center", "walk"]
-    here = stash(starts.select("center", F.col("walk").cast("int").alias("walk"), F.lit(0).alias("step"), F.col("id").alias("node")), "step")
-    seen, front = here, None
-    for step in range(1, steps):
-        new = here.join(edges, F.col("node") == F.col("src")).select(*key, F.col("dst").alias("id"))
-        live = here.select(*key)
-        pool = new if front is None else front.join(live, key, "left_semi").unionByName(new)
-        front = stash(pool.distinct().join(seen.select(*key, F.col("node").alias("id")), [*key, "id"], "left_anti"), "front")
-        some = front
-        if cap:
-            w = Window.partitionBy(*key).orderBy(seeded(seed, F.col("id")), "id")
-            some = front.withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).drop("r")
-        scored = some.join(relevance(some.select("center", "id").distinct(), vectors), ["center", "id"]).join(coh, "id", "left")
-        over = Window.partitionBy(*key)
-        eta = scored.withColumn("x", blend(F.col("rel"), F.coalesce("coh", F.lit(0.0)), beta)).withColumn("eta", softmax(F.col("x"), over, eps)).where(F.col("eta") > threshold)
-        pick = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("eta").desc(), "id"))
-        here = stash(eta.withColumn("r", pick).where("r = 1").select(*key, F.lit(step).alias("step"), F.col("id").alias("node")), "step")
-        if here.isEmpty():
-            break
-        seen = seen.unionByName(here)
-    return seen
+class VectorGrid:
+    """Vectors laid out once so that any pair of them meets without a shuffle of vectors.
+
+    Ids are hashed into `side` blocks; cell (i, j) of a grid holds the centers of block i and the
+    candidates of block j. Both are tables bucketed by cell: each vector is written 2 * side times
+    before the walk, and never moves again. A step sends (center, candidate) to its cell, numbers
+    only, and a number comes back.
+    """
+
+    def __init__(self, vectors: DataFrame, coh: DataFrame, side: int):
+        self.spark, self.side, self.name = vectors.sparkSession, side, f"grid_{uuid.uuid4().hex}"
+        every = F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("other")
+        center = vectors.select(F.col("id").alias("center"), F.col("e").alias("ea"), every)
+        held = vectors.select("id", F.col("e").alias("eb")).join(coh, "id", "left").select("id", "eb", F.coalesce("coh", F.lit(0.0)).alias("coh"), every)
+        self.centers = self._bucketed(center, self.cell(self.block("center"), F.col("other")), "centers", "center")
+        self.candidates = self._bucketed(held, self.cell(F.col("other"), self.block("id")), "candidates", "id")
+
+    def block(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(self.side)).cast("int")
+
+    def cell(self, i: Column, j: Column) -> Column:
+        return i * self.side + j
+
+    def _bucketed(self, rows: DataFrame, cell: Column, kind: str, key: str) -> DataFrame:
+        name, n = f"{self.name}_{kind}", self.side * self.side
+        laid = rows.withColumn("cell", cell).drop("other").repartition(n, "cell")  # as buckets are hashed: a file each
+        laid.write.bucketBy(n, "cell").sortBy("cell", key).option("path", f"{own_folder(self.spark)}/{name}").saveAsTable(name)
+        return self.spark.table(name)
+
+    def scored(self, asked: DataFrame, beta: float) -> DataFrame:
+        """asked(center, walk, id) with x, the blend of relevance and coherence."""
+        there = asked.withColumn("cell", self.cell(self.block("center"), self.block("id")))
+        met = there.join(self.centers.hint("merge"), ["cell", "center"]).join(self.candidates.hint("merge"), ["cell", "id"])
+        rel = F.greatest(F.lit(0.0), rounded(cosine(F.col("ea"), F.col("eb"))))
+        return met.select("center", "walk", "id", blend(rel, F.col("coh"), beta).alias("x"))
+
+    def __enter__(self) -> VectorGrid:
+        # A cell decides where a row goes, although joins compare more than the cell.
+        self._before = self.spark.conf.get(_CO_PARTITION)
+        self.spark.conf.set(_CO_PARTITION, "false")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(_CO_PARTITION, self._before)
+        for kind in ("centers", "candidates"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+
+
+def walks_by_joins(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int, side: int | None = None) -> DataFrame:
+    """The walks in supersteps. A walk is one row with the array of nodes it has visited, and a front of scored candidates.
+
+    A candidate is scored once a walk, in the step that finds it: only neighbours of the node just
+    reached are new. Scores are made where the vectors lie (VectorGrid, side blocks a side).
+    """
+    spark, key = starts.sparkSession, ["center", "walk"]
+    if side is None:
+        side = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    over = Window.partitionBy(*key)
+    with Steps(spark) as tables, VectorGrid(vectors, coh, side) as grid:
+        first = starts.select("center", F.col("walk").cast("int").alias("walk"), F.col("id").alias("node"))
+        here = tables.written(first.withColumn("seen", F.array("node")), "here")
+        front, before, done = None, None, [stash(first.select(*key, F.lit(0).alias("step"), "node"), "walk")]
+        for step in range(1, steps):
+            new = here.join(edges, F.col("node") == F.col("src")).where(~F.array_contains("seen", F.col("dst"))).select(*key, F.col("dst").alias("id"), F.lit(None).cast("double").alias("x"))
+            both = new if front is None else front.unionByName(new)
+            pool = tables.written(both.groupBy(*key, "id").agg(F.max("x").alias("x")), "pool")
+            state = here.select(*key, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x"), "seen")
+            scored = pool.where("x is not null").unionByName(grid.scored(pool.where("x is null"), beta)).withColumn("seen", F.lit(None).cast("array<long>")).unionByName(state)
+            chosen = F.col("id").isNotNull()
+            if cap:
+                some = Window.partitionBy(*key).orderBy(F.col("id").isNull(), seeded(seed, F.col("id")), "id")
+                scored = scored.withColumn("r", F.row_number().over(some))
+                chosen = chosen & (F.col("r") <= cap)
+            eta = softmax(F.when(chosen, F.col("x")), over, eps)
+            good = F.when(F.col("eta") > threshold, F.struct((-F.col("eta")).alias("n"), "id"))
+            picked = scored.withColumn("eta", eta).withColumn("pick", F.min(good).over(over)["id"]).withColumn("seen", F.first("seen", ignorenulls=True).over(over))
+            out = tables.written(picked.where("pick is not null and id is not null").select(*key, "id", "x", "pick", F.when(F.col("id") == F.col("pick"), F.col("seen")).alias("seen")), "step")
+            last, here = here, tables.written(out.where("id = pick").select(*key, F.col("id").alias("node"), F.concat("seen", F.array("id")).alias("seen")), "here")
+            front = out.where("id <> pick").select(*key, "id", "x")
+            tables.drop(pool)
+            tables.drop(last)
+            if before is not None:
+                tables.drop(before)
+            before = out
+            if here.isEmpty():
+                break
+            done.append(stash(here.select(*key, F.lit(step).alias("step"), "node"), "walk"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def walks_by_broadcast(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int) -> DataFrame:

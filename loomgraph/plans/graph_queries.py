@@ -407,9 +407,9 @@ def ocs_walk(spark, d):
     return _walked(spark, d)[1]
 
 
-@query("ocs_walk_joins", Q.with_(*Q.GRAPH, Q.COS, Q.NBR, Q.COH, Q.walk(0.02, steps=4)) + "SELECT center, walk, step, node FROM wk")
+@query("ocs_walk_joins", Q.with_(*Q.GRAPH, Q.COS, Q.NBR, Q.COH, Q.walk(0.02)) + "SELECT center, walk, step, node FROM wk")
 def ocs_walk_joins(spark, d):
-    return _walked(spark, d, C.walks_by_joins, beta=C.BETA, threshold=0.02, steps=4, cap=None, eps=1e-10, seed=G.SEED)[1]
+    return _walked(spark, d, C.walks_by_joins, beta=C.BETA, threshold=0.02, steps=C.STEPS, cap=None, eps=1e-10, seed=G.SEED)[1]
 
 
 @query("ocs_walk_large", Q.with_(*Q.GRAPH, Q.COS, Q.NBR, Q.DRAWS, Q.COHR, Q.walk(0.0, cap=64, eps="0.0::DOUBLE")) + "SELECT center, walk, step, node FROM wk")

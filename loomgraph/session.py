@@ -46,14 +46,15 @@ def stash(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
 
 def _written(df: DataFrame, name: str, at_most: int | None) -> tuple[str, DataFrame]:
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if at_most is not None:
         df = df.repartition(max(1, -(-at_most // FILE_ROWS)))
     df.write.parquet(path)
     return path, spark.read.schema(df.schema).parquet(path)
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes on its way; clear_scratch() deletes it."""
     return f"{scratch_root(spark)}/loomgraph/{spark.sparkContext.applicationId}"
 
 
@@ -64,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that this session has written on its way; results not yet read are lost with them."""
-    _delete(spark, _own_folder(spark))
+    _delete(spark, own_folder(spark))
 
 
 class Steps:

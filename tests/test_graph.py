@@ -187,3 +187,28 @@ def test_tree_encoding_solves_the_tree():
     m, v = G.tree_laplacian(2, 3), G.tree_encoding(2, 3)
     assert np.allclose(m @ v, v, atol=1e-6) and np.allclose(np.linalg.norm(v, axis=0), 1)
     assert G.tree_encoding(0, 4).tolist() == [[1.0]]
+
+
+def exchanges(df):
+    """What each exchange of the executed plan carries, by the plan's own listing."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    shown = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return plan, [m[1] for m in re.finditer(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", shown)]
+
+
+def test_vectors_stay_where_they_lie(spark):
+    rng = random.Random(5)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(30)], "id long, e array<double>")
+    coh = v.select("id", C.F.lit(0.25).alias("coh"))
+    asked = spark.createDataFrame([(a, w, b) for a in range(30) for w in range(2) for b in (a, (a * 7 + w) % 30)], "center long, walk int, id long")
+    with C.VectorGrid(v, coh, 3) as grid:
+        df = grid.scored(asked, 0.5)
+        plan, carried = exchanges(df)
+        assert len(carried) == 1 and "ea#" not in carried[0] and "eb#" not in carried[0], plan
+        got = {(r.center, r.id): r.x for r in df.collect()}
+    e = {r.id: np.array(r.e) for r in v.collect()}
+    for (a, b), x in got.items():
+        assert x == pytest.approx(0.125 + 0.5 * max(0.0, e[a] @ e[b] / np.linalg.norm(e[a]) / np.linalg.norm(e[b])), abs=2e-6)
+    assert len(got) == len({(r.center, r.id) for r in asked.collect()})
