@@ -3,24 +3,31 @@
 A line is a stretch of words up to a line break or a sentence's end (ASCII case and spaces do not
 count). One of over WHOLE words is broken further, after the word of the least hash of every
 NEAR neighbouring words, so that what a passage inside it is broken into depends on the passage
-but for its outermost words. From every line on, the fewest following lines that hold LEAST words
-are hashed together, and so are the last lines of a text that do: stretches so long that they are
-rare by nature, and one that is shared is a common block.
-
-For each hash that several documents hold, every later document is linked to the earliest holder,
-a star and not all pairs. Linked documents are aligned by patience diff: hashes that are single
-on both sides give the longest chain that rises in both, the gaps between its members are filled
-in the same way with what is left. Aligned stretches are deleted from the later document, and so
-are those off the chain, blocks that moved.
-
-So a later document loses exactly the stretches of LEAST words that any single earlier document
-holds as they stand. A passage of 51 words is always hit, wherever it stands: of its lines but
-the outermost 13 words at either end are the same, and that leaves 25.
+but for its outermost words.
+
+Documents that overlap are found by what is rare: from every line on, the fewest following lines
+that hold LEAST words are hashed together, and so are the last lines of a text that do. For each
+hash that several documents hold, every later document is linked to the earliest holder, a star
+and not all pairs: a frequent hash costs a link a holder, so none has to be left out.
+
+Linked documents are aligned line by line by patience diff: equal lines at either end of a
+range, then lines that are single in it on both sides, of which the longest chain that rises in
+both splits the range into gaps that are aligned in the same way. Aligned lines that follow one
+another on both sides are a common block. What is deleted from the later document is
+
+* every aligned block of BLOCK words or more,
+* and, off the alignment, stretches of LEAST words that the other document holds elsewhere:
+  blocks that moved.
+
+A passage of 51 words is always hit, wherever it stands: of its lines but the outermost 13 words
+at either end are the same, and that leaves 25. An aligned line of BLOCK words goes only between
+documents that share such a stretch; elsewhere a short line says little, and stays.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +40,14 @@ from .arrow import slices, small_batches
 from .common import Steps, fresh, stash
 from .shingles import SPACED, mix, powers, spans_and_sums
 
-#: Words of a stretch that is compared and of a block that is deleted, at least.
+#: Words of a stretch by which documents are linked, and of a block that moved, at least.
 LEAST = 25
+#: Words of an aligned block that is deleted, at least.
+BLOCK = 8
 #: Words of a line that is not broken, at most, and the neighbours of which one ends a piece of a longer one.
 WHOLE, NEAR = 14, 7
 #: A later document with this share of its words deleted, and nowhere LEAST words left together, is a copy and goes as a whole.
 COPY = 0.8
-#: Bits of an anchor's number of words, and of whether its document holds it once, below those of its first word.
-SIZE_BITS, ONCE_BITS = 8, 1
 #: Hashes with their holders that are broadcast at most: 200,000 are some 10 MB.
 BROADCAST_HASHES = 200_000
 _STOP = np.zeros(256, bool)
@@ -74,22 +81,27 @@ class Lines:
         self.first = np.r_[0, self.end[:-1]]
         self.owner = owner[self.first]
 
-    def anchors(self, least: int = LEAST) -> tuple[np.ndarray, ...]:
-        """hash, first word (in all texts), words and text of every stretch that is compared."""
-        if len(self.first) == 0:
-            return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
-        at = np.minimum(np.searchsorted(self.end, self.first + least), len(self.end) - 1)
-        fits = (self.end[at] - self.first >= least) & (self.owner[at] == self.owner)
-        begin, end = self.first[fits], self.end[at][fits]
-        full = np.flatnonzero(self.count >= least)  # the last lines of these
-        done = self.before[full] + self.count[full]
-        begin, end = np.r_[begin, self.first[np.searchsorted(self.first, done - least, side="right") - 1]], np.r_[end, done]
-        key = np.unique(begin << SIZE_BITS | (end - begin))  # the two may be the same
-        begin, end = key >> SIZE_BITS, (key >> SIZE_BITS) + (key & ((1 << SIZE_BITS) - 1))
+    def _hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of words begin to end, as signed numbers, never 0."""
         power, inverse = powers(len(self.word) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * power[: len(self.word)], dtype=np.uint64)])
-        h = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-        return h, begin, end - begin, np.searchsorted(self.before + self.count, begin, side="right")
+        h = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+        return np.where(h == 0, 1, h)
+
+    def index(self, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each line: hash, words, and hash of the stretch that begins with it, 0 if none does; of each text: how many lines, and the hash of its last stretch."""
+        n, last = np.zeros(self.texts, np.int64), np.zeros(self.texts, np.int64)
+        if len(self.first) == 0:
+            return *(np.zeros(0, np.int64) for _ in range(3)), n, last
+        n += np.bincount(self.owner, minlength=self.texts)
+        close = np.minimum(np.searchsorted(self.end, self.first + least), len(self.end) - 1)
+        fits = (self.end[close] - self.first >= least) & (self.owner[close] == self.owner)
+        stretch = np.zeros(len(self.first), np.int64)
+        stretch[fits] = self._hash(self.first[fits], self.end[close][fits])
+        full = np.flatnonzero(self.count >= least)
+        done = self.before[full] + self.count[full]
+        last[full] = self._hash(self.first[np.searchsorted(self.first, done - least, side="right") - 1], done)
+        return self._hash(self.first, self.end), self.end - self.first, stretch, n, last
 
 
 def without(text: bytes, start: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
@@ -136,24 +148,59 @@ def increasing(b: list[int], a: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(b: list[int], a: list[int], single: list[bool]) -> list[int]:
-    """Indices of matches (b[i], a[i]), given by rising b, that align: single ones first, the rest in the gaps."""
-    if all(single) and all(x < y for x, y in zip(a, a[1:])) and all(x < y for x, y in zip(b, b[1:])):
-        return list(range(len(b)))
-    lone = [i for i in range(len(b)) if single[i]]
-    chain = [lone[k] for k in increasing([b[i] for i in lone], [a[i] for i in lone])]
-    if len(chain) == len(b):
-        return chain
-    out, low = [], -1
-    for right in [*chain, None]:
-        left = out[-1] if out else None
-        hi = right if right is not None else len(b)
-        gap = [i for i in range(low + 1, hi) if not single[i] and (left is None or (b[i] > b[left] and a[i] > a[left])) and (right is None or (b[i] < b[right] and a[i] < a[right]))]
-        out += [gap[k] for k in increasing([b[i] for i in gap], [a[i] for i in gap])]
-        if right is not None:
-            out.append(right)
-            low = right
-    return out
+def patience(b: list[int], a: list[int]) -> list[tuple[int, int]]:
+    """Places (i, j) of equal lines that align, rising in both."""
+    out, ranges = [], [(0, len(b), 0, len(a))]
+    while ranges:
+        b0, b1, a0, a1 = ranges.pop()
+        while b0 < b1 and a0 < a1 and b[b0] == a[a0]:
+            out.append((b0, a0))
+            b0, a0 = b0 + 1, a0 + 1
+        while b0 < b1 and a0 < a1 and b[b1 - 1] == a[a1 - 1]:
+            b1, a1 = b1 - 1, a1 - 1
+            out.append((b1, a1))
+        if b0 == b1 or a0 == a1:
+            continue
+        often, other = Counter(b[b0:b1]), Counter(a[a0:a1])
+        at = {h: j for j, h in enumerate(a[a0:a1], a0) if other[h] == 1}
+        lone = [(i, at[h]) for i, h in enumerate(b[b0:b1], b0) if often[h] == 1 and h in at]
+        chain = [lone[k] for k in increasing([i for i, _ in lone], [j for _, j in lone])]
+        for (i, j), (k, m) in zip([(b0 - 1, a0 - 1), *chain], [*chain, (b1, a1)]):
+            if chain and k - i > 1 and m - j > 1:
+                ranges.append((i + 1, k, j + 1, m))
+        out += chain
+    return sorted(out)
+
+
+def common(b: list[int], size: list[int], b_stretch: list[int], a: list[int], a_stretch: set[int], least: int = LEAST, block: int = BLOCK) -> tuple[list[int], list[int], int]:
+    """Spans of words of b to delete, first word and the one after the last, and how many of its stretches moved."""
+    at = [0]
+    for n in size:
+        at.append(at[-1] + n)
+    starts, ends, gone = [], [], [False] * len(b)
+    run: list[tuple[int, int]] = []
+    for pair in [*patience(b, a), (-1, -1)]:
+        if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
+            first, last = run[0][0], run[-1][0]
+            if at[last + 1] - at[first] >= block:
+                starts.append(at[first])
+                ends.append(at[last + 1])
+                gone[first : last + 1] = [True] * (last + 1 - first)
+            run = []
+        run.append(pair)
+    moved = 0
+    for i, h in enumerate(b_stretch):
+        if h == 0 or h not in a_stretch:
+            continue
+        if i < len(b):  # the fewest lines from here on that hold least words
+            begin, close = i, bisect_left(at, at[i] + least)
+        else:  # the last lines that do
+            begin, close = bisect_left(at, at[-1] - least + 1) - 1, len(b)
+        if not all(gone[begin:close]):
+            moved += 1
+            starts.append(at[begin])
+            ends.append(at[close])
+    return starts, ends, moved
 
 
 # -- on tables ------------------------------------------------------------------------------
@@ -172,114 +219,70 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(order.alias("ord"), row.alias("row"), F.col("text").alias("text"))
 
 
-def packed(begin, size, single):
-    """An anchor's place and what it says of it, in one number: narrow rows shuffle and sort faster."""
-    return begin << (SIZE_BITS + ONCE_BITS) | np.minimum(size, (1 << SIZE_BITS) - 1) << ONCE_BITS | single
-
-
-def unpacked(info):
-    """First word, word after the last, whether it is single."""
-    begin = info >> (SIZE_BITS + ONCE_BITS)
-    return begin, begin + (info >> ONCE_BITS & ((1 << SIZE_BITS) - 1)), (info & 1).astype(bool)
-
-
-def anchor_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h, ord, row, info) of every anchor of every text; least is below 240, so that a size fits its bits."""
-    if least + WHOLE >= 1 << SIZE_BITS:
-        raise ValueError(f"least must be below {(1 << SIZE_BITS) - WHOLE}")
+def index_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(ord, row, lines, sizes, stretches) of every text: hash and words of each line, and the hash of the stretch from it on, 0 if there is none; one more stretch is the text's last."""
     keyed = _keyed(docs)
-    schema = T.StructType([T.StructField("h", T.LongType()), keyed.schema["ord"], T.StructField("row", T.LongType()), T.StructField("info", T.LongType())])
+    long = T.ArrayType(T.LongType())
+    schema = T.StructType([keyed.schema["ord"], T.StructField("row", T.LongType()), T.StructField("lines", long), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("stretches", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lines = Lines([(t or "").encode() for t in batch.column("text").to_pylist()])
-            h, begin, size, owner = lines.anchors(least)
-            if len(h) == 0:
-                continue
-            order = np.lexsort((h, owner))
-            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
-            times = np.diff(np.r_[np.flatnonzero(new), len(h)])
-            single = np.empty(len(h), np.int64)
-            single[order] = np.repeat(times == 1, times)
-            info = packed(begin - lines.before[owner], size, single)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("ord").take(pa.array(owner)), batch.column("row").take(pa.array(owner)), pa.array(info)], names=schema.names)
+            line, size, stretch, n, last = Lines([(t or "").encode() for t in batch.column("text").to_pylist()]).index(least)
+            ends = np.cumsum(n)
+            listed = lambda values, stops: pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("row"), listed(line, ends), listed(size.astype(np.int32), ends), listed(np.insert(stretch, ends, last), ends + np.arange(1, len(n) + 1))], names=schema.names)
 
     small_batches(docs.sparkSession)
     return keyed.mapInArrow(run, schema)
 
 
-def deletions(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, ord, spans, moved): spans of words to delete from later documents, each held by an earlier one, and how many stretches stand off the chain.
+def deletions(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """(row, ord, starts, ends, moved): spans of words to delete from later documents, each held by an earlier one, and how many stretches stand off the alignment.
 
-    An earlier document may lose a stretch itself, to one before it, so every word stays with
-    the earliest document that holds its stretch.
+    An earlier document may lose a block itself, to one before it, so every word stays with
+    the earliest document that holds it. Spans may overlap.
     """
     with Steps(docs.sparkSession) as steps:
-        anchors = steps.written(anchor_table(docs, least), "anchors")
-        holders = anchors.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
-        met = steps.written(anchors.join(_small(steps.written(holders, "holders")), F.col("h") == F.col("sh")).select("h", "ord", "row", "info", "first"), "met")
-        places = met.where("ord = first").groupBy("h").agg(F.min("info").alias("a_info")).select(F.col("h").alias("sh"), "a_info")
-        pairs = met.where("ord > first").join(_small(steps.written(places, "places")), F.col("h") == F.col("sh")).select("row", "ord", "first", "info", "a_info")
-        return stash(_aligned(pairs), "spans")
+        index = steps.written(index_table(docs, least), "index")
+        each = index.select("ord", "row", F.explode("stretches").alias("h")).where("h <> 0")
+        holders = each.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
+        met = steps.written(each.join(_small(steps.written(holders, "holders")), F.col("h") == F.col("sh")).select("h", "ord", "row", "first"), "met")
+        places = met.where("ord = first").groupBy("h").agg(F.min("row").alias("held")).select(F.col("h").alias("sh"), "held")
+        linked = met.where("ord > first").join(_small(steps.written(places, "places")), F.col("h") == F.col("sh"))
+        pairs = steps.written(linked.select("row", "ord", "first", "held").distinct(), "pairs")
+        # Rows that are repeated with their id are one row here.
+        later = index.join(_small(pairs.select("row", "ord").distinct()), ["row", "ord"], "left_semi").dropDuplicates(["row", "ord"])
+        other = index.select(F.col("ord").alias("first"), F.col("row").alias("held"), F.col("lines").alias("a_lines"), F.col("stretches").alias("a_stretches"))
+        earlier = other.join(_small(pairs.select("first", "held").distinct()), ["first", "held"], "left_semi").dropDuplicates(["first", "held"])
+        both = pairs.join(steps.written(later, "later"), ["row", "ord"]).join(steps.written(earlier, "earlier"), ["first", "held"])
+        found = steps.written(_aligned(both, least, block), "aligned")
+        return stash(found.groupBy("row", "ord").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.sum("moved").cast("int").alias("moved")), "spans")
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, a written table, for a broadcast if it is small. If not, both sides of a join with it shuffle, so that adaptive execution can split a hash that very many documents share."""
+    """df for a broadcast if it is small. If not, both sides of a join with it shuffle, so that adaptive execution can split a hash that very many documents share."""
     return F.broadcast(df) if df.count() <= BROADCAST_HASHES else df
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
-    """(row, ord, spans, moved) from the anchors that documents share with their holders."""
-    pairs = pairs.repartition("row", "ord").sortWithinPartitions("row", "ord", "first")
+def _aligned(both: DataFrame, least: int, block: int) -> DataFrame:
+    """(row, ord, starts, ends, moved) of every pair of linked documents."""
     spans = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("row", T.LongType()), pairs.schema["ord"], T.StructField("starts", spans), T.StructField("ends", spans), T.StructField("moved", T.IntegerType())])
-
-    def done(row, order, parts):
-        first, info, a_info = (np.concatenate(x) for x in zip(*parts))
-        begin, end, single = unpacked(info)
-        a_begin, _, a_single = unpacked(a_info)
-        single &= a_single
-        moved, cuts = 0, [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
-        for x, y in zip(cuts, cuts[1:]):
-            at = x + np.argsort(begin[x:y], kind="stable")
-            moved += y - x - len(patience(begin[at].tolist(), a_begin[at].tolist(), single[at].tolist()))
-        starts, ends = united(begin, end)
-        return row, order, starts, ends, moved
-
-    def batch_of(rows) -> pa.RecordBatch:
-        kinds = [pa.int64(), order_kind[0], pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
-
-    order_kind = [pa.int64() if isinstance(pairs.schema["ord"].dataType, T.LongType) else pa.string()]
+    schema = T.StructType([T.StructField("row", T.LongType()), both.schema["ord"], T.StructField("starts", spans), T.StructField("ends", spans), T.StructField("moved", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, out = None, [], []
         for batch in batches:
-            row, order, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "ord", "first", "info", "a_info"))
-            cuts = [0, *(np.flatnonzero((row[1:] != row[:-1]) | (order[1:] != order[:-1])) + 1).tolist(), len(row)]
-            for x, y in zip(cuts, cuts[1:]):
-                if x == y:
-                    continue
-                if key is not None and key != (row[x], order[x]):
-                    out.append(done(*key, parts))
-                    parts = []
-                key = (row[x], order[x])
-                parts.append([c[x:y] for c in rest])
-            if len(out) > 5000:
-                yield batch_of(out)
-                out = []
-        if key is not None:
-            out.append(done(*key, parts))
-        if out:
-            yield batch_of(out)
-
-    return pairs.mapInArrow(run, schema)
-
-
-def _joined(docs: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+            columns = (batch.column(c).to_pylist() for c in ("lines", "sizes", "stretches", "a_lines", "a_stretches"))
+            found = [common(b, size, b_stretch, a, set(a_stretch), least, block) for b, size, b_stretch, a, a_stretch in zip(*columns)]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ord"), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=schema.names)
+
+    return both.select("row", "ord", "lines", "sizes", "stretches", "a_lines", "a_stretches").mapInArrow(run, schema)
+
+
+def _joined(docs: DataFrame, least: int, block: int) -> tuple[DataFrame, list[str]]:
     """docs with the spans to delete, and the names of their columns: starts, ends, moved."""
     row_name, ord_name, *names = fresh(docs, "row", "ord", "starts", "ends", "moved")
-    gone = deletions(docs, least).toDF(row_name, ord_name, *names)
+    gone = deletions(docs, least, block).toDF(row_name, ord_name, *names)
     order, row = _identity(docs)
     return docs.join(gone, (row == F.col(row_name)) & (order == F.col(ord_name)), "left").drop(row_name, ord_name), names
 
@@ -290,16 +293,17 @@ class Cut:
     def __init__(self, text: str | None, starts: list[int] | None, ends: list[int] | None, least: int = LEAST, copy: float = COPY):
         raw = (text or "").encode()
         if not starts:
-            self.text, self.words, self.gone, self.copy = text, len(raw.split()), 0, False
+            self.text, self.words, self.blocks, self.gone, self.copy = text, len(raw.split()), 0, 0, False
             return
+        starts, ends = (x.tolist() for x in united(np.array(starts), np.array(ends)))
         at = spans_and_sums([raw], SPACED)[0]
         self.text, self.words = without(raw, at, list(zip(starts, ends))).decode(), len(at)
-        self.gone = sum(ends) - sum(starts)
+        self.blocks, self.gone = len(starts), sum(ends) - sum(starts)
         left = [b - a for a, b in zip([0, *ends], [*starts, self.words])]
         self.copy = self.gone >= copy * self.words and max(left) < least
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, block: int = BLOCK, copy: float = COPY) -> DataFrame:
     """docs with common blocks deleted from later documents; documents that are nothing but copies go.
 
     A copy has lost four fifths of its words and has nowhere least words left together: what
@@ -307,29 +311,39 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> Data
     where docs has it, follows the new text. Documents are ordered by doc_id, as strings if
     it is one, null ids last; rows that share an id, or have none, count as one document,
     between which nothing is deleted. Null and empty texts, and those of fewer than least
-    words, stay. Other columns may have any names.
+    words, stay; repeated rows are each cut alike. Other columns may have any names, but none
+    may be repeated.
     """
     names = list(docs.columns)
-    joined, (starts, ends, _) = _joined(docs, least)
-    changed, schema = joined.where(F.col(starts).isNotNull()), docs.schema
+    joined, (starts, ends, _) = _joined(docs, least, block)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    at = {c: i for i, c in enumerate(names)}
+    # Columns go by number through Python: a name may hold a dot.
+    both = joined.where(F.col(starts).isNotNull()).select(*(F.col(f"`{c}`") for c in names), starts, ends).toDF(*schema.names, "starts", "ends")
+    text, n_chars = at["text"], at.get("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cuts = [Cut(*x, least, copy) for x in zip(*(batch.column(c).to_pylist() for c in ("text", starts, ends)))]
+        for batch in slices(batches, f"c{text}"):
+            cuts = [Cut(*x, least, copy) for x in zip(*(batch.column(c).to_pylist() for c in (f"c{text}", "starts", "ends")))]
             kept = batch.take(pa.array([i for i, c in enumerate(cuts) if not c.copy], pa.int64()))
             new = [c.text for c in cuts if not c.copy]
-            columns = {c: kept.column(c) for c in names} | {"text": pa.array(new, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in new]).cast(kept.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            columns = [kept.column(c) for c in schema.names]
+            columns[text] = pa.array(new, pa.string())
+            if n_chars is not None:
+                columns[n_chars] = pa.array([len(t) for t in new]).cast(columns[n_chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    untouched = joined.where(F.col(starts).isNull()).select(*names)
-    return untouched.unionByName(changed.mapInArrow(run, schema))
+    untouched = joined.where(F.col(starts).isNull()).select(*(F.col(f"`{c}`") for c in names))
+    return untouched.union(both.mapInArrow(run, schema).toDF(*names))
 
 
-def line_report(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> DataFrame:
-    """One row per row of docs: its words, blocks and words deleted, stretches that moved, whether it is a copy, and the cleaned text's length and hash."""
-    joined, (starts, ends, moved) = _joined(docs.select("doc_id", "text"), least)
+def line_report(docs: DataFrame, least: int = LEAST, block: int = BLOCK, copy: float = COPY) -> DataFrame:
+    """One row per row of docs: its words, blocks and words deleted, stretches that moved, whether it is a copy, and the cleaned text's length and hash.
+
+    The rules are dedup_lines()'s. A null or empty text has no words and the hash of an empty one;
+    repeated rows and null ids keep a row each; an empty table gives none.
+    """
+    joined, (starts, ends, moved) = _joined(docs.select("doc_id", "text"), least, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -339,7 +353,7 @@ def line_report(docs: DataFrame, least: int = LEAST, copy: float = COPY) -> Data
             for d, t, s, e, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", starts, ends, moved))):
                 cut = Cut(t, s, e, least, copy)
                 clean = cut.text or ""
-                out.append((d, cut.words, len(s or ()), cut.gone, m or 0, cut.copy, len(clean), hashlib.sha256(clean.encode()).hexdigest()))
+                out.append((d, cut.words, cut.blocks, cut.gone, m or 0, cut.copy, len(clean), hashlib.sha256(clean.encode()).hexdigest()))
             kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=schema.names)
 

@@ -55,18 +55,57 @@ def plain_stretches(t, least=D.LEAST):
     return [(b, e, tuple(words[b:e])) for b, e in sorted(out)]
 
 
-def plain_dedup(given, least=D.LEAST, copy=D.COPY):
-    """id -> (words left, words, words lost, whether a copy), of texts by id: every pair of documents is held together."""
+def longest_rise(pairs):
+    """A longest chain of pairs that rises in both, of several the one that table look-up finds; pairs come by rising b."""
+    best = []
+    for k, (_, j) in enumerate(pairs):
+        before = max((best[m] for m in range(k) if pairs[m][1] < j), key=len, default=[])
+        best.append([*before, pairs[k]])
+    return max(map(len, best), default=0)
+
+
+def plain_align(b, a, b0=0, a0=0):
+    """Patience diff by recursion; where several longest chains are possible, the operator's own choice."""
+    out = []
+    while b and a and b[0] == a[0]:
+        out.append((b0, a0))
+        b, a, b0, a0 = b[1:], a[1:], b0 + 1, a0 + 1
+    while b and a and b[-1] == a[-1]:
+        b, a = b[:-1], a[:-1]
+        out.append((b0 + len(b), a0 + len(a)))
+    lone = [(i, a.index(x)) for i, x in enumerate(b) if b.count(x) == 1 and a.count(x) == 1]
+    chain = [lone[k] for k in D.increasing([i for i, _ in lone], [j for _, j in lone])]
+    assert len(chain) == longest_rise(lone)
+    if chain:
+        for (i, j), (k, m) in zip([(-1, -1), *chain], [*chain, (len(b), len(a))]):
+            out += plain_align(b[i + 1 : k], a[j + 1 : m], b0 + i + 1, a0 + j + 1)
+        out += [(b0 + i, a0 + j) for i, j in chain]
+    return sorted(out)
+
+
+def plain_dedup(given, least=D.LEAST, block=D.BLOCK, copy=D.COPY):
+    """id -> (words left, words, words lost, whether a copy), of texts by id: documents are linked by comparing all words, and aligned anew."""
     out, earlier = {}, []
     for i in sorted(given):
+        lines = [tuple(x) for x in plain_lines(given[i] or "")]
+        at = np.cumsum([0, *map(len, lines)]).tolist()
         own, lost = plain_stretches(given[i] or "", least), set()
-        for b, e, words in own:
-            if any(words in old for old in earlier):
-                lost |= set(range(b, e))
+        linked = {first for _, _, words in own if (first := next((k for k, old in enumerate(earlier) if words in old[1]), None)) is not None}
+        for k in linked:
+            for b, e, words in own:
+                if words in earlier[k][1]:
+                    lost |= set(range(b, e))
+            run = []
+            for pair in [*plain_align(lines, earlier[k][0]), None]:
+                if run and (pair is None or (pair[0] - run[-1][0], pair[1] - run[-1][1]) != (1, 1)):
+                    if at[run[-1][0] + 1] - at[run[0][0]] >= block:
+                        lost |= set(range(at[run[0][0]], at[run[-1][0] + 1]))
+                    run = []
+                run.append(pair)
         words = (given[i] or "").encode().lower().split()
         runs = "".join("x" if k in lost else "." for k in range(len(words))).split("x")
         out[i] = ([w for k, w in enumerate(words) if k not in lost], len(words), len(lost), bool(lost) and len(lost) >= copy * len(words) and max(map(len, runs)) < least)
-        earlier.append({x[2] for x in own})
+        earlier.append((lines, {x[2] for x in own}))
     return out
 
 
@@ -106,12 +145,19 @@ def test_lines_follow_the_plain_rule():
     lines = D.Lines([t.encode() for t in given])
     want = [(i, len(x)) for i, t in enumerate(given) for x in plain_lines(t)]
     assert list(zip(lines.owner.tolist(), (lines.end - lines.first).tolist())) == want
-    h, begin, size, owner = lines.anchors()
-    want = [(i, b, e - b) for i, t in enumerate(given) for b, e, _ in plain_stretches(t)]
-    assert sorted(zip(owner.tolist(), (begin - lines.before[owner]).tolist(), size.tolist())) == want
+    line, size, stretch, n, last = lines.index()
+    assert n.tolist() == [len(plain_lines(t)) for t in given] and size.tolist() == [len(x) for t in given for x in plain_lines(t)]
+    by = {}
+    for h, x in zip(line.tolist(), [tuple(x) for t in given for x in plain_lines(t)]):
+        assert by.setdefault(h, x) == x
+    for i, t in enumerate(given):
+        own, begins = plain_stretches(t), np.cumsum([0, *map(len, plain_lines(t))]).tolist()
+        there = stretch[n[:i].sum() : n[: i + 1].sum()]
+        assert {begins[k] for k in np.flatnonzero(there)} == {b for b, e, _ in own if e == next(x for x in begins if x - b >= D.LEAST)}
+        assert (last[i] != 0) == bool(own)
     assert D.without(b"One two. Three\nfour! five", np.array([0, 4, 9, 15, 21]), [(1, 3), (4, 5)]) == b"One four! "
     b, a = D.Lines([b"A b  c. " * 9]), D.Lines([b"x y. \na B\tC." + b" a b c." * 8])
-    assert set(b.anchors()[0].tolist()) <= set(a.anchors()[0].tolist())
+    assert set(b.index()[2].tolist()) - {0} <= set(a.index()[2].tolist()) and b.index()[0][0] == a.index()[0][1]
 
 
 def test_united():
@@ -132,15 +178,34 @@ def test_increasing_is_longest():
                 best = max(best, len(s))
         got = D.increasing(b, a)
         assert len(got) == best and all(b[i] < b[j] and a[i] < a[j] for i, j in zip(got, got[1:]))
-        single = [b.count(b[i]) == 1 and a.count(a[i]) == 1 for i in range(n)]
-        chain = D.patience(b, a, single)
-        assert all(b[i] < b[j] and a[i] < a[j] for i, j in zip(chain, chain[1:]))
+        x, y = [rng.randrange(9) for _ in range(rng.randrange(15))], [rng.randrange(9) for _ in range(rng.randrange(15))]
+        chain = D.patience(x, y)
+        assert chain == plain_align(x, y) and all(x[i] == y[j] for i, j in chain)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(chain, chain[1:]))
 
 
 def test_many_repeats_take_little_time():
     n = 20_000
-    assert len(D.patience(list(range(n)), [0] * n, [False] * n)) == 1
-    assert len(D.patience(list(range(n)), list(range(n)), [True] * n)) == n
+    assert len(D.patience([7] * n, [7] * (n - 5))) == n - 5
+    assert len(D.patience(list(range(n)), list(range(n)))) == n
+    assert D.patience(list(range(n)), list(range(n, 0, -1))) != []
+
+
+def test_alignment_decides_what_goes(spark, monkeypatch):
+    """A short line goes where it aligns, between documents that share a stretch, and stays where it does not."""
+    rng = random.Random(12)
+    passage, line, other = prose(rng, 9), sentence(rng, 10), sentence(rng, 10)
+    own = [sentence(rng, 12) for _ in range(6)]
+    given = {1: " ".join([line, own[0], passage, other, own[1]]), 2: " ".join([own[2], line, own[3], passage, own[4], other]), 3: " ".join([other, passage, own[5], line]), 4: line + " " + own[5] + " " + other}
+    got = check(spark, given)
+    assert line not in got[2].text and other not in got[2].text and passage not in got[2].text
+    assert line in got[3].text and other in got[3].text and passage not in got[3].text
+    assert got[4].text == given[4]
+    size = [10, 30, 10]
+    spans = lambda: D.common([1, 2, 3], size, [0, 9, 0, 0], [1, 2, 5, 3], {9})
+    assert spans() == ([0, 40], [40, 50], 0)
+    monkeypatch.setattr(D, "patience", lambda b, a: [])
+    assert spans() == ([10], [40], 1)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -234,7 +299,7 @@ def test_string_ids_are_ordered_as_strings(spark):
 def test_other_columns_may_have_any_names(spark):
     rng = random.Random(8)
     p = prose(rng, 12)
-    rows = spark.createDataFrame([(1, p), (2, prose(rng, 9) + "\n" + p)], "doc_id long, text string").select("*", *(F.lit(7).alias(c) for c in ("row", "ord", "starts", "ENDS", "moved", "h", "info", "first", "__row", "__gone", "starts_")))
+    rows = spark.createDataFrame([(1, p), (2, prose(rng, 9) + "\n" + p)], "doc_id long, text string").select("*", *(F.lit(7).alias(c) for c in ("row", "ord", "starts", "ENDS", "moved", "h", "info", "first", "__row", "__gone", "starts_", "a.b", "c0", "lines")))
     out = D.dedup_lines(rows)
     got = {r.doc_id: r for r in out.collect()}
     assert out.columns == rows.columns and p not in got[2].text and all(v == 7 for v in got[2][2:])
