@@ -7,7 +7,6 @@ over (center, walk), written after every step, and vectors stay where they are.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import seeded
 from ..functions.vectors import cosine, rounded
-from ..session import Steps, own_folder, stash
+from ..session import Steps, bucketed, stash
 from .graph import SEED, capped_neighbors, neighbors_of
 
 PAD, STARTS, STEPS, LENGTH, BETA, THRESHOLD, SAMPLE, CAP = -500, 9, 10, 111, 0.55, 0.02, 10, 256
@@ -83,12 +82,14 @@ class VectorGrid:
     """
 
     def __init__(self, vectors: DataFrame, coh: DataFrame, side: int):
-        self.spark, self.side, self.name = vectors.sparkSession, side, f"grid_{uuid.uuid4().hex}"
+        self.spark, self.side, n = vectors.sparkSession, side, side * side
         every = F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("other")
         center = vectors.select(F.col("id").alias("center"), F.col("e").alias("ea"), every)
         held = vectors.select("id", F.col("e").alias("eb")).join(coh, "id", "left").select("id", "eb", F.coalesce("coh", F.lit(0.0)).alias("coh"), every)
-        self.centers = self._bucketed(center, self.cell(self.block("center"), F.col("other")), "centers", "center")
-        self.candidates = self._bucketed(held, self.cell(F.col("other"), self.block("id")), "candidates", "id")
+        laid = lambda df, i, j: df.withColumn("cell", self.cell(i, j)).drop("other")
+        one, self.centers = bucketed(laid(center, self.block("center"), F.col("other")), "cell", n, "centers", "center")
+        two, self.candidates = bucketed(laid(held, F.col("other"), self.block("id")), "cell", n, "candidates", "id")
+        self.tables = (one, two)
 
     def block(self, name: str) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(self.side)).cast("int")
@@ -96,12 +97,6 @@ class VectorGrid:
     def cell(self, i: Column, j: Column) -> Column:
         return i * self.side + j
 
-    def _bucketed(self, rows: DataFrame, cell: Column, kind: str, key: str) -> DataFrame:
-        name, n = f"{self.name}_{kind}", self.side * self.side
-        laid = rows.withColumn("cell", cell).drop("other").repartition(n, "cell")  # as buckets are hashed: a file each
-        laid.write.bucketBy(n, "cell").sortBy("cell", key).option("path", f"{own_folder(self.spark)}/{name}").saveAsTable(name)
-        return self.spark.table(name)
-
     def scored(self, asked: DataFrame, beta: float) -> DataFrame:
         """asked(center, walk, id) with x, the blend of relevance and coherence."""
         there = asked.withColumn("cell", self.cell(self.block("center"), self.block("id")))
@@ -117,8 +112,8 @@ class VectorGrid:
 
     def __exit__(self, *_) -> None:
         self.spark.conf.set(_CO_PARTITION, self._before)
-        for kind in ("centers", "candidates"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def walks_by_joins(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int, side: int | None = None) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
 from ..functions.vectors import group_sums
-from ..session import stash
+from ..session import bucketed, stash
 from .order import with_index, with_running_sum
 
 SEED = 42
@@ -216,6 +218,20 @@ def walks2(edges: DataFrame) -> DataFrame:
     return e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
 
 
+def _closed_edges(e: DataFrame) -> DataFrame:
+    """Edges that a walk of two closes: those of a triangle whose two other edges run the right way, and those that a loop closes."""
+    t = _closed(stash(oriented(e), "oriented"))
+    ways = [F.struct(F.col(x).alias("src"), F.col(m).alias("mid"), F.col(y).alias("dst")) for x, m, y in itertools.permutations("uvw")]
+    way = t.select(F.explode(F.array(*ways)).alias("t")).select("t.*")
+    for x, y in (("src", "dst"), ("src", "mid"), ("mid", "dst")):
+        way = way.join(e.select(F.col("src").alias(x), F.col("dst").alias(y)), [x, y], "left_semi")
+    loops = e.where("src = dst").select(F.col("src").alias("at"))
+    open_ = e.where("src <> dst")
+    beside = open_.join(loops, F.col("src") == F.col("at"), "left_semi").unionByName(open_.join(loops, F.col("dst") == F.col("at"), "left_semi"))
+    # A loop closes itself.
+    return way.select("src", "dst").unionByName(beside).unionByName(e.where("src = dst")).distinct()
+
+
 def motif(edges: DataFrame, name: str) -> DataFrame:
     """Walk dialect: edge keeps duplicates; triangle and 4-cycle are edges that a walk of two or three closes; 4-clique are ends of both a walk of two and of three, adjacent or not."""
     if name == "edge":
@@ -223,9 +239,7 @@ def motif(edges: DataFrame, name: str) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     into = e.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
     if name == "triangle":
-        out = e.select(F.col("src").alias("s"), F.col("dst").alias("mid"))
-        wide = e.join(out, F.col("src") == F.col("s")).drop("s")
-        return wide.join(into, (wide["mid"] == into["mid"]) & (wide["dst"] == into["end"]), "left_semi").select("src", "dst").distinct()
+        return _closed_edges(e)
     two = walks2(e)
     if name == "4-cycle":
         before = e.select(F.col("src").alias("mid"), F.col("dst").alias("d"))
@@ -238,32 +252,67 @@ def motif(edges: DataFrame, name: str) -> DataFrame:
     raise ValueError(name)
 
 
-def _upward(edges: DataFrame) -> DataFrame:
-    """Each undirected edge once, from the smaller id; loops out."""
-    return symmetrize(edges).where("src < dst")
+def oriented(edges: DataFrame) -> DataFrame:
+    """(lo, hi, hi_degree): each undirected edge once, from its end of lower degree to the other, ties by id; loops out.
+
+    No node has more than the root of twice the edges above it, whatever its degree: a hub's
+    leaves point to it, and it points to none of them.
+    """
+    both = symmetrize(edges).where("src <> dst")
+    d = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    a, b = d.toDF("src", "d1"), d.toDF("dst", "d2")
+    ranked = both.join(a, "src").join(b, "dst")
+    return ranked.where("d1 < d2 or (d1 = d2 and src < dst)").select(F.col("src").alias("lo"), F.col("dst").alias("hi"), F.col("d2").alias("hi_degree"))
+
+
+def _closed(e: DataFrame) -> DataFrame:
+    """(u, v, w): the triangles of oriented edges, u the lowest, w the highest."""
+    uv, vw, uw = (e.select(F.col("lo").alias(x), F.col("hi").alias(y)) for x, y in ("uv", "vw", "uw"))
+    # Both edges out of u: as many wedges as its edges upward, squared.
+    above = uv.join(uw, "u").where("v <> w")
+    return above.join(vw, ["v", "w"], "left_semi").select("u", "v", "w")
+
+
+def _named(df: DataFrame, *by: str) -> DataFrame:
+    """Members in rising order, as a, b, c and so on."""
+    order = F.array_sort(F.array(*by))
+    return df.select(*(F.get(order, F.lit(i)).alias("abcd"[i]) for i in range(len(by))))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), a < b < c, each once."""
-    e = stash(_upward(edges), "upward")
-    ab, bc, ac = e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")
-    return ab.join(bc, "b").join(ac, ["a", "c"], "left_semi").select("a", "b", "c")
+    return _named(_closed(stash(oriented(edges), "oriented")), "u", "v", "w")
 
 
 def cliques4(edges: DataFrame) -> DataFrame:
     """(a, b, c, d), a < b < c < d, each once."""
-    e = stash(_upward(edges), "upward")
-    t = triangles(edges)
-    cd, ad, bd = e.toDF("c", "d"), e.toDF("a", "d"), e.toDF("b", "d")
-    return t.join(cd, "c").join(ad, ["a", "d"], "left_semi").join(bd, ["b", "d"], "left_semi").select("a", "b", "c", "d")
+    e = stash(oriented(edges), "oriented")
+    ux, vx, wx = (e.select(F.col("lo").alias(x), F.col("hi").alias("x")) for x in "uvw")
+    return _named(_closed(e).join(wx, "w").join(ux, ["u", "x"], "left_semi").join(vx, ["v", "x"], "left_semi"), "u", "v", "w", "x")
 
 
 def cycles4(edges: DataFrame) -> DataFrame:
-    """(a, b, c, d): the simple cycles a-b-c-d, each once, a its least id and b < d; chords do not matter."""
-    e = stash(symmetrize(edges).where("src <> dst"), "both")
-    wedge = e.toDF("a", "m").join(e.toDF("m", "c"), "m").where("a < m and a < c")
-    left, right = wedge.select("a", "c", F.col("m").alias("b")), wedge.select("a", "c", F.col("m").alias("d"))
-    return left.join(right, ["a", "c"]).where("b < d").select("a", "b", "c", "d")
+    """(a, b, c, d): the simple cycles a-b-c-d, each once, a its least id and b < d; chords do not matter.
+
+    A cycle is found at its highest node v in the order of degree and id: two walks v-m-w over lower
+    nodes only. A hub's leaves have no lower neighbour, so that it makes no walks of them.
+    """
+    e = stash(oriented(edges), "oriented")
+    down = e.select(F.col("hi").alias("v"), F.col("lo").alias("m"), F.col("hi_degree").alias("v_degree"))
+    d = e.select("hi", "hi_degree").distinct().toDF("w", "w_degree")
+    every = e.select("lo", "hi").unionByName(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+    onward = every.select(F.col("lo").alias("m"), F.col("hi").alias("w"))
+    # Of w's degree only those above some node are known; without it, w has a degree below v's or is no end of two walks.
+    walks = down.join(onward, "m").join(d, "w", "left").where("w <> v and (w_degree is null or w_degree < v_degree or (w_degree = v_degree and w < v))")
+    walks = stash(walks.select("v", "w", "m"), "walks")
+    x, y = walks.withColumnRenamed("m", "m1"), walks.withColumnRenamed("m", "m2")
+    met = x.join(y, ["v", "w"]).where("m1 < m2")
+    least = F.least("v", "w", "m1")
+    ends = F.col("m1") == least  # of the two in the middle, m1 is the lower
+    near = lambda p, q: (F.least(p, q), F.greatest(p, q))
+    b1, d1 = near("v", "w")
+    across = F.when(ends, F.col("m2")).otherwise(F.greatest("v", "w"))
+    return met.select(least.alias("a"), F.when(ends, b1).otherwise(F.col("m1")).alias("b"), across.alias("c"), F.when(ends, d1).otherwise(F.col("m2")).alias("d"))
 
 
 def member_pairs(instances: DataFrame) -> DataFrame:
@@ -355,10 +404,81 @@ def feature_dropout(v: Column, size: int, p: float, seed: int = SEED) -> Column:
 # -- propagation ----------------------------------------------------------------------------
 
 
+#: Bytes of the vectors of one block, and edges of one cell, about.
+BLOCK_BYTES, CELL_EDGES = 64 << 20, 4 << 20
+#: Edges whose vectors are looked up at once in a cell.
+EDGES_AT_ONCE = 1 << 15
+
+
+def _cell_sums(size: int):
+    """Of a cell's edges (src, dst, w) and the vectors of their sources: w times the vector, summed by dst."""
+
+    def work(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = vectors.column("id").to_numpy()
+        e = vectors.column("e").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        by = np.argsort(ids, kind="stable")
+        src, dst, w = (edges.column(c).to_numpy() for c in ("src", "dst", "w"))
+        at = np.searchsorted(ids[by], src)
+        there = np.flatnonzero(ids[by][np.minimum(at, len(ids) - 1)] == src) if len(ids) else np.zeros(0, np.int64)
+        there = there[np.lexsort((src[there], dst[there]))]
+        to, slot = np.unique(dst[there], return_inverse=True)
+        out = np.zeros((len(to), size))
+        for a in range(0, len(there), EDGES_AT_ONCE):
+            some = there[a : a + EDGES_AT_ONCE]
+            own = slot[a : a + EDGES_AT_ONCE]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[first]] += np.add.reduceat(e[by[at[some]]] * w[some, None], first, axis=0)
+        offsets = pa.array(np.arange(0, out.size + 1, size, dtype=np.int32))
+        return pa.table({"id": pa.array(to.astype(np.int64)), "e": pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))})
+
+    return work
+
+
+class EdgeBlocks:
+    """Weighted edges (src, dst, w) cut into a grid of cells, by a block of their source and one of their target.
+
+    A product with vectors sends each vector to the cells of its block that have edges of it, side
+    of them at most, and each cell sends one sum a target: 2 * side vectors a node, whatever the
+    degrees are. Edges are dealt out once and stay. side grows with the vectors' bytes and with the
+    root of the edges, so that a cell fits a task; a hub's edges are spread over a row or column of cells.
+    """
+
+    def __init__(self, edges: DataFrame, n: int, size: int, side: int | None = None):
+        self.spark, self.size = edges.sparkSession, size
+        once = stash(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "weights")
+        if side is None:
+            width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            side = max(int(width**0.5), -(-n * size * 8 // BLOCK_BYTES), int((once.count() / CELL_EDGES) ** 0.5) + 1, 1)
+        self.side = side
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+        cell = (block("src") * side + block("dst")).alias("cell")
+        self.table, self.cells = bucketed(once.select(cell, "src", "dst", "w"), "cell", side * side, "cells")
+        self.ports = stash(self.cells.groupBy(F.col("src").alias("id")).agg(F.collect_set("cell").alias("cells")), "ports")
+
+    def sent(self, vectors: DataFrame) -> DataFrame:
+        """(cell, id, e): the vectors that move."""
+        return vectors.select("id", "e").join(self.ports, "id").select(F.explode("cells").alias("cell"), "id", "e")
+
+    def sums(self, vectors: DataFrame, name: str = "e") -> DataFrame:
+        """(id, name): for each target, its sources' vectors times w, summed; targets without any are left out."""
+        both = self.cells.groupBy("cell").cogroup(self.sent(vectors).groupBy("cell"))
+        part = both.applyInArrow(_cell_sums(self.size), "id long, e array<double>")
+        return group_sums(part, ["id"], self.size, F.sum, name=name)
+
+    def __enter__(self) -> EdgeBlocks:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
 def neighbor_mean(vectors: DataFrame, edges: DataFrame, size: int) -> DataFrame:
-    """(id, e): the mean of the vectors of each node's neighbours; nodes without any are left out."""
-    near = edges.join(vectors.select(F.col("id").alias("dst"), "e"), "dst")
-    return group_sums(near.select(F.col("src").alias("id"), "e"), ["id"], size, F.avg)
+    """(id, e): the mean of the vectors of each node's neighbours; nodes without any are left out. An edge that is repeated counts as often."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))
+    counted = vectors.select("id", F.concat("e", F.array(F.lit(1.0))).alias("e"))  # the last element sums up to how many there are
+    with EdgeBlocks(back, vectors.count(), size + 1) as blocks:
+        sums = stash(blocks.sums(counted), "sums")
+    return sums.select("id", F.transform(F.slice("e", 1, size), lambda x: x / F.get("e", F.lit(size))).alias("e"))
 
 
 def propagate(vectors: DataFrame, edges: DataFrame, size: int, hops: int = 4, to: DataFrame | None = None) -> DataFrame:
@@ -366,17 +486,25 @@ def propagate(vectors: DataFrame, edges: DataFrame, size: int, hops: int = 4, to
     into = edges.groupBy(F.col("dst").alias("n")).agg(F.count(F.lit(1)).alias("d"))
     scale = into.select("n", (1 / F.sqrt("d")).alias("s"))
     a, b = scale.toDF("src", "s1"), scale.toDF("dst", "s2")
-    weighted = stash(edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("s1") * F.col("s2")).alias("w")), "weights")
+    weighted = edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("s1") * F.col("s2")).alias("w"))
+    n = vectors.count()
     here = vectors.select("id", "e")
     out = here.withColumn("hop", F.lit(0))
     zero = F.array_repeat(F.lit(0.0), size)
-    for hop in range(1, hops + 1):
-        use = weighted if to is None or hop < hops else weighted.join(to.select(F.col("id").alias("dst")), "dst", "left_semi")
-        near = use.join(here.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "w", "e")
-        sums = group_sums(near, ["id"], size, F.sum, F.col("w"), "n")
-        base = vectors.select("id") if to is None or hop < hops else vectors.select("id").join(to.select("id"), "id", "left_semi")
-        here = stash(base.join(sums, "id", "left").select("id", F.coalesce("n", zero).alias("e")), "hop")
-        out = out.unionByName(here.withColumn("hop", F.lit(hop)))
+
+    def hopped(blocks: EdgeBlocks, ids: DataFrame) -> DataFrame:
+        return stash(ids.join(blocks.sums(here, "n"), "id", "left").select("id", F.coalesce("n", zero).alias("e")), "hop")
+
+    every = hops - (to is not None)
+    if every > 0:
+        with EdgeBlocks(weighted, n, size) as blocks:
+            for hop in range(1, every + 1):
+                here = hopped(blocks, vectors.select("id"))
+                out = out.unionByName(here.withColumn("hop", F.lit(hop)))
+    if to is not None and hops > 0:
+        use = weighted.join(to.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
+        with EdgeBlocks(use, n, size) as blocks:
+            out = out.unionByName(hopped(blocks, vectors.select("id").join(to.select("id"), "id", "left_semi")).withColumn("hop", F.lit(hops)))
     return out
 
 

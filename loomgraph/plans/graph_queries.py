@@ -13,7 +13,7 @@ from ..operators import context as C
 from ..operators import graph as G
 from ..operators import neural as N
 from ..operators import scoring as S
-from ..session import stash
+from ..session import stash, when_cleared
 from ..sources import tables as T
 from . import sql as Q
 from .registry import query
@@ -22,6 +22,13 @@ DIM = 64
 _graphs: dict[tuple[str, str], DataFrame] = {}
 
 
+@when_cleared
+def forget(spark: SparkSession) -> None:
+    """Graphs whose tables are gone are built again."""
+    for key in [k for k in _graphs if k[0] == spark.sparkContext.applicationId]:
+        del _graphs[key]
+
+
 def _state(spark: SparkSession, d: str) -> str:
     """The folder, and when its vectors were written last: a graph of older ones is not used again."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/embeddings.parquet")

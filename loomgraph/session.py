@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,14 +59,33 @@ def own_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/loomgraph/{spark.sparkContext.applicationId}"
 
 
+def bucketed(df: DataFrame, by: str, n: int, name: str, *order: str) -> tuple[str, DataFrame]:
+    """df as a table of n buckets by a column, one file each, and its name: joins and groups by that column do not move it. DROP TABLE forgets it, clear_scratch() deletes its files."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by, *order).option("path", f"{own_folder(spark)}/{table}").saveAsTable(table)
+    return table, spark.table(table)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What is told that a session's tables are gone.
+_listeners: list[Callable[[SparkSession], None]] = []
+
+
+def when_cleared(f: Callable[[SparkSession], None]) -> Callable[[SparkSession], None]:
+    _listeners.append(f)
+    return f
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that this session has written on its way; results not yet read are lost with them."""
     _delete(spark, own_folder(spark))
+    for f in _listeners:
+        f(spark)
 
 
 class Steps:

@@ -212,3 +212,57 @@ def test_vectors_stay_where_they_lie(spark):
     for (a, b), x in got.items():
         assert x == pytest.approx(0.125 + 0.5 * max(0.0, e[a] @ e[b] / np.linalg.norm(e[a]) / np.linalg.norm(e[b])), abs=2e-6)
     assert len(got) == len({(r.center, r.id) for r in asked.collect()})
+
+
+def test_motifs_of_random_graphs_equal_a_plain_search(spark):
+    rng = random.Random(9)
+    pairs_ = {tuple(sorted(rng.sample(range(14), 2))) for _ in range(38)} | {(7, i) for i in range(14) if i != 7}
+    near = {i: {b for a, b in pairs_ if a == i} | {a for a, b in pairs_ if b == i} for i in range(14)}
+    cycles = {(a, b, c, d) for a, b, c, d in itertools.permutations(range(14), 4) if a < c and a < b < d and b in near[a] and c in near[b] and d in near[c] and a in near[d]}
+    tri = {t for t in itertools.combinations(range(14), 3) if all(y in near[x] for x, y in itertools.combinations(t, 2))}
+    k4 = {t for t in itertools.combinations(range(14), 4) if all(y in near[x] for x, y in itertools.combinations(t, 2))}
+    e = table(spark, sorted(pairs_) + [(3, 3)])
+    assert sorted(map(tuple, G.cycles4(e).collect())) == sorted(cycles)
+    assert sorted(map(tuple, G.triangles(e).collect())) == sorted(tri)
+    assert sorted(map(tuple, G.cliques4(e).collect())) == sorted(k4)
+    directed = sorted({(a, b) for a, b in itertools.product(range(9), repeat=2) if rng.random() < 0.25})
+    two = {(a, d) for a, b in directed for c, d in directed if b == c}
+    assert pairs(G.motif(table(spark, directed), "triangle")) == sorted(set(directed) & two)
+
+
+def test_a_hub_makes_no_wedges(spark):
+    """A hub in the middle of the ids, with a hundred thousand leaves and one triangle."""
+    hub = 50_000
+    e = spark.range(100_001).where(f"id <> {hub}").select(C.F.when(C.F.col("id") % 2 == 0, C.F.lit(hub)).otherwise(C.F.col("id")).alias("src"), C.F.when(C.F.col("id") % 2 == 0, C.F.col("id")).otherwise(C.F.lit(hub)).alias("dst"))
+    e = e.unionByName(table(spark, [(1, 2)]))
+    up = G.oriented(e)
+    assert up.groupBy("lo").count().agg(C.F.max("count")).first()[0] == 2
+    assert G.triangles(e).collect() == [(1, 2, hub)] and G.cliques4(e).count() == G.cycles4(e).count() == 0
+    assert pairs(G.motif(e.unionByName(G.reverse(e)), "triangle")) == both([(1, 2), (1, hub), (2, hub)])
+
+
+def test_vectors_are_sent_once_a_block(spark):
+    """Twenty times the edges send hardly more vectors: at most side a node. A hub's edges are shared among cells."""
+    rng = np.random.default_rng(6)
+    n, x = 60, np.random.default_rng(7).normal(size=(60, 3))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, e array<double>")
+    for degree in (2, 40):
+        list_ = [(i, int(j), float(w)) for i in range(n) for j, w in zip(rng.integers(0, n, degree), rng.normal(size=degree))] + [(0, i, 1.0) for i in range(n)] + [(n + 5, 1, 1.0)]
+        with G.EdgeBlocks(spark.createDataFrame(list_, "src long, dst long, w double"), n, 3, side=3) as blocks:
+            assert blocks.sent(v).count() <= 3 * n
+            cells = {r.cell: r["count"] for r in blocks.cells.where("src = 0").groupBy("cell").count().collect()}
+            assert len(cells) == 3 and max(cells.values()) < 0.6 * n
+            plan, carried = exchanges(blocks.sums(v))
+            assert not any("src" in c for c in carried), plan
+            got = {r.id: np.array(r.e) for r in blocks.sums(v).collect()}
+        want = {}
+        for s, d, w in list_:
+            if s < n:
+                want[d] = want.get(d, 0) + w * x[s]
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_row_numbers_keep_a_callers_columns(spark):
+    df = spark.createDataFrame([(3, "a", 1), (1, "b", 2)], "v long, __at string, __part long")
+    assert [tuple(r) for r in with_index(df, "v").orderBy("v").collect()] == [(1, "b", 2, 0), (3, "a", 1, 1)]
+    assert [tuple(r) for r in with_running_sum(df, "v", "v").orderBy("v").collect()] == [(1, "b", 2, 0), (3, "a", 1, 1)]

@@ -152,7 +152,6 @@ def test_prompt_texts(spark):
 def test_catalog():
     assert catalog.parse_spec("a-b.3") == [("a", 1), ("b", 3)]
     assert catalog.Catalog("/x").dataset("arxiv", "nodes") == "/x/datasets/ogbn-arxiv/nodes.parquet"
-    assert catalog.encoder_batch_size(512, 10) == 10 and catalog.encoder_batch_size(512, 999) == 64 and catalog.encoder_batch_size(77) == 16 and [catalog.encoder_batch_size(256 << k) for k in range(5)] == [128, 64, 32, 16, 8]
 
 
 def test_streamed_answers_are_appended_once(spark, tmp_path):
