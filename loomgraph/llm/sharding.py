@@ -83,19 +83,48 @@ class SlotMap:
         return SlotMap(new + 1, shard, self.version + 1)
 
 
-def write_map(slots: SlotMap, spark: SparkSession, path: str) -> None:
-    """Store a version beside the others, which stay as they are: one folder a version; that a version is there already is an error."""
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_map(slots: SlotMap, spark: SparkSession, path: str) -> bool:
+    """Publish a version beside the others, which stay as they are; False if that version is there already.
+
+    The version is written under a name of its own and renamed when it is whole, so that a run
+    that is cut off leaves nothing that counts, and of two runs at once one is the first. A
+    folder that a cut-off run left under the version's name, without the mark of success, goes.
+    """
     table = spark.range(len(slots.shard)).select(F.col("id").alias("virtual_slot"), F.get(long_array(slots.shard.tolist()), F.col("id").cast("int")).cast("int").alias("shard"), F.lit(slots.n_shards).alias("n_shards"))
-    table.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={slots.version}")
+    own, final = f"{path}/.writing-{uuid.uuid4().hex}", f"{path}/version={slots.version}"
+    table.coalesce(1).write.parquet(own)
+    source, files = _files(spark, own)
+    to, _ = _files(spark, final)
+    if files.exists(to) and not _whole(spark, final):
+        files.delete(to, True)
+    # rename() puts a folder into one that is there already, so that is looked at first and afterwards.
+    done = not files.exists(to) and files.rename(source, to)
+    inside, _ = _files(spark, f"{final}/{source.getName()}")
+    if done and files.exists(inside):
+        files.delete(inside, True)
+        done = False
+    files.delete(source, True)
+    return done
+
+
+def _whole(spark: SparkSession, version: str) -> bool:
+    mark, files = _files(spark, f"{version}/_SUCCESS")
+    return files.exists(mark)
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
-    """A stored version, the last one if none is named; None if there is no map. A version is as many rows as slots."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """A stored version, the last whole one if none is named; None if there is no map. A version is as many rows as slots."""
+    at, files = _files(spark, path)
     if not files.exists(at):
         return None
-    there = [int(m[1]) for f in files.listStatus(at) if (m := re.fullmatch(r"version=(\d+)", f.getPath().getName())) and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    there = [int(m[1]) for n in names if (m := re.fullmatch(r"version=(\d+)", n)) and _whole(spark, f"{path}/{n}")]
     if not there:
         return None
     version = max(there) if version is None else version
@@ -104,20 +133,26 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
 
 
 def current_map(spark: SparkSession, path: str, n_shards: int, n_slots: int, weight: np.ndarray) -> SlotMap:
-    """The last stored map, grown to n_shards and rebalanced by weight, with each version on the way stored."""
+    """The last stored map, grown to n_shards and rebalanced by weight, with each version on the way stored.
+
+    Where another run has stored a version meanwhile, that one counts, and the editing goes on from it.
+    """
     slots = read_map(spark, path)
-    if slots is None:
-        slots = SlotMap.initial(n_shards, n_slots)
-        write_map(slots, spark, path)
-    if len(slots.shard) != n_slots or slots.n_shards > n_shards:
-        raise ValueError(f"the map at {path} has {len(slots.shard)} slots and {slots.n_shards} shards")
-    steps = [lambda m: m.grow(weight)] * (n_shards - slots.n_shards) + [lambda m: m.rebalance(weight)]
-    for step in steps:
-        new = step(slots)
-        if new is not slots:
-            write_map(new, spark, path)
-        slots = new
-    return slots
+    while True:
+        if slots is None:
+            new = SlotMap.initial(n_shards, n_slots)
+        elif len(slots.shard) != n_slots or slots.n_shards > n_shards:
+            raise ValueError(f"the map at {path} has {len(slots.shard)} slots and {slots.n_shards} shards")
+        else:
+            new = slots.grow(weight) if slots.n_shards < n_shards else slots.rebalance(weight)
+            if new is slots:
+                return slots
+        if write_map(new, spark, path):
+            slots = new
+            continue
+        slots = read_map(spark, path)
+        if slots is None or slots.version < new.version:
+            raise RuntimeError(f"version {new.version} can't be stored at {path}")
 
 
 def slot_digest(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,5 +82,28 @@ def test_map_grows_only_into_the_new_shard_and_round_trips(spark, tmp_path):
     assert (S.read_map(spark, path).shard == other.shard).all()
     with pytest.raises(ValueError):
         S.current_map(spark, path, 4, 512, w)
-    with pytest.raises(Exception, match="exists"):
-        S.write_map(m, spark, path)
+    assert not S.write_map(m, spark, path) and (S.read_map(spark, path, 1).shard == m.shard).all()
+
+
+def test_a_write_that_was_cut_off_is_made_again(spark, tmp_path):
+    path, w = tmp_path / "map", np.arange(1, 65)
+    S.write_map(S.SlotMap.initial(4, 64), spark, str(path))
+    (path / "version=1").mkdir()
+    (path / "version=1" / "part-0.parquet").write_bytes(b"half")
+    (path / ".writing-dead").mkdir()
+    assert S.read_map(spark, str(path)).version == 0
+    m = S.current_map(spark, str(path), 4, 64, w)
+    assert m.version == 1 and (S.read_map(spark, str(path)).shard == m.shard).all()
+    assert not any(p.name.startswith(".writing") and p.name != ".writing-dead" for p in path.iterdir())
+
+
+def test_of_two_runs_at_once_one_is_first(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rng = np.random.default_rng(2)
+    path, weights = str(tmp_path / "map"), [rng.integers(1, 1000, 64) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda w: S.current_map(spark, path, 5, 64, w), weights))
+    stored = [S.read_map(spark, path, v) for v in range(S.read_map(spark, path).version + 1)]
+    assert all(any((m.shard == s.shard).all() for s in stored) for m in got)
+    assert all(len(s.shard) == 64 for s in stored) and not list((tmp_path / "map").glob("*/.writing*"))
