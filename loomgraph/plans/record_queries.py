@@ -11,6 +11,7 @@ from ..functions.vectors import cosine, rounded
 from ..operators import batching as B
 from ..operators import chat as H
 from ..operators import graph as G
+from ..operators import masking as M
 from ..operators import prompts as P
 from ..operators import scoring as S
 from ..session import scratch_root, stash
@@ -239,6 +240,96 @@ def mask_labels(spark, d):
     return t.select("conv_id", F.size("t").alias("n"), F.size(F.filter("t", lambda x: x["label"] != H.IGNORED)).alias("supervised"), join("token").alias("tokens"), join("label").alias("labels"))
 
 
+# -- labels of the older formats ------------------------------------------------------------
+
+
+def _led_sql(style: str) -> str:
+    """CTEs ending in pr(conv_id, prompt): conversations with a graph mark, from the user's first turn on."""
+    return _legacy_sql(style, *_style_words(style)).replace(Q.TURNS, f"{Q.TURNS}, mk AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN 'See <graph>, ' || text ELSE text END AS text FROM tn)").replace(
+        "FROM tn WHERE role IN ('user', 'assistant'))", "FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ix FROM mk WHERE role IN ('user', 'assistant')) WHERE ix > 1 OR role = 'user')"
+    )
+
+
+def _style_words(style: str) -> tuple[str, tuple[str, str], str, str]:
+    return next(t[1:] for t in H.TEMPLATES.values() if t[0] == style)
+
+
+def _pieces(x: str) -> str:
+    return f"regexp_extract_all({x}, {lit(M.PIECE)})"
+
+
+LABELS = "SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE label <> '-100') AS supervised, md5(string_agg(token, ' ' ORDER BY k)) AS tokens, md5(string_agg(label, ' ' ORDER BY k)) AS labels FROM lb GROUP BY 1"
+AS_TOKEN = "CASE WHEN token = '<graph>' THEN '-200' ELSE token END"
+
+
+def _rounds_sql(style: str, rounds: str, asked: str, first: int, size: str, told: str) -> str:
+    """rounds ends in rd(conv_id, i, r); size and told speak of r and of what precedes, p."""
+    start = f"list_concat(['<s>'], {_pieces('prompt')})" if first else _pieces("prompt")
+    return Q.with_(
+        f"pr AS MATERIALIZED ({_led_sql(style)})",
+        f"ts AS MATERIALIZED (SELECT conv_id, {start} AS t FROM pr)",
+        rounds,
+        f"fl AS (SELECT *, r = '' OR len(string_split(r, {lit(asked)})) <> 2 AS bad, string_split(r, {lit(asked)})[1] || {lit(asked)} AS p FROM rd)",
+        "gd AS (SELECT * FROM fl WHERE i < coalesce((SELECT min(i) FROM fl x WHERE x.conv_id = fl.conv_id AND bad), 1000000))",
+        f"ln AS (SELECT conv_id, i, {size} AS n, greatest(0, {told}) AS m FROM gd)",
+        f"st AS MATERIALIZED (SELECT *, {first} + sum(n) OVER (PARTITION BY conv_id ORDER BY i) - n AS s, {first} + sum(n) OVER (PARTITION BY conv_id) AS stop FROM ln)",
+        "tk AS (SELECT conv_id, len(t) AS total, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS k FROM ts)",
+        f"lb AS (SELECT tk.conv_id, k, {AS_TOKEN} AS token, CASE WHEN s IS NOT NULL AND stop = total THEN {AS_TOKEN} ELSE '-100' END AS label FROM tk LEFT JOIN st ON st.conv_id = tk.conv_id AND k >= s + m AND k < s + n)",
+    ) + LABELS
+
+
+def _cut_sql(column: str, mark: str) -> str:
+    return f"SELECT conv_id, unnest(string_split({column}, {lit(mark)})) AS r, generate_subscripts(string_split({column}, {lit(mark)}), 1) AS i FROM pr"
+
+
+MASKED = {
+    "instructions": ("llama2", _rounds_sql("llama2", f"rd AS ({_cut_sql('prompt', '</s>')})", "[/INST] ", 1, f"len({_pieces('r')}) + 1", f"len({_pieces('p')}) - 1"), M.instruction_labels),
+    "turns": ("mpt", _rounds_sql("mpt", f"tu AS ({_cut_sql('prompt', '<|im_end|>')}), rd AS (SELECT conv_id, greatest(0, (i - 2) // 2) AS i, string_agg(r, '<|im_end|>' ORDER BY i) AS r FROM tu GROUP BY 1, 2)", "<|im_end|><|im_start|>assistant\n", 0, f"len({_pieces('r')}) + 1", f"len({_pieces('p')})"), M.turn_labels),
+    "marker": ("two", Q.with_(
+        f"pr AS MATERIALIZED ({_led_sql('two')})",
+        f"ts AS MATERIALIZED (SELECT conv_id, list_concat(['<s>'], {_pieces('prompt')}) AS t FROM pr)",
+        "tk AS (SELECT conv_id, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM ts)",
+        "ev AS (SELECT *, coalesce(max(CASE WHEN token = 'ASSISTANT:' THEN k END) OVER w, 0) AS said, coalesce(max(CASE WHEN token = '</s>' THEN k END) OVER w, 0) AS closed FROM tk WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+        f"lb AS (SELECT conv_id, k, {AS_TOKEN} AS token, CASE WHEN said > closed THEN {AS_TOKEN} ELSE '-100' END AS label FROM ev)",
+    ) + LABELS, M.marker_labels),
+}
+
+
+def led(spark, d) -> DataFrame:
+    return marked(spark, d).select("conv_id", M.from_user(F.col("messages")).alias("messages"))
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    join = lambda f: F.md5(F.array_join(F.transform("t", lambda x: x[f]), " "))
+    return df.select("conv_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda x: x["label"] != H.IGNORED)).cast("long").alias("supervised"), join("token").alias("tokens"), join("label").alias("labels"))
+
+
+def _masked(style: str, labels):
+    def run(spark, d):
+        prompts = led(spark, d).select("conv_id", H.legacy(F.col("messages"), style, *_style_words(style)).alias("prompt"))
+        return labelled(prompts.select("conv_id", labels(F.col("prompt")).alias("t")))
+
+    return run
+
+
+for _name, (_kind, _sql, _labels) in MASKED.items():
+    query(f"mask_{_name}", _sql)(_masked(_kind, _labels))
+
+SPOKEN = f"""mk AS (SELECT conv_id, role, CASE WHEN turn = 0 THEN 'See <graph>, ' || text ELSE text END AS text, turn FROM tn),
+ld AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ix FROM mk WHERE role IN ('user', 'assistant')) WHERE ix > 1 OR role = 'user'),
+sd AS MATERIALIZED (SELECT conv_id, ix, role, '### ' || CASE role WHEN 'user' THEN 'Human' ELSE 'Assistant' END || ': ' || text || chr(10) AS s FROM ld),
+hd AS (SELECT {lit(H.HUMAN_SYSTEM)} || chr(10) || chr(10) AS h), hn AS (SELECT len({_pieces('h')}) + 1 AS first FROM hd),
+ts AS (SELECT c.conv_id, list_concat(['<s>'], {_pieces("(SELECT h FROM hd) || coalesce(s, '') || '### '")}) AS t FROM (SELECT DISTINCT conv_id FROM tn) c LEFT JOIN (SELECT conv_id, string_agg(s, '' ORDER BY ix) AS s FROM sd GROUP BY 1) j USING (conv_id)),
+st AS MATERIALIZED (SELECT conv_id, role, n, first + sum(n) OVER (PARTITION BY conv_id ORDER BY ix) - n AS s FROM (SELECT *, len({_pieces('s')}) + 1 AS n FROM sd), hn),
+tk AS (SELECT conv_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS k FROM ts),
+lb AS (SELECT tk.conv_id, k, {AS_TOKEN} AS token, CASE WHEN k < first OR (st.role = 'user' AND k >= s + 2) THEN '-100' ELSE {AS_TOKEN} END AS label FROM tk CROSS JOIN hn LEFT JOIN st ON st.conv_id = tk.conv_id AND k >= s AND k < s + n)"""
+
+
+@query("mask_speakers", Q.with_(Q.TURNS, SPOKEN) + LABELS)
+def mask_speakers(spark, d):
+    return labelled(led(spark, d).select("conv_id", M.speaker_labels(F.col("messages"), H.HUMAN_SYSTEM).alias("t")))
+
+
 SPLICED = """sp AS MATERIALIZED (SELECT conv_id, turn, role, text, k, j, token, CASE WHEN j IS NULL AND role = 'assistant' THEN token ELSE '-100' END AS label, token <> 'n-500' AS seen
  FROM (SELECT conv_id, turn, role, text, k, NULL AS j, token FROM tk WHERE token <> '-200' UNION ALL SELECT conv_id, turn, role, text, k, j, CASE j WHEN 0 THEN 'n' || conv_id WHEN 1 THEN 'n' || (conv_id + 1) ELSE 'n-500' END FROM tk, range(3) t(j) WHERE token = '-200')),
 ro AS MATERIALIZED (SELECT conv_id, list(token ORDER BY turn, role, text, k, j) AS t, list(label ORDER BY turn, role, text, k, j) AS l, list(CASE WHEN seen THEN '1' ELSE '0' END ORDER BY turn, role, text, k, j) AS s FROM sp GROUP BY 1),
