@@ -439,21 +439,26 @@ class EdgeBlocks:
 
     A product with vectors sends each vector to the cells of its block that have edges of it, side
     of them at most, and each cell sends one sum a target: 2 * side vectors a node, whatever the
-    degrees are. Edges are dealt out once and stay. side grows with the vectors' bytes and with the
-    root of the edges, so that a cell fits a task; a hub's edges are spread over a row or column of cells.
+    degrees are. For several products, edges are dealt out once and stay (kept); for one they go
+    to their cells on the way. side grows with the vectors' bytes and with the root of the edges, so
+    that a cell fits a task; a hub's edges are spread over a row or column of cells.
     """
 
-    def __init__(self, edges: DataFrame, n: int, size: int, side: int | None = None):
-        self.spark, self.size = edges.sparkSession, size
-        once = stash(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "weights")
+    def __init__(self, edges: DataFrame, n: int, size: int, side: int | None = None, kept: bool = True):
+        self.spark, self.size, self.table = edges.sparkSession, size, None
         if side is None:
             width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            side = max(int(width**0.5), -(-n * size * 8 // BLOCK_BYTES), int((once.count() / CELL_EDGES) ** 0.5) + 1, 1)
+            side = max(int(width**0.5), -(-n * size * 8 // BLOCK_BYTES), int((edges.count() / CELL_EDGES) ** 0.5) + 1, 1)
         self.side = side
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
         cell = (block("src") * side + block("dst")).alias("cell")
-        self.table, self.cells = bucketed(once.select(cell, "src", "dst", "w"), "cell", side * side, "cells")
-        self.ports = stash(self.cells.groupBy(F.col("src").alias("id")).agg(F.collect_set("cell").alias("cells")), "ports")
+        self.cells = edges.select(cell, "src", "dst", "w")
+        ports = edges.select(F.col("src").alias("id"), cell).groupBy("id").agg(F.collect_set("cell").alias("cells"))
+        if kept:
+            once = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+            self.table, self.cells = bucketed(once.select(cell, "src", "dst", "w"), "cell", side * side, "cells")
+            ports = stash(ports, "ports")
+        self.ports = ports
 
     def sent(self, vectors: DataFrame) -> DataFrame:
         """(cell, id, e): the vectors that move."""
@@ -469,15 +474,15 @@ class EdgeBlocks:
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def neighbor_mean(vectors: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     """(id, e): the mean of the vectors of each node's neighbours; nodes without any are left out. An edge that is repeated counts as often."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))
     counted = vectors.select("id", F.concat("e", F.array(F.lit(1.0))).alias("e"))  # the last element sums up to how many there are
-    with EdgeBlocks(back, vectors.count(), size + 1) as blocks:
-        sums = stash(blocks.sums(counted), "sums")
+    sums = EdgeBlocks(back, vectors.count(), size + 1, kept=False).sums(counted)
     return sums.select("id", F.transform(F.slice("e", 1, size), lambda x: x / F.get("e", F.lit(size))).alias("e"))
 
 
@@ -503,8 +508,8 @@ def propagate(vectors: DataFrame, edges: DataFrame, size: int, hops: int = 4, to
                 out = out.unionByName(here.withColumn("hop", F.lit(hop)))
     if to is not None and hops > 0:
         use = weighted.join(to.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
-        with EdgeBlocks(use, n, size) as blocks:
-            out = out.unionByName(hopped(blocks, vectors.select("id").join(to.select("id"), "id", "left_semi")).withColumn("hop", F.lit(hops)))
+        last = hopped(EdgeBlocks(use, n, size, kept=False), vectors.select("id").join(to.select("id"), "id", "left_semi"))
+        out = out.unionByName(last.withColumn("hop", F.lit(hops)))
     return out
 
 

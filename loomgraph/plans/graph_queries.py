@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -12,8 +13,10 @@ from ..functions.vectors import as_double, cosine, dot, rounded
 from ..operators import context as C
 from ..operators import graph as G
 from ..operators import neural as N
+from ..operators import projectors as J
 from ..operators import scoring as S
-from ..session import stash, when_cleared
+from ..session import scratch_root, stash, when_cleared
+from ..sources import embeddings as D
 from ..sources import tables as T
 from . import sql as Q
 from .registry import query
@@ -494,6 +497,45 @@ def attention_pool(spark, d):
     return elements(out, "center", "query")
 
 
+def near_vectors(spark, d) -> DataFrame:
+    """Each node's first neighbours in hash order, as a sequence of vectors."""
+    starts = C.start_neighbors(centers(spark, d), fixed_edges(spark, d)).select("center", F.col("walk").alias("pos"), "id")
+    return G.gathered(starts, T.vectors(spark, d))
+
+
+def projector_weights(kind: str, size: int, hidden: int) -> dict[str, np.ndarray]:
+    """A projector's weights by rule."""
+    rng = np.random.default_rng(G.SEED)
+    out = {name: rng.normal(scale=shape[1] ** -0.5, size=shape) for name, shape in J.shapes(kind, size, hidden).items()}
+    return out | ({"temperature": np.array([[1.5]])} if "temperature" in out else {})
+
+
+def _projected(kind: str):
+    def run(spark, d):
+        out = J.projected(near_vectors(spark, d), kind, projector_weights(kind, DIM, 32), "center")
+        return out.select("center", "token", F.posexplode("e").alias("pos", "val")).withColumn("val", rounded(F.col("val")))
+
+    return run
+
+
+for _kind in (*J.POOLING, "2-layer-mlp"):
+    query(f"project_{_kind.replace('-', '_')}")(_projected(_kind))
+
+TREE = "h1 AS MATERIALIZED (SELECT v.id, dst AS node FROM v JOIN nbr ON src = v.id AND rk <= 3), h2 AS (SELECT h1.id, dst AS node FROM h1 JOIN nbr ON src = node AND rk <= 3), st AS (SELECT id, id AS node FROM v UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"
+
+
+@query("node_embeddings", Q.with_(*Q.GRAPH, Q.LONG, Q.NBR, TREE) + f"SELECT st.id, pos, {Q.r6('avg(val)')} AS val FROM st JOIN vl ON vl.id = node GROUP BY 1, 2")
+def node_embeddings(spark, d):
+    """Vectors of each node's tree, without pads, as one mean a node, by way of a dump that is made in two runs."""
+    tree = G.hop_tree(centers(spark, d), fixed_edges(spark, d), 2, 3)
+    states = tree.join(T.vectors(spark, d).withColumnRenamed("id", "node"), "node", "left").select("id", "pos", "e", (F.col("node") != C.PAD).alias("seen"))
+    states = stash(states, "states")
+    path = f"{scratch_root(spark)}/loomgraph/dump-{uuid.uuid4().hex}"
+    D.dump(states, path, DIM, shards=8, only=range(3))
+    D.dump(states, path, DIM, shards=8, at_once=4)
+    return elements(D.read_dump(spark, path), "id")
+
+
 @query("encode_texts")
 def encode_texts(spark, d):
     texts = T.nodes(spark, d).where("text is not null").select("id", "text")

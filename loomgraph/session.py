@@ -67,9 +67,30 @@ def bucketed(df: DataFrame, by: str, n: int, name: str, *order: str) -> tuple[st
     return table, spark.table(table)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def files_of(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, files = files_of(spark, path)
+    files.delete(at, True)
+
+
+def publish(spark: SparkSession, whole: str, final: str) -> bool:
+    """Give a folder that is written whole its final name, at once; False, and the folder goes, if something has that name already."""
+    source, files = files_of(spark, whole)
+    to, _ = files_of(spark, final)
+    files.mkdirs(to.getParent())
+    done = not files.exists(to) and files.rename(source, to)
+    # Of two renames at the same time, the later one lands inside the folder of the first.
+    inside, _ = files_of(spark, f"{final}/{source.getName()}")
+    if done and files.exists(inside):
+        files.delete(inside, True)
+        done = False
+    files.delete(source, True)
+    return done
 
 
 #: What is told that a session's tables are gone.

@@ -40,7 +40,8 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ANSWER).json(path)
+    """All answers below path: those of runs, and those of a stream's batches in folders of their own."""
+    return spark.read.schema(ANSWER).option("recursiveFileLookup", "true").json(path)
 
 
 def write_prompts(prompts: DataFrame, path: str, skip_if_there: bool = False) -> None:

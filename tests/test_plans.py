@@ -8,7 +8,7 @@ from loomgraph.plans import QUERIES
 
 D = "/root/testdata/sf0.001"
 #: Queries that may run Python.
-PYTHON = {"nc_generic", "nc_cora", "nc_pubmed", "nc_arxiv", "nc_products", "knn8", "knn8_index", "motif_network", "ocs_walk", "ocs_walk_large", "ocs_sequence", "emd", "closest_dataset", "closest_voted", "attention_pool", "pairwise_cosine", "semi_loss", "encode_texts", "balance_chunks"}
+PYTHON = {"sage_mean", "motif_fusion", "concat_vectors", "project_vicuna_2layer", "project_vicuna_2layermh", "project_vicuna_2layersh", "project_2_layer_mlp", "nc_generic", "nc_cora", "nc_pubmed", "nc_arxiv", "nc_products", "knn8", "knn8_index", "motif_network", "ocs_walk", "ocs_walk_large", "ocs_sequence", "emd", "closest_dataset", "closest_voted", "attention_pool", "pairwise_cosine", "semi_loss", "encode_texts", "balance_chunks"}
 
 
 def plan(df):

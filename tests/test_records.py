@@ -208,3 +208,37 @@ def test_answer_ids_follow_from_the_answer(spark):
     ids = {(r.question_id, r.text): r.answer_id for r in tables.with_answer_ids(a).collect()}
     assert ids == {(r.question_id, r.text): r.answer_id for r in tables.with_answer_ids(a.repartition(3)).collect()}
     assert len(set(ids.values())) == 3 and ids[2, None] == "own" and len(ids[1, "x"]) == 22
+
+
+def test_the_first_answer_of_a_question_stays(spark, tmp_path):
+    """Of a batch the least answer_id, of several batches the earliest; a replayed batch writes the same again."""
+    import os
+
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    row = lambda q, a: (q, f"text {a}", a)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "question_id long, text string, answer_id string").coalesce(1).write.mode("append").json(source)
+        append_stream(stream_answers(spark, source), out, check).awaitTermination()
+        return {r.question_id: r.answer_id for r in tables.read_answers(spark, out).collect()}
+
+    assert arrive([row(1, "b"), row(1, "a"), row(2, "z"), (None, "none", "0")]) == {1: "a", 2: "z"}
+    assert arrive([row(1, "0"), row(2, "0"), row(3, "c")]) == {1: "a", 2: "z", 3: "c"}
+    last = max(int(n) for n in os.listdir(f"{check}/commits") if n.isdigit())
+    for n in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{check}/commits/{n}"):
+            os.remove(f"{check}/commits/{n}")  # as if the run had ended before it could say that the batch is done
+    assert arrive([row(4, "d"), row(3, "0")]) == {1: "a", 2: "z", 3: "c", 4: "d"}
+    assert tables.read_answers(spark, out).count() == 4
+
+
+def test_a_batch_reads_its_own_answers_only(spark, tmp_path):
+    """What the stream has written before is not read again: a later batch goes through as many rows as it has."""
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for k in range(3):
+        spark.range(k * 50, k * 50 + 50).select(F.col("id").alias("question_id"), F.lit("yes").alias("text")).coalesce(1).write.mode("append").json(source)
+        q = append_stream(stream_answers(spark, source), out, check)
+        q.awaitTermination()
+        done = [p for p in q.recentProgress if p.numInputRows]
+        assert [p.numInputRows for p in done] == [50] and len(done[0].sources) == 1
+    assert tables.read_answers(spark, out).count() == 150
