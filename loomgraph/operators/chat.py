@@ -49,6 +49,20 @@ TEMPLATES = {
     "mpt": ("mpt", MPT_SYSTEM, ("<|im_start|>user\n", "<|im_start|>assistant\n"), "<|im_end|>", ""),
 }
 TEMPLATES |= {"default": TEMPLATES["v0"], "vicuna_v1": TEMPLATES["v1"], "v0_plain": TEMPLATES["plain"]}
+#: The turns that one template begins with, of the first role and the second.
+EXAMPLES = {
+    "v0": (
+        "What are the key differences between renewable and non-renewable energy sources?",
+        "Renewable energy sources are those that can be replenished naturally in a relatively short amount of time, such as solar, wind, hydro, geothermal, and biomass. Non-renewable energy sources, on the other hand, are finite and will eventually be depleted, such as coal, oil, and natural gas. Here are some key differences between renewable and non-renewable energy sources:\n"
+        "1. Availability: Renewable energy sources are virtually inexhaustible, while non-renewable energy sources are finite and will eventually run out.\n"
+        "2. Environmental impact: Renewable energy sources have a much lower environmental impact than non-renewable sources, which can lead to air and water pollution, greenhouse gas emissions, and other negative effects.\n"
+        "3. Cost: Renewable energy sources can be more expensive to initially set up, but they typically have lower operational costs than non-renewable sources.\n"
+        "4. Reliability: Renewable energy sources are often more reliable and can be used in more remote locations than non-renewable sources.\n"
+        "5. Flexibility: Renewable energy sources are often more flexible and can be adapted to different situations and needs, while non-renewable sources are more rigid and inflexible.\n"
+        "6. Sustainability: Renewable energy sources are more sustainable over the long term, while non-renewable sources are not, and their depletion can lead to economic and social instability.\n",
+    )
+}
+EXAMPLES["default"] = EXAMPLES["v0"]
 #: Strings that end an answer in one format or another.
 STOPS = ("<|eot_id|>", "<|im_end|>", "</s>")
 
@@ -117,8 +131,10 @@ def legacy(messages: Column, style: str, system: str = SYSTEM, roles: tuple[str,
 
 
 def by_template(messages: Column, name: str) -> Column:
-    """The prompt in a named template, without the template's own example turns."""
-    return legacy(messages, *TEMPLATES[name])
+    """The prompt in a named template; one begins with an example."""
+    style, system, roles, sep, sep2 = TEMPLATES[name]
+    shown = "".join(f"{sep}{who}: {text}" for who, text in zip(roles, EXAMPLES.get(name, ())))
+    return legacy(messages, style, system + shown, roles, sep, sep2)
 
 
 def tokens_and_labels(messages: Column) -> Column:

@@ -527,6 +527,23 @@ def tree_laplacian(hops: int, width: int) -> np.ndarray:
     return m
 
 
+def own_laplacian(trees: DataFrame, hops: int, width: int, pad: int = -500) -> DataFrame:
+    """(id, row, col, val) of (id, pos, node): the Laplacian of each node's own tree, whose pads are left out."""
+    filled = trees.where(F.col("node") != pad).select("id", F.col("pos").alias("row"))
+    m = tree_laplacian(hops, width)
+    every = [F.struct(F.lit(int(i)).cast("long").alias("row"), F.lit(int(j)).cast("long").alias("col"), F.lit(float(m[i, j])).alias("val")) for i, j in zip(*np.nonzero(m))]
+    cells = trees.sparkSession.range(1).select(F.explode(F.array(*every)).alias("c")).select("c.*")  # as large as the tree's shape says
+    # A child that is there has its parent there.
+    return filled.join(F.broadcast(cells), "row").select("id", "row", "col", "val")
+
+
+def encoded_positions(trees: DataFrame, encoding: np.ndarray, pad: int = -500) -> DataFrame:
+    """(id, pos, node, e) of (id, pos, node): each place of each tree with its row of encoding; pads are left out."""
+    rows = [F.struct(F.lit(i).cast("long").alias("pos"), F.array(*(F.lit(float(x)) for x in row)).alias("e")) for i, row in enumerate(encoding)]
+    table = trees.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+    return trees.where(F.col("node") != pad).join(F.broadcast(table), "pos").select("id", "pos", "node", "e")
+
+
 def tree_encoding(hops: int, width: int) -> np.ndarray:
     """Eigenvectors of tree_laplacian, one a column. Its only eigenvalue is 1, so columns may be multiples of one another."""
     return np.real(np.linalg.eig(tree_laplacian(hops, width))[1])
@@ -537,10 +554,15 @@ def positions(vectors: DataFrame, *keep: str) -> DataFrame:
     return vectors.select(*keep, F.posexplode("e").alias("pos", "val"))
 
 
-def gathered(requests: DataFrame, vectors: DataFrame, small: int = 200_000, on: tuple[str, ...] = ("id",)) -> DataFrame:
-    """requests(key, pos, id) with each id's vector; the vectors are broadcast only up to small rows, beyond that both sides shuffle.
+#: Bytes of vectors that are broadcast at most.
+GATHER_BYTES = 64 << 20
+
+
+def gathered(requests: DataFrame, vectors: DataFrame, most: int = GATHER_BYTES, on: tuple[str, ...] = ("id",)) -> DataFrame:
+    """requests(key, pos, id) with each id's vector e; vectors are broadcast up to most bytes, counted beforehand, beyond that both sides shuffle.
 
     on names what tells a vector, where an id alone does not: ("dataset", "id").
     """
-    few = vectors.limit(small + 1).count() <= small
+    n, size = vectors.agg(F.count(F.lit(1)), F.max(F.size("e"))).first()
+    few = n * 8 * ((size or 0) + len(on)) <= most
     return requests.join(F.broadcast(vectors) if few else vectors, list(on), "left")

@@ -98,6 +98,14 @@ def mean_vector(vectors: DataFrame, size: int, *by: str) -> DataFrame:
     return group_sums(vectors, list(by), size, F.avg)
 
 
+def with_new_rows(vectors: DataFrame, size: int, n: int) -> DataFrame:
+    """(id, e) and n more rows after the largest id, each the mean of all rows: what a table of vectors begins new tokens with."""
+    mean = mean_vector(vectors.select("id", "e"), size)
+    last = vectors.agg(F.max("id").alias("last"))
+    new = mean.crossJoin(F.broadcast(last)).select(F.explode(F.sequence(F.col("last") + 1, F.col("last") + n)).alias("id"), "e")  # one row each
+    return vectors.select("id", "e").unionByName(new)
+
+
 def adaptive_pool(values: Column, n: int, to: int = 5) -> Column:
     """An array of n numbers as to means of stretches that cover it: from floor(i n / to) to ceil((i + 1) n / to)."""
     out = []
@@ -178,9 +186,21 @@ def transport_cost(a: np.ndarray, b: np.ndarray) -> float:
     return float((flow * cost).sum() / flow.sum())
 
 
-def transport_to_groups(new: DataFrame, groups: DataFrame) -> DataFrame:
-    """(name, distance) from the points new (e) to each group's points (name, e). A distance needs all points of both sides in one task, and work of their cube: for more, draw samples."""
-    points = np.stack([np.array(r.e) for r in new.collect()])
+#: Points of a side that an exact distance is made for.
+MOST_POINTS = 4096
+
+
+def transport_to_groups(new: DataFrame, groups: DataFrame, most: int = MOST_POINTS) -> DataFrame:
+    """(name, distance) from the points new (e) to each group's points (name, e).
+
+    A distance needs all points of both sides in one task, and work of their cube: a side of more
+    than most points is an error, and closest_by_votes() the way for it.
+    """
+    got = new.select("e").limit(most + 1).collect()
+    largest = groups.groupBy("name").count().agg(F.max("count")).first()[0] or 0
+    if len(got) > most or largest > most:
+        raise ValueError(f"more than {most} points on a side: draw samples, as closest_by_votes() does")
+    points = np.stack([np.array(r.e) for r in got])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"name": [pdf.name_.iloc[0]], "distance": [round(transport_cost(points, np.stack(pdf.e.to_numpy())), 6)]})

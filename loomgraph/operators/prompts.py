@@ -104,13 +104,14 @@ def product_description(label: Column, text: Column) -> Column:
 
 
 #: What nodes and edges of a data set stand for in prompts that give the text itself, and its classes there.
-ARXIV_CODES = ["NA", "MM", "LO", "CY", "CR", "DC", "HC", "CE", "NI", "CC", "AI", "MA", "GL", "NE", "SC", "AR", "CV", "GR", "ET", "SY", "CG", "OH", "PL", "SE", "LG", "SD", "SI", "RO", "IT", "PF", "CL", "IR", "MS", "FL", "DS", "OS", "GT", "DB", "DL", "DM"]
+ARXIV = ["cs.NA(Numerical Analysis)", "cs.MM(Multimedia)", "cs.LO(Logic in Computer Science)", "cs.CY(Computers and Society)", "cs.CR(Cryptography and Security)", "cs.DC(Distributed, Parallel, and Cluster Computing)", "cs.HC(Human-Computer Interaction)", "cs.CE(Computational Engineering, Finance, and Science)", "cs.NI(Networking and Internet Architecture)", "cs.CC(Computational Complexity)", "cs.AI(Artificial Intelligence)", "cs.MA(Multiagent Systems)", "cs.GL(General Literature)", "cs.NE(Neural and Evolutionary Computing)", "cs.SC(Symbolic Computation)", "cs.AR(Hardware Architecture)", "cs.CV(Computer Vision and Pattern Recognition)", "cs.GR(Graphics)", "cs.ET(Emerging Technologies)", "cs.SY(Systems and Control)", "cs.CG(Computational Geometry)", "cs.OH(Other Computer Science)", "cs.PL(Programming Languages)", "cs.SE(Software Engineering)", "cs.LG(Machine Learning)", "cs.SD(Sound)", "cs.SI(Social and Information Networks)", "cs.RO(Robotics)", "cs.IT(Information Theory)", "cs.PF(Performance)", "cs.CL(Computational Complexity)", "cs.IR(Information Retrieval)", "cs.MS(Mathematical Software)", "cs.FL(Formal Languages and Automata Theory)", "cs.DS(Data Structures and Algorithms)", "cs.OS(Operating Systems)", "cs.GT(Computer Science and Game Theory)", "cs.DB(Databases)", "cs.DL(Digital Libraries)", "cs.DM(Discrete Mathematics)"]
+CORA = ["Case_Based", "Genetic_Algorithms", "Neural_Networks", "Probabilistic_Methods", "Reinforcement_Learning", "Rule_Learning", "Theory"]
 PRODUCTS = ["Home & Kitchen", "Health & Personal Care", "Beauty", "Sports & Outdoors", "Books", "Patio, Lawn & Garden", "Toys & Games", "CDs & Vinyl", "Cell Phones & Accessories", "Grocery & Gourmet Food", "Arts, Crafts & Sewing", "Clothing, Shoes & Jewelry", "Electronics", "Movies & TV", "Software", "Video Games", "Automotive", "Pet Supplies", "Office Products", "Industrial & Scientific", "Musical Instruments", "Tools & Home Improvement", "Magazine Subscriptions", "Baby Products", "label 25", "Appliances", "Kitchen & Dining", "Collectibles & Fine Art", "All Beauty", "Luxury Beauty", "Amazon Fashion", "Computers", "All Electronics", "Purchase Circles", "MP3 Players & Accessories", "Gift Cards", "Office & School Supplies", "Home Improvement", "Camera & Photo", "GPS & Navigation", "Digital Music", "Car Electronics", "Baby", "Kindle Store", "Buy a Kindle", "Furniture & D&#233;cor", "#508510"]
 TEXT_WORDING = {
-    "arxiv": ("papers and edges represent co-citations", [f"cs.{c}({'Computational Complexity' if c == 'CL' else n})" for c, n in zip(ARXIV_CODES, CLASSES["arxiv"])]),
+    "arxiv": ("papers and edges represent co-citations", ARXIV),
     "products": ("products sold in Amazon, and edges between products indicate they are purchased together", PRODUCTS),
     "pubmed": ("papers about Diabetes and edges represent co-citations", LISTED["pubmed"]),
-    "cora": ("papers and edges represent co-citations", [n.replace(" ", "_") for n in CLASSES["cora"]]),
+    "cora": ("papers and edges represent co-citations", CORA),
 }
 TEXT_LENGTH = 2000
 

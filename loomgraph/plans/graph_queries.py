@@ -277,16 +277,26 @@ def feature_dropout(spark, d):
     return elements(T.vectors(spark, d).select("id", G.feature_dropout(F.col("e"), DIM, 0.3).alias("e")), "id")
 
 
-@query("tree_laplacian", "WITH n AS (SELECT i FROM range(13) t(i)) SELECT i AS row, i AS col, 1.0::DOUBLE AS val FROM n UNION ALL SELECT i, (i - 1) // 3, -1.0::DOUBLE FROM n WHERE i > 0")
+SLOTS = """h1 AS MATERIALIZED (SELECT v.id, rk - 1 AS slot, dst AS node FROM v JOIN nbr ON src = v.id AND rk <= 3),
+h2 AS (SELECT h1.id, slot * 3 + rk - 1 AS slot, dst AS node FROM h1 JOIN nbr ON src = node AND rk <= 3),
+tr AS MATERIALIZED (SELECT id, 0 AS pos, id AS node FROM v UNION ALL SELECT id, slot + 1, node FROM h1 UNION ALL SELECT id, slot + 4, node FROM h2)"""
+
+
+def trees(spark, d) -> DataFrame:
+    return G.hop_tree(centers(spark, d), fixed_edges(spark, d), 2, 3)
+
+
+@query("tree_laplacian", Q.with_(*Q.GRAPH, Q.NBR, SLOTS) + "SELECT id, pos AS row, pos AS col, 1.0::DOUBLE AS val FROM tr UNION ALL SELECT id, pos, (pos - 1) // 3, -1.0::DOUBLE FROM tr WHERE pos > 0")
 def tree_laplacian(spark, d):
-    m = G.tree_laplacian(2, 3)
-    return spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i in range(len(m)) for j in range(len(m)) if m[i, j]], "row long, col long, val double")
+    """Of each node's tree."""
+    return G.own_laplacian(trees(spark, d), 2, 3)
 
 
 @query("tree_eigenvectors")
 def tree_eigenvectors(spark, d):
-    m = G.tree_encoding(2, 3).round(6) + 0.0
-    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "row long, e array<double>").select("row", F.posexplode("e").alias("col", "val"))
+    """Of each place of each node's tree; which multiples of the eigenvectors come out is up to the library, so there is no SQL."""
+    out = G.encoded_positions(trees(spark, d), G.tree_encoding(2, 3).round(6) + 0.0)
+    return out.select("id", "pos", "node", F.posexplode("e").alias("col", "val"))
 
 
 # -- propagation and layers -----------------------------------------------------------------
@@ -355,6 +365,11 @@ def vector_mean(spark, d):
     return elements(N.mean_vector(v, DIM, "y"), "y")
 
 
+@query("new_rows", Q.with_(Q.V, Q.LONG) + f"SELECT id, pos, {Q.r6('val')} AS val FROM vl UNION ALL SELECT (SELECT max(id) FROM v) + k, pos, {Q.r6('avg(val)')} FROM vl, range(1, 4) t(k) GROUP BY k, pos")
+def new_rows(spark, d):
+    return elements(N.with_new_rows(T.vectors(spark, d), DIM, 3), "id")
+
+
 @query("adaptive_pool", Q.with_(Q.V) + "SELECT id, i AS pos, " + Q.r6("list_sum(e[(i * 64) // 5 + 1 : ceil((i + 1) * 12.8)::BIGINT]) / (ceil((i + 1) * 12.8)::BIGINT - (i * 64) // 5)") + " AS val FROM v, range(5) t(i)")
 def adaptive_pool(spark, d):
     v = T.vectors(spark, d)
@@ -458,7 +473,7 @@ def broadcast_gather(spark, d):
 
 @query("shuffled_gather", Q.with_(*Q.GRAPH) + f"SELECT src, dst, {Q.r6('e[3]')} AS val FROM ed JOIN v ON v.id = dst")
 def shuffled_gather(spark, d):
-    return G.gathered(fixed_edges(spark, d).withColumnRenamed("dst", "id"), T.vectors(spark, d), small=0).select("src", F.col("id").alias("dst"), rounded(F.col("e")[2]).alias("val"))
+    return G.gathered(fixed_edges(spark, d).withColumnRenamed("dst", "id"), T.vectors(spark, d), most=0).select("src", F.col("id").alias("dst"), rounded(F.col("e")[2]).alias("val"))
 
 
 # -- optimal transport and encoders (no SQL) ------------------------------------------------
@@ -527,8 +542,7 @@ TREE = "h1 AS MATERIALIZED (SELECT v.id, dst AS node FROM v JOIN nbr ON src = v.
 @query("node_embeddings", Q.with_(*Q.GRAPH, Q.LONG, Q.NBR, TREE) + f"SELECT st.id, pos, {Q.r6('avg(val)')} AS val FROM st JOIN vl ON vl.id = node GROUP BY 1, 2")
 def node_embeddings(spark, d):
     """Vectors of each node's tree, without pads, as one mean a node, by way of a dump that is made in two runs."""
-    tree = G.hop_tree(centers(spark, d), fixed_edges(spark, d), 2, 3)
-    states = tree.join(T.vectors(spark, d).withColumnRenamed("id", "node"), "node", "left").select("id", "pos", "e", (F.col("node") != C.PAD).alias("seen"))
+    states = trees(spark, d).join(T.vectors(spark, d).withColumnRenamed("id", "node"), "node", "left").select("id", "pos", "e", (F.col("node") != C.PAD).alias("seen"))
     states = stash(states, "states")
     path = f"{scratch_root(spark)}/loomgraph/dump-{uuid.uuid4().hex}"
     D.dump(states, path, DIM, shards=8, only=range(3))
@@ -536,7 +550,13 @@ def node_embeddings(spark, d):
     return elements(D.read_dump(spark, path), "id")
 
 
-@query("encode_texts")
+SPLIT = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+HASHED = f"""wd AS MATERIALIZED (SELECT id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPLIT}'), lambda x: x <> '')) AS w FROM nodes),
+hs AS MATERIALIZED (SELECT w, {Q.crc32('w')} AS h FROM (SELECT DISTINCT w FROM wd), ct),
+sm AS (SELECT id, h % 16 AS pos, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM wd JOIN hs USING (w) GROUP BY 1, 2),
+ln AS (SELECT id, greatest(sqrt(sum(x * x)), 1e-9::DOUBLE) AS n FROM sm GROUP BY 1)"""
+
+
+@query("encode_texts", Q.with_(Q.CRC, Q.NODES, HASHED) + f"SELECT v.id, p.pos, {Q.r6('coalesce(x / n, 0.0::DOUBLE)')} AS val FROM nodes v CROSS JOIN range(16) p(pos) LEFT JOIN sm ON sm.id = v.id AND sm.pos = p.pos LEFT JOIN ln ON ln.id = v.id")
 def encode_texts(spark, d):
-    texts = T.nodes(spark, d).where("text is not null").select("id", "text")
-    return elements(N.encoded(texts, N.hashing_encoder(16)), "id")
+    return elements(N.encoded(T.nodes(spark, d).select("id", "text"), N.hashing_encoder(16)), "id")

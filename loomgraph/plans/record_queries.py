@@ -15,6 +15,7 @@ from ..operators import masking as M
 from ..operators import prompts as P
 from ..operators import scoring as S
 from ..session import scratch_root, stash
+from ..sources import catalog
 from ..sources import tables as T
 from . import sql as Q
 from .graph_queries import DIM, centers, fixed_edges, ids, joined_ids
@@ -138,6 +139,35 @@ def json_prompts(spark, d):
     return p.select("id", joined_ids("graph").alias("graph"), F.size("conversations").alias("turns"), F.col("conversations")[0]["value"].alias("human"), F.col("conversations")[1]["value"].alias("gpt"))
 
 
+@query("prompts_kept", Q.with_(*Q.GRAPH, Q.NBR, PROMPTS) + "SELECT id, graph FROM pr WHERE id % 2 = 0")
+def prompts_kept(spark, d):
+    """A file that is there already stays, unless it is to be written anew."""
+    path = f"{scratch_root(spark)}/loomgraph/prompts-{uuid.uuid4().hex}"
+    p = prompt_records(spark, d)
+    for rows, keep in ((p, False), (p.where("id % 2 = 0"), False), (p.where("id % 3 = 0"), True)):
+        T.write_prompts(rows, path, skip_if_there=keep)
+    return T.read_prompts(spark, path).select("id", joined_ids("graph").alias("graph"))
+
+
+@query("catalog_views", Q.with_(*Q.GRAPH, Q.NODES) + "SELECT n.id, n.y, n.split, count(ed.dst) AS degree FROM nodes n LEFT JOIN ed ON ed.src = n.id WHERE n.split IN ('train', 'test') GROUP BY 1, 2, 3")
+def catalog_views(spark, d):
+    """A data set in a catalog's folders, read through its views; of its splits, those that get prompts."""
+    root = f"{scratch_root(spark)}/loomgraph/catalog-{uuid.uuid4().hex}"
+    c = catalog.Catalog(root)
+    nodes = T.nodes(spark, d)
+    for name, table in (("nodes", nodes), ("edges", fixed_edges(spark, d)), ("classes", nodes.select("y").distinct())):
+        table.write.parquet(c.dataset("arxiv", name))
+    c.register(spark, "arxiv")
+    degree = spark.table("arxiv_edges").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    own = spark.table("arxiv_nodes").join(spark.table("arxiv_classes"), "y", "left_semi").where(F.col("split").isin(catalog.splits("arxiv")))
+    return own.join(degree, "id", "left").select("id", "y", "split", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@query("answer_ids", Q.with_(Q.answers("n", "n", "n2", "n")) + "SELECT question_id, substr(sha256(question_id::VARCHAR || chr(31) || coalesce(text, '')), 1, 22) AS answer_id FROM an")
+def answer_ids(spark, d):
+    return T.with_answer_ids(named(spark, d)).select("question_id", "answer_id")
+
+
 @query("splice_sentinel", Q.with_(*Q.GRAPH, Q.NBR, PROMPTS) + "SELECT id, '<s> Look at -200 around ' || id || ' \"now\".' AS tokens FROM pr")
 def splice_sentinel(spark, d):
     p = prompt_records(spark, d)
@@ -203,7 +233,13 @@ for _style in ("single", "two", "llama2", "mpt", "plain"):
     query(f"chat_{_style}", _legacy_sql(_style))(_legacy(_style))
 
 
-@query("chat_named", " UNION ALL ".join(f"SELECT conv_id, {lit(name)} AS template, md5(prompt) AS prompt FROM ({_legacy_sql(*t)})" for name, t in H.TEMPLATES.items()))
+def _named_sql(name: str) -> str:
+    style, says, roles, one, two = H.TEMPLATES[name]
+    begun = "".join(f"{one}{who}: {text}" for who, text in zip(roles, H.EXAMPLES.get(name, ())))
+    return f"SELECT conv_id, {lit(name)} AS template, md5(prompt) AS prompt FROM ({_legacy_sql(style, says + begun, roles, one, two)})"
+
+
+@query("chat_named", " UNION ALL ".join(map(_named_sql, H.TEMPLATES)))
 def chat_named(spark, d):
     m = H.ordered(turns(spark, d))
     every = [F.struct(F.lit(name).alias("template"), F.md5(H.by_template(F.col("messages"), name)).alias("prompt")) for name in H.TEMPLATES]
@@ -396,12 +432,24 @@ def length_batches(spark, d):
     return B.length_batches(lengths(spark, d).select("id", F.abs("length").alias("length")), 8)
 
 
-@query("modality_batches")
+BY_SIGN = """sg AS MATERIALIZED (SELECT id, abs(length) AS length, sign(length)::INT AS modality, row_number() OVER (PARTITION BY sign(length) ORDER BY md5('42|' || id), id) - 1 AS place, count(*) OVER (PARTITION BY sign(length)) AS n FROM ln WHERE length <> 0),
+mb AS (SELECT *, place // 8 AS m, CASE WHEN n % 8 <> 0 THEN n // 8 ELSE greatest(0, n // 8 - 1) END AS whole, row_number() OVER (PARTITION BY modality, place // 8 ORDER BY length DESC, place) - 1 AS rank FROM sg)"""
+
+
+@query("modality_batches", Q.with_(Q.TURNS, LENGTHS, BY_SIGN) + "SELECT id, length, modality, CASE WHEN m >= whole THEN 'tail' WHEN modality = 1 THEN 'graph-' || m ELSE 'text-' || m END AS batch, rank FROM mb")
 def modality_batches(spark, d):
     return B.modality_batches(lengths(spark, d), 8)
 
 
-@query("balance_chunks")
+#: Each row of a megabatch in turn, with how long and how full the chunks are by then.
+DEALT = """mg AS MATERIALIZED (SELECT id, length, place // 8 AS megabatch, row_number() OVER (PARTITION BY place // 8 ORDER BY length DESC, place) - 1 AS r, count(*) OVER (PARTITION BY place // 8) AS n FROM pl),
+dl AS (SELECT megabatch, 0::BIGINT AS r, NULL::BIGINT AS id, NULL::INT AS chunk, NULL::BIGINT AS "at", [0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0]::BIGINT[] AS held FROM (SELECT DISTINCT megabatch FROM mg)
+ UNION ALL SELECT megabatch, r + 1, id, chunk - 1, held[chunk], list_transform(load, lambda x, i: x + CASE WHEN i = chunk THEN length ELSE 0 END), list_transform(held, lambda x, i: x + CASE WHEN i = chunk THEN 1 ELSE 0 END)
+ FROM (SELECT d.megabatch, d.r, m.id, m.length, d.load, d.held, CASE WHEN n % 4 <> 0 THEN (m.r % 4 + 1)::INT ELSE list_position(free, list_min(free))::INT END AS chunk
+  FROM (SELECT *, list_transform(load, lambda x, i: CASE WHEN held[i] < 2 THEN x ELSE 1000000000 END) AS free FROM dl) d JOIN mg m ON m.megabatch = d.megabatch AND m.r = d.r))"""
+
+
+@query("balance_chunks", Q.with_(Q.TURNS, LENGTHS, PLACED, DEALT).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT id, megabatch, chunk, \"at\" FROM dl WHERE id IS NOT NULL")
 def balance_chunks(spark, d):
     return B.balanced_chunks(length_batches(spark, d), 4)
 

@@ -76,3 +76,24 @@ LINKS = f"""pos AS MATERIALIZED (SELECT src AS a, dst AS b FROM ed WHERE src < d
 neg AS MATERIALIZED (SELECT DISTINCT least(a, c) AS a, greatest(a, c) AS b FROM (SELECT a, (a * 31 + b * 17 + 7) % n AS c FROM pos, nn) WHERE a <> c AND NOT EXISTS (SELECT 1 FROM ed WHERE src = a AND dst = c)),
 sc AS MATERIALIZED (SELECT l.a, l.b, gt, {r6('list_cosine_similarity(x.e, y.e)')} AS score FROM (SELECT *, 'yes' AS gt FROM pos UNION ALL SELECT *, 'no' AS gt FROM neg) l JOIN v x ON x.id = l.a JOIN v y ON y.id = l.b)"""
 TURNS = "tn AS MATERIALIZED (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"
+
+
+def crc_table() -> list[int]:
+    """What each byte does to an empty CRC register, by the rule of the reflected polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+#: One row with the list crc: cross join it where crc32() is used.
+CRC = f"ct AS MATERIALIZED (SELECT {crc_table()}::BIGINT[] AS crc)"
+
+
+def crc32(text: str) -> str:
+    """The CRC-32 of a text's bytes; crc is in scope."""
+    size, digits = f"octet_length(encode({text}))", f"hex(encode({text}))"
+    octets = f"list_transform(range({size}), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"

@@ -151,6 +151,9 @@ def test_prompt_texts(spark):
 
 def test_catalog():
     assert catalog.parse_spec("a-b.3") == [("a", 1), ("b", 3)]
+    assert [catalog.known_name(n) for n, _ in catalog.parse_spec("my_cora_v2.2-ogbn_arxiv_cora-double")] == ["cora", "arxiv", "double"]
+    with pytest.raises(ValueError, match="no data set"):
+        catalog.known_name("core")
     assert catalog.Catalog("/x").dataset("arxiv", "nodes") == "/x/datasets/ogbn-arxiv/nodes.parquet"
 
 
