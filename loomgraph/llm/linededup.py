@@ -79,13 +79,13 @@ class Lines:
             last[inside + near[inside].argmin(axis=1)] = True
         self.end = np.flatnonzero(last) + 1
         self.first = np.r_[0, self.end[:-1]]
+        power, self.inverse = powers(len(self.word) + 1)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * power[: len(self.word)], dtype=np.uint64)])
         self.owner = owner[self.first]
 
     def _hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of words begin to end, as signed numbers, never 0."""
-        power, inverse = powers(len(self.word) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word * power[: len(self.word)], dtype=np.uint64)])
-        h = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+        h = mix((self.total[end] - self.total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
         return np.where(h == 0, 1, h)
 
     def index(self, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +104,12 @@ class Lines:
         return self._hash(self.first, self.end), self.end - self.first, stretch, n, last
 
 
+def word_starts(text: bytes) -> np.ndarray:
+    """Where each word begins."""
+    inside = SPACED[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+
+
 def without(text: bytes, start: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
     """A text without some spans of words and the spaces after them; start: where each word begins."""
     at, out, done = [*start.tolist(), len(text)], [], 0
@@ -172,37 +178,60 @@ def patience(b: list[int], a: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common(b: list[int], size: list[int], b_stretch: list[int], a: list[int], a_stretch: set[int], least: int = LEAST, block: int = BLOCK) -> tuple[list[int], list[int], int]:
-    """Spans of words of b to delete, first word and the one after the last, and how many of its stretches moved."""
-    at = [0]
-    for n in size:
-        at.append(at[-1] + n)
-    starts, ends, gone = [], [], [False] * len(b)
-    run: list[tuple[int, int]] = []
-    for pair in [*patience(b, a), (-1, -1)]:
-        if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
-            first, last = run[0][0], run[-1][0]
+def common(b: np.ndarray, a: np.ndarray, size: np.ndarray, b_shared: np.ndarray, a_shared: np.ndarray, stretches: np.ndarray, least: int = LEAST, block: int = BLOCK) -> tuple[list[int], list[int], int]:
+    """Spans of words of b to delete, first word and the one after the last, and how many of its stretches moved.
+
+    b and a are lines; size the words of b's. b_shared and a_shared tell the lines that both hold,
+    stretches those of b's that a holds. Only shared lines are aligned; whether they follow one
+    another is asked of all lines.
+    """
+    at = np.r_[0, np.cumsum(size)]
+    own, other = np.flatnonzero(b_shared), np.flatnonzero(a_shared)
+    starts, ends, gone = [], [], np.zeros(len(b), bool)
+    found = patience(b[own].tolist(), a[other].tolist())
+    if found:
+        i, j = (np.array(x) for x in zip(*found))
+        i, j = own[i], other[j]
+        new = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1)])
+        for first, last in zip(i[new].tolist(), i[np.r_[new[1:] - 1, len(i) - 1]].tolist()):
             if at[last + 1] - at[first] >= block:
-                starts.append(at[first])
-                ends.append(at[last + 1])
-                gone[first : last + 1] = [True] * (last + 1 - first)
-            run = []
-        run.append(pair)
+                starts.append(int(at[first]))
+                ends.append(int(at[last + 1]))
+                gone[first : last + 1] = True
     moved = 0
-    for i, h in enumerate(b_stretch):
-        if h == 0 or h not in a_stretch:
-            continue
-        if i < len(b):  # the fewest lines from here on that hold least words
-            begin, close = i, bisect_left(at, at[i] + least)
+    for k in np.flatnonzero(stretches).tolist():
+        if k < len(b):  # the fewest lines from here on that hold least words
+            begin, close = k, int(np.searchsorted(at, at[k] + least))
         else:  # the last lines that do
-            begin, close = bisect_left(at, at[-1] - least + 1) - 1, len(b)
-        if not all(gone[begin:close]):
+            begin, close = int(np.searchsorted(at, at[-1] - least, side="right")) - 1, len(b)
+        if not gone[begin:close].all():
             moved += 1
-            starts.append(at[begin])
-            ends.append(at[close])
+            starts.append(int(at[begin]))
+            ends.append(int(at[close]))
     return starts, ends, moved
 
 
+class Ragged:
+    """A list column: all values end to end, where each row's begin, and a key that is equal only for equal values of one row."""
+
+    def __init__(self, column: pa.ListArray):
+        self.values = column.flatten().to_numpy()
+        self.start = column.offsets.to_numpy() - column.offsets[0].as_py()  # a slice of a batch need not begin at 0
+        row = np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(self.start))
+        self.key = mix(row + np.uint64(1)) + self.values.astype(np.int64).view(np.uint64)
+
+    def of(self, values: np.ndarray, k: int) -> np.ndarray:
+        return values[self.start[k] : self.start[k + 1]]
+
+
+def common_of_all(batch: pa.RecordBatch, least: int = LEAST, block: int = BLOCK) -> list[tuple[list[int], list[int], int]]:
+    """common() of every row; what rows share is looked up for all of them at once."""
+    b, size, b_stretch, a, a_stretch = (Ragged(batch.column(c)) for c in ("lines", "sizes", "stretches", "a_lines", "a_stretches"))
+    b_shared, a_shared = np.isin(b.key, a.key), np.isin(a.key, b.key)
+    held = np.isin(b_stretch.key, a_stretch.key) & (b_stretch.values != 0)
+    return [common(b.of(b.values, k), a.of(a.values, k), size.of(size.values, k), b.of(b_shared, k), a.of(a_shared, k), b_stretch.of(held, k), least, block) for k in range(batch.num_rows)]
+
+
 # -- on tables ------------------------------------------------------------------------------
 
 
@@ -250,13 +279,14 @@ def deletions(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFr
         places = met.where("ord = first").groupBy("h").agg(F.min("row").alias("held")).select(F.col("h").alias("sh"), "held")
         linked = met.where("ord > first").join(_small(steps.written(places, "places")), F.col("h") == F.col("sh"))
         pairs = steps.written(linked.select("row", "ord", "first", "held").distinct(), "pairs")
-        # Rows that are repeated with their id are one row here.
-        later = index.join(_small(pairs.select("row", "ord").distinct()), ["row", "ord"], "left_semi").dropDuplicates(["row", "ord"])
+        # Rows that are repeated with their id are one holder, and have their spans once.
+        later = index.join(_small(pairs), ["row", "ord"])
         other = index.select(F.col("ord").alias("first"), F.col("row").alias("held"), F.col("lines").alias("a_lines"), F.col("stretches").alias("a_stretches"))
         earlier = other.join(_small(pairs.select("first", "held").distinct()), ["first", "held"], "left_semi").dropDuplicates(["first", "held"])
-        both = pairs.join(steps.written(later, "later"), ["row", "ord"]).join(steps.written(earlier, "earlier"), ["first", "held"])
-        found = steps.written(_aligned(both, least, block), "aligned")
-        return stash(found.groupBy("row", "ord").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.sum("moved").cast("int").alias("moved")), "spans")
+        both = later.join(steps.written(earlier, "earlier"), ["first", "held"])
+        found = _aligned(both, least, block).groupBy("row", "ord").agg(F.collect_set(F.struct("first", "held", "starts", "ends", "moved")).alias("each"))  # as many as documents that it is linked to
+        every = lambda c: F.flatten(F.col(f"each.{c}")).alias(c)
+        return stash(found.select("row", "ord", every("starts"), every("ends"), F.aggregate("each.moved", F.lit(0), lambda n, m: n + m).alias("moved")), "spans")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -265,18 +295,17 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _aligned(both: DataFrame, least: int, block: int) -> DataFrame:
-    """(row, ord, starts, ends, moved) of every pair of linked documents."""
-    spans = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("row", T.LongType()), both.schema["ord"], T.StructField("starts", spans), T.StructField("ends", spans), T.StructField("moved", T.IntegerType())])
+    """(row, ord, first, held, starts, ends, moved) of every pair of linked documents."""
+    spans, names = T.ArrayType(T.IntegerType()), ["row", "ord", "first", "held"]
+    schema = T.StructType([*(both.schema[c] for c in names), T.StructField("starts", spans), T.StructField("ends", spans), T.StructField("moved", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("lines", "sizes", "stretches", "a_lines", "a_stretches"))
-            found = [common(b, size, b_stretch, a, set(a_stretch), least, block) for b, size, b_stretch, a, a_stretch in zip(*columns)]
+            found = common_of_all(batch, least, block)
             kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ord"), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=schema.names)
 
-    return both.select("row", "ord", "lines", "sizes", "stretches", "a_lines", "a_stretches").mapInArrow(run, schema)
+    return both.select(*names, "lines", "sizes", "stretches", "a_lines", "a_stretches").mapInArrow(run, schema)
 
 
 def _joined(docs: DataFrame, least: int, block: int) -> tuple[DataFrame, list[str]]:
@@ -296,7 +325,7 @@ class Cut:
             self.text, self.words, self.blocks, self.gone, self.copy = text, len(raw.split()), 0, 0, False
             return
         starts, ends = (x.tolist() for x in united(np.array(starts), np.array(ends)))
-        at = spans_and_sums([raw], SPACED)[0]
+        at = word_starts(raw)
         self.text, self.words = without(raw, at, list(zip(starts, ends))).decode(), len(at)
         self.blocks, self.gone = len(starts), sum(ends) - sum(starts)
         left = [b - a for a, b in zip([0, *ends], [*starts, self.words])]

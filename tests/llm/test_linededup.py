@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,7 +97,10 @@ def plain_dedup(given, least=D.LEAST, block=D.BLOCK, copy=D.COPY):
                 if words in earlier[k][1]:
                     lost |= set(range(b, e))
             run = []
-            for pair in [*plain_align(lines, earlier[k][0]), None]:
+            both = set(lines) & set(earlier[k][0])
+            own_at, other_at = ([n for n, x in enumerate(side) if x in both] for side in (lines, earlier[k][0]))
+            aligned = plain_align([lines[n] for n in own_at], [earlier[k][0][n] for n in other_at])
+            for pair in [*((own_at[n], other_at[m]) for n, m in aligned), None]:
                 if run and (pair is None or (pair[0] - run[-1][0], pair[1] - run[-1][1]) != (1, 1)):
                     if at[run[-1][0] + 1] - at[run[0][0]] >= block:
                         lost |= set(range(at[run[0][0]], at[run[-1][0] + 1]))
@@ -201,8 +205,8 @@ def test_alignment_decides_what_goes(spark, monkeypatch):
     assert line not in got[2].text and other not in got[2].text and passage not in got[2].text
     assert line in got[3].text and other in got[3].text and passage not in got[3].text
     assert got[4].text == given[4]
-    size = [10, 30, 10]
-    spans = lambda: D.common([1, 2, 3], size, [0, 9, 0, 0], [1, 2, 5, 3], {9})
+    batch = pa.RecordBatch.from_pydict({"lines": [[8], [1, 2, 3]], "sizes": [[9], [10, 30, 10]], "stretches": [[0, 0], [0, 9, 0, 0]], "a_lines": [[1, 2], [1, 2, 5, 3]], "a_stretches": [[9], [9]]})
+    spans = lambda: D.common_of_all(batch.slice(1))[0]
     assert spans() == ([0, 40], [40, 50], 0)
     monkeypatch.setattr(D, "patience", lambda b, a: [])
     assert spans() == ([10], [40], 1)
