@@ -347,29 +347,59 @@ def similar(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * (over + under) >= (F.size(a) + F.size(b)) * over
 
 
+def fits(x: Column, y: Column) -> Column:
+    """Whether sets of these sizes can be similar."""
+    over, under = SIMILAR
+    return F.least(x, y) * under >= F.greatest(x, y) * over
+
+
+def rare_pairs(sets: DataFrame, nodes: DataFrame, steps: Steps) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, size, root) of different roots whose sets (node, terms) may be similar.
+
+    Terms are ordered by how many of the sets hold them. Sets of a similarity of s or more have
+    s times the larger one's size in common at least, so that not all of one's rarest
+    size - s * size + 1 terms can be missing from the other's. Terms that one set holds alone are the
+    rarest, and need not be compared.
+    """
+    over, under = SIMILAR
+    terms = sets.select("node", F.explode("terms").alias("term"))
+    shared = terms.groupBy("term").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select(F.col("term").alias("of"), "often")
+    ordered = terms.join(shared, F.col("term") == F.col("of")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "term"))).alias("shared"))  # a text's own shingles
+    prefix = F.col("size") - F.ceil(F.col("size") * over / F.lit(under)) + 1 - (F.col("size") - F.size("shared"))
+    rare = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix).cast("int"))
+    placed = steps.written(ordered.join(nodes, "node").select("node", "size", "root", F.explode(rare).alias("r")).select("node", "size", "root", "r.term"), "rare")
+    x, y = (placed.select("term", *(F.col(c).alias(p + c) for c in ("node", "size", "root"))) for p in "xy")
+    return x.join(y, "term").where((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & fits(F.col("xsize"), F.col("ysize"))).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, steps: Steps) -> DataFrame:
     """(of, root): the least node that each linked node reaches over pairs of a similarity of SIMILAR or more that share a band.
 
     Candidates share a band and their sizes allow the similarity. Every candidate is held
     against the shingles themselves, unless verified links connect it already: first each
-    node and the least node it meets, then each node and the least of each of its bands, at
-    last all pairs that are left.
+    node and the least node it meets, then each node and the least of each of its bands. What
+    is left are nodes that meet another one without being connected to it. Those are paired by
+    rare shingles: of two sets that are similar, the rarest fifth and one more of either's
+    elements has one in common. Texts that share boilerplate and no more are not paired at all.
     """
-    over, under = SIMILAR
     rows = prints.select("node", "size", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min_by("size", "node").alias("least_size")).where("n > 1").select(F.col("band").alias("shared"), "least", "least_size")
     met = steps.written(rows.join(shared, F.col("band") == F.col("shared")).select("band", "node", "size", "least", "least_size"), "met", at_most=BANDS * n)
-    fits = lambda x, y: (F.least(x, y) * under >= F.greatest(x, y) * over)
     stars = met.where((F.col("node") != F.col("least")) & fits(F.col("size"), F.col("least_size"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
     id_name, h_name, node_name = fresh(docs, "id", "h", "node")
     reps = prints.select(F.col("node").alias("rep"), "first.doc_id", "first.h")
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, terms) of (rep), written."""
+        wanted = nodes.join(reps, "rep").toDF(node_name, id_name, h_name)
+        rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(h_name))).select(F.col(node_name).alias("node"), "text")
+        return steps.written(_sets(rows, shingle).dropDuplicates(["node"]), "sets")
+
     def others() -> DataFrame:
         placed = met.join(roots, F.col("node") == F.col("of"), "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("band").alias("mixed"))
-        placed = steps.written(placed.join(mixed, F.col("band") == F.col("mixed")).drop("mixed"), "mixed", at_most=BANDS * n)
-        x, y = (placed.select("band", *(F.col(c).alias(p + c) for c in ("node", "size", "root"))) for p in "xy")
-        return x.join(y, "band").where((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & fits(F.col("xsize"), F.col("ysize"))).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+        open_ = steps.written(placed.join(mixed, F.col("band") == F.col("mixed")).select("node", "size", "root").distinct(), "open", at_most=n)
+        return rare_pairs(sets_of(open_.select(F.col("node").alias("rep"))), open_, steps)
 
     tested = links = roots = None
     for step in (lambda: stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: stars, others):
@@ -380,9 +410,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, step
             pairs = pairs.join(of("a"), F.col("a") == F.col("of_a"), "left").join(of("b"), F.col("b") == F.col("of_b"), "left")
             pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         pairs = steps.written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep").toDF(node_name, id_name, h_name)
-        sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(h_name))).select(F.col(node_name).alias("node"), "text")
-        sets = steps.written(_sets(sets, shingle).dropDuplicates(["node"]), "sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("terms").alias("a_terms")), "a").join(sets.select(F.col("node").alias("b"), F.col("terms").alias("b_terms")), "b")
         found = steps.written(both.where(similar(F.col("a_terms"), F.col("b_terms"))).select("a", "b"), "links", at_most=n)
         tested = pairs if tested is None else tested.unionByName(pairs)

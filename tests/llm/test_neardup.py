@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from loomgraph.llm import neardup as N
+from loomgraph.llm.common import Steps
 from loomgraph.llm.components import components
 from tests.llm.helpers import awkward_rows, frame, texts
 
@@ -183,6 +185,43 @@ def test_every_candidate_is_checked_unless_connected(spark):
     assert {r.doc_id for r in N.keep_one(texts(spark, given)).collect()} == set(comp.values())
 
 
+def test_rare_pairs_lose_no_similar_pair(spark):
+    rng = random.Random(14)
+    made = [[rng.randrange(400) for _ in range(rng.randrange(1, 60))] for _ in range(40)]
+    made += [[x for x in rng.choice(made) if rng.random() > 0.08] + [rng.randrange(400)] for _ in range(80)]
+    sets = {i: sorted(set(x)) for i, x in enumerate(made)}
+    with Steps(spark) as steps:
+        df = spark.createDataFrame(list(sets.items()), "node long, terms array<long>")
+        nodes = df.select("node", F.size("terms").cast("long").alias("size"), F.col("node").alias("root"))
+        got = {(r.a, r.b) for r in N.rare_pairs(df, nodes, steps).distinct().collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) * 9 >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert len(want) > 50 and want <= got and len(got) < 120 * 119 / 4
+
+
+def test_boilerplate_makes_no_pairs(spark, monkeypatch):
+    """Texts that share half of their words, and no more, are not paired, however many there are."""
+    pairs, real = [], N.rare_pairs
+
+    def counted(*x):
+        out = real(*x)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "rare_pairs", counted)
+    for n in (400, 800):
+        rng = random.Random(15)
+        shared = " ".join(f"s{i}" for i in range(60))
+        given = [shared + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(n)]
+        assert N.keep_one(texts(spark, given)).count() == n
+    assert pairs == [0, 0]
+    with Steps(spark) as steps:
+        sets = [five(t) for t in given]
+        number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+        df = spark.createDataFrame([(i, [number[x] for x in s]) for i, s in enumerate(sets)], "node long, terms array<long>")
+        nodes = df.select("node", F.size("terms").cast("long").alias("size"), F.col("node").alias("root"))
+        assert real(df, nodes, steps).count() == 0
+
+
 def test_other_columns_and_repeated_rows(spark):
     """Columns of any name stay; of rows equal in id and text, the least by a hash of all columns."""
     t = "one two three four five six seven"
