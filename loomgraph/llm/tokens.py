@@ -4,10 +4,15 @@ The distinct pre-tokens of a slice of texts lie end to end in one numpy array. E
 up the rank of every adjacent pair, finds each sequence's lowest, merges all its occurrences in
 all sequences at once, and retires the sequences with no pair left; the symbols that survive
 are the tokens. Counts of short pre-tokens are remembered, up to a fixed number.
+
+A sequence of over LONG symbols may need as many rounds as it has pairs, and each would read all of
+it. There the places of each rank are kept in lists, and a round touches those of the lowest
+rank and their neighbours: n symbols take n log n steps.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,6 +29,8 @@ from .arrow import slices, small_batches, texts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED, REMEMBERED_CHARS = 300_000, 40
 LIMIT = 512
+#: Symbols of a sequence that is merged among others in arrays, at most.
+LONG = 1024
 
 
 def byte_symbols() -> list[str]:
@@ -46,6 +53,7 @@ class MergeTable:
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
         self.byte_ids = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.by_key: dict[int, tuple[int, int]] | None = None  # for long pieces, when there is one
 
     @classmethod
     def read(cls, path: str) -> MergeTable:
@@ -54,6 +62,51 @@ class MergeTable:
 
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """Tokens of each non-empty piece."""
+        out = np.zeros(len(pieces), np.int64)
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG] if long else range(len(pieces))
+        if len(short):
+            out[list(short)] = self.count_short([pieces[i] for i in short] if long else pieces)
+        for i in long:
+            out[i] = self.count_long(pieces[i])
+        return out
+
+    def count_long(self, piece: bytes) -> int:
+        """Tokens of one piece: the lowest rank's pairs are merged from the left, and only pairs beside them are looked up anew."""
+        if self.by_key is None:
+            self.by_key = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.results.tolist())))
+        sym = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        n, base, known = len(sym), self.base, self.by_key
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        places: dict[int, list[int]] = {}
+        waiting: list[int] = []
+
+        def put(i: int) -> None:
+            if (hit := known.get(sym[i] * base + sym[after[i]])) is not None:
+                if hit[0] not in places:
+                    places[hit[0]] = []
+                    heapq.heappush(waiting, hit[0])
+                places[hit[0]].append(i)
+
+        for i in range(n - 1):
+            put(i)
+        left = n
+        while waiting:
+            rank = heapq.heappop(waiting)
+            for i in sorted(places.pop(rank)):
+                j = after[i]
+                if sym[i] < 0 or j < 0 or (hit := known.get(sym[i] * base + sym[j])) is None or hit[0] != rank:
+                    continue  # merged meanwhile
+                sym[i], sym[j], after[i] = hit[1], -1, after[j]
+                left -= 1
+                if after[i] >= 0:
+                    before[after[i]] = i
+                    put(i)
+                if before[i] >= 0:
+                    put(before[i])
+        return left
+
+    def count_short(self, pieces: list[bytes]) -> np.ndarray:
         none = np.iinfo(np.int32).max
         size = np.array([len(p) for p in pieces], np.int64)
         out = size.copy()
@@ -116,7 +169,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
 
     vocabulary is the path of a byte-level BPE file on the driver; its merge table, a few MB,
     is broadcast. Strings of special tokens in a text count one each, as in the library's
-    default. Null and empty texts have no tokens; null ids and repeated rows keep their rows;
+    default. A text takes time in proportion to its length, and to that times its logarithm where it
+    is one word or run of marks. Null and empty texts have no tokens; null ids and repeated rows keep their rows;
     other columns are not read.
     """
     small_batches(docs.sparkSession)

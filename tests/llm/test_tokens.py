@@ -43,3 +43,22 @@ def test_awkward_rows_and_memory_bound(spark, monkeypatch):
     counter = K.Counter(K.MergeTable.read(PATH))
     for _ in range(3):
         assert counter(["some words here", "and more words", ""]) == plain(["some words here", "and more words", ""])
+
+
+def test_one_long_word_takes_little_more_than_its_length():
+    """Both ways of merging count as the library does; twice as long takes about twice as much, not four times."""
+    import time
+
+    rng = random.Random(11)
+    table = K.MergeTable.read(PATH)
+    made = ["".join(rng.choices(v, k=n)) for v in ("abcdefghijklmnopqrstuvwxyz", "ab", "é\u4e2d", "the quick") for n in (K.LONG - 3, K.LONG + 3, 5000)] + ["a" * 4000]
+    made = [t.replace(" ", "x") for t in made]
+    assert [table.count_long(t.encode()) for t in made] == plain(made) == table.count_short([t.encode() for t in made]).tolist()
+    took = []
+    for n in (40_000, 160_000):
+        t = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        start = time.time()
+        got = table.count([t.encode()])
+        took.append(time.time() - start)
+        assert got.tolist() == plain([t])
+    assert took[1] < 9 * took[0] and took[1] < 10, took
