@@ -416,17 +416,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns keep of docs, and score, with a longer name if one of them has it. Without a model, for want of labels, every score is 0."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(fresh(rows, "score")[0], T.DoubleType())])
+    # Columns go by number through Python: a name may hold a dot.
+    numbers = [f"c{i}" for i in range(len(keep))]
+    text = numbers[keep.index("text")] if "text" in keep else "text"
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, numbers)), *([] if "text" in keep else [F.col("text").alias("text")]))
+    schema = T.StructType([*(rows.schema[n] for n in numbers), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.net.p, model.final) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(Network(params=shared.value[0]), shared.value[1]) if shared.value else None
-        for batch in slices(batches, size=PIECE):
-            s = own.scores(texts(batch)) if own else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s)], names=schema.names)
+        for batch in slices(batches, text, size=PIECE):
+            s = own.scores(texts(batch, text)) if own else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in numbers), pa.array(s)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, fresh(docs, "score")[0])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -442,7 +445,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
-    """docs without those scored most or above; every column stays as it is, whatever its name. Null and wordless texts stay."""
+    """docs without those scored most or above; every column stays as it is, whatever its name.
+
+    Null and wordless texts stay. Rows with equal texts have one score, so that repeated rows stay
+    or go together; an empty table stays empty.
+    """
     names = list(docs.columns)
     scored = score(docs, fit(docs, labels), names)
-    return scored.where(F.col(scored.columns[-1]) < most).select(*names)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < most).select(*(F.col(f"`{c}`") for c in names))

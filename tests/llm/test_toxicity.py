@@ -137,9 +137,9 @@ def test_awkward_rows(spark):
 
 def test_other_columns_may_have_any_names(spark):
     given, label = corpus(120, 8)
-    docs = spark.createDataFrame([(i, t, 1.5, 2.5) for i, t in enumerate(given)], "doc_id long, text string, score double, __score double").selectExpr("*", "score as SCORE_", "1 as k", "2 as h", "3 as toxic")
+    docs = spark.createDataFrame([(i, t, 1.5, 2.5) for i, t in enumerate(given)], "doc_id long, text string, score double, __score double").selectExpr("*", "score as SCORE_", "1 as k", "2 as h", "3 as toxic", "4 as `a.b`", "5 as c0")
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(label)], LABELS)
     kept = X.remove_toxic(docs, labels)
     assert kept.columns == docs.columns
     got = kept.collect()
-    assert 0 < len(got) < 120 and {tuple(r)[2:] for r in got} == {(1.5, 2.5, 1.5, 1, 2, 3)}
+    assert 0 < len(got) < 120 and {tuple(r)[2:] for r in got} == {(1.5, 2.5, 1.5, 1, 2, 3, 4, 5)}
