@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
     d = "/root/testdata/sf0.01"
     got = QUERIES[name](spark, d).toPandas()
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         db.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     want = db.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
