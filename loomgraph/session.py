@@ -45,12 +45,13 @@ def stash(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
     return _written(df, name, at_most)[1]
 
 
-def _written(df: DataFrame, name: str, at_most: int | None) -> tuple[str, DataFrame]:
+def _written(df: DataFrame, name: str, at_most: int | None, plain: bool = False) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if at_most is not None:
         df = df.repartition(max(1, -(-at_most // FILE_ROWS)))
-    df.write.parquet(path)
+    writer = df.write.option("parquet.enable.dictionary", "false").option("compression", "none") if plain else df.write
+    writer.parquet(path)
     return path, spark.read.schema(df.schema).parquet(path)
 
 
@@ -118,8 +119,9 @@ class Steps:
     def __enter__(self) -> Steps:
         return self
 
-    def written(self, df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
-        path, out = _written(df, name, at_most)
+    def written(self, df: DataFrame, name: str, at_most: int | None = None, plain: bool = False) -> DataFrame:
+        """df as a table; plain for hashes, which no dictionary or compression makes smaller."""
+        path, out = _written(df, name, at_most, plain)
         self._tables.append((path, out))
         return out
 
