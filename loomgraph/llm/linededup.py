@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +68,9 @@ class Lines:
             return
         buffer = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
         self.word = mix((total[end] - total[self.start]) * inverse[self.start])
-        breaks = np.concatenate([[0], np.cumsum((buffer == 10) | (buffer == 13))])
-        following = np.r_[self.start[1:], len(buffer)]
-        last = _STOP[buffer[end - 1]] | (breaks[following] > breaks[end]) | np.r_[owner[1:] != owner[:-1], True]
+        last = _STOP[buffer[end - 1]] | np.r_[owner[1:] != owner[:-1], True]
+        before = np.searchsorted(self.start, np.flatnonzero((buffer == 10) | (buffer == 13))) - 1
+        last[before[before >= 0]] = True  # the word before a line break
         close = np.flatnonzero(last)
         size = np.diff(np.r_[-1, close])
         line = np.repeat(np.arange(len(close)), size)
@@ -178,37 +179,37 @@ def patience(b: list[int], a: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common(b: np.ndarray, a: np.ndarray, size: np.ndarray, b_shared: np.ndarray, a_shared: np.ndarray, stretches: np.ndarray, least: int = LEAST, block: int = BLOCK) -> tuple[list[int], list[int], int]:
+def common(b: np.ndarray, a: np.ndarray, size: np.ndarray, b_shared: np.ndarray, a_shared: np.ndarray, stretches: np.ndarray, least: int = LEAST, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
     """Spans of words of b to delete, first word and the one after the last, and how many of its stretches moved.
 
     b and a are lines; size the words of b's. b_shared and a_shared tell the lines that both hold,
     stretches those of b's that a holds. Only shared lines are aligned; whether they follow one
     another is asked of all lines.
     """
-    at = np.r_[0, np.cumsum(size)]
+    at, done = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
     own, other = np.flatnonzero(b_shared), np.flatnonzero(a_shared)
-    starts, ends, gone = [], [], np.zeros(len(b), bool)
+    gone, parts = np.zeros(len(b), bool), []
     found = patience(b[own].tolist(), a[other].tolist())
     if found:
-        i, j = (np.array(x) for x in zip(*found))
-        i, j = own[i], other[j]
-        new = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1)])
-        for first, last in zip(i[new].tolist(), i[np.r_[new[1:] - 1, len(i) - 1]].tolist()):
-            if at[last + 1] - at[first] >= block:
-                starts.append(int(at[first]))
-                ends.append(int(at[last + 1]))
-                gone[first : last + 1] = True
-    moved = 0
-    for k in np.flatnonzero(stretches).tolist():
-        if k < len(b):  # the fewest lines from here on that hold least words
-            begin, close = k, int(np.searchsorted(at, at[k] + least))
-        else:  # the last lines that do
-            begin, close = int(np.searchsorted(at, at[-1] - least, side="right")) - 1, len(b)
-        if not gone[begin:close].all():
-            moved += 1
-            starts.append(int(at[begin]))
-            ends.append(int(at[close]))
-    return starts, ends, moved
+        pairs = np.array(found)
+        i, j = own[pairs[:, 0]], other[pairs[:, 1]]
+        new = np.flatnonzero((i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)) + 1
+        first, last = i[np.concatenate([[0], new])], i[np.concatenate([new, [len(i)]]) - 1]
+        large = at[last + 1] - at[first] >= block
+        first, last = first[large], last[large]
+        for x, y in zip(first.tolist(), last.tolist()):
+            gone[x : y + 1] = True
+        parts.append((at[first], at[last + 1]))
+    k = np.flatnonzero(stretches)
+    close = np.searchsorted(at, at[np.minimum(k, len(b))] + least)  # the fewest lines from each on that hold least words
+    if len(k) and k[-1] == len(b):  # the last lines that do
+        k[-1], close[-1] = np.searchsorted(at, at[-1] - least, side="right") - 1, len(b)
+    np.cumsum(gone, out=done[1:])
+    off = done[close] - done[k] < close - k
+    parts.append((at[k[off]], at[close[off]]))
+    starts, ends = (np.concatenate(x) for x in zip(*parts))
+    return (*united(starts, ends), int(off.sum())) if len(starts) else (starts, ends, 0)
 
 
 class Ragged:
@@ -224,11 +225,12 @@ class Ragged:
         return values[self.start[k] : self.start[k + 1]]
 
 
-def common_of_all(batch: pa.RecordBatch, least: int = LEAST, block: int = BLOCK) -> list[tuple[list[int], list[int], int]]:
+def common_of_all(batch: pa.RecordBatch, least: int = LEAST, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """common() of every row; what rows share is looked up for all of them at once."""
     b, size, b_stretch, a, a_stretch = (Ragged(batch.column(c)) for c in ("lines", "sizes", "stretches", "a_lines", "a_stretches"))
-    b_shared, a_shared = np.isin(b.key, a.key), np.isin(a.key, b.key)
-    held = np.isin(b_stretch.key, a_stretch.key) & (b_stretch.values != 0)
+    there = lambda x, y: pd.Series(x.key).isin(y.key).to_numpy()
+    b_shared, a_shared = there(b, a), there(a, b)
+    held = there(b_stretch, a_stretch) & (b_stretch.values != 0)
     return [common(b.of(b.values, k), a.of(a.values, k), size.of(size.values, k), b.of(b_shared, k), a.of(a_shared, k), b_stretch.of(held, k), least, block) for k in range(batch.num_rows)]
 
 
@@ -272,13 +274,20 @@ def deletions(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFr
     the earliest document that holds it. Spans may overlap.
     """
     with Steps(docs.sparkSession) as steps:
-        index = steps.written(index_table(docs, least), "index")
+        index = steps.written(index_table(docs, least), "index", plain=True)
         each = index.select("ord", "row", F.explode("stretches").alias("h")).where("h <> 0")
         holders = each.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("final")).where("first < final").select(F.col("h").alias("sh"), "first")
-        met = steps.written(each.join(_small(steps.written(holders, "holders")), F.col("h") == F.col("sh")).select("h", "ord", "row", "first"), "met")
-        places = met.where("ord = first").groupBy("h").agg(F.min("row").alias("held")).select(F.col("h").alias("sh"), "held")
-        linked = met.where("ord > first").join(_small(steps.written(places, "places")), F.col("h") == F.col("sh"))
-        pairs = steps.written(linked.select("row", "ord", "first", "held").distinct(), "pairs")
+        met = each.join(_small(steps.written(holders, "holders", plain=True)), F.col("h") == F.col("sh"))
+        linked = steps.written(met.where("ord > first").select("row", "ord", "first").distinct(), "linked")
+        # Which row of the earlier document holds it: the only one of that id, or else the least row that has the hash.
+        of_id = steps.written(index.groupBy(F.col("ord").alias("of")).agg(F.min("row").alias("held"), F.max("row").alias("last")), "ids")
+        pairs = linked.join(of_id.where("held = last").select("of", "held"), F.col("first") == F.col("of")).select("row", "ord", "first", "held")
+        if not (several := of_id.where("held < last").select("of")).isEmpty():
+            shared = steps.written(met.join(several, F.col("first") == F.col("of")).select("h", "row", "ord", "first"), "shared")
+            places = shared.where("ord = first").groupBy("h").agg(F.min("row").alias("held")).select(F.col("h").alias("sh"), "held")
+            more = shared.where("ord > first").join(_small(steps.written(places, "places")), F.col("h") == F.col("sh"))
+            pairs = pairs.unionByName(more.select("row", "ord", "first", "held").distinct())
+        pairs = steps.written(pairs, "pairs")
         # Rows that are repeated with their id are one holder, and have their spans once.
         later = index.join(_small(pairs), ["row", "ord"])
         other = index.select(F.col("ord").alias("first"), F.col("row").alias("held"), F.col("lines").alias("a_lines"), F.col("stretches").alias("a_stretches"))
