@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, small_batches, texts
+from .arrow import release, slices, small_batches, texts
 from .common import fresh
 from .shingles import LETTERS, mix, spans_and_sums
 
@@ -410,7 +410,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return train_on_windows(*labelled_sample(docs, labels))
+    try:
+        return train_on_windows(*labelled_sample(docs, labels))
+    finally:
+        release()  # the driver is done with the sample
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
