@@ -100,9 +100,10 @@ def mean_vector(vectors: DataFrame, size: int, *by: str) -> DataFrame:
 
 def with_new_rows(vectors: DataFrame, size: int, n: int) -> DataFrame:
     """(id, e) and n more rows after the largest id, each the mean of all rows: what a table of vectors begins new tokens with."""
-    mean = mean_vector(vectors.select("id", "e"), size)
-    last = vectors.agg(F.max("id").alias("last"))
-    new = mean.crossJoin(F.broadcast(last)).select(F.explode(F.sequence(F.col("last") + 1, F.col("last") + n)).alias("id"), "e")  # one row each
+    last = vectors.agg(F.max("id")).first()[0]
+    if last is None:  # nothing to take a mean of
+        return vectors.select("id", "e")
+    new = mean_vector(vectors.select("id", "e"), size).select(F.explode(F.sequence(F.lit(last + 1), F.lit(last + n))).alias("id"), "e")
     return vectors.select("id", "e").unionByName(new)
 
 
