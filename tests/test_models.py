@@ -165,3 +165,12 @@ def test_ranges_of_scores_are_even(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = [r["count"] for r in rows.groupBy(part).count().collect()]
     assert len(counts) == n and max(counts) < 1.5 * 20_000 / n
+
+
+def test_graphs_are_built_again_when_their_tables_are_gone(spark, data):
+    from loomgraph.plans import QUERIES
+    from loomgraph.session import clear_scratch
+
+    before = sorted(map(tuple, QUERIES["adjacency"](spark, data).collect()))
+    clear_scratch(spark)
+    assert sorted(map(tuple, QUERIES["adjacency"](spark, data).collect())) == before
