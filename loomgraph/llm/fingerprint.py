@@ -161,15 +161,13 @@ def next_in_order(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def _below(ids, n: int):
-    """How many of the sorted cuts are at most doc_id, by halving."""
-    pos, step = F.lit(0), 1
-    while step * 2 <= n:
-        step *= 2
-    while step:
-        nxt = pos + F.lit(step)
-        pos = F.when((nxt <= n) & (F.get(ids, nxt - 1) <= F.col("doc_id")), nxt).otherwise(pos)
-        step //= 2
-    return pos
+    """How many of the sorted cuts are at most doc_id, by halving; an expression of one size, however many cuts there are."""
+
+    def halved(pos, step):
+        nxt = pos + step
+        return F.when((nxt <= n) & (F.get(ids, nxt - 1) <= F.col("doc_id")), nxt).otherwise(pos)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length())))), F.lit(0), halved)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -90,3 +90,12 @@ def test_awkward_rows(spark):
     one = S.edited_fingerprints(frame(spark, rows[6:7])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert len(S.fingerprints(frame(spark, rows)).collect()) == len(rows)
+
+
+def test_the_search_for_a_part_is_as_large_for_many_parts(spark):
+    cuts = [3 * i for i in range(1, 800)]
+    rows = spark.range(0, 2500).withColumnRenamed("id", "doc_id")
+    few, many = (S._below(S.long_array(c), len(c)) for c in (cuts[:7], cuts))
+    assert len(str(many)) - len(str(few)) < 12 * len(cuts)
+    got = dict(map(tuple, rows.select("doc_id", many.alias("n")).collect()))
+    assert got == {d: min(d // 3, len(cuts)) for d in range(2500)}
