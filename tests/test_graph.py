@@ -266,3 +266,30 @@ def test_row_numbers_keep_a_callers_columns(spark):
     df = spark.createDataFrame([(3, "a", 1), (1, "b", 2)], "v long, __at string, __part long")
     assert [tuple(r) for r in with_index(df, "v").orderBy("v").collect()] == [(1, "b", 2, 0), (3, "a", 1, 1)]
     assert [tuple(r) for r in with_running_sum(df, "v", "v").orderBy("v").collect()] == [(1, "b", 2, 0), (3, "a", 1, 1)]
+
+
+def test_a_vector_moves_once_a_block(spark):
+    v = spark.range(500).selectExpr("id", "array(double(id), 1D) as e")
+    met = G.block_pairs(v, v, lambda ids, a, others, b: iter([(np.array([len(ids)]), np.array([0 if ids is others else len(others)]))]), "a long, b long", block=100, once=True).collect()
+    assert len(met) == 15 and sum(r.a + r.b for r in met) == 5 * 500
+    both = G.block_pairs(v, v.select("*"), lambda ids, a, others, b: iter([(np.array([len(ids) * len(others)]),)]), "n long", block=100).collect()
+    assert len(both) == 25 and sum(r.n for r in both) == 500 * 500
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e12, 1e160])
+def test_the_nearest_of_many_copies_and_of_any_size(scale):
+    """Copies, ties, opposite and empty vectors, in one block after another, against a whole sort."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 12)).round(2) * min(scale, 1e150) ** 0.5
+    x[100:500], x[500:510], x[510:520] = x[0], 0.0, -x[0]
+    ids = np.arange(900) * 3
+    sim = np.round(x @ x.T, 6) + 0.0
+    np.fill_diagonal(sim, -np.inf)
+    want = np.argsort(-sim, axis=1, kind="stable")[:, :7]
+    for columns in (5, 64, 1024):
+        top = G.Top(ids, x, 7)
+        for at in (*range(columns, 900, columns), 0):  # the first ids come last
+            top.add(np.arange(900), ids[at : at + columns], x[at : at + columns], G._single(x[at : at + columns]))
+        if scale <= 1:
+            assert (top.id == ids[want]).all()
+        assert np.allclose(top.sim, np.take_along_axis(sim, want, axis=1), rtol=1e-12)
