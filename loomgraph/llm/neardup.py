@@ -11,8 +11,9 @@ goes to m tasks, one a trie, whatever their number, and no task needs another on
 A task keeps only links that join fingerprints not yet connected in it. Copies of a text share
 their fingerprint, and of fingerprints within r bits of one there are 64 over r at most.
 
-keep_one, the pipeline's stage, links by the similarity of the shingles themselves: bands of
-minima propose pairs, and every pair is held against both texts' shingles.
+keep_one, the pipeline's stage, links by the similarity of the shingles themselves: the trie join of
+the fingerprints proposes pairs, bands of minima those whose fingerprints are farther apart, and every
+pair is held against both texts' shingles.
 """
 
 from __future__ import annotations
@@ -302,16 +303,17 @@ def shingle_sets(batch: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def with_bands(docs: DataFrame, keep: list[str], shingle: int = WORDS) -> DataFrame:
-    """The columns keep of docs, and of its column text: node, a hash of the set of shingles, its size, and bands, each a hash of MINIMA minima; none for a text without words."""
+    """The columns keep of docs, and of its column text: node, a hash of the set of shingles, its size, bands, each a hash of MINIMA minima, none for a text without words, and fp, the fingerprint."""
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
     rng = np.random.Generator(np.random.PCG64(SEED))
     salts, odd = (rng.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            term, first, size = shingle_sets(texts(batch), shingle)
+            given = texts(batch)
+            term, first, size = shingle_sets(given, shingle)
             full = np.flatnonzero(size)
             node = np.zeros(len(size), np.uint64)
             bands = np.zeros((len(full), BANDS), np.uint64)
@@ -323,7 +325,7 @@ def with_bands(docs: DataFrame, keep: list[str], shingle: int = WORDS) -> DataFr
                     bands[:, k // MINIMA] = mix(bands[:, k // MINIMA] + np.minimum.reduceat(h, first[full]) + np.uint64(k))
             offsets = np.r_[0, np.cumsum((size > 0) * BANDS)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(node.view(np.int64)), pa.array(size), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(node.view(np.int64)), pa.array(size), lists, pa.array(simhash(given).view(np.int64))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -372,12 +374,25 @@ def rare_pairs(sets: DataFrame, nodes: DataFrame, steps: Steps) -> DataFrame:
     return x.join(y, "term").where((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & fits(F.col("xsize"), F.col("ysize"))).select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
 
 
+def print_pairs(prints: DataFrame, n: int, steps: Steps, most: int = 4) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, size, fp) that the trie join of their fingerprints links, or that share one, and whose sizes allow the similarity.
+
+    A fingerprint stands for its least node; the others of it meet that one.
+    """
+    held = steps.written(prints.groupBy("fp").agg(F.min("node").alias("of_fp"), F.min_by("size", "node").alias("of_size")), "held", at_most=n)
+    end = lambda p: held.select(F.col("fp").alias(p), F.col("of_fp").alias(p + "_node"), F.col("of_size").alias(p + "_size"))
+    linked = near_links(held.select("fp"), most, n=n).join(end("a"), "a").join(end("b"), "b").select("a_node", "a_size", "b_node", "b_size")
+    shared = prints.join(held, "fp").where("node <> of_fp").select("of_fp", "of_size", "node", "size").toDF("a_node", "a_size", "b_node", "b_size")
+    met = linked.unionByName(shared).where(fits(F.col("a_size"), F.col("b_size")))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, steps: Steps) -> DataFrame:
-    """(of, root): the least node that each linked node reaches over pairs of a similarity of SIMILAR or more that share a band.
+    """(of, root): the least node that each linked node reaches over pairs of a similarity of SIMILAR or more whose fingerprints are linked or that share a band.
 
-    Candidates share a band and their sizes allow the similarity. Every candidate is held
-    against the shingles themselves, unless verified links connect it already: first each
-    node and the least node it meets, then each node and the least of each of its bands. What
+    Candidates are linked by the trie join or share a band, and their sizes allow the similarity. Every
+    candidate is held against the shingles themselves, unless verified links connect it already: first those
+    of the trie join, and each node and the least node it meets, then each node and the least of each of its bands. What
     is left are nodes that meet another one without being connected to it. Those are paired by
     rare shingles: of two sets that are similar, the rarest fifth and one more of either's
     elements has one in common. Texts that share boilerplate and no more are not paired at all.
@@ -402,7 +417,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, n: int, shingle: int, step
         return rare_pairs(sets_of(open_.select(F.col("node").alias("rep"))), open_, steps)
 
     tested = links = roots = None
-    for step in (lambda: stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: stars, others):
+    first = lambda: print_pairs(prints, n, steps).unionByName(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    for step in (first, lambda: stars, others):
         pairs = step().distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -432,7 +448,7 @@ def keep_one(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     with Steps(docs.sparkSession) as steps:
         rows = with_bands(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("h")), ["doc_id", "h"], shingle)
         first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
-        prints = steps.written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "prints", at_most=n * BANDS // 4)
+        prints = steps.written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "prints", at_most=n * BANDS // 4)
         linked = similar_links(docs, prints, n, shingle, steps)
         best = prints.select("node", "first").join(linked, F.col("node") == F.col("of"), "left")
         chosen = stash(best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.h").alias(h_name)), "chosen", at_most=n)

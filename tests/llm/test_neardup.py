@@ -233,3 +233,20 @@ def test_other_columns_and_repeated_rows(spark):
     got = out.collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"] and len({r.node for r in got} & {1, 2}) == 1
     assert sorted(map(str, got)) == sorted(map(str, N.keep_one(df.orderBy(df["node"].desc())).collect()))
+
+
+def test_keep_one_goes_through_the_trie_join(spark, monkeypatch):
+    """Without any band in common, what the fingerprints link is found, and held against the shingles."""
+    real = N.with_bands
+
+    def bare(docs, keep, shingle=N.WORDS):
+        return real(docs, keep, shingle).withColumn("bands", F.array().cast("array<bigint>"))
+
+    monkeypatch.setattr(N, "with_bands", bare)
+    rng = random.Random(9)
+    long = [" ".join(f"w{rng.randrange(5000)}" for _ in range(3000)) for _ in range(4)]
+    given = [*long, *(t + " more" for t in long), " ".join(long[0].split()[:120])]
+    assert sorted(r.doc_id for r in N.keep_one(texts(spark, given)).collect()) == [0, 1, 2, 3, 8]
+    # Fingerprints that are equal by chance link nothing that differs.
+    monkeypatch.setattr(N, "with_bands", lambda *x: bare(*x).withColumn("fp", F.lit(0).cast("long")))
+    assert N.keep_one(texts(spark, long)).count() == 4
