@@ -7,25 +7,32 @@ over (center, walk), written after every step, and vectors stay where they are.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
 from ..functions.vectors import cosine, rounded
-from ..session import Steps, bucketed, stash
-from .graph import SEED, capped_neighbors, neighbors_of
+from ..session import bucketed, discard, stash
+from .graph import PAIR_BYTES, SEED, _matrix, capped_neighbors, neighbors_of
 
 PAD, STARTS, STEPS, LENGTH, BETA, THRESHOLD, SAMPLE, CAP = -500, 9, 10, 111, 0.55, 0.02, 10, 256
 #: Digits of sums and blends of rounded cosines: with as few digits as those, halves would be rounded by chance.
 FINE = 10
 #: Numbers in the broadcast graph: vectors' elements and edges. 32 million doubles are 256 MB.
 BROADCAST_NUMBERS = 32_000_000
-_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Walks of a part of the supersteps' state, as many as a task holds, and fewest of one that is made smaller for the sake of more tasks.
+PART_WALKS, LEAST_WALKS = 8192, 512
+#: Pairs of vectors that a cell's task multiplies at once.
+PAIRS_AT_ONCE = 1 << 15
+#: Columns of the supersteps' state.
+STATE = {"part": "int", "center": "long", "walk": "int", "node": "long", "seen": "array<long>", "front": "array<long>", "scores": "array<double>"}
 
 
 def relevance(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -76,20 +83,18 @@ class VectorGrid:
     """Vectors laid out once so that any pair of them meets without a shuffle of vectors.
 
     Ids are hashed into `side` blocks; cell (i, j) of a grid holds the centers of block i and the
-    candidates of block j. Both are tables bucketed by cell: each vector is written 2 * side times
-    before the walk, and never moves again. A step sends (center, candidate) to its cell, numbers
-    only, and a number comes back.
+    candidates of block j. Both are in one table bucketed by cell: each vector is written 2 * side
+    times before the walk, and never moves again. A step sends (center, candidate) to its cell,
+    numbers only, and a number comes back; a cell's pairs are scored together, as rows of two matrices.
     """
 
     def __init__(self, vectors: DataFrame, coh: DataFrame, side: int):
-        self.spark, self.side, n = vectors.sparkSession, side, side * side
+        self.spark, self.side = vectors.sparkSession, side
         every = F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("other")
-        center = vectors.select(F.col("id").alias("center"), F.col("e").alias("ea"), every)
-        held = vectors.select("id", F.col("e").alias("eb")).join(coh, "id", "left").select("id", "eb", F.coalesce("coh", F.lit(0.0)).alias("coh"), every)
-        laid = lambda df, i, j: df.withColumn("cell", self.cell(i, j)).drop("other")
-        one, self.centers = bucketed(laid(center, self.block("center"), F.col("other")), "cell", n, "centers", "center")
-        two, self.candidates = bucketed(laid(held, F.col("other"), self.block("id")), "cell", n, "candidates", "id")
-        self.tables = (one, two)
+        held = vectors.select("id", "e").join(coh, "id", "left").select("id", "e", F.coalesce("coh", F.lit(0.0)).alias("coh"), every)
+        own = held.withColumn("own", F.lit(True)).withColumn("cell", self.cell(self.block("id"), F.col("other")))
+        others = held.withColumn("own", F.lit(False)).withColumn("cell", self.cell(F.col("other"), self.block("id")))
+        self.table, self.cells = bucketed(own.unionByName(others).drop("other"), "cell", side * side, "grid")
 
     def block(self, name: str) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(self.side)).cast("int")
@@ -98,69 +103,138 @@ class VectorGrid:
         return i * self.side + j
 
     def scored(self, asked: DataFrame, beta: float) -> DataFrame:
-        """asked(center, walk, id) with x, the blend of relevance and coherence."""
-        there = asked.withColumn("cell", self.cell(self.block("center"), self.block("id")))
-        met = there.join(self.centers.hint("merge"), ["cell", "center"]).join(self.candidates.hint("merge"), ["cell", "id"])
-        rel = F.greatest(F.lit(0.0), rounded(cosine(F.col("ea"), F.col("eb"))))
-        return met.select("center", "walk", "id", blend(rel, F.col("coh"), beta).alias("x"))
+        """asked(center, walk, id) with x, the blend of relevance and coherence; pairs without both vectors are left out."""
+        gamma = round(1 - beta, 12)
+
+        def score(pairs: pa.Table, cell: pa.Table) -> pa.Table:
+            out = pairs.select(["center", "walk", "id"])
+            if not pairs.num_rows or not cell.num_rows:
+                return out.slice(0, 0).append_column("x", pa.array([], pa.float64()))
+            own = cell.column("own").to_numpy()
+            ids, coh, e = cell.column("id").to_numpy(), cell.column("coh").to_numpy(), _matrix(cell.column("e").combine_chunks())
+            e = e / np.maximum(np.sqrt((e * e).sum(axis=1, keepdims=True)), 1e-300)
+
+            def places(which: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                if not len(which):
+                    return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+                which = which[np.argsort(ids[which], kind="stable")]
+                at = which[np.minimum(np.searchsorted(ids[which], asked), len(which) - 1)]
+                return at, ids[at] == asked
+
+            a, known_a = places(np.flatnonzero(own), pairs.column("center").to_numpy())
+            b, known_b = places(np.flatnonzero(~own), pairs.column("id").to_numpy())
+            rel = np.empty(len(a))
+            for lo in range(0, len(a), PAIRS_AT_ONCE):
+                part = slice(lo, lo + PAIRS_AT_ONCE)
+                rel[part] = np.einsum("ij,ij->i", e[a[part]], e[b[part]])
+            x = np.round(beta * coh[b] + gamma * np.maximum(0.0, np.round(rel, 6)), FINE)
+            return out.append_column("x", pa.array(x)).filter(pa.array(known_a & known_b))
+
+        there = asked.select("center", "walk", "id", self.cell(self.block("center"), self.block("id")).alias("cell"))
+        return there.groupBy("cell").cogroup(self.cells.groupBy("cell")).applyInArrow(score, "center long, walk int, id long, x double")
 
     def __enter__(self) -> VectorGrid:
-        # A cell decides where a row goes, although joins compare more than the cell.
-        self._before = self.spark.conf.get(_CO_PARTITION)
-        self.spark.conf.set(_CO_PARTITION, "false")
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(_CO_PARTITION, self._before)
-        for table in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def _next(scored: pa.Table, state: pa.Table, threshold: float, cap: int | None, eps: float, seed: int) -> pa.Table:
+    """One step of all walks of a part: the state after it. scored has the neighbours of each walk's node."""
+    n = state.num_rows
+    center, walk = state.column("center").to_numpy(), state.column("walk").to_numpy()
+    going = state.column("node").is_valid().to_numpy()
+
+    # A walk is known by its row in the state from here on.
+    centers, numbers = np.unique(center), np.unique(walk)
+    key = lambda c, w: np.searchsorted(centers, c) * len(numbers) + np.searchsorted(numbers, w)
+    known = key(center, walk)
+    by = np.argsort(known)
+    new_row = by[np.searchsorted(known[by], key(scored.column("center").to_numpy(), scored.column("walk").to_numpy()))] if scored.num_rows else np.zeros(0, np.int64)
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = state.column(name).combine_chunks()
+        return np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+
+    (seen_row, seen_id), (front_row, front_id), (_, front_x) = flat("seen"), flat("front"), flat("scores")
+    row, id_ = np.concatenate([seen_row, front_row, new_row]), np.concatenate([seen_id, front_id, scored.column("id").to_numpy()])
+    x = np.concatenate([np.full(len(seen_id), np.nan), front_x, scored.column("x").to_numpy()])
+    order = np.lexsort((id_, row))  # stable: of equal ids, one that was seen comes first
+    row, id_, x = row[order], id_[order], x[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (id_[1:] != id_[:-1])
+    keep = first & ~np.isnan(x) & going[row]
+    row, id_, x = row[keep], id_[keep], x[keep]
+
+    node, picked = np.zeros(n, np.int64), np.zeros(n, bool)
+    if len(row):
+        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        size = np.diff(np.append(begin, len(row)))
+        spread = lambda per_walk: np.repeat(per_walk, size)
+        open_x = x
+        if cap and size.max() > cap:
+            many = np.unique(id_[spread(size > cap)])
+            rank = np.empty(len(many), np.int64)
+            rank[sorted(range(len(many)), key=lambda k: (hashlib.md5(f"{seed}|{many[k]}".encode()).hexdigest(), many[k]))] = np.arange(len(many))
+            rank = np.where(spread(size > cap), rank[np.minimum(np.searchsorted(many, id_), len(many) - 1)], 0)
+            ranked = np.lexsort((rank, row))  # walks keep their stretches
+            place = np.empty(len(row), np.int64)
+            place[ranked] = np.arange(len(row)) - spread(begin)
+            open_x = np.where(place < cap, x, -np.inf)
+        y = np.exp(open_x - spread(np.maximum.reduceat(open_x, begin)))
+        eta = np.round(y / (spread(np.add.reduceat(y, begin)) + eps), 6)
+        best = np.maximum.reduceat(eta, begin)
+        hit = np.flatnonzero((eta == spread(best)) & (eta > threshold))
+        own, at = np.unique(row[hit], return_index=True)  # the least id of equals
+        node[own], picked[own] = id_[hit[at]], True
+    left = picked[row] & (id_ != node[row])
+    row, id_, x = row[left], id_[left], x[left]
+
+    more = np.flatnonzero(picked)
+    path_row, path_id = np.concatenate([seen_row, more]), np.concatenate([seen_id, node[more]])
+    path = np.argsort(path_row, kind="stable")
+    lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+    columns = {"node": pa.array(node, mask=~picked), "seen": lists(path_row[path], path_id[path]), "front": lists(row, id_), "scores": lists(row, x)}
+    return pa.table({name: columns.get(name, state.column(name)) for name in STATE})
 
 
 def walks_by_joins(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int, side: int | None = None) -> DataFrame:
-    """The walks in supersteps. A walk is one row with the array of nodes it has visited, and a front of scored candidates.
+    """The walks in supersteps. A walk is one row: its node (null: it has ended), what it has visited, in order, and its front of scored candidates.
 
-    A candidate is scored once a walk, in the step that finds it: only neighbours of the node just
-    reached are new. Scores are made where the vectors lie (VectorGrid, side blocks a side).
+    A step asks for the scores of the neighbours of each walk's node. They are made where the vectors
+    lie (VectorGrid, side blocks a side) and go to their walks, which lie bucketed in parts of some
+    PART_WALKS; fronts never move.
     """
-    spark, key = starts.sparkSession, ["center", "walk"]
+    spark = starts.sparkSession
     if side is None:
-        side = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    over = Window.partitionBy(*key)
-    with Steps(spark) as tables, VectorGrid(vectors, coh, side) as grid:
-        first = starts.select("center", F.col("walk").cast("int").alias("walk"), F.col("id").alias("node"))
-        here = tables.written(first.withColumn("seen", F.array("node")), "here")
-        front, before, done = None, None, [stash(first.select(*key, F.lit(0).alias("step"), "node"), "walk")]
-        for step in range(1, steps):
-            new = here.join(edges, F.col("node") == F.col("src")).where(~F.array_contains("seen", F.col("dst"))).select(*key, F.col("dst").alias("id"), F.lit(None).cast("double").alias("x"))
-            both = new if front is None else front.unionByName(new)
-            pool = tables.written(both.groupBy(*key, "id").agg(F.max("x").alias("x")), "pool")
-            state = here.select(*key, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x"), "seen")
-            scored = pool.where("x is not null").unionByName(grid.scored(pool.where("x is null"), beta)).withColumn("seen", F.lit(None).cast("array<long>")).unionByName(state)
-            chosen = F.col("id").isNotNull()
-            if cap:
-                some = Window.partitionBy(*key).orderBy(F.col("id").isNull(), seeded(seed, F.col("id")), "id")
-                scored = scored.withColumn("r", F.row_number().over(some))
-                chosen = chosen & (F.col("r") <= cap)
-            eta = softmax(F.when(chosen, F.col("x")), over, eps)
-            good = F.when(F.col("eta") > threshold, F.struct((-F.col("eta")).alias("n"), "id"))
-            picked = scored.withColumn("eta", eta).withColumn("pick", F.min(good).over(over)["id"]).withColumn("seen", F.first("seen", ignorenulls=True).over(over))
-            out = tables.written(picked.where("pick is not null and id is not null").select(*key, "id", "x", "pick", F.when(F.col("id") == F.col("pick"), F.col("seen")).alias("seen")), "step")
-            last, here = here, tables.written(out.where("id = pick").select(*key, F.col("id").alias("node"), F.concat("seen", F.array("id")).alias("seen")), "here")
-            front = out.where("id <> pick").select(*key, "id", "x")
-            tables.drop(pool)
-            tables.drop(last)
-            if before is not None:
-                tables.drop(before)
-            before = out
-            if here.isEmpty():
+        n, size = vectors.agg(F.count(F.lit(1)), F.max(F.size("e"))).first()
+        side = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5), -(-n * (size or 0) * 8 // PAIR_BYTES))
+    n = starts.count()
+    parts = max(1, -(-n // PART_WALKS), min(2 * spark.sparkContext.defaultParallelism, n // LEAST_WALKS))
+    part = F.pmod(F.xxhash64("center"), F.lit(parts)).cast("int").alias("part")
+    first = starts.select(part, "center", F.col("walk").cast("int").alias("walk"), F.col("id").alias("node"), F.array("id").alias("seen"), F.array().cast("array<long>").alias("front"), F.array().cast("array<double>").alias("scores"))
+
+    def step(scored: pa.Table, state: pa.Table) -> pa.Table:
+        return _next(scored, state, threshold, cap, eps, seed)
+
+    with VectorGrid(vectors, coh, side) as grid:
+        table, state = bucketed(first, "part", parts, "walks")
+        for _ in range(1, steps):
+            here = state.where("node is not null").select("center", "walk", "node")
+            asked = here.join(edges, F.col("node") == F.col("src")).select("center", "walk", F.col("dst").alias("id"))
+            scored = grid.scored(asked, beta).select(part, "center", "walk", "id", "x")
+            after = scored.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(step, ", ".join(f"{name} {kind}" for name, kind in STATE.items()))
+            last, (table, state) = table, bucketed(after, "part", parts, "walks", dealt=True)
+            discard(spark, last)
+            if state.where("node is not null").isEmpty():
                 break
-            done.append(stash(here.select(*key, F.lit(step).alias("step"), "node"), "walk"))
-    return reduce(DataFrame.unionByName, done)
+        out = stash(state.select("center", "walk", F.posexplode("seen").alias("step", "node")), "walk")
+        discard(spark, table)
+    return out
 
 
 def walks_by_broadcast(starts: DataFrame, edges: DataFrame, vectors: DataFrame, coh: DataFrame, *, beta: float, threshold: float, steps: int, cap: int | None, eps: float, seed: int) -> DataFrame:
-    import hashlib
-
     v = vectors.join(coh, "id", "left").select("id", "e", F.coalesce("coh", F.lit(0.0)).alias("coh")).orderBy("id").toArrow()
     ids, own_coh = (v.column(c).to_numpy() for c in ("id", "coh"))
     e = v.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float) if len(ids) else np.zeros((0, 1))

@@ -60,14 +60,23 @@ def own_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/loomgraph/{spark.sparkContext.applicationId}"
 
 
-def bucketed(df: DataFrame, by: str, n: int, name: str, *order: str) -> tuple[str, DataFrame]:
-    """df as a table of n buckets by a column, one file each, and its name: joins and groups by that column do not move it. DROP TABLE forgets it, clear_scratch() deletes its files."""
+def bucketed(df: DataFrame, by: str, n: int, name: str, *order: str, dealt: bool = False) -> tuple[str, DataFrame]:
+    """df as a table of n buckets by a column, one file each, and its name: joins and groups by that column do not move it. DROP TABLE forgets it, clear_scratch() deletes its files.
+
+    dealt: each bucket's rows are in one task already.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, by).write.bucketBy(n, by).sortBy(by, *order).option("path", f"{own_folder(spark)}/{table}").saveAsTable(table)
+    (df if dealt else df.repartition(n, by)).write.bucketBy(n, by).sortBy(by, *order).option("path", f"{own_folder(spark)}/{table}").saveAsTable(table)
     return table, spark.table(table)
 
 
+def discard(spark: SparkSession, table: str) -> None:
+    """Forget a bucketed() table and delete its files: nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _delete(spark, f"{own_folder(spark)}/{table}")
+
+
 def files_of(spark: SparkSession, path: str):
     """Hadoop's path and file system of a path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

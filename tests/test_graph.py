@@ -214,6 +214,33 @@ def test_vectors_stay_where_they_lie(spark):
     assert len(got) == len({(r.center, r.id) for r in asked.collect()})
 
 
+def test_pairs_are_scored_without_sorting_vectors(spark):
+    """A cell's pairs meet its vectors as a group; pairs without both vectors are left out, a missing coherence is none."""
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id long, e array<double>")
+    asked = spark.createDataFrame([(0, 3, 2), (0, 3, 2), (1, 0, 9), (8, 0, 1), (5, 1, 5)], "center long, walk int, id long")
+    with C.VectorGrid(v, v.where("id = 5").select("id", C.F.lit(0.5).alias("coh")), 2) as grid:
+        df = grid.scored(asked, 0.5)
+        assert sorted(map(tuple, df.collect())) == [(0, 3, 2, 0.223607), (0, 3, 2, 0.223607), (5, 1, 5, 0.75)]
+        plan, _ = exchanges(df)
+    assert "Join" not in plan, plan
+
+
+def test_a_walks_front_stays_with_it(spark, monkeypatch):
+    """A step sends no candidate again that it has scored, and its state lies in small parts."""
+    monkeypatch.setattr(C, "PART_WALKS", 5)
+    sent, grouped = [], C.VectorGrid.scored
+    monkeypatch.setattr(C.VectorGrid, "scored", lambda self, asked, beta: sent.append(asked.count()) or grouped(self, asked, beta))
+    rng = random.Random(8)
+    e = table(spark, both({tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)}))
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)], "id long, e array<double>")
+    starts, coh = C.start_neighbors(v.select("id"), e), C.coherence(v, e)
+    options = {"beta": 0.55, "threshold": 0.1, "steps": 6, "cap": None, "eps": 1e-10, "seed": 42}
+    got, want = (sorted(map(tuple, f(starts, e, v, coh, **options).collect())) for f in (C.walks_by_joins, C.walks_by_broadcast))
+    assert got == want and len({r[2] for r in got}) > 2
+    near = {r.src: r["count"] for r in e.groupBy("src").count().collect()}
+    assert sent == [sum(near[n] for _, _, s, n in got if s == step) for step in range(len(sent))]
+
+
 def test_motifs_of_random_graphs_equal_a_plain_search(spark):
     rng = random.Random(9)
     pairs_ = {tuple(sorted(rng.sample(range(14), 2))) for _ in range(38)} | {(7, i) for i in range(14) if i != 7}
