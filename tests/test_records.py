@@ -86,6 +86,28 @@ def test_transport_of_unequal_numbers():
     assert np.count_nonzero(flow) <= 97 + 101 and np.mean(low) < 0.1
 
 
+def test_prices_prove_a_transport_best():
+    """What a flow costs is what its prices are worth: no flow of any kind costs less."""
+    rng = np.random.default_rng(4)
+    for n, m in ((400, 150), (150, 400), (300, 300), (7, 1)):
+        a, b = rng.standard_normal((n, 8)), rng.standard_normal((m, 8)) + 0.3
+        cost = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        rows, columns, units, price = N.flows(n, m, lambda some, cost=cost: cost[some])
+        unit = math.gcd(n, m)
+        assert (np.bincount(rows, units, n) == m // unit).all() and (np.bincount(columns, units, m) == n // unit).all() and units.min() > 0
+        paid = (cost[rows, columns] * units).sum() / units.sum()
+        assert (cost + price).min(axis=1).mean() - price.mean() == pytest.approx(paid, abs=1e-9) == N.transport_cost(a, b)
+
+
+def test_transport_among_copies_and_points_in_one_place():
+    same = np.ones((60, 3))
+    assert N.transport_cost(same, same[:25]) == 0
+    rng = np.random.default_rng(5)
+    few = rng.standard_normal((4, 3))
+    assert N.transport_cost(np.repeat(few, 30, axis=0), np.repeat(few, 11, axis=0)) == pytest.approx(0, abs=1e-12)
+    assert N.transport_cost(same, np.zeros((7, 3))) == pytest.approx(3)
+
+
 def test_closest_by_votes(spark):
     rng = np.random.default_rng(2)
     new = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(4)]) for i in range(40)], "id long, e array<double>")
