@@ -108,6 +108,17 @@ def test_transport_among_copies_and_points_in_one_place():
     assert N.transport_cost(same, np.zeros((7, 3))) == pytest.approx(3)
 
 
+def test_groups_are_tasks_of_their_own_and_a_side_may_be_large(spark):
+    new = spark.range(5000).selectExpr("array(double(id % 10), 0D) as e")
+    groups = spark.createDataFrame([("one", [0.0, 0.0]), (None, [0.0, 1.0]), ("two", [0.0, 0.0]), ("two", [9.0, 0.0])], "name string, e array<double>")
+    got = N.transport_to_groups(new, groups)
+    assert got.rdd.getNumPartitions() == 3
+    assert {r.name: r.distance for r in got.collect()} == {"one": 28.5, None: 29.5, "two": 6.0}
+    with pytest.raises(ValueError):
+        N.transport_to_groups(new, groups, most=1)
+    assert N.transport_to_groups(new.limit(0), groups).collect() == []
+
+
 def test_closest_by_votes(spark):
     rng = np.random.default_rng(2)
     new = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(4)]) for i in range(40)], "id long, e array<double>")
