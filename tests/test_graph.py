@@ -226,7 +226,7 @@ def test_pairs_are_scored_without_sorting_vectors(spark):
 
 
 def test_a_walks_front_stays_with_it(spark, monkeypatch):
-    """A step sends no candidate again that it has scored, and its state lies in small parts."""
+    """A step asks for the neighbours of the nodes just reached and for no other candidate; walks lie in several parts."""
     monkeypatch.setattr(C, "PART_WALKS", 5)
     sent, grouped = [], C.VectorGrid.scored
     monkeypatch.setattr(C.VectorGrid, "scored", lambda self, asked, beta: sent.append(asked.count()) or grouped(self, asked, beta))
